@@ -3,22 +3,100 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, quality
+import public_tokenizers
+
+from . import exact_dedup, mixing, packing, quality, token_counts, token_files
 from .common import table
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    read = token_files.round_trip(table(spark, sf_dir, "documents"), path, end=2)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS).drop("text", "n_chars")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.field_token_counts(table(spark, sf_dir, "documents"), token_counts.document_fields(), path)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, end=0)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_mixing, op5_token_counts, op6_exact_dedup, op7_packing, op8_quality_rules)}
+
+
+
+
+def _level_sql(i: int, levels: list[str], weight: str) -> str:
+    """DuckDB: deal the budgets of one level's parents to its nodes, by weighted water-filling."""
+    above, here = levels[:i], levels[: i + 1]
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    cols, up = ", ".join(here), f"LEFT JOIN n{i} USING ({', '.join(above)})" if above else ", n0"
+    return f"""
+c{i} AS (SELECT {cols}, max(w{i}) AS w, sum(cap) AS cap FROM t GROUP BY {cols}),
+f{i} AS (
+  SELECT *, w > 0 AND cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+         <= w * (b - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS done,
+         CASE WHEN w > 0 THEN CAST(cap AS DOUBLE) / w END AS ratio
+  FROM c{i} {up} WINDOW o AS ({part} ORDER BY CASE WHEN w > 0 THEN CAST(cap AS DOUBLE) / w END NULLS LAST, {levels[i]})),
+g{i} AS (
+  SELECT *, b - sum(CASE WHEN done THEN cap ELSE 0 END) OVER ({part}) AS rest, CASE WHEN done THEN 0 ELSE w END AS ow,
+         sum(CASE WHEN done THEN 0 ELSE w END) OVER ({part}) AS allw,
+         sum(CASE WHEN done THEN 0 ELSE w END) OVER ({part} ORDER BY ratio NULLS LAST, {levels[i]} ROWS UNBOUNDED PRECEDING) AS tow
+  FROM f{i}),
+n{i + 1} AS (SELECT {cols}, CASE WHEN done THEN cap WHEN allw > 0 THEN tow * rest // allw - (tow - ow) * rest // allw ELSE 0 END AS b FROM g{i}),"""
+
+
+def mixing_sql(documents: str = "documents", fraction: float = 1.0, epochs: int = 4, seed: int = 17) -> str:
+    """The mix of a relation with the columns of documents, with ``text`` and ``n_chars``."""
+    weights = (
+        "CASE domain WHEN 'crawl' THEN 2 WHEN 'books' THEN 5 ELSE 3 END",
+        "CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 ELSE 1 END",
+        "1",
+    )
+    levels = ["domain", "lang", "source"]
+    return rf"""
+d AS (
+  SELECT * REPLACE (coalesce(lang, '') AS lang, coalesce(source, '') AS source),
+         CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_full_match(source, 'src[1-9]') THEN 'books' ELSE 'forum' END AS domain,
+         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS n_tokens
+  FROM {documents}),
+l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM d GROUP BY ALL),
+t AS (SELECT *, tokens * {epochs} AS cap, {", ".join(f"CAST({w} AS HUGEINT) AS w{i}" for i, w in enumerate(weights))} FROM l),
+n0 AS (SELECT CAST(least(floor(sum(tokens) * {fraction}), sum(cap)) AS HUGEINT) AS b FROM t),
+{"".join(_level_sql(i, levels, w) for i, w in enumerate(weights))}
+q AS (SELECT domain, lang, source, b // tokens AS full_epochs, b % tokens AS rest FROM n3 JOIN l USING (domain, lang, source) WHERE tokens > 0),
+e AS (
+  SELECT d.*, e AS epoch, full_epochs, rest, CAST('0x' || substr(md5('{seed}:' || e || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS order_key
+  FROM d JOIN q USING (domain, lang, source), (SELECT unnest(range(0, {epochs} + 1)) AS e)
+  WHERE e < full_epochs OR (e = full_epochs AND rest > 0)),
+s AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY order_key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e),
+mixed AS (
+  SELECT doc_id, text, lang, source, n_chars, domain, n_tokens, CAST(epoch AS BIGINT) AS epoch, order_key,
+         CAST(CASE WHEN epoch < full_epochs THEN n_tokens ELSE least(n_tokens, rest - start) END AS BIGINT) AS take_tokens
+  FROM s WHERE epoch < full_epochs OR start < rest)"""
+
 
 ORACLES = {
+    "op4_mixing": f"WITH {mixing_sql()} SELECT * EXCLUDE (text, n_chars) FROM mixed",
     "op6_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
