@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, mixing, packing, quality, token_counts, token_files
+from . import exact_dedup, language_model, mixing, near_dup, packing, quality, site_style, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS).drop("text", "n_chars")
@@ -40,7 +48,29 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_mixing, op5_token_counts, op6_exact_dedup, op7_packing, op8_quality_rules)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_report(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_lm_scoring,
+        op3_url_filter,
+        op4_mixing,
+        op5_token_counts,
+        op6_exact_dedup,
+        op7_packing,
+        op8_quality_rules,
+        op9_near_duplicates,
+        op10_html_extraction,
+    )
+}
 
 
 
@@ -77,7 +107,8 @@ def mixing_sql(documents: str = "documents", fraction: float = 1.0, epochs: int
 d AS (
   SELECT * REPLACE (coalesce(lang, '') AS lang, coalesce(source, '') AS source),
          CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_full_match(source, 'src[1-9]') THEN 'books' ELSE 'forum' END AS domain,
-         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS n_tokens
+         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS n_tokens
   FROM {documents}),
 l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM d GROUP BY ALL),
 t AS (SELECT *, tokens * {epochs} AS cap, {", ".join(f"CAST({w} AS HUGEINT) AS w{i}" for i, w in enumerate(weights))} FROM l),

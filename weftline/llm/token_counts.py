@@ -11,7 +11,8 @@ so that the counts of the fields always add up to the tokens of the text.  ``cro
 many of a field's tokens reach outside it.
 
 Fields with a null or empty value get a row with no token.  Rows are treated one by one; rows with
-the same id give rows with the same id.  Separators belong to the field before them.
+the same id give rows with the same id.  A separator belongs to the field after it, as the vocabularies
+here join a space to the word that follows.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def field_token_counts(df: DataFrame, fields: dict[str, F.Column], tokenizer: st
                 encoded = tok.encode_batch(whole[lo:hi], add_special_tokens=False)
                 for v, e in zip(values[lo:hi], encoded, strict=True):
                     size = np.array([len(x) for x in v]) + len(separator)
-                    size[-1] -= len(separator)
+                    size[0] -= len(separator)
                     borders = np.r_[0, np.cumsum(size)]
                     span = np.array(e.offsets, np.int64).reshape(-1, 2)
                     n, c = attribute(span[:, 0], span[:, 1], borders, rule)
