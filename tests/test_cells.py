@@ -10,6 +10,7 @@ from weftline.operators.compose import Broadcast, Chain, Choice, Feedback, Id, M
 from weftline.operators.contract import Blueprint, CarrierCost, ContractError, CostExceeded, Slot, Static, ZeroCapacity, assert_conforms, assert_wiring, conforms, declare_inline_loop_moore, validate_capacity, validate_cost, validate_seam
 from weftline.plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, pump_try
 from weftline.plans.drive import drive, drive_seq
+from weftline.plans.ranges import running_sum
 from weftline.plans.slots import SlotDrive
 
 
@@ -67,6 +68,14 @@ def test_stateful_literals_are_the_same_by_every_plan(spark):
         assert seq(spark, both, [("A", 1, None), ("B", None, 5), ("A", 2, None)], how, "struct<tag:string,a:bigint,b:bigint>") == [("A", 1, None), ("B", None, 5), ("A", 3, None)]
 
 
+def test_ranges_give_the_same_sums(spark):
+    rows = [(i, i % 3 if i % 7 else None, (i * 37) % 11 if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq bigint, k int, x bigint")
+    got = running_sum(df, "x", "o", ["k"], ["seq"])
+    assert got.columns == ["seq", "k", "x", "o"]
+    assert outputs(got) == outputs(drive_seq(n.counter, df, "x", "o", ["k"], ["seq"], "window"))
+
+
 def test_laws(spark):
     a, b, c = n.inc, n.double, n.triple
     for x in (Chain(Chain(a, b), c), Chain(a, Chain(b, c)), Chain(Id(LONG), chain(a, b, c)), Chain(chain(a, b, c), Id(LONG))):

@@ -16,6 +16,7 @@ from .operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Op
 from .operators.contract import Blueprint, Slot, Static, declare_inline_loop_moore, wire
 from .plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, pump_try
 from .plans.drive import drive, drive_seq
+from .plans.ranges import running_sum
 from .plans.slots import SlotDrive
 from .sources.tables import events, shared_folder, table
 from .streaming.pump import bounded_pump
@@ -129,6 +130,14 @@ def q12_recursive_sum(spark, sf_dir):
 _seq("q20_drive_seq", n.counter, f"SELECT event_id, CAST(sum(c) OVER {W} AS BIGINT) AS o FROM {E}")
 _seq("q20_drive_seq_fold", n.counter, ORACLES["q20_drive_seq"], "fold")
 _seq("q20_drive_seq_scan", n.counter, ORACLES["q20_drive_seq"], "scan")
+
+
+@query(ORACLES["q20_drive_seq"])
+def q20_drive_seq_ranges(spark, sf_dir):
+    """For keys of any size."""
+    return running_sum(events(spark, sf_dir), "c", "o", KEYS, ORDER).select("event_id", "o")
+
+
 _seq("q21_chain_stateful", Chain(n.counter, n.double), f"SELECT event_id, CAST(2 * sum(c) OVER {W} AS BIGINT) AS o FROM {E}")
 _merge_sql = f"SELECT event_id, CAST(sum(c + 1 + 2 * c) OVER {W} AS BIGINT) AS o FROM {E}"
 _pair = lambda: F.struct(F.col("c").alias("_1"), F.col("c").alias("_2"))
