@@ -38,7 +38,7 @@ def test_order_changes_no_verdict(odd, small):
     for r in small.collect():
         n, chars, symbols, dups, repeats = brute(r["text"])
         lines = len(quality.Doc(r["text"]).lines)
-        assert want[r["doc_id"]] == (n >= 50 and 100 * repeats <= 50 * n and 100 * symbols <= 10 * n and 100 * dups <= 30 * lines and 3 * n <= chars <= 10 * n)
+        assert want[r["doc_id"]] == (n >= 50 and 100 * repeats <= 50 * n and 100 * symbols <= 10 * n and 100 * dups <= 50 * lines and 3 * n <= chars <= 10 * n)
 
 
 def test_clean_documents_stay(spark, sf_dir, small):

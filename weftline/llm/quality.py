@@ -92,7 +92,7 @@ def default_rules(
     min_words: int = 50,
     max_repeat_pct: int = 50,
     max_symbol_pct: int = 10,
-    max_dup_line_pct: int = 30,
+    max_dup_line_pct: int = 50,
     word_length: tuple[int, int] = (3, 10),
 ) -> list[Rule]:
     """Thresholds are whole percentages, compared in integers."""

@@ -153,7 +153,7 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS kept
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS kept
 FROM m
 """,
 }
