@@ -8,8 +8,8 @@ from weftline.functions.ports import LONG, STRING, strict_int, wrap32
 from weftline.operators.cell import Drive, PortMismatch
 from weftline.operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Opt, Rep, TryChain, Wire, chain, diamond
 from weftline.operators.contract import Blueprint, CarrierCost, ContractError, CostExceeded, Slot, Static, ZeroCapacity, assert_conforms, assert_wiring, conforms, declare_inline_loop_moore, validate_capacity, validate_cost, validate_seam
-from weftline.plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, pump_try
-from weftline.plans.drive import drive, drive_seq
+from weftline.plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, drive_wired, pump_try, spawned_flow
+from weftline.plans.drive import drive, drive_seq, run_static
 from weftline.plans.ranges import running_sum
 from weftline.plans.slots import SlotDrive
 
@@ -138,6 +138,12 @@ def test_carriers_agree(spark):
         assert outputs(drive_link(n.inc, n.counter, c, df, "x", "o", Drive(("k",), ("seq",)))) == [sum(range(1, i + 2)) for i in range(100)]
 
 
+def test_spawned_and_static(spark):
+    assert outputs(spawned_flow(n.inc, n.counter, frame(spark, [5, 3]), "x", "o", ["k"])) == [6, 4]
+    assert outputs(run_static(Static(Chain(n.inc, n.double)), frame(spark, [5]))) == [12]
+    assert outputs(drive_wired(Wire(n.inc, n.double), QueueCarrier(), frame(spark, [5]), "x", "o")) == [12]
+
+
 def test_failures(spark):
     texts = ["42", "xx", " 42 ", "+6", "1.5", ""]
     assert [tuple(r) for r in outputs(drive_try(n.parse, n.double, frame(spark, texts, "string"), "x", "o"))] == [(84, None), (None, "not a number: xx"), (None, "not a number:  42 "), (12, None), (None, "not a number: 1.5"), (None, "not a number: ")]

@@ -14,8 +14,8 @@ from .functions.ports import LONG
 from .operators.cell import Drive
 from .operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Opt, Rep, TryChain, Wire, chain, diamond
 from .operators.contract import Blueprint, Slot, Static, declare_inline_loop_moore, wire
-from .plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, pump_try
-from .plans.drive import drive, drive_seq
+from .plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, drive_wired, pump_try, spawned_flow
+from .plans.drive import drive, drive_seq, run_static
 from .plans.ranges import running_sum
 from .plans.slots import SlotDrive
 from .sources.tables import events, shared_folder, table
@@ -212,6 +212,11 @@ def q35_pump_errors(spark, sf_dir):
     return pump_try(n.fallible_inc, n.double, _shifted(spark, sf_dir), "x", "o")[1]
 
 
+@query(f"SELECT event_id, (c + 1) * 2 AS o FROM {E}")
+def q38_run_static(spark, sf_dir):
+    return run_static(Static(Chain(n.inc, n.double)), events(spark, sf_dir), "c", "o").select("event_id", "o")
+
+
 # --- carriers ----------------------------------------------------------------------------------
 
 
@@ -230,6 +235,17 @@ _carried("q43_channel", ChannelCarrier(("user_id",)))
 _carried("q44_bounded", BoundedCarrier(64))
 
 
+@query(f"SELECT event_id, c + 1 AS o FROM {E}")
+def q46_spawned_flow(spark, sf_dir):
+    """A counter that begins anew with each message."""
+    return spawned_flow(n.inc, n.counter, events(spark, sf_dir), "c", "o", KEYS).select("event_id", "o")
+
+
+@query(f"SELECT event_id, (c + 1) * 2 AS o FROM {E}")
+def q47_drive_wired(spark, sf_dir):
+    return drive_wired(Wire(n.inc, n.double), InlineCarrier(), events(spark, sf_dir), "c", "o").select("event_id", "o")
+
+
 @query(f"SELECT event_id, CAST(sum(c + 1) OVER {W} AS BIGINT) AS o FROM {E}")
 def q45_bounded_pump(spark, sf_dir):
     """Eight files, written one after the other in the order of the rows; one a micro-batch."""

@@ -80,6 +80,19 @@ def drive_link(a: Cell, b: Cell, carrier: Carrier, df: DataFrame, x: str, out: s
     return carrier.link(a, b, df, x, out, drive)
 
 
+def drive_wired(witness: Wire, carrier: Carrier, df: DataFrame, x: str, out: str, drive: Drive = Drive()) -> DataFrame:
+    """drive_link for a wire that has been checked already."""
+    return carrier.link(witness.a, witness.b, df, x, out, drive)
+
+
+def spawned_flow(a: Cell, b: Cell, df: DataFrame, x: str, out: str, keys: list[str], drive: Drive = Drive()) -> DataFrame:
+    """Each message meets b on another executor, with a new state every time."""
+    mid = fresh()
+    Wire(a, b)
+    moved = ChannelCarrier(tuple(keys)).carry(a.apply(df, x, mid, drive))
+    return moved.withColumn(out, b.step(b.initial_column(), F.col(mid))["o"]).drop(mid)
+
+
 def drive_try(a: Cell, b: Cell, df: DataFrame, x: str, out: str, drive: Drive = Drive()) -> DataFrame:
     """Rows whose first step fails keep the error; b neither runs nor moves its state for them."""
     return DriveTry(a, b).apply(df, x, out, drive)

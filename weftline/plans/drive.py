@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ports import let
 from ..operators.cell import Cell, Drive
+from ..operators.contract import Static
 
 
 def drive(cell: Cell, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
@@ -32,6 +33,11 @@ def drive(cell: Cell, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
     return cell.apply(df, x, out, Drive())
 
 
+def run_static(declared: Static, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
+    """One projection inside the JVM; a topology with state is refused."""
+    return drive(declared.check().topology, df, x, out)
+
+
 def drive_seq(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str], how: str = "auto") -> DataFrame:
     """df with ``out``: each row's output, the state carried along each key in the given order."""
     if not cell.stateless and not order:
