@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("c"))
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="weftline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder name below ``spark.checkpoint.dir``.  Only where that is unset, as in a local
+    session, a temporary folder stands in for it."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or _local_root()
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
