@@ -35,15 +35,15 @@ from .units import encoder, in_slices, spaced
 CHECKPOINT_IDS = 256
 
 
-def code_lengths(counts: np.ndarray, max_bits: int = 20) -> np.ndarray:
+def code_lengths(counts: np.ndarray, max_bits: int = 16) -> np.ndarray:
     """Bits for each symbol with a count over 0 (package-merge: the best code within max_bits)."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << max_bits:
-        raise ValueError("more symbols than codes of this length")
+    if len(used) > 1 << max_bits or max_bits > 31:
+        raise ValueError("a code needs from log2(symbols) to 31 bits")
     order = used[np.lexsort((used, counts[used]))]
     w = counts[order].astype(np.int64)
     merged, leaf = w, [np.ones(len(w), bool)]
@@ -79,57 +79,54 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """lengths, codes, and for every window of as many bits as the longest code: symbol, length."""
+def _tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """lengths, codes, and for every window of as many bits as the longest code: symbol << 5 | length."""
     ls = np.frombuffer(lengths, np.uint8)
     codes, most = canonical_codes(ls), int(ls.max(initial=1))
-    symbol, bits = np.zeros(1 << most, np.uint32), np.ones(1 << most, np.uint8)
     order = np.lexsort((np.arange(len(ls)), ls))
     order = order[ls[order] > 0]
     span = np.int64(1) << (most - ls[order].astype(np.int64))
-    total = int(span.sum())
-    symbol[:total], bits[:total] = np.repeat(order, span), np.repeat(ls[order], span)
-    return ls, codes, symbol, bits, most
+    table = np.full(1 << most, 1, np.uint32)
+    table[: int(span.sum())] = np.repeat(order.astype(np.uint32) << np.uint32(5) | ls[order], span)
+    return ls.astype(np.int64), codes, table, most
 
 
 def encode_block(ids: np.ndarray, lengths: bytes) -> tuple[bytes, np.ndarray]:
     """The payload and the bit offset of every CHECKPOINT_IDS-th id."""
     ls, codes, *_ = _tables(lengths)
-    n = ls[ids].astype(np.int64)
+    if not len(ids):
+        return b"", np.zeros(0, np.int64)
+    n = ls[ids]
     ends = np.cumsum(n)
     at = ends - n
-    total = int(ends[-1]) if len(ids) else 0
-    word, room = at >> 5, 64 - (at & 31) - n
-    shifted = codes[ids] << room.astype(np.uint64)
-    words = total // 32 + 2
-    # bits of one word never overlap and a word's sum stays under 2**32, exact in a double
-    out = np.bincount(word, weights=(shifted >> np.uint64(32)).astype(np.float64), minlength=words + 1)
-    out[1 : words + 1] += np.bincount(word, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)[:words]
-    return out[:words].astype(np.uint32).astype(">u4").tobytes(), at[::CHECKPOINT_IDS]
-
-
-def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], n_ids: list[int], lengths: bytes, first: int = CHECKPOINT_IDS) -> list[np.ndarray]:
-    """The ids of each block; all stretches between checkpoints advance together."""
-    *_, symbol, bits, most = _tables(lengths)
-    raw = np.frombuffer(b"".join(payloads) + bytes(16), ">u4").astype(np.uint64)
+    word = at >> 5
+    shifted = codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
+    # codes are shorter than a word: one begins in every word, and one at most reaches into the next
+    out = np.zeros(int(ends[-1]) // 32 + 2, np.uint64)
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    out[word[first]] = np.bitwise_or.reduceat(shifted >> np.uint64(32), first)
+    over = np.flatnonzero((at & 31) + n > 32)
+    out[word[over] + 1] |= shifted[over] & np.uint64(0xFFFFFFFF)
+    return out.astype(">u4").tobytes(), at[::CHECKPOINT_IDS]
+
+
+def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], n_ids: list[int], lengths: bytes, every: int = CHECKPOINT_IDS) -> list[np.ndarray]:
+    """The ids of each block; all stretches between checkpoints advance together.  Stretches that
+    are shorter than the others read on into bits that follow, and what they find there is cut off."""
+    *_, table, most = _tables(lengths)
+    raw = np.frombuffer(b"".join(payloads) + bytes(every * most // 8 + 16), ">u4").astype(np.uint64)
+    window = raw[:-1] << np.uint64(32) | raw[1:]
     start = np.cumsum([0, *(len(p) * 8 for p in payloads)])[:-1]
-    at = np.concatenate([np.asarray(c, np.int64) + s for c, s in zip(checkpoints, start, strict=True)] or [np.zeros(0, np.int64)])
+    at = np.concatenate([np.asarray(c, np.int64) + s for c, s in zip(checkpoints, start, strict=True)] or [np.zeros(0, np.int64)]).astype(np.uint64)
     lanes = np.cumsum([0, *(len(c) for c in checkpoints)])
-    out = np.zeros((len(at), first), np.uint32)
-    left = np.concatenate([np.minimum(first, n - np.arange(len(c)) * first) for c, n in zip(checkpoints, n_ids, strict=True)] or [np.zeros(0, np.int64)])
-    live = np.arange(len(at))
-    for k in range(first):
-        if k and (left[live] <= k).any():
-            live = live[left[live] > k]
-            if not len(live):
-                break
-        p = at[live]
-        w = p >> 5
-        window = ((raw[w] << np.uint64(32)) | raw[w + 1]) >> (64 - most - (p & 31)).astype(np.uint64)
-        window &= np.uint64((1 << most) - 1)
-        out[live, k] = symbol[window]
-        at[live] = p + bits[window]
-    return [out[lanes[i] : lanes[i + 1]].reshape(-1)[:n] for i, n in enumerate(n_ids)]
+    out = np.empty((every, len(at)), np.uint32)
+    room, mask = np.uint64(64 - most), np.uint64((1 << most) - 1)
+    for k in range(every):
+        bits = window[at >> np.uint64(5)] >> (room - (at & np.uint64(31)))
+        found = table[bits & mask]
+        out[k] = found >> np.uint32(5)
+        at += found & np.uint32(31)
+    return [out[:, lanes[i] : lanes[i + 1]].T.reshape(-1)[:n] for i, n in enumerate(n_ids)]
 
 
 def _chunks(path: str, keeps_space: bool, end: int, block_ids: int):
@@ -166,7 +163,7 @@ def _chunks(path: str, keeps_space: bool, end: int, block_ids: int):
     return run
 
 
-def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_id", text: str = "text", block_ids: int = 1 << 16, max_bits: int = 20) -> str:
+def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_id", text: str = "text", block_ids: int = 1 << 16, max_bits: int = 16) -> str:
     """Encode every whole text, append ``end``, and write the file set ``out``."""
     spark = df.sparkSession
     keeps_space, vocab, id_type = spaced(tokenizer), _vocab(tokenizer, end), df.schema[id].dataType.simpleString()
@@ -191,8 +188,8 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
         counts[i] = n
     parts = sorted(staged.select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n")).collect())
     starts = dict(zip([p for p, _ in parts], np.cumsum([0, *(n for _, n in parts)]).tolist(), strict=False))
-    lengths = code_lengths(counts, max_bits).tobytes()
     used = np.flatnonzero(counts)
+    lengths = code_lengths(counts, max(max_bits, len(used).bit_length())).tobytes()
     spark.createDataFrame([(int(i), int(counts[i]), lengths[i]) for i in used], "id int, n bigint, length int").coalesce(1).write.mode("overwrite").parquet(f"{out}/code")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,20 @@
 """Whole-text encoding with a public tokenizer, one distinct unit of text at a time.
 
 The pre-tokenizers of the vocabularies used here never let a token span a visible character and
-the white space after it, nor a plain letter and the punctuation after it.  Cutting there therefore
+the white space after it, nor a plain letter and the punctuation (but for an apostrophe) after it.  Cutting there therefore
 changes no id: a text's ids are the ids of its units, one after the other.  Each distinct unit is
-encoded by the tokenizers library once and remembered, in a memory of bounded size.  Texts with
-white space outside ASCII are encoded whole.  The tests compare with whole-text encoding.
+encoded by the tokenizers library once and remembered, in a memory of bounded size; a unit of plain
+letters is one pre-token and goes to the library's model directly.  Texts with white space outside
+ASCII are encoded whole.  The tests compare with whole-text encoding.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,49 +22,88 @@ from tokenizers import Tokenizer
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _ASCII = r" \n\t\r\f\v"
-#: byte_bpe: white space belongs to what follows it, a single line feed stands alone.
-SPACED = re.compile(rf"\n(?=[^{_ASCII}])|[{_ASCII}]*(?:[{_LETTERS}]+(?=[.,;:!?{_ASCII}])|[^{_ASCII}]+)|[{_ASCII}]+")
-#: word_bpe: white space is dropped.
-BARE = re.compile(rf"[{_LETTERS}]+(?=[.,;:!?{_ASCII}])|[^{_ASCII}]+")
+#: Where white space is kept it belongs to what follows it, and a single line feed stands alone.
+SPACED = re.compile(rf"\n(?=[^{_ASCII}])|[{_ASCII}]*[^{_ASCII}]+|[{_ASCII}]+")
+#: Plain letters, then ASCII punctuation; an apostrophe may begin a contraction and is left out.
+WORD = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+_ODD_ASCII = ("\t", "\r", "\f", "\v", "  ", " \n", "\n ", "\n\n")
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write a byte: as itself where Latin-1 shows it, else past 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Memory(dict):
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.make(unit)
+        if len(self) >= self.most:
+            self.clear()
+        self[unit] = ids
+        return ids
+
+
 class UnitEncoder:
-    def __init__(self, path: str, unit: re.Pattern, most: int = 400_000):
+    def __init__(self, path: str, spaced: bool, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.unit, self.most, self.memory = unit, most, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+        self.spaced, self.letters = spaced, byte_letters()
+        self.first = _Memory(lambda u: self._unit("", u, self.first), most // 8 if spaced else most)
+        self.rest = _Memory(lambda u: self._unit(" ", u, self.rest), most)
+
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def pack(self, ids: list[int]) -> bytes:
+        if sys.byteorder == "little":
+            return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+        return np.array(ids, self.dtype).tobytes()
+
+    def _unit(self, lead: str, unit: str, memory: _Memory) -> bytes:
+        m = WORD.fullmatch(unit)
+        if not m:
+            return self.whole(lead + unit)
+        if m[2]:
+            return memory[m[1]] + self.first[m[2]]
+        text = lead + (unit if self.spaced else unit.lower())
+        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return self.pack([t.id for t in tokens])
+
+    def _parts(self, text: str) -> list[bytes]:
+        if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [self.whole(text)]
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        if not self.spaced:
+            return list(map(first, text.split()))
+        if text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD_ASCII):
+            return list(map(first, SPACED.findall(text)))
+        parts, feed = [], first("\n")
+        for line in text.split("\n"):
+            words = line.split(" ")
+            parts.append(first(words[0]))
+            parts += map(rest, words[1:])
+            parts.append(feed)
+        return parts[:-1]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text, then ``end``, as little-endian integers of ``dtype``."""
-        parts = [None if t and not t.isascii() and _OTHER_SPACE.search(t) else self.unit.findall(t or "") for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                new.update(p)
-        memory = self.memory
-        missing = [u for u in new if u not in memory]
-        if len(memory) + len(missing) > self.most:
-            # start anew with what these texts need
-            self.memory = memory = {u: memory[u] for u in new if u in memory}
-        memory.update(zip(missing, self._ids(missing), strict=True))
         tail = np.array([end], self.dtype).tobytes()
-        whole = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [(next(whole) if p is None else b"".join(map(memory.__getitem__, p))) + tail for p in parts]
+        return [b"".join(self._parts(t)) + tail if t else tail for t in texts]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaced: bool) -> UnitEncoder:
     """The worker's own; it lives as long as the worker."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return UnitEncoder(path, SPACED if spaced else BARE)
+    return UnitEncoder(path, spaced)
 
 
 def spaced(path: str) -> bool:
