@@ -73,6 +73,24 @@ def test_attribute(sizes, spans):
     assert n.tolist() == want
 
 
+def test_units_and_whole_spans_agree(small):
+    """Borders anywhere, in any text."""
+    import random
+
+    from weftline.llm.units import encoder
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    rng, alphabet = random.Random(4), "ab C.,;:!?'é ÀŸ\n\n  \t1#$\u00a0\u0301你"
+    texts = [r[0] for r in small.select("text").limit(60).collect()] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(1000)]
+    for text in map(str, texts):
+        spans = np.array(t.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        borders = np.array([0, *sorted(rng.randint(0, len(text)) for _ in range(3)), len(text)])
+        for rule in tc.RULES:
+            want, got = tc.attribute(spans[:, 0], spans[:, 1], borders, rule), tc.count_fields(encoder(PATH, True), text, borders, rule)
+            assert all(map(np.array_equal, want, got))
+
+
 def test_odd_and_empty(odd, none):
     rows = tc.field_token_counts(odd, tc.document_fields(), PATH).collect()
     assert len(rows) == 4 * odd.count()

@@ -1,8 +1,8 @@
 """Token counts of the fields and sections of a document, by offsets.
 
-A document's fields are laid out as one text, which is encoded once, whole; every token comes back
-with its character span.  The spans are joined to the fields' spans as intervals, and a token that
-lies across a border is given to one field by an explicit rule:
+A document's fields are laid out as one text, which is encoded once, whole (units.py).  The character
+spans of its tokens are joined to the fields' spans as intervals, and a token that lies across a
+border is given to one field by an explicit rule:
 
 ``most``   the field that holds most of its characters, the earlier one in a tie
 ``start``  the field of its first character
@@ -18,30 +18,17 @@ here join a space to the word that follows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import in_slices
+from .units import UnitEncoder, encoder, in_slices, spaced
 
 RULES = ("most", "start")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
 def attribute(starts: np.ndarray, ends: np.ndarray, borders: np.ndarray, rule: str = "most") -> tuple[np.ndarray, np.ndarray]:
     """starts, ends: the tokens' spans, ascending.  borders: n + 1 ascending ends of n adjacent
     fields.  Tokens, and crossing tokens, of each field."""
@@ -58,28 +45,47 @@ def attribute(starts: np.ndarray, ends: np.ndarray, borders: np.ndarray, rule: s
     return np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n)
 
 
+def count_fields(enc: UnitEncoder, text: str, borders: np.ndarray, rule: str = "most") -> tuple[np.ndarray, np.ndarray]:
+    """Tokens, and crossing tokens, of the fields of a text.  A unit of text within one field gives
+    it all its tokens; the tokens of a unit across a border are joined one by one."""
+    fields = len(borders) - 1
+    if not text:
+        return np.zeros(fields, np.int64), np.zeros(fields, np.int64)
+    sizes, n = enc.units(text)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    owner = np.clip(np.searchsorted(borders, starts, "right") - 1, 0, fields - 1)
+    across = ends > borders[owner + 1]
+    tokens, crossing = np.bincount(owner[~across], weights=n[~across], minlength=fields).astype(np.int64), np.zeros(fields, np.int64)
+    for s, e in zip(starts[across].tolist(), ends[across].tolist(), strict=True):
+        span = np.array(enc.tokenizer.encode(text[s:e], add_special_tokens=False).offsets, np.int64).reshape(-1, 2) + s
+        t, c = attribute(span[:, 0], span[:, 1], borders, rule)
+        tokens, crossing = tokens + t, crossing + c
+    return tokens, crossing
+
+
 def field_token_counts(df: DataFrame, fields: dict[str, F.Column], tokenizer: str, id: str = "doc_id", separator: str = " ", rule: str = "most") -> DataFrame:
     """One row for each row of df and field: doc_id, field_no, field, char_start, char_end,
     n_tokens, crossing.  fields: name -> string expression over df, in text order."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
+    if not spaced(tokenizer):
+        raise ValueError("spans need a vocabulary that keeps the text as it is")
     names, id_type = list(fields), df.schema[id].dataType.simpleString()
     slim = df.select(F.col(id).alias("id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(f"f{i}") for i, c in enumerate(fields.values())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
+        enc = encoder(tokenizer, True)
         for b in batches:
             values = list(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True))
             whole = [separator.join(v) for v in values]
-            for lo, hi in in_slices(whole, 500_000):
+            for lo, hi in in_slices(whole):
                 tokens, crossing, begin, end = [], [], [], []
-                encoded = tok.encode_batch(whole[lo:hi], add_special_tokens=False)
-                for v, e in zip(values[lo:hi], encoded, strict=True):
+                for v, text in zip(values[lo:hi], whole[lo:hi], strict=True):
                     size = np.array([len(x) for x in v]) + len(separator)
                     size[0] -= len(separator)
                     borders = np.r_[0, np.cumsum(size)]
-                    span = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    n, c = attribute(span[:, 0], span[:, 1], borders, rule)
+                    n, c = count_fields(enc, text, borders, rule)
                     tokens.append(n), crossing.append(c), begin.append(borders[:-1]), end.append(borders[1:])
                 k = len(names)
                 cols = [pa.array(np.concatenate(x), pa.int64()) for x in (begin, end, tokens, crossing)]

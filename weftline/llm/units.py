@@ -93,6 +93,29 @@ class UnitEncoder:
             parts.append(feed)
         return parts[:-1]
 
+    def units(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The characters and the tokens of each unit, in text order; white space must be kept."""
+        if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            parts, sizes = [self.whole(text)], np.array([len(text)])
+        elif text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD_ASCII):
+            words = SPACED.findall(text)
+            parts, sizes = list(map(self.first.__getitem__, words)), np.fromiter(map(len, words), np.int64, len(words))
+        else:
+            parts, lengths, bare, feed, rest = [], [], [], self.first["\n"], self.rest.__getitem__
+            for line in text.split("\n"):
+                words = line.split(" ")
+                bare.append(len(parts))
+                parts.append(self.first[words[0]])
+                parts += map(rest, words[1:])
+                parts.append(feed)
+                lengths += map(len, words)
+                lengths.append(0)
+            parts.pop()
+            # a space comes before every word but the first of a line, and a line feed is one character
+            sizes = np.array(lengths[:-1], np.int64) + 1
+            sizes[bare] -= 1
+        return sizes, np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text, then ``end``, as little-endian integers of ``dtype``."""
         tail = np.array([end], self.dtype).tobytes()
