@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ports import choice_type, let, pair_type, result_type
-from .cell import UNIT, Cell, Drive, PortMismatch, fresh, so
+from .cell import UNIT, Cell, Drive, PortMismatch, Stateless, fresh, so
 
 
 def same_type(a: T.DataType, b: T.DataType) -> bool:
@@ -140,9 +140,24 @@ class Broadcast(_Composite):
         return self._py_pack(s0, s1, s2), (a, b)
 
 
-def diamond(src: Cell, r1: Cell, r2: Cell, dst: Cell) -> Cell:
+class Diamond(Chain):
     """Split and merge: dst takes the pair.  One cell; no join and no second scan."""
-    return Chain(Broadcast(src, r1, r2), dst)
+
+    def __init__(self, src: Cell, r1: Cell, r2: Cell, dst: Cell):
+        super().__init__(Broadcast(src, r1, r2), dst)
+
+    def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        fan, dst = self.parts.values()
+        if not isinstance(dst, Stateless):
+            return super().apply(df, x, out, drive)
+        # the pair stays within one expression, where it costs nothing
+        mid, a, b = fresh(), fresh(), fresh()
+        src, r1, r2 = fan.parts.values()
+        df = r2.apply(r1.apply(src.apply(df, x, mid, drive), mid, a, drive), mid, b, drive)
+        return df.withColumn(out, drive.seen(dst.fn(F.struct(F.col(a).alias("_1"), F.col(b).alias("_2"))))).drop(mid, a, b)
+
+
+diamond = Diamond
 
 
 class Merge(_Composite):
