@@ -16,6 +16,12 @@ def test_main_text():
     assert ss.main_text("plain <b>te</b>xt") == "plain text"
     assert ss.main_text(page("<header>H</header><div class=sidebar>S</div><div><p>A<p>B<ul><li>c<li>d</ul></div><div class='cookie-notice'>C</div>")) == "A B c d"
     assert ss.main_text("<article>a <3 b</article>") == "a <3 b"
+    wrapped = "<div class='page with-sidebar'>{}<div id=sideBar>S</div></div>"
+    assert ss.main_text(wrapped.format("<article class='post has-comments'><p>A</p></article>")) == "A"
+    assert ss.main_text(wrapped.format("<p>A</p>")) == "A"
+    # a wrapper that is named as noise does not hide the only article; teasers beside one stay out
+    assert ss.main_text("<div class=widget><main><p>A</p><nav>n</nav></main></div><p>out</p>") == "A"
+    assert ss.main_text("<article><p>A</p></article><div class=related><article>B</article></div>") == "A"
     assert ss.main_text("<script>never closed <p>x") == ""
 
 

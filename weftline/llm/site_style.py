@@ -12,7 +12,8 @@ its branch.  Branches under ``threshold`` that at least ``min_pages`` pages have
 hold ``main_share`` or more of the host's characters.  A prior from the element says more where a host
 has too few pages: elements and class or id words that name menus, headers, footers, sidebars,
 notices, adverts, forms and comments are removed, and where a page has ``article`` or ``main``, only
-what is inside them stays (their own ``header`` too).
+what is inside them stays (their own ``header`` too), even within an element named as noise if no other
+article is there.
 
 Both entropies come from sums by (host, node, text) and (host, node, style), combined before the
 shuffle, so a host with any share of the pages is summed in parts.
@@ -54,6 +55,7 @@ BREAKS = frozenset(("br", "hr", "img", "input", "wbr"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset(("ul", "ol", "dl", "table", "menu", "select", "body", "html"))
+SAYS = frozenset("with without has have no not is show hide".split())
 NOISE_TAGS = frozenset("nav footer aside form head button fieldset dialog menu label option legend".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside rail related recommended trending widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow form search comment comments disqus replies respond discussion feedback skip toolbar contentinfo complementary".split()
@@ -61,12 +63,14 @@ NOISE_NAMES = frozenset(
 
 
 class Page:
-    """blocks: (path, text) in page order.  A path is a tuple of style names."""
+    """blocks: (path, text) in page order.  A path is a tuple of style names.  articles: paths of
+    articles in plain sight.  hidden: paths that hold articles within elements named as noise."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[tuple[str, ...], str]] = []
         self.styles: dict[tuple[str, ...], list[str]] = {}
-        self.has_article = False
+        self.articles: set[tuple[str, ...]] = set()
+        self.hidden: set[tuple[str, ...]] = set()
         if html:
             self._parse(html)
 
@@ -117,17 +121,31 @@ class Page:
                 if tags[n] in CLOSES.get(tag, ()):
                     pop(n)
                     break
-            words = [w for x in NAMES.findall(m[4] or m[7] or "") for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(x)).lower())]
-            style = ".".join((tag, *dict.fromkeys(words)))
+            style = ".".join((tag, *dict.fromkeys(_words(m[4] or m[7] or ""))))
             self.styles.setdefault(path, []).append(style)
-            self.has_article |= tag in ("article", "main") and not noisy(style, path)
-            path = (*path, style)
+            above, path = path, (*path, style)
+            if tag in ("article", "main") and not noisy(style, above):
+                if any(noisy(x, above[:k]) for k, x in enumerate(above)):
+                    self.hidden.update(path[:k] for k in range(1, len(path) + 1))
+                else:
+                    self.articles.add(path)
             tags.append(tag)
             paths.append(path)
         buffer.append(html[at:])
         flush()
 
 
+def _words(attributes: str) -> list[str]:
+    """The words of class, id and role, but for names that say what an element has or lacks."""
+    out = []
+    for x in NAMES.findall(attributes):
+        for name in "".join(x).split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if words and words[0] not in SAYS:
+                out += [*words, "".join(words)]  # side-bar is a sidebar
+    return out
+
+
 def noisy(style: str, above: tuple[str, ...]) -> bool:
     """Whether an element says by itself that it isn't text."""
     tag, *words = style.split(".")
@@ -177,17 +195,20 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html", gamma: fl
     seen = slim.mapInArrow(observe, "host string, path string, kind int, feature bigint, pages bigint, times bigint, clnc double, chars bigint")
     seen = written(seen.groupBy("host", "path", "kind", "feature").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "clnc", "chars"))))
     nodes = seen.where("kind = 2").select("host", "path", F.col("pages").alias("m"))
-    base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-    # entropy of a text over the pages that have it, in logarithms to the node's pages
-    text = seen.where("kind = 1").join(nodes, ["host", "path"]).withColumn("entropy", (F.log(F.col("times").cast("double")) - F.col("clnc") / F.col("times")) / base)
+    ln = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
+    # The entropy of a text with T times and S = sum of c ln c is (ln T - S / T) / ln m, that of a node's
+    # styles (ln m - sum of c ln c / m) / ln m: both are sums first, and only sums meet the node's m.
+    times = F.col("times").cast("double")
+    text = seen.where("kind = 1").groupBy("host", "path").agg(F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum(times * F.log(times) - F.col("clnc")).alias("spread"))
+    text = text.join(nodes, ["host", "path"]).withColumn("new", F.col("times") - F.col("spread") / ln)
     steps = F.split("path", "/")
-    text = text.groupBy("host", "path").agg(F.sum(F.col("times") * (1 - F.col("entropy"))).alias("new"), F.sum("times").alias("times"), F.sum("chars").alias("chars"))
     branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
     content = text.select("host", branch.alias("path"), "new", "times", "chars").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("new", "times", "chars")))
-    p = F.col("pages") / F.col("m")
-    style = seen.where("kind = 0").join(nodes, ["host", "path"]).groupBy("host", "path").agg(F.sum(-p * F.log(p) / base).alias("presentation"))
+    pages_ = F.col("pages").cast("double")
+    style = seen.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("c"), F.sum(pages_ * F.log(pages_)).alias("clnc"))
     out = content.join(nodes, ["host", "path"]).join(style, ["host", "path"], "left")
-    varied = F.when(F.col("m") == 1, 1.0).otherwise(F.coalesce("presentation", F.lit(0.0)))
+    presentation = (F.col("c") * F.log(F.col("m").cast("double")) - F.col("clnc")) / F.col("m") / ln
+    varied = F.when(F.col("m") == 1, 1.0).otherwise(F.coalesce(presentation, F.lit(0.0)))
     return out.select("host", "path", F.col("m").alias("pages"), "chars", ((1 - gamma) * varied + gamma * F.col("new") / F.col("times")).alias("importance"))
 
 
@@ -200,13 +221,17 @@ def unimportant(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, mai
 
 def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
     page, keep = Page(html), []
+    # articles that only elements named as noise hold are what the page has
+    shown = set() if page.articles else page.hidden
+    articles = page.articles or {p for p in page.hidden if p[-1].split(".")[0] in ("article", "main")}
     judged: dict[tuple[str, ...], bool] = {}
     for path, text in page.blocks:
         ok = judged.get(path)
         if ok is None:
-            ok = not any(noisy(s, path[:k]) or "/".join(path[: k + 1]) in low for k, s in enumerate(path))
-            if ok and page.has_article:
-                ok = any(s.split(".")[0] in ("article", "main") for s in path)
+            ups = [path[: k + 1] for k in range(len(path))]
+            ok = not any((noisy(p[-1], p[:-1]) and p not in shown) or "/".join(p) in low for p in ups)
+            if ok and articles:
+                ok = any(p in articles for p in ups)
             judged[path] = ok
         if ok:
             keep.append(text)
