@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Minima are taken with partial sums and joined back, so a vertex with very many edges is never one
-task's work; every round is written to the shared folder.
+Minima are taken with partial aggregation, written, and joined back as a table: a join of two plain
+tables is one whose large partitions Spark splits, so a vertex with very many edges is never one task's
+work.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from .common import written
 
 def _star(e: DataFrame) -> DataFrame:
     """e: (u, v) in both directions.  Each v above u moves to the least of u and its neighbours."""
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return e.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
@@ -26,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         large = _star(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         # small star: u and its lower neighbours move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

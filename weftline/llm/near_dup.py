@@ -201,6 +201,7 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
 
     marks = classes.select("cid", F.posexplode("bands").alias("band", "hash"))
     buckets = marks.groupBy("band", "hash").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1").drop("in_bucket")
+    buckets = written(buckets)  # as a table, so that Spark can split a bucket with very many rows in the join
     tied = marks.join(buckets, ["band", "hash"]).where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")).distinct()
     clusters = written(components(tied))
 
