@@ -15,7 +15,7 @@ where all unknown words are one type whose share u is that of words seen once (G
 What is broadcast has a bound: the words' filter must stay under ``max_bytes`` (checked, an error
 otherwise) and the pairs' filter is dealt into shards of at most ``max_bytes``; with more than one
 shard the documents are scanned once a shard and each token is scored in the shard of its pair.
-The exact counts of the ``hot_words`` most frequent words are broadcast (16 bytes each) for the
+The exact counts of the most frequent words, ``hot_words`` at most, are broadcast (16 bytes each) for the
 base score; counts of the other words are joined.
 
 Tokens: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``, then one end, which also stands before the first
@@ -26,17 +26,19 @@ token as unknown.  Words go by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
-from .units import in_slices
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 HASHES = 7
@@ -73,12 +75,17 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def _positions(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int):
+def _blocks(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bit of an entry's block of 512 bits (a cache line), and a hash that names the bits
+    in it, 9 of its own for each."""
     with np.errstate(over="ignore"):
         h = mixed(keys + np.asarray(level, np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        g = (h >> np.uint64(32)) | np.uint64(1)
-        for i in range(HASHES):
-            yield (((h + np.uint64(i) * g) & np.uint64(0xFFFFFFFF)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64)
+    blocks = np.asarray(size, np.uint64) >> np.uint64(9)
+    return ((h >> np.uint64(32)) * blocks >> np.uint64(32) << np.uint64(9)).astype(np.int64), mixed(h)
+
+
+def _bit(start: np.ndarray, h: np.ndarray, i: int) -> np.ndarray:
+    return start + (h >> np.uint64(9 * i) & np.uint64(511)).astype(np.int64)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
@@ -88,12 +95,13 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     total, k = np.add.reduceat(counts[order], first), k[first]
     q = np.searchsorted(LEVELS, total, "right")
-    size = max(64, int(q.sum()) * BITS)
+    size = 512 * max(1, -(-int(q.sum()) * BITS // 512))
     bits = np.zeros(size, bool)
     for level in range(1, int(q.max()) + 1):
         here = k[q >= level]
-        for p in _positions(here, level, size):
-            bits[p] = True
+        block, h = _blocks(here, level, size)
+        for i in range(HASHES):
+            bits[_bit(block, h, i)] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -121,17 +129,20 @@ class Filter:
         raw = np.frombuffer(self.bits, np.uint8)
         seg = segment_of(keys, self.segments) - self.first
         size, start = self.sizes[seg], self.starts[seg]
-        level = 0
+        level, keys = 0, keys.astype(np.uint64, copy=False)
         while len(live):
             level += 1
-            at, k, sz, st = np.arange(len(live)), keys[live], size[live], start[live]
-            # positions are computed for the keys still standing only
-            for i, p in enumerate(_positions(k, level, sz)):
-                q = p[at] + st[at]
-                at = at[(raw[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1]
-                if not len(at) or i == HASHES - 1:
-                    break
-            live = live[at]
+            block, h = _blocks(keys, level, size)
+            block += start
+            at = np.arange(len(live))
+            for i in range(HASHES):
+                q = _bit(block, h, i)
+                hit = (raw[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    at, block, h = at[hit], block[hit], h[hit]
+                    if not len(at):
+                        break
+            live, keys, size, start = live[at], keys[at], size[at], start[at]
             out[live] = level
         return out
 
@@ -140,14 +151,16 @@ class Tokens:
     """The tokens of some texts: distinct words get small numbers; number 0 is the end."""
 
     def __init__(self, texts: list[bytes]):
-        ids: dict[bytes, int] = {b" ": 0}
+        ids: dict[bytes, int] = defaultdict(count().__next__)
+        number = ids.__getitem__
+        number(b" ")
         split = [t.lower().split() for t in texts]
         self.n = np.array([len(w) + 1 for w in split], np.int64)
         flat = np.zeros(int(self.n.sum()) + 1, np.int64)
         self.ends = np.cumsum(self.n)
         at = 1
         for words in split:
-            flat[at : at + len(words)] = [ids.setdefault(w, len(ids)) for w in words]
+            flat[at : at + len(words)] = list(map(number, words))
             at += len(words) + 1
         # each text is preceded by an end: that of the text before, or the first
         self.word, self.before = flat[1:], flat[:-1]
@@ -160,22 +173,28 @@ class Tokens:
         return pair_keys(self.keys[code // n], self.keys[code % n]), inverse
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, weight: int = 4_000_000):
+def _slices(batches: Iterator[pa.RecordBatch], column: int, weight: int):
+    """Parts of the batches with about so many bytes of text, each with its tokens."""
     for b in batches:
-        texts = b.column(column).to_pylist()
-        for lo, hi in in_slices(texts, weight):
-            yield b.slice(lo, hi - lo), Tokens(texts[lo:hi])
+        ends = np.cumsum(np.asarray(pc.binary_length(b.column(column)), np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = min(b.num_rows, int(np.searchsorted(ends, before + weight)) + 1)
+            part = b.slice(lo, hi - lo)
+            yield part, Tokens(part.column(column).to_pylist())
+            lo = hi
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, t in _slices(batches, 0):
+    for _, t in _slices(batches, 0, 2_000_000):
         n = np.bincount(t.word, minlength=len(t.keys))
         yield pa.RecordBatch.from_arrays([pa.array(t.keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
 
 def _counter(segments: int):
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _slices(batches, 0):
+        for _, t in _slices(batches, 0, 2_000_000):
             keys, at = t.pairs()
             n = np.bincount(at, minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["seg", "key", "n"])
@@ -191,7 +210,7 @@ def _build(t: pa.Table) -> pa.Table:
 class Model:
     """Trained counts: the filters' segments stay in the shared folder until they are broadcast."""
 
-    def __init__(self, training: DataFrame, text: str = "text", mu: float = 10.0, max_bytes: int = 96 << 20, hot_words: int = 1_000_000, segment_tokens: int = 2_000_000):
+    def __init__(self, training: DataFrame, text: str = "text", mu: float = 10.0, max_bytes: int = 40 << 20, hot_words: int = 500_000, segment_tokens: int = 1_000_000):
         self.mu, self.max_bytes = mu, max_bytes
         texts = training.select(text_or_empty(text).cast("binary").alias("text"))
         self.vocabulary = written(texts.mapInArrow(_count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
@@ -206,8 +225,10 @@ class Model:
             raise ValueError(f"the words' filter is over max_bytes={max_bytes}")
         pairs = texts.mapInArrow(_counter(segments), "seg int, key bigint, n int")
         self.pairs = self._shards(written(pairs.groupBy("seg").applyInArrow(_build, schema)), segments)
-        # as many rows as hot_words at most
-        self.hot = self.vocabulary.orderBy(F.desc("n"), "key").limit(hot_words)
+        # the words from the least count on that leaves hot_words of them at most
+        down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)  # a row a count: under sqrt(2 N) rows
+        by_count = self.vocabulary.groupBy("n").count().withColumn("words", F.sum("count").over(down)).where(F.col("words") <= hot_words)
+        self.hot = self.vocabulary.where(F.col("n") >= F.lit(by_count.agg(F.min("n")).first()[0]))
         self.unknown = min(0.5, max(self.once / self.tokens if self.tokens else 0.5, 1e-9))
 
     def _shards(self, table: DataFrame, segments: int) -> list[tuple[DataFrame, int, int, int]]:
@@ -215,7 +236,7 @@ class Model:
         sizes = dict(table.select("seg", F.length("bits")).collect())  # two numbers a segment
         out, first, held = [], 0, 0
         for s in range(segments):
-            n = sizes.get(s, 8)
+            n = sizes.get(s, 64)
             if n > self.max_bytes:
                 raise ValueError("a segment is over max_bytes: lower segment_tokens")
             if held + n > self.max_bytes:
@@ -227,10 +248,10 @@ class Model:
     @staticmethod
     def load(shard: tuple[DataFrame, int, int, int]) -> Filter:
         table, segments, first, last = shard
-        got = {r[0]: r for r in table.where(F.col("seg").between(first, last - 1)).collect()}
-        empty = (0, 64, bytes(8))
-        rows = [got.get(s, empty) for s in range(first, last)]
-        return Filter(segments, first, [r[1] for r in rows], [bytes(r[2]) for r in rows])
+        got = table.where(F.col("seg").between(first, last - 1)).toArrow()
+        at = {s: i for i, s in enumerate(got["seg"].to_pylist())}
+        sizes = [got["size"][at[s]].as_py() if s in at else 512 for s in range(first, last)]
+        return Filter(segments, first, sizes, [got["bits"][at[s]].as_py() if s in at else bytes(64) for s in range(first, last)])
 
 
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,9 +259,8 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -
     spark, mu, u, total = df.sparkSession, model.mu, model.unknown, model.tokens
     id_type = df.schema[id].dataType.simpleString()
     slim = df.select(F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text"))
-    hot = model.hot.toPandas() if total else None
-    hot_keys = np.zeros(0, np.uint64) if hot is None else hot["key"].to_numpy().astype(np.int64).view(np.uint64)
-    hot_n = np.zeros(0, np.int64) if hot is None else hot["n"].to_numpy().astype(np.int64)
+    hot = model.hot.toArrow()
+    hot_keys, hot_n = np.asarray(hot["key"]).astype(np.int64).view(np.uint64), np.asarray(hot["n"]).astype(np.int64)
     by = np.argsort(hot_keys)
     words = spark.sparkContext.broadcast((model.load(model.words[0]), hot_keys[by], hot_n[by]))
     complete = model.distinct <= len(hot_keys)
