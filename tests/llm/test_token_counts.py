@@ -14,7 +14,7 @@ def brute(values, rule="most"):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     values = [v or "" for v in values]
-    text, ends, at = " ".join(values), [], 0
+    text, ends, at = "\n".join(values), [], 0
     for i, v in enumerate(values):
         at += len(v) + (i > 0)
         ends.append(at)
@@ -36,8 +36,8 @@ def by_doc(rows):
 
 
 def fields(r):
-    head, feed, tail = (r["text"] or "").partition("\n")
-    return [r["source"], r["lang"], head + feed, tail]
+    head, _, tail = (r["text"] or "").partition("\n")
+    return [r["source"], r["lang"], head, tail]
 
 
 def test_query(spark, sf_dir, small):

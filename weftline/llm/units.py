@@ -56,7 +56,7 @@ class UnitEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced, self.letters = spaced, byte_letters()
-        self.first = _Memory(lambda u: self._unit("", u, self.first), most // 8 if spaced else most)
+        self.first = _Memory(lambda u: self._unit("", u, self.first), most // 4 if spaced else most)
         self.rest = _Memory(lambda u: self._unit(" ", u, self.rest), most)
 
     def whole(self, text: str) -> bytes:
