@@ -59,6 +59,17 @@ def test_shards_and_joined_counts_change_nothing(small):
     assert abs(a - b) < 0.02 * abs(a)
 
 
+def test_words_in_shards(small):
+    """A words' filter over one shard changes nothing: the pairs are in the same segments."""
+    held, least = lm.Model(small, segment_tokens=2_000, hot_words=50), 4_000
+    many = lm.Model(small, segment_tokens=2_000, hot_words=50, max_bytes=least)
+    assert len(held.words) == 1 and len(many.words) > 1 and len(many.pairs) > 1
+    many.pairs = held.pairs  # one pass over the pairs
+    one, got = (sorted(map(tuple, lm.score(small, m).drop("rid").collect())) for m in (held, many))
+    for a, b in zip(one, got, strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and abs(a[4] - b[4]) < 1e-6
+
+
 def test_filter_holds_levels():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)

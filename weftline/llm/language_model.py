@@ -12,9 +12,10 @@ Probabilities of word w after v, from probed counts c:
 
 where all unknown words are one type whose share u is that of words seen once (Good-Turing).
 
-What is broadcast has a bound: the words' filter must stay under ``max_bytes`` (checked, an error
-otherwise) and the pairs' filter is dealt into shards of at most ``max_bytes``; with more than one
-shard the documents are scanned once a shard and each token is scored in the shard of its pair.
+What is broadcast has a bound: both filters are dealt into shards of at most ``max_bytes``.  With more
+than one shard of pairs the documents are scanned once a shard and each token is scored in the shard
+of its pair.  With more than one shard of words they are first scanned once a shard of words, each time
+written again with the levels found so far, a byte a token.
 The exact counts of the most frequent words, ``hot_words`` at most, are broadcast (16 bytes each) for the
 base score; counts of the other words are joined.
 
@@ -221,8 +222,6 @@ class Model:
         words = self.vocabulary.select(seg.alias("seg"), "key", F.col("n").cast("bigint").alias("n"))
         schema = "seg int, size bigint, bits binary"
         self.words = self._shards(written(words.groupBy("seg").applyInArrow(_build, schema)), segments)
-        if len(self.words) > 1:
-            raise ValueError(f"the words' filter is over max_bytes={max_bytes}")
         pairs = texts.mapInArrow(_counter(segments), "seg int, key bigint, n int")
         self.pairs = self._shards(written(pairs.groupBy("seg").applyInArrow(_build, schema)), segments)
         # the words from the least count on that leaves hot_words of them at most
@@ -254,6 +253,34 @@ class Model:
         return Filter(segments, first, sizes, [got["bits"][at[s]].as_py() if s in at else bytes(64) for s in range(first, last)])
 
 
+def _found(b: pa.RecordBatch, t: Tokens) -> np.ndarray:
+    """The levels of the distinct words, from the bytes of the tokens in column 2."""
+    out = np.zeros(len(t.keys), np.uint8)
+    out[t.word] = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8)
+    return out
+
+
+def with_levels(slim: DataFrame, model: Model) -> DataFrame:
+    """(id, text, levels): each token's word level as a byte, by one pass a shard of words."""
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, text binary, levels binary"
+    for k, shard in enumerate(model.words):
+        held = slim.sparkSession.sparkContext.broadcast(model.load(shard))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=k == 0) -> Iterator[pa.RecordBatch]:
+            words = held.value
+            for b, t in _slices(batches, 1, 1_000_000):
+                levels = np.zeros(len(t.keys), np.uint8) if first else _found(b, t)
+                mine = words.mine(t.keys)
+                levels[mine] = words.levels(t.keys[mine])
+                ends = pa.py_buffer(np.r_[0, t.ends].astype(np.int32))
+                made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(levels[t.word])])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["id", "text", "levels"])
+
+        slim = written(slim.mapInArrow(run, schema))
+        held.unpersist()
+    return slim
+
+
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, doc_id, n_tokens, n_known, base_score, score) of each row of df; rid numbers the rows."""
     spark, mu, u, total = df.sparkSession, model.mu, model.unknown, model.tokens
@@ -262,7 +289,10 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -
     hot = model.hot.toArrow()
     hot_keys, hot_n = np.asarray(hot["key"]).astype(np.int64).view(np.uint64), np.asarray(hot["n"]).astype(np.int64)
     by = np.argsort(hot_keys)
-    words = spark.sparkContext.broadcast((model.load(model.words[0]), hot_keys[by], hot_n[by]))
+    sharded = len(model.words) > 1
+    if sharded:
+        slim = with_levels(slim, model)
+    words = spark.sparkContext.broadcast((None if sharded else model.load(model.words[0]), hot_keys[by], hot_n[by]))
     complete = model.distinct <= len(hot_keys)
     log_all = np.log10(total + model.distinct + 1)
 
@@ -271,7 +301,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -
             (unigrams, hk, hn), bigrams = words.value, pairs.value
             row = TaskContext.get().partitionId() << 40
             for b, t in _slices(batches, 1, 1_000_000):
-                known = VALUES[unigrams.levels(t.keys)]
+                known = VALUES[_found(b, t) if unigrams is None else unigrams.levels(t.keys)]
                 p1 = np.where(known > 0, (1 - u) * known / max(total, 1), u)
                 keys, at = t.pairs()
                 mine = bigrams.mine(keys)
