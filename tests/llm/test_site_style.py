@@ -69,3 +69,20 @@ def test_odd_and_empty(spark):
     got = sorted((str(r["page_id"]), r["text"][:3], r["n_chars"]) for r in ss.extract(df).collect())
     assert got == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("3", "y y", 99_999), ("None", "x", 1)]
     assert ss.extract(df.limit(0)).count() == 0
+
+
+def test_names_do_not_take_the_text():
+    body = "The article itself, which is longer than all that stands around it. " * 3
+    assert ss.main_text(page(f"<form><div class=nav>Menu</div><p>{body}</p></form>")) == body.strip()
+    assert ss.main_text(page("<article><h2 id=related-work>Related work</h2><p id=search>We search.</p><p>And find.</p></article>")) == "Related work We search. And find."
+
+
+def test_tree_decides_before_names(spark):
+    """At the default main_share: a repeated branch goes, own texts under a noise name stay, and a
+    repeated one under a noise name goes; with few pages names decide."""
+    body = lambda i: f"<div class=x><p>{'The same long welcome to all of our pages. ' * 3}</p></div><div class=y><p>Own text {i} of this page, and more of {i * 7} words</p></div><section id=discussion><p>Found {i}</p></section><nav><p>Menu</p></nav>"
+    rows = [(i, f"http://h.net/{i}", page(body(i))) for i in range(12)] + [(100, "http://few.net/", page(body(3)))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in ss.extract(df).collect()}
+    assert got[3] == "Own text 3 of this page, and more of 21 words Found 3"
+    assert got[100].startswith("The same long welcome") and got[100].endswith("21 words")

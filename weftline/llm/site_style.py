@@ -9,11 +9,15 @@ content       how much its texts differ: a text that many of the pages repeat ha
 
 A node's importance is (1 - gamma) * presentation + gamma * the mean of (1 - entropy) over the texts in
 its branch.  Branches under ``threshold`` that at least ``min_pages`` pages have are removed, unless they
-hold ``main_share`` or more of the host's characters.  A prior from the element says more where a host
-has too few pages: elements and class or id words that name menus, headers, footers, sidebars,
-notices, adverts, forms and comments are removed, and where a page has ``article`` or ``main``, only
-what is inside them stays (their own ``header`` too), even within an element named as noise if no other
-article is there.
+hold ``main_share`` or more of the host's characters, each text's weighted by (1 - entropy); a page that
+would lose all its text keeps it.
+
+Elements and class, id or role words that name menus, headers, footers, sidebars, notices, adverts,
+forms and comments are a prior: they take ``name_weight`` from a node's importance, and decide alone only
+where fewer than ``min_pages`` pages of the host have the node (or the tree would remove it but for
+``main_share``), and the node holds at most half of its page's text.  Ids of headings and paragraphs name
+their text and are not read.  Where a page has ``article`` or ``main``, only what is inside them stays
+(their own ``header`` too), even within an element named as noise if no other article is there.
 
 Both entropies come from sums by (host, node, text) and (host, node, style), combined before the
 shuffle, so a host with any share of the pages is summed in parts.
@@ -29,6 +33,7 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +52,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>]*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label".split()
 )
@@ -55,6 +60,7 @@ BREAKS = frozenset(("br", "hr", "img", "input", "wbr"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset(("ul", "ol", "dl", "table", "menu", "select", "body", "html"))
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SAYS = frozenset("with without has have no not is show hide".split())
 NOISE_TAGS = frozenset("nav footer aside form head button fieldset dialog menu label option legend".split())
 NOISE_NAMES = frozenset(
@@ -64,13 +70,12 @@ NOISE_NAMES = frozenset(
 
 class Page:
     """blocks: (path, text) in page order.  A path is a tuple of style names.  articles: paths of
-    articles in plain sight.  hidden: paths that hold articles within elements named as noise."""
+    article and main."""
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[tuple[str, ...], str]] = []
         self.styles: dict[tuple[str, ...], list[str]] = {}
         self.articles: set[tuple[str, ...]] = set()
-        self.hidden: set[tuple[str, ...]] = set()
         if html:
             self._parse(html)
 
@@ -121,24 +126,23 @@ class Page:
                 if tags[n] in CLOSES.get(tag, ()):
                     pop(n)
                     break
-            style = ".".join((tag, *dict.fromkeys(_words(m[4] or m[7] or ""))))
+            style = ".".join((tag, *dict.fromkeys(_words(m[4] or m[7] or "", tag not in TITLED))))
             self.styles.setdefault(path, []).append(style)
-            above, path = path, (*path, style)
-            if tag in ("article", "main") and not noisy(style, above):
-                if any(noisy(x, above[:k]) for k, x in enumerate(above)):
-                    self.hidden.update(path[:k] for k in range(1, len(path) + 1))
-                else:
-                    self.articles.add(path)
+            path = (*path, style)
+            if tag in ("article", "main"):
+                self.articles.add(path)
             tags.append(tag)
             paths.append(path)
         buffer.append(html[at:])
         flush()
 
 
-def _words(attributes: str) -> list[str]:
+def _words(attributes: str, ids: bool = True) -> list[str]:
     """The words of class, id and role, but for names that say what an element has or lacks."""
     out = []
-    for x in NAMES.findall(attributes):
+    for kind, *x in NAMES.findall(attributes):
+        if kind.lower() == "id" and not ids:
+            continue
         for name in "".join(x).split():
             words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
             if words and words[0] not in SAYS:
@@ -178,7 +182,7 @@ def _observed(hosts: list[str], htmls: list[str | None]) -> Counter:
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html", gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, chars, importance) of every node that has text in its branch."""
+    """(host, path, pages, chars, new_chars, importance) of every node that has text in its branch."""
     slim = pages.select(host_path(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,57 +203,77 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html", gamma: fl
     # The entropy of a text with T times and S = sum of c ln c is (ln T - S / T) / ln m, that of a node's
     # styles (ln m - sum of c ln c / m) / ln m: both are sums first, and only sums meet the node's m.
     times = F.col("times").cast("double")
-    text = seen.where("kind = 1").groupBy("host", "path").agg(F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum(times * F.log(times) - F.col("clnc")).alias("spread"))
-    text = text.join(nodes, ["host", "path"]).withColumn("new", F.col("times") - F.col("spread") / ln)
+    text = seen.where("kind = 1").groupBy("host", "path").agg(F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum(times * F.log(times) - F.col("clnc")).alias("spread"), F.sum(F.col("chars") * (F.log(times) - F.col("clnc") / times)).alias("old_chars"))
+    text = text.join(nodes, ["host", "path"]).withColumns({"new": F.col("times") - F.col("spread") / ln, "new_chars": F.col("chars") - F.col("old_chars") / ln})
     steps = F.split("path", "/")
     branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
-    content = text.select("host", branch.alias("path"), "new", "times", "chars").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("new", "times", "chars")))
+    content = text.select("host", branch.alias("path"), "new", "times", "chars", "new_chars").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("new", "times", "chars", "new_chars")))
     pages_ = F.col("pages").cast("double")
     style = seen.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("c"), F.sum(pages_ * F.log(pages_)).alias("clnc"))
     out = content.join(nodes, ["host", "path"]).join(style, ["host", "path"], "left")
     presentation = (F.col("c") * F.log(F.col("m").cast("double")) - F.col("clnc")) / F.col("m") / ln
     varied = F.when(F.col("m") == 1, 1.0).otherwise(F.coalesce(presentation, F.lit(0.0)))
-    return out.select("host", "path", F.col("m").alias("pages"), "chars", ((1 - gamma) * varied + gamma * F.col("new") / F.col("times")).alias("importance"))
+    return out.select("host", "path", F.col("m").alias("pages"), "chars", "new_chars", ((1 - gamma) * varied + gamma * F.col("new") / F.col("times")).alias("importance"))
+
 
+def unimportant(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, main_share: float = 0.2, name_weight: float = 0.3) -> DataFrame:
+    """(host, paths, kept): the branches to remove, and those that stay although their names say noise."""
 
-def unimportant(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, main_share: float = 0.2) -> DataFrame:
-    """(host, paths): the branches to remove."""
-    whole = tree.groupBy("host").agg(F.max("chars").alias("all"))
-    low = tree.join(whole, "host").where((F.col("importance") < threshold) & (F.col("pages") >= min_pages) & (F.col("chars") < main_share * F.col("all")))
-    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = [tuple(p.split("/")) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([noisy(p[-1], p[:-1]) for p in paths], pa.bool_())], [*b.schema.names, "named"])
 
+    known = tree.where(F.col("pages") >= min_pages).select("host", "path", "new_chars", "importance")
+    known = known.mapInArrow(name, "host string, path string, new_chars double, importance double, named boolean")
+    whole = tree.groupBy("host").agg(F.max("new_chars").alias("all"))
+    low = F.col("importance") - F.when(F.col("named"), name_weight).otherwise(0.0) < threshold
+    out = known.join(whole, "host").withColumns({"low": low & (F.col("new_chars") < main_share * F.col("all")), "high": F.col("named") & ~low}).where("low or high")
+    return out.groupBy("host").agg(*(F.collect_set(F.when(F.col(c), F.col("path"))).alias(a) for c, a in (("low", "paths"), ("high", "kept"))))
 
-def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
-    page, keep = Page(html), []
-    # articles that only elements named as noise hold are what the page has
-    shown = set() if page.articles else page.hidden
-    articles = page.articles or {p for p in page.hidden if p[-1].split(".")[0] in ("article", "main")}
-    judged: dict[tuple[str, ...], bool] = {}
+
+def main_text(html: str | None, low: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset()) -> str:
+    page = Page(html)
+    return _kept_text(page, low, kept) or (_kept_text(page, frozenset(), kept) if low else "")
+
+
+def _kept_text(page: Page, low: frozenset[str], kept: frozenset[str]) -> str:
+    own: Counter = Counter()
     for path, text in page.blocks:
-        ok = judged.get(path)
-        if ok is None:
-            ups = [path[: k + 1] for k in range(len(path))]
-            ok = not any((noisy(p[-1], p[:-1]) and p not in shown) or "/".join(p) in low for p in ups)
-            if ok and articles:
-                ok = any(p in articles for p in ups)
-            judged[path] = ok
-        if ok:
-            keep.append(text)
-    return " ".join(keep)
+        own[path] += len(text)
+    held: Counter = Counter()
+    for path, n in own.items():
+        held.update({path[:k]: n for k in range(1, len(path) + 1)})
+    total = sum(own.values())
+
+    @cache
+    def named(p: tuple[str, ...]) -> bool:
+        return noisy(p[-1], p[:-1]) and 2 * held[p] <= total and "/".join(p) not in kept
+
+    ups = lambda p: [p[: k + 1] for k in range(len(p))]
+    found = {p for p in page.articles if not named(p)}
+    # articles that only elements named as noise hold are what the page has
+    plain = {p for p in found if not any(map(named, ups(p)))}
+    stays = lambda p, shown: not any((named(q) and q not in shown) or "/".join(q) in low for q in ups(p))
+    shown = set() if plain else {q for p in found for q in ups(p)}
+    keep = {p for p in own if stays(p, shown)}
+    if found:
+        keep = {p for p in keep if not (plain or found).isdisjoint(ups(p))}
+    return " ".join(text for path, text in page.blocks if path in keep)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", gamma: float = 0.9, **low) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     removed = written(unimportant(style_tree(pages, url, html, gamma), **low))
     slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host_path(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    joined = slim.join(removed, "host", "left").select("page_id", "url", "html", "paths")
+    joined = slim.join(removed, "host", "left").select("page_id", "url", "html", "paths", "kept")
     kinds = f"page_id {pages.schema[id].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}, text string, n_chars bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            htmls, paths = b.column(2).to_pylist(), b.column(3).to_pylist()
+            htmls, paths, kept = (b.column(i).to_pylist() for i in (2, 3, 4))
             for lo, hi in in_slices(htmls):
-                out = [main_text(h, frozenset(p or ())) for h, p in zip(htmls[lo:hi], paths[lo:hi], strict=True)]
+                out = [main_text(h, frozenset(p or ()), frozenset(k or ())) for h, p, k in zip(htmls[lo:hi], paths[lo:hi], kept[lo:hi], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, kinds)
