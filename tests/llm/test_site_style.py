@@ -86,3 +86,11 @@ def test_tree_decides_before_names(spark):
     got = {r["page_id"]: r["text"] for r in ss.extract(df).collect()}
     assert got[3] == "Own text 3 of this page, and more of 21 words Found 3"
     assert got[100].startswith("The same long welcome") and got[100].endswith("21 words")
+
+
+def test_teasers_are_not_the_article():
+    body = "The post has its text in a plain element, and it is longer than the teasers."
+    cards = "<div><article class=card>First teaser</article><article class=card>Second teaser</article></div>"
+    assert ss.main_text(page(f"<nav>Menu</nav><div class=post-body><p>{body}</p></div>{cards}")) == f"{body} First teaser Second teaser"
+    assert ss.main_text(page(f"<div class=post-body><p>{body}</p></div><div class=related>{cards}</div>")) == body
+    assert ss.main_text(page(f"<article><p>{body}</p></article><p>Short line outside</p>")) == body

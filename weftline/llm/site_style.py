@@ -16,8 +16,10 @@ Elements and class, id or role words that name menus, headers, footers, sidebars
 forms and comments are a prior: they take ``name_weight`` from a node's importance, and decide alone only
 where fewer than ``min_pages`` pages of the host have the node (or the tree would remove it but for
 ``main_share``), and the node holds at most half of its page's text.  Ids of headings and paragraphs name
-their text and are not read.  Where a page has ``article`` or ``main``, only what is inside them stays
-(their own ``header`` too), even within an element named as noise if no other article is there.
+their text and are not read.  Where ``article`` or ``main`` hold the larger share of what the tree and the
+names leave of a page (ARTICLE characters in advance), only what is inside them stays (their own
+``header`` too), even within an element named as noise if no other article is there; else all that is
+left stays.
 
 Both entropies come from sums by (host, node, text) and (host, node, style), combined before the
 shuffle, so a host with any share of the pages is summed in parts.
@@ -61,6 +63,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset(("ul", "ol", "dl", "table", "menu", "select", "body", "html"))
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: How many characters less than the rest of the page an article may have: a few tell nothing.
+ARTICLE = 25
 SAYS = frozenset("with without has have no not is show hide".split())
 NOISE_TAGS = frozenset("nav footer aside form head button fieldset dialog menu label option legend".split())
 NOISE_NAMES = frozenset(
@@ -257,8 +261,11 @@ def _kept_text(page: Page, low: frozenset[str], kept: frozenset[str]) -> str:
     stays = lambda p, shown: not any((named(q) and q not in shown) or "/".join(q) in low for q in ups(p))
     shown = set() if plain else {q for p in found for q in ups(p)}
     keep = {p for p in own if stays(p, shown)}
-    if found:
-        keep = {p for p in keep if not (plain or found).isdisjoint(ups(p))}
+    inside = {p for p in keep if not (plain or found).isdisjoint(ups(p))}
+    if inside and 2 * sum(map(own.get, inside)) + ARTICLE >= sum(map(own.get, keep)):
+        keep = inside
+    elif shown:
+        keep = {p for p in own if stays(p, set())}
     return " ".join(text for path, text in page.blocks if path in keep)
 
 
