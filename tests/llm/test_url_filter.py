@@ -58,6 +58,17 @@ def test_propagation(spark):
     assert {h: r["verdict"] for h, r in got.items()} == {"good.org": "allow", "a.net": "allow", "b.net": "allow", "bad.example.org": "block", "farm.net": "block", "lone.net": "allow"}
 
 
+def test_verdict_does_not_depend_on_size(spark):
+    """A farm that links to blocked hosts alone, beside one huge blocked host."""
+    rows = [page(1, "bad.com", [], "/de/1"), page(2, "farm.net", ["bad.com"]), page(3, "far.net", ["farm.net"]), page(0, "lone.net", [])]
+    few = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    many = few.union(spark.range(2_000_000).selectExpr("id + 10", "'http://huge.com/de/x'", "CAST(NULL AS STRING)"))
+    for df in (few, many):
+        got = {r["host"]: r for r in uf.judge(df, RULES).where("page_id < 4 AND host <> 'huge.com'").collect()}
+        assert {h: r["verdict"] for h, r in got.items()} == {"bad.com": "block", "farm.net": "block", "far.net": "block", "lone.net": "allow"}
+    assert 0 < got["farm.net"]["distrust"] < 1e-6
+
+
 def test_odd_and_empty(spark):
     rows = [(1, None, None), (2, "no scheme", "<a href='http://x.y'>"), (None, "http://A.Com?x", ""), (4, "http://a.com/fr/\nx#y", None), (4, "http://a.com/fr/\nx#y", None), (5, "a://b://c/d", None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")

@@ -7,7 +7,8 @@ Hosts of which more than half of all pages are allowed by rules are trusted seed
 more than half are blocked are blocked seeds, each weighted by its pages.  Personalised PageRank
 spreads trust from the trusted seeds along links between hosts, and distrust from the blocked
 seeds against them (who links to a blocked host is suspect).  A host that no rule judges is blocked
-if its distrust is at least ``min_distrust`` and over ``threshold`` of trust plus distrust; else allowed.
+if it has distrust and that is over ``threshold`` of trust plus distrust; else allowed.  Both add up to 1
+over all hosts, so no fixed floor is set on them.
 
 Edges are absolute links between different hosts, one row a pair of hosts with its number of links,
 summed before the shuffle; ranks are joined to them round by round and written to the shared folder.
@@ -76,14 +77,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         new = both.join(F.broadcast(kept), "kind").select("kind", "host", (F.col("in") + F.col("seed") * (1 - F.col("flow"))).alias("rank"))
         new = written(new)
         old = ranks.withColumnRenamed("rank", "was")
-        change = new.join(old, ["kind", "host"], "left").agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        moved_by = F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) / F.col("rank")  # of each host's own rank, at any size
+        change = new.join(old, ["kind", "host"], "left").where("rank > 0").agg(F.max(moved_by)).first()[0]
         ranks = new
         if not change or change < tolerance:
             break
     return ranks
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, min_distrust: float = 1e-6, rounds: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, rounds: int = 20) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     host, path = host_path(F.col(url))
     slim = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -102,7 +104,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", u
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     scores = written(ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")))
     out = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    suspect = (F.col("distrust") >= min_distrust) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
+    suspect = (F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
     verdict = F.coalesce("by_rule", F.when(suspect, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
