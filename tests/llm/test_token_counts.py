@@ -14,7 +14,7 @@ def brute(values, rule="most"):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     values = [v or "" for v in values]
-    text, ends, at = "\n".join(values), [], 0
+    text, ends, at = " ".join(values), [], 0
     for i, v in enumerate(values):
         at += len(v) + (i > 0)
         ends.append(at)
@@ -36,8 +36,8 @@ def by_doc(rows):
 
 
 def fields(r):
-    head, _, tail = (r["text"] or "").partition("\n")
-    return [r["source"], r["lang"], head, tail]
+    head, feed, tail = (r["text"] or "").partition("\n")
+    return [r["source"], r["lang"], head + feed, tail]
 
 
 def test_query(spark, sf_dir, small):
@@ -95,3 +95,15 @@ def test_odd_and_empty(odd, none):
     rows = tc.field_token_counts(odd, tc.document_fields(), PATH).collect()
     assert len(rows) == 4 * odd.count()
     assert tc.field_token_counts(none, tc.document_fields(), PATH).count() == 0
+
+
+def test_layout_and_odd_white_space(spark):
+    """The title keeps its line feed, a space stands between fields, and tokens cross borders."""
+    texts = ["Title here\nBody of  it\n\nmore\tand\n", "one line", "\n\n x", " a\n b ", "t\n", "x\r\ny \n\tz", None, ""]
+    df = spark.createDataFrame([(i, t, "en", "src") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    got = tc.field_token_counts(df, tc.document_fields(), PATH).collect()
+    rows = by_doc(got)
+    for r in df.collect():
+        assert rows[r["doc_id"]] == list(zip(*brute(fields(r))))
+    ends = {r["field"]: r["char_end"] for r in got if r["doc_id"] == 0}
+    assert ends["title"] == len("src en Title here\n")

@@ -10,8 +10,9 @@ border is given to one field by an explicit rule:
 so that the counts of the fields always add up to the tokens of the text.  ``crossing`` says how
 many of a field's tokens reach outside it.
 
-Fields with a null or empty value get a row with no token.  Rows are treated one by one; rows with
-the same id give rows with the same id.  A separator belongs to the field after it.
+Fields with a null or empty value get a row too, which can hold their separator's token.  Rows are treated one by one; rows with
+the same id give rows with the same id.  A separator belongs to the field after it, as the vocabularies
+here join a space to the word that follows.
 """
 
 from __future__ import annotations
@@ -57,13 +58,13 @@ def count_fields(enc: UnitEncoder, text: str, borders: np.ndarray, rule: str = "
     across = ends > borders[owner + 1]
     tokens, crossing = np.bincount(owner[~across], weights=n[~across], minlength=fields).astype(np.int64), np.zeros(fields, np.int64)
     for s, e in zip(starts[across].tolist(), ends[across].tolist(), strict=True):
-        span = np.array(enc.tokenizer.encode(text[s:e], add_special_tokens=False).offsets, np.int64).reshape(-1, 2) + s
+        span = enc.offsets(text[s:e]) + s
         t, c = attribute(span[:, 0], span[:, 1], borders, rule)
         tokens, crossing = tokens + t, crossing + c
     return tokens, crossing
 
 
-def field_token_counts(df: DataFrame, fields: dict[str, F.Column], tokenizer: str, id: str = "doc_id", separator: str = "\n", rule: str = "most") -> DataFrame:
+def field_token_counts(df: DataFrame, fields: dict[str, F.Column], tokenizer: str, id: str = "doc_id", separator: str = " ", rule: str = "most") -> DataFrame:
     """One row for each row of df and field: doc_id, field_no, field, char_start, char_end,
     n_tokens, crossing.  fields: name -> string expression over df, in text order."""
     if rule not in RULES:
@@ -97,7 +98,7 @@ def field_token_counts(df: DataFrame, fields: dict[str, F.Column], tokenizer: st
 
 def document_fields(text: str = "text", source: str = "source", lang: str = "lang") -> dict[str, F.Column]:
     """source, language, and of the text the title (its first line) and the body (the rest)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    title = F.substring_index(whole, "\n", 1)
-    body = F.substring(whole, F.length(title) + 2, F.length(whole))
+    line_end = F.instr(F.coalesce(F.col(text), F.lit("")), "\n")
+    title = F.when(line_end > 0, F.substring(F.col(text), F.lit(1), line_end)).otherwise(F.col(text))
+    body = F.when(line_end > 0, F.substring(F.col(text), line_end + 1, F.length(text)))
     return {"source": F.col(source), "lang": F.col(lang), "title": title, "body": body}

@@ -24,6 +24,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _ASCII = r" \n\t\r\f\v"
 #: Where white space is kept it belongs to what follows it, and a single line feed stands alone.
 SPACED = re.compile(rf"\n(?=[^{_ASCII}])|[{_ASCII}]*[^{_ASCII}]+|[{_ASCII}]+")
+#: The units among these that are neither a line feed nor a word after at most one space.
+ODD = re.compile(rf"[{_ASCII}](?:[{_ASCII}]+[^{_ASCII}]*|\Z)|[\t\r\f\v][^{_ASCII}]*")
 #: Plain letters, then ASCII punctuation; an apostrophe may begin a contraction and is left out.
 WORD = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
 _ODD_ASCII = ("\t", "\r", "\f", "\v", "  ", " \n", "\n ", "\n\n")
@@ -58,6 +60,7 @@ class UnitEncoder:
         self.spaced, self.letters = spaced, byte_letters()
         self.first = _Memory(lambda u: self._unit("", u, self.first), most // 4 if spaced else most)
         self.rest = _Memory(lambda u: self._unit(" ", u, self.rest), most)
+        self.spans = _Memory(self._offsets, most // 16)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -97,25 +100,43 @@ class UnitEncoder:
         """The characters and the tokens of each unit, in text order; white space must be kept."""
         if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             parts, sizes = [self.whole(text)], np.array([len(text)])
-        elif text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _ODD_ASCII):
-            words = SPACED.findall(text)
-            parts, sizes = list(map(self.first.__getitem__, words)), np.fromiter(map(len, words), np.int64, len(words))
         else:
-            parts, lengths, bare, feed, rest = [], [], [], self.first["\n"], self.rest.__getitem__
-            for line in text.split("\n"):
-                words = line.split(" ")
-                bare.append(len(parts))
-                parts.append(self.first[words[0]])
-                parts += map(rest, words[1:])
-                parts.append(feed)
-                lengths += map(len, words)
-                lengths.append(0)
-            parts.pop()
-            # a space comes before every word but the first of a line, and a line feed is one character
-            sizes = np.array(lengths[:-1], np.int64) + 1
-            sizes[bare] -= 1
+            parts, sizes, at = [], [], 0
+            for m in ODD.finditer(text):
+                self._plain(text[at : m.start()], parts, sizes)
+                parts.append(self.first[m[0]])
+                sizes.append(np.array([len(m[0])]))
+                at = m.end()
+            self._plain(text[at:], parts, sizes)
+            sizes = np.concatenate(sizes)
         return sizes, np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
 
+    def _plain(self, text: str, parts: list[bytes], sizes: list[np.ndarray]) -> None:
+        """Adds the units of a text with single spaces and line feeds, none of them at its end."""
+        if not text:
+            return
+        lengths, bare, begin, feed, rest = [], [], len(parts), self.first["\n"], self.rest.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            bare.append(len(parts) - begin)
+            parts.append(self.first[words[0]])
+            parts += map(rest, words[1:])
+            parts.append(feed)
+            lengths += map(len, words)
+            lengths.append(0)
+        parts.pop()
+        # a space comes before every word but the first of a line, and a line feed is one character
+        size = np.array(lengths[:-1], np.int64) + 1
+        size[bare] -= 1
+        sizes.append(size)
+
+    def _offsets(self, unit: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+
+    def offsets(self, unit: str) -> np.ndarray:
+        """The spans of a unit's tokens, remembered for short units."""
+        return self.spans[unit] if len(unit) <= 64 else self._offsets(unit)
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text, then ``end``, as little-endian integers of ``dtype``."""
         tail = np.array([end], self.dtype).tobytes()
