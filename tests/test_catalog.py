@@ -55,3 +55,12 @@ def test_limits_by_brute_force(spark, sf_dir):
             want[r["event_id"]] = held.get(c["key"], "NIL")
     got = {r["event_id"]: r["i"] if r["tag"] == "INT" else r["tag"] for r in catalog.q64_kv_limits(spark, sf_dir).collect()}
     assert {k: got[k] for k in want} == want
+
+
+def test_pump_keeps_rows_without_a_time(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 10 = 0")
+    e.withColumn("ts", F.when(F.col("event_id") % 30 != 0, F.col("ts"))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = (sorted(map(tuple, QUERIES[k](spark, str(tmp_path)).collect())) for k in ("q45_bounded_pump", "q41_direct"))
+    assert len(want) == e.count() and got == want

@@ -253,7 +253,7 @@ def q45_bounded_pump(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = e.agg(F.percentile_approx(at, [k / 8 for k in range(1, 8)])).first()[0] or []
     for k in range(len(cuts) + 1):
-        part = e.where(F.lit(True) if k == 0 else at > cuts[k - 1]).where(F.lit(True) if k == len(cuts) else at <= cuts[k])
+        part = e.where(F.lit(True) if k == 0 else at > cuts[k - 1]).where(F.lit(True) if k == len(cuts) else (at <= cuts[k]) | (at.isNull() & F.lit(k == 0)))
         part.coalesce(1).write.mode("append").parquet(folder)
     out = bounded_pump(spark, folder, e.schema, Chain(n.inc, n.counter), "c", "o", KEYS, ORDER)
     return out.select("event_id", "o")

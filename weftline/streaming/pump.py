@@ -28,7 +28,7 @@ def pump(stream: DataFrame, cell: Cell, x: str, out: str, keys: list[str], order
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s = _tuples(json.loads(state.get[0])) if state.exists else cell.initial()
-        rows = pd.concat(list(frames)).sort_values(order)
+        rows = pd.concat(list(frames)).sort_values(order, na_position="first")
         made = []
         for v in rows[x]:
             s, o = cell.python(s, v)
