@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from weftline.llm import language_model as lm, queries
 
@@ -49,40 +48,68 @@ def test_odd_and_empty(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
-def test_shards_and_joined_counts_change_nothing(small):
-    one = {r["doc_id"]: r for r in lm.score_documents(small).collect()}
-    many = {r["doc_id"]: r for r in lm.score_documents(small, max_bytes=60_000, segment_tokens=2_000, hot_words=50).collect()}
+def exact_scores(rows, mu=10.0):
+    """The same model with exact counts, by hand."""
+    words, pairs = Counter(), Counter()
+    for d, t in rows:
+        if not out_of_fold(d):
+            ws = tokens(t)
+            words.update(ws)
+            pairs.update(zip([b" ", *ws], ws))
+    total = sum(words.values())
+    u = min(0.5, max(sum(c == 1 for c in words.values()) / total, 1e-9))
+    p1 = lambda w: (1 - u) * words[w] / total if words[w] else u
+    score = lambda ws: sum(math.log10(min(1.0, (pairs[v, w] + mu * p1(w)) / (words[v] + mu))) for v, w in zip([b" ", *ws], ws))
+    return [score(tokens(t)) for _, t in rows]
+
+
+def test_scores_against_exact_counts(spark, sf_dir, small):
+    """A level stands for counts within a tenth of it, so a token's log is off by no more than
+    2 * log10(1.1) = 0.08, but for the false positives: about one probe in a hundred."""
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()]
+    want = dict(zip((d for d, _ in rows), exact_scores(rows)))
+    got = {r["doc_id"]: r["score"] for r in queries.op2_lm_scoring(spark, sf_dir).collect()}
+    a_token = sorted(abs(got[d] - want[d]) / len(tokens(t)) for d, t in rows)
+    relative = sorted(abs(got[d] / want[d] - 1) for d, _ in rows)
+    assert a_token[len(rows) // 2] < 0.02 and a_token[-1] < 0.1
+    assert relative[len(rows) // 2] < 0.005 and relative[int(len(rows) * 0.95)] < 0.02
+
+
+def test_pieces_and_slices_change_nothing(small):
+    """How the filter is cut for broadcasts changes no row, nor does how texts are cut into slices;
+    a vocabulary of any size is scored."""
+    rows = lambda **kw: sorted(map(tuple, lm.score_documents(small, part_tokens=4_000, **kw).collect()))
+    one = rows()
+    for kw in ({"max_bytes": 1}, {"shard_parts": 3, "max_bytes": 9_000}, {"slice_bytes": 50_000}):
+        for a, b in zip(one, rows(**kw), strict=True):
+            assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
+
+
+def test_parts_change_false_positives_only(small):
+    one, many = ({r["doc_id"]: r for r in lm.score_documents(small, part_tokens=n).collect()} for n in (1 << 20, 2_000))
     for k, r in one.items():
         assert many[k]["n_known"] == r["n_known"] and abs(many[k]["base_score"] - r["base_score"]) < 1e-6
-    # other segments have other false positives
     a, b = (sum(r["score"] for r in x.values()) for x in (one, many))
     assert abs(a - b) < 0.02 * abs(a)
 
 
-def test_words_in_shards(small):
-    """A words' filter over one shard changes nothing: the pairs are in the same segments."""
-    held, least = lm.Model(small, segment_tokens=2_000, hot_words=50), 4_000
-    many = lm.Model(small, segment_tokens=2_000, hot_words=50, max_bytes=least)
-    assert len(held.words) == 1 and len(many.words) > 1 and len(many.pairs) > 1
-    many.pairs = held.pairs  # one pass over the pairs
-    one, got = (sorted(map(tuple, lm.score(small, m).drop("rid").collect())) for m in (held, many))
-    for a, b in zip(one, got, strict=True):
-        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and abs(a[4] - b[4]) < 1e-6
-
-
 def test_filter_holds_levels():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
     counts = rng.geometric(0.3, 20_000).astype(np.int64) ** 3
     want = np.searchsorted(lm.LEVELS, counts, "right")
-    seg = lm.segment_of(keys, 4)
-    built = [lm.build_segment(keys[seg == s], counts[seg == s]) for s in range(4)]
-    f = lm.Filter(4, 0, [b[0] for b in built], [b[1] for b in built])
-    got = f.levels(keys)
+    part = lm.part_of(keys, 4)
+    f = lm.Filter({p: lm.build(keys[part == p], counts[part == p]).tobytes() for p in range(4)})
+    got = f.levels(keys, part)
     assert (got >= want).all() and (got == want).mean() > 0.98
-    assert (f.levels(keys + np.uint64(1)) > 0).mean() < 0.02
+    other = keys + np.uint64(1)
+    assert (f.levels(other, lm.part_of(other, 4)) > 0).mean() < 0.02
+
 
+def test_nothing_learnt(spark):
+    """No training row: all tokens unknown, the base log10(1/1)."""
+    from pyspark.sql import functions as F
 
-def test_bound_is_checked(small):
-    with pytest.raises(ValueError):
-        lm.Model(small, max_bytes=100, segment_tokens=100)
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    got = sorted(map(tuple, lm.score(df, F.lit(False)).collect()))
+    assert [r[:6] for r in got] == [(1, False, 3, 0, 0, 0.0), (2, False, 1, 0, 0, 0.0)]

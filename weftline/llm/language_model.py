@@ -3,8 +3,7 @@
 Training texts give counts of words and of word pairs, over all of them.  A count is quantised to a
 level - exact while small, then in steps of ``step`` - and an n-gram of level q is entered q times,
 as (n-gram, 1) to (n-gram, q).  Probing levels upwards until one is missing gives the level back; a
-false positive can only raise it.  The filter is made of segments: an n-gram's hash names its
-segment, each segment is built by one task from the rows dealt to it and sized for what it holds.
+false positive can only raise it.
 
 Probabilities of word w after v, from probed counts c:
 
@@ -12,17 +11,23 @@ Probabilities of word w after v, from probed counts c:
 
 where all unknown words are one type whose share u is that of words seen once (Good-Turing).
 
-What is broadcast has a bound: both filters are dealt into shards of at most ``max_bytes``.  With more
-than one shard of pairs the documents are scanned once a shard and each token is scored in the shard
-of its pair.  With more than one shard of words they are first scanned once a shard of words, each time
-written again with the levels found so far, a byte a token.
-The exact counts of the most frequent words, ``hot_words`` at most, are broadcast (16 bytes each) for the
-base score; counts of the other words are joined.
+How it runs, at any size:
+
+1. Texts are tokenised once, in slices of bounded text; the slices' token numbers and word hashes are
+   written (frames).
+2. Each slice sends its distinct n-grams, with their counts if it is a training slice, to the part of
+   the filter that their hash names: a row for each slice and part, so a hot n-gram is one entry a slice.
+3. One task a part adds the counts up, builds the part's bits, and writes them with the n-grams that
+   slices ask for and the words' exact counts.  A part has about ``part_tokens`` training tokens, and
+   an n-gram's levels are no more than its count, so its bits are bounded by that.
+4. Shards of ``shard_parts`` parts are broadcast one after the other, in pieces of at most ``max_bytes``.
+   A shard's pass reads only the n-grams that are its own, so all passes together read each once.
+5. Levels and exact counts go back to their slices and are put together to scores.
 
 Tokens: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``, then one end, which also stands before the first
 word.  A null text counts as empty and has the end alone; a null id hashes as ''.  Rows are scored
 one by one, copies included.  An empty training set gives the base log10(1/1) and scores every
-token as unknown.  Words go by 64-bit hashes.
+token as unknown.  Words go by 64-bit hashes, pairs within a part by 32 bits.
 """
 
 from __future__ import annotations
@@ -36,15 +41,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import shared_folder, text_or_empty, written
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
-HASHES = 7
-BITS = 10  # a filter entry
+HASHES = 5
+BITS = 12  # a filter entry
 STEP = 1.2
+PAIR = np.uint64(0xA0761D6478BD642F)  # sets pairs' entries apart from words'
 
 
 def quantiser(step: float = STEP, most: float = 1e15) -> np.ndarray:
@@ -72,293 +78,297 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mixed(v * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Ascending with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _blocks(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """The first bit of an entry's block of 512 bits (a cache line), and a hash that names the bits
-    in it, 9 of its own for each."""
+def _entry(keys: np.ndarray, level: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """An entry's word of 64 bits among ``size``, and its bits there."""
     with np.errstate(over="ignore"):
-        h = mixed(keys + np.asarray(level, np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    blocks = np.asarray(size, np.uint64) >> np.uint64(9)
-    return ((h >> np.uint64(32)) * blocks >> np.uint64(32) << np.uint64(9)).astype(np.int64), mixed(h)
-
+        h = mixed(keys + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
+    at = ((h >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64)
+    mask = np.uint64(1) << (h & np.uint64(63))
+    for i in range(1, HASHES):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+    return at, mask
 
-def _bit(start: np.ndarray, h: np.ndarray, i: int) -> np.ndarray:
-    return start + (h >> np.uint64(9 * i) & np.uint64(511)).astype(np.int64)
 
-
-def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """keys may repeat.  The number of bits, and the bits."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    total, k = np.add.reduceat(counts[order], first), k[first]
-    q = np.searchsorted(LEVELS, total, "right")
-    size = 512 * max(1, -(-int(q.sum()) * BITS // 512))
-    bits = np.zeros(size, bool)
-    for level in range(1, int(q.max()) + 1):
-        here = k[q >= level]
-        block, h = _blocks(here, level, size)
-        for i in range(HASHES):
-            bits[_bit(block, h, i)] = True
-    return size, np.packbits(bits, bitorder="little").tobytes()
+def build(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits, as 64-bit words, of distinct keys with their counts."""
+    q = np.searchsorted(LEVELS, counts, "right")
+    words = np.zeros(max(1, -(-int(q.sum()) * BITS // 64)), np.uint64)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        keys, q = keys[q >= level], q[q >= level]
+        at, mask = _entry(keys, level, len(words))
+        np.bitwise_or.at(words, at, mask)
+    return words
 
 
 class Filter:
-    """Segments first to first + len(sizes) of so many."""
-
-    def __init__(self, segments: int, first: int, sizes: list[int], bits: list[bytes]):
-        self.segments, self.first, self.n = segments, first, len(sizes)
-        self.sizes = np.array(sizes, np.uint64)
-        self.starts = np.cumsum([0, *(8 * len(b) for b in bits)])[:-1].astype(np.int64) if bits else np.zeros(0, np.int64)
-        self.bits = b"".join(bits)
-
-    def __len__(self) -> int:
-        return len(self.bits)
-
-    def mine(self, keys: np.ndarray) -> np.ndarray:
-        s = segment_of(keys, self.segments)
-        return (s >= self.first) & (s < self.first + self.n)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """All keys must be mine."""
-        out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        if not self.n:
-            return out
-        raw = np.frombuffer(self.bits, np.uint8)
-        seg = segment_of(keys, self.segments) - self.first
-        size, start = self.sizes[seg], self.starts[seg]
-        level, keys = 0, keys.astype(np.uint64, copy=False)
+    """Parts of a filter: part number -> bits."""
+
+    def __init__(self, parts: dict[int, bytes]):
+        numbers = sorted(parts)
+        self.numbers = np.array(numbers, np.int64)
+        self.sizes = np.array([len(parts[p]) // 8 for p in numbers], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bits = b"".join(parts[p] for p in numbers)
+
+    def levels(self, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The level of each key, as a byte; part: the number of the part that each belongs to."""
+        words = np.frombuffer(self.bits, "<u8")
+        row = np.searchsorted(self.numbers, part)
+        size, start = self.sizes[row].astype(np.uint64), self.starts[row]
+        out, live, level = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
         while len(live):
             level += 1
-            block, h = _blocks(keys, level, size)
-            block += start
-            at = np.arange(len(live))
-            for i in range(HASHES):
-                q = _bit(block, h, i)
-                hit = (raw[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    at, block, h = at[hit], block[hit], h[hit]
-                    if not len(at):
-                        break
-            live, keys, size, start = live[at], keys[at], size[at], start[at]
+            at, mask = _entry(keys, level, size)
+            hit = np.flatnonzero(words[at + start] & mask == mask)
+            live, keys, size, start = live[hit], keys[hit], size[hit], start[hit]
             out[live] = level
         return out
 
 
 class Tokens:
-    """The tokens of some texts: distinct words get small numbers; number 0 is the end."""
+    """The tokens of some texts.  Distinct words have small numbers, 0 is the end; ``word`` and
+    ``before`` are the numbers of each token and of the one before it, ``n`` the tokens of each text."""
+
+    def __init__(self, n: np.ndarray, word: np.ndarray, keys: np.ndarray):
+        self.n, self.word, self.keys = n, word, keys
+        self.ends = np.cumsum(n)
+        # each text is preceded by an end: that of the text before, or the first
+        self.before = np.r_[np.zeros(1, word.dtype), word[:-1]]
 
-    def __init__(self, texts: list[bytes]):
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
         ids: dict[bytes, int] = defaultdict(count().__next__)
         number = ids.__getitem__
         number(b" ")
         split = [t.lower().split() for t in texts]
-        self.n = np.array([len(w) + 1 for w in split], np.int64)
-        flat = np.zeros(int(self.n.sum()) + 1, np.int64)
-        self.ends = np.cumsum(self.n)
-        at = 1
+        n = np.array([len(w) + 1 for w in split], np.int64)
+        word = np.zeros(int(n.sum()), np.uint32)
+        at = 0
         for words in split:
-            flat[at : at + len(words)] = list(map(number, words))
+            word[at : at + len(words)] = list(map(number, words))
             at += len(words) + 1
-        # each text is preceded by an end: that of the text before, or the first
-        self.word, self.before = flat[1:], flat[:-1]
-        self.keys = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the distinct pairs, and each token's index into them."""
-        n = len(self.keys)
-        code, inverse = np.unique(self.before * n + self.word, return_inverse=True)
-        return pair_keys(self.keys[code // n], self.keys[code % n]), inverse
-
-
-def _slices(batches: Iterator[pa.RecordBatch], column: int, weight: int):
-    """Parts of the batches with about so many bytes of text, each with its tokens."""
-    for b in batches:
-        ends = np.cumsum(np.asarray(pc.binary_length(b.column(column)), np.int64))
-        lo = 0
-        while lo < b.num_rows:
-            before = ends[lo - 1] if lo else 0
-            hi = min(b.num_rows, int(np.searchsorted(ends, before + weight)) + 1)
-            part = b.slice(lo, hi - lo)
-            yield part, Tokens(part.column(column).to_pylist())
-            lo = hi
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, t in _slices(batches, 0, 2_000_000):
-        n = np.bincount(t.word, minlength=len(t.keys))
-        yield pa.RecordBatch.from_arrays([pa.array(t.keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
-
-
-def _counter(segments: int):
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _slices(batches, 0, 2_000_000):
-            keys, at = t.pairs()
-            n = np.bincount(at, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, segments).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], ["seg", "key", "n"])
-
-    return count_pairs
-
-
-def _build(t: pa.Table) -> pa.Table:
-    size, bits = build_segment(np.asarray(t["key"]).view(np.uint64), np.asarray(t["n"]).astype(np.int64))
-    return pa.table({"seg": t["seg"].slice(0, 1).cast(pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-
-class Model:
-    """Trained counts: the filters' segments stay in the shared folder until they are broadcast."""
-
-    def __init__(self, training: DataFrame, text: str = "text", mu: float = 10.0, max_bytes: int = 40 << 20, hot_words: int = 500_000, segment_tokens: int = 1_000_000):
-        self.mu, self.max_bytes = mu, max_bytes
-        texts = training.select(text_or_empty(text).cast("binary").alias("text"))
-        self.vocabulary = written(texts.mapInArrow(_count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
-        once = F.count(F.when(F.col("n") == 1, 1))
-        self.tokens, self.distinct, self.once = (x or 0 for x in self.vocabulary.agg(F.sum("n"), F.count(F.lit(1)), once).first())
-        segments = max(1, -(-self.tokens // segment_tokens))
-        seg = F.floor((F.shiftrightunsigned("key", 32) * segments) / F.lit(1 << 32)).cast("int")
-        words = self.vocabulary.select(seg.alias("seg"), "key", F.col("n").cast("bigint").alias("n"))
-        schema = "seg int, size bigint, bits binary"
-        self.words = self._shards(written(words.groupBy("seg").applyInArrow(_build, schema)), segments)
-        pairs = texts.mapInArrow(_counter(segments), "seg int, key bigint, n int")
-        self.pairs = self._shards(written(pairs.groupBy("seg").applyInArrow(_build, schema)), segments)
-        # the words from the least count on that leaves hot_words of them at most
-        down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)  # a row a count: under sqrt(2 N) rows
-        by_count = self.vocabulary.groupBy("n").count().withColumn("words", F.sum("count").over(down)).where(F.col("words") <= hot_words)
-        self.hot = self.vocabulary.where(F.col("n") >= F.lit(by_count.agg(F.min("n")).first()[0]))
-        self.unknown = min(0.5, max(self.once / self.tokens if self.tokens else 0.5, 1e-9))
-
-    def _shards(self, table: DataFrame, segments: int) -> list[tuple[DataFrame, int, int, int]]:
-        """(table, segments, first, last + 1), each under max_bytes."""
-        sizes = dict(table.select("seg", F.length("bits")).collect())  # two numbers a segment
-        out, first, held = [], 0, 0
-        for s in range(segments):
-            n = sizes.get(s, 64)
-            if n > self.max_bytes:
-                raise ValueError("a segment is over max_bytes: lower segment_tokens")
-            if held + n > self.max_bytes:
-                out.append((table, segments, first, s))
-                first, held = s, 0
-            held += n
-        return [*out, (table, segments, first, segments)]
-
-    @staticmethod
-    def load(shard: tuple[DataFrame, int, int, int]) -> Filter:
-        table, segments, first, last = shard
-        got = table.where(F.col("seg").between(first, last - 1)).toArrow()
-        at = {s: i for i, s in enumerate(got["seg"].to_pylist())}
-        sizes = [got["size"][at[s]].as_py() if s in at else 512 for s in range(first, last)]
-        return Filter(segments, first, sizes, [got["bits"][at[s]].as_py() if s in at else bytes(64) for s in range(first, last)])
-
-
-def _found(b: pa.RecordBatch, t: Tokens) -> np.ndarray:
-    """The levels of the distinct words, from the bytes of the tokens in column 2."""
-    out = np.zeros(len(t.keys), np.uint8)
-    out[t.word] = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8)
-    return out
-
-
-def with_levels(slim: DataFrame, model: Model) -> DataFrame:
-    """(id, text, levels): each token's word level as a byte, by one pass a shard of words."""
-    schema = f"id {slim.schema['id'].dataType.simpleString()}, text binary, levels binary"
-    for k, shard in enumerate(model.words):
-        held = slim.sparkSession.sparkContext.broadcast(model.load(shard))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, first=k == 0) -> Iterator[pa.RecordBatch]:
-            words = held.value
-            for b, t in _slices(batches, 1, 1_000_000):
-                levels = np.zeros(len(t.keys), np.uint8) if first else _found(b, t)
-                mine = words.mine(t.keys)
-                levels[mine] = words.levels(t.keys[mine])
-                ends = pa.py_buffer(np.r_[0, t.ends].astype(np.int32))
-                made = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(levels[t.word])])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["id", "text", "levels"])
-
-        slim = written(slim.mapInArrow(run, schema))
-        held.unpersist()
-    return slim
-
-
-def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, n_tokens, n_known, base_score, score) of each row of df; rid numbers the rows."""
-    spark, mu, u, total = df.sparkSession, model.mu, model.unknown, model.tokens
+        return cls(n, word, np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)))
+
+    def pairs(self) -> np.ndarray:
+        """The key of each token's pair."""
+        return pair_keys(self.keys[self.before], self.keys[self.word])
+
+
+def _slices(batch: pa.RecordBatch, column: int, weight: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about so many bytes of text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)), np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = min(batch.num_rows, int(np.searchsorted(ends, before + weight)) + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+FRAME = "slice bigint, trained boolean, ids array<{}>, n array<bigint>, words binary, word binary"
+
+
+def _framer(weight: int):
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for flag in (True, False):
+                for s in _slices(b.filter(pc.equal(b.column(0), flag)), 2, weight):
+                    t = Tokens.of(s.column(2).to_pylist())
+                    word = t.word.astype("<u2" if len(t.keys) <= 1 << 16 else "<u4")
+                    cols = [pa.array([number], pa.int64()), pa.array([flag]), pa.array([s.column(1).to_pylist()], pa.list_(s.column(1).type)), pa.array([t.n], pa.list_(pa.int64())), pa.array([t.keys.tobytes()]), pa.array([word.tobytes()])]
+                    yield pa.RecordBatch.from_arrays(cols, ["slice", "trained", "ids", "n", "words", "word"])
+                    number += 1
+
+    return frames
+
+
+def _tokens(n: np.ndarray, words: bytes, word: bytes) -> Tokens:
+    width = len(word) // max(int(n.sum()), 1)
+    return Tokens(n, np.frombuffer(word, "<u2" if width == 2 else "<u4"), np.frombuffer(words, "<u8"))
+
+
+def _cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of values, cut at the given positions."""
+    ends = (np.asarray(at) * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+ROUTED = "slice bigint, part int, trained boolean, words binary, word_n binary, pairs binary, pair_n binary"
+
+
+def _router(parts: int):
+    """A slice's distinct n-grams, ascending, by the part that each belongs to."""
+    edges = np.arange(parts + 1)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                trained = b.column(1)[i].as_py()
+                t = _tokens(np.asarray(b.column(2)[i].values), b.column(3)[i].as_py(), b.column(4)[i].as_py())
+                by = np.argsort(t.keys)
+                words, word_n = t.keys[by], np.bincount(t.word, minlength=len(by))[by].astype("<u4")
+                pairs, pair_n = np.unique(t.pairs(), return_counts=True)
+                at, pair_at = (np.searchsorted(part_of(k, parts), edges) for k in (words, pairs))
+                some = np.flatnonzero((at[1:] > at[:-1]) | (pair_at[1:] > pair_at[:-1]))
+                nothing = pa.array([b""] * len(some), pa.binary())
+                cols = [pa.array(np.full(len(some), b.column(0)[i].as_py())), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), trained))]
+                cols += [_cut(words, at).take(some), _cut(word_n, at).take(some) if trained else nothing]
+                cols += [_cut(pairs.astype("<u4"), pair_at).take(some), _cut(pair_n.astype("<u4"), pair_at).take(some) if trained else nothing]
+                yield pa.RecordBatch.from_arrays(cols, ["slice", "part", "trained", "words", "word_n", "pairs", "pair_n"])
+
+    return route
+
+
+def _joined(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sum of each one's n."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[by].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def _summed_pairs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_summed of 32-bit keys with 32-bit counts, sorted together as one array."""
+    both = np.sort(keys.astype(np.uint64) << np.uint64(32) | n)
+    keys = (both >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat((both & np.uint64(0xFFFFFFFF)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+BUILT = "shard int, part int, slice bigint, words binary, exact binary, pairs binary, bits binary, tokens bigint, distinct bigint, once bigint"
+
+
+def _builder(shard_parts: int):
+    def one_part(t: pa.Table) -> pa.Table:
+        """A row for each slice's n-grams with the words' exact counts, and one with the part's bits."""
+        part, rows = t["part"][0].as_py(), t.num_rows
+        learnt = t.filter(t["trained"])
+        words, n = _summed(_joined(learnt["words"], "<u8"), _joined(learnt["word_n"], "<u4"))
+        pairs, pair_n = _summed_pairs(_joined(learnt["pairs"], "<u4"), _joined(learnt["pair_n"], "<u4"))
+        bits = build(np.r_[words, pairs.astype(np.uint64) ^ PAIR], np.r_[n, pair_n])
+        asked = _joined(t["words"], "<u8")
+        i = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
+        exact = np.where(words[i] == asked, n[i], 0) if len(words) else np.zeros(len(asked), np.int64)
+        at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(t["words"]), np.int64))] // 8
+        null = pa.nulls(rows, pa.int64())
+        cols = {
+            "shard": pa.array(np.full(rows + 1, part // shard_parts, np.int32)),
+            "part": pa.array(np.full(rows + 1, part, np.int32)),
+            "slice": pa.chunked_array([*t["slice"].chunks, pa.array([None], pa.int64())]),
+            "words": pa.chunked_array([*t["words"].chunks, pa.array([None], pa.binary())]),
+            "exact": pa.chunked_array([_cut(exact, at), pa.array([None], pa.binary())]),
+            "pairs": pa.chunked_array([*t["pairs"].chunks, pa.array([None], pa.binary())]),
+            "bits": pa.chunked_array([pa.nulls(rows, pa.binary()), pa.array([bits.tobytes()])]),
+        }
+        for k, v in (("tokens", n.sum()), ("distinct", len(n)), ("once", (n == 1).sum())):
+            cols[k] = pa.chunked_array([null, pa.array([int(v)])])
+        return pa.table(cols)
+
+    return one_part
+
+
+REPLY = "part int, slice bigint, exact binary, word_level binary, pair_level binary"
+
+
+def _prober(held):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.asarray(b.column(0))
+            n_words, n_pairs = (np.asarray(pc.binary_length(b.column(i)), np.int64) // w for i, w in ((2, 8), (4, 4)))
+            words, pairs = _joined(b.column(2), "<u8"), _joined(b.column(4), "<u4").astype(np.uint64) ^ PAIR
+            level = held.value.levels(np.r_[words, pairs], np.r_[np.repeat(part, n_words), np.repeat(part, n_pairs)])
+            made = [_cut(x, np.r_[0, np.cumsum(n)]) for x, n in ((level[: len(words)], n_words), (level[len(words) :], n_pairs))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *made], ["part", "slice", "exact", "word_level", "pair_level"])
+
+    return probe
+
+
+def _replies(built: DataFrame, sizes: dict[int, list[tuple[int, int]]], max_bytes: int) -> DataFrame:
+    """What the filter says to every slice.  sizes: shard -> (part, bytes) of its parts."""
+    spark = built.sparkSession
+    folder = shared_folder(spark)
+    for shard in sorted(sizes):
+        pieces: list[list[int]] = [[]]
+        room = max_bytes
+        for part, size in sorted(sizes[shard]):
+            if pieces[-1] and size > room:
+                pieces.append([])
+                room = max_bytes
+            pieces[-1].append(part)
+            room -= size
+        for k, parts in enumerate(pieces):
+            mine = built.where((F.col("shard") == shard) & F.col("part").between(parts[0], parts[-1]))
+            bits = mine.where("bits IS NOT NULL").select("part", "bits").toArrow()
+            held = spark.sparkContext.broadcast(Filter(dict(zip(bits["part"].to_pylist(), bits["bits"].to_pylist(), strict=True))))
+            asked = mine.where("slice IS NOT NULL").select("part", "slice", "words", "exact", "pairs")
+            asked.mapInArrow(_prober(held), REPLY).write.parquet(f"{folder}/shard={shard}-{k}")
+            held.destroy()
+    return spark.read.schema(REPLY).parquet(f"{folder}/shard=*") if sizes else spark.createDataFrame([], REPLY)
+
+
+def _finisher(total: int, distinct: int, unknown: float, mu: float):
+    log_all = np.log10(total + distinct + 1)
+
+    def finish(frame: pa.Table, replies: pa.Table) -> pa.Table:
+        t = _tokens(np.asarray(frame["n"].combine_chunks()[0].values), frame["words"][0].as_py(), frame["word"][0].as_py())
+        replies = replies.sort_by("part")
+        by = np.argsort(t.keys)
+        exact, known = np.zeros(len(by), np.int64), np.zeros(len(by))
+        exact[by] = _joined(replies["exact"], "<i8")
+        known[by] = VALUES[_joined(replies["word_level"], "u1")]
+        _, at = np.unique(t.pairs(), return_inverse=True)
+        both = VALUES[_joined(replies["pair_level"], "u1")][at]
+        p1 = np.where(known > 0, (1 - unknown) * known / max(total, 1), unknown)
+        cv, pw = known[t.before], p1[t.word]
+        # a pair is seen no oftener than its first word
+        p = np.minimum((np.minimum(both, cv) + mu * pw) / (cv + mu), 1.0)
+        starts = t.ends - t.n
+        base = np.log10(exact + 1.0) - log_all
+        sums = (np.add.reduceat(x, starts) for x in ((exact > 0).astype(np.int64)[t.word], base[t.word], np.log10(p)))
+        return pa.table({"doc_id": frame["ids"].combine_chunks()[0].values, "trained": pa.array(np.full(len(t.n), frame["trained"][0].as_py())), "n_tokens": pa.array(t.n), **dict(zip(("n_known", "base_score", "score"), map(pa.array, sums), strict=True))})
+
+    return finish
+
+
+def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text", mu: float = 10.0, slice_bytes: int = 8 << 20, part_tokens: int = 1 << 20, shard_parts: int = 16, max_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of each row of df, by a model of
+    the rows where ``trained`` is true."""
     id_type = df.schema[id].dataType.simpleString()
-    slim = df.select(F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text"))
-    hot = model.hot.toArrow()
-    hot_keys, hot_n = np.asarray(hot["key"]).astype(np.int64).view(np.uint64), np.asarray(hot["n"]).astype(np.int64)
-    by = np.argsort(hot_keys)
-    sharded = len(model.words) > 1
-    if sharded:
-        slim = with_levels(slim, model)
-    words = spark.sparkContext.broadcast((None if sharded else model.load(model.words[0]), hot_keys[by], hot_n[by]))
-    complete = model.distinct <= len(hot_keys)
-    log_all = np.log10(total + model.distinct + 1)
-
-    def scorer(pairs, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (unigrams, hk, hn), bigrams = words.value, pairs.value
-            row = TaskContext.get().partitionId() << 40
-            for b, t in _slices(batches, 1, 1_000_000):
-                known = VALUES[_found(b, t) if unigrams is None else unigrams.levels(t.keys)]
-                p1 = np.where(known > 0, (1 - u) * known / max(total, 1), u)
-                keys, at = t.pairs()
-                mine = bigrams.mine(keys)
-                c = np.zeros(len(keys))
-                c[mine] = VALUES[bigrams.levels(keys[mine])]
-                cv, pw = known[t.before], p1[t.word]
-                # a pair is seen no oftener than its first word
-                p = (np.minimum(c[at], cv) + mu * pw) / (cv + mu)
-                logs = np.where(mine[at], np.log10(np.minimum(p, 1.0)), 0.0)
-                starts = t.ends - t.n
-                part = np.add.reduceat(logs, starts)
-                cols = [pa.array(np.arange(row, row + b.num_rows)), b.column(0), pa.array(t.n), pa.array(part)]
-                row += b.num_rows
-                if first:
-                    i = np.minimum(np.searchsorted(hk, t.keys), max(len(hk) - 1, 0))
-                    exact = np.where(hk[i] == t.keys, hn[i], 0) if len(hk) else np.zeros(len(t.keys), np.int64)
-                    is_hot = exact > 0
-                    base = np.add.reduceat(np.where(is_hot[t.word], np.log10(exact + 1.0)[t.word], 0.0), starts) - t.n * log_all
-                    n_known = np.add.reduceat(is_hot[t.word].astype(np.int64), starts)
-                    # the other words of each text, to be joined with their counts
-                    tail = np.zeros(0, np.int64) if complete else np.flatnonzero(~is_hot[t.word])
-                    doc = np.searchsorted(t.ends, tail, "right")
-                    offsets = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(t.keys[t.word[tail]].view(np.int64)))
-                    cols += [pa.array(base), pa.array(n_known), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "n_tokens", "part", "base", "known", "tail"][: len(cols)])
-
-        return run
-
-    schema = f"rid bigint, doc_id {id_type}, n_tokens bigint, part double"
-    first, *others = model.pairs
-    main = written(slim.mapInArrow(scorer(spark.sparkContext.broadcast(model.load(first)), True), schema + ", base double, known bigint, tail array<bigint>"))
-    tail = main.select("rid", F.explode("tail").alias("key")).join(model.vocabulary, "key")
-    tail = tail.groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("tail_base"), F.count(F.lit(1)).alias("tail_known"))
-    out = main.drop("tail").join(tail, "rid", "left")
-    for shard in others:
-        more = slim.mapInArrow(scorer(spark.sparkContext.broadcast(model.load(shard)), False), schema)
-        out = out.join(written(more).select("rid", F.col("part").alias("more")), "rid").withColumn("part", F.col("part") + F.col("more")).drop("more")
-    zero = F.lit(0)
-    return out.select(
-        "rid",
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"),
-        (F.col("base") + F.coalesce("tail_base", zero.cast("double"))).alias("base_score"),
-        F.col("part").alias("score"),
-    )
-
-
-def held_out(id: str = "doc_id", folds: int = 7, fold: int = 2):
+    slim = df.select(F.coalesce(trained, F.lit(False)).alias("trained"), F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text"))
+    frames = written(slim.mapInArrow(_framer(slice_bytes), FRAME.format(id_type)))
+    tokens = frames.where("trained").agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    parts = max(1, -(-tokens // part_tokens))
+    routed = frames.select("slice", "trained", "n", "words", "word").mapInArrow(_router(parts), ROUTED)
+    folder = shared_folder(df.sparkSession)
+    routed.groupBy("part").applyInArrow(_builder(shard_parts), BUILT).write.partitionBy("shard").parquet(folder)
+    built = df.sparkSession.read.schema(BUILT).parquet(folder)
+    bits = built.where("bits IS NOT NULL")
+    total, distinct, once = (x or 0 for x in bits.agg(F.sum("tokens"), F.sum("distinct"), F.sum("once")).first())
+    sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for shard, part, size in bits.select("shard", "part", F.length("bits")).collect():  # three numbers a part
+        sizes[shard].append((part, size))
+    replies = _replies(built, sizes, max_bytes)
+    unknown = min(0.5, max(once / total if total else 0.5, 1e-9))
+    schema = f"doc_id {id_type}, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    out = frames.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(_finisher(total, distinct, unknown, mu), schema)
+    return out.select("doc_id", "trained", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def held_out(id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % folds == fold
 
 
 def score_documents(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Train on the rows outside the held-out fold and score all rows."""
-    model = Model(df.where(~held_out(id)), text, **kw)
-    out = score(df, model, id, text)
-    return out.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
-    )
+    out = score(df, ~held_out(id), id, text, **kw)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
