@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder, table
 
-__all__ = ["fresh", "shared_folder", "table", "text_or_empty", "written"]
+__all__ = ["discard", "fresh", "shared_folder", "table", "text_or_empty", "written"]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -18,6 +18,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one whose last read is over."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_or_empty(text: str):
     return F.coalesce(F.col(text), F.lit(""))
 

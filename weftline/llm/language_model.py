@@ -27,7 +27,7 @@ How it runs, at any size:
 Tokens: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``, then one end, which also stands before the first
 word.  A null text counts as empty and has the end alone; a null id hashes as ''.  Rows are scored
 one by one, copies included.  An empty training set gives the base log10(1/1) and scores every
-token as unknown.  Words go by 64-bit hashes, pairs within a part by 32 bits.
+token as unknown.  Exact counts go by 64-bit hashes, a part's probes by 32 bits.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_or_empty, written
+from .common import discard, shared_folder, text_or_empty, written
 
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 HASHES = 5
@@ -170,6 +170,11 @@ def _slices(batch: pa.RecordBatch, column: int, weight: int) -> Iterator[pa.Reco
         lo = hi
 
 
+def _squeezed(word: np.ndarray) -> bytes:
+    """Numbers with all their first bytes first, and so on, compressed."""
+    return pa.compress(word.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
 FRAME = "slice bigint, trained boolean, ids array<{}>, n array<bigint>, words binary, word binary"
 
 
@@ -180,8 +185,7 @@ def _framer(weight: int):
             for flag in (True, False):
                 for s in _slices(b.filter(pc.equal(b.column(0), flag)), 2, weight):
                     t = Tokens.of(s.column(2).to_pylist())
-                    word = t.word.astype("<u2" if len(t.keys) <= 1 << 16 else "<u4")
-                    cols = [pa.array([number], pa.int64()), pa.array([flag]), pa.array([s.column(1).to_pylist()], pa.list_(s.column(1).type)), pa.array([t.n], pa.list_(pa.int64())), pa.array([t.keys.tobytes()]), pa.array([word.tobytes()])]
+                    cols = [pa.array([number], pa.int64()), pa.array([flag]), pa.array([s.column(1).to_pylist()], pa.list_(s.column(1).type)), pa.array([t.n], pa.list_(pa.int64())), pa.array([t.keys.tobytes()]), pa.array([_squeezed(t.word)])]
                     yield pa.RecordBatch.from_arrays(cols, ["slice", "trained", "ids", "n", "words", "word"])
                     number += 1
 
@@ -189,8 +193,9 @@ def _framer(weight: int):
 
 
 def _tokens(n: np.ndarray, words: bytes, word: bytes) -> Tokens:
-    width = len(word) // max(int(n.sum()), 1)
-    return Tokens(n, np.frombuffer(word, "<u2" if width == 2 else "<u4"), np.frombuffer(words, "<u8"))
+    raw = pa.decompress(word, decompressed_size=4 * int(n.sum()), codec="zstd", asbytes=True)
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return Tokens(n, numbers, np.frombuffer(words, "<u8"))
 
 
 def _cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -255,17 +260,20 @@ def _builder(shard_parts: int):
         learnt = t.filter(t["trained"])
         words, n = _summed(_joined(learnt["words"], "<u8"), _joined(learnt["word_n"], "<u4"))
         pairs, pair_n = _summed_pairs(_joined(learnt["pairs"], "<u4"), _joined(learnt["pair_n"], "<u4"))
-        bits = build(np.r_[words, pairs.astype(np.uint64) ^ PAIR], np.r_[n, pair_n])
+        few, few_n = _summed(words & np.uint64(0xFFFFFFFF), n)
+        bits = build(np.r_[few, pairs.astype(np.uint64) ^ PAIR], np.r_[few_n, pair_n])
         asked = _joined(t["words"], "<u8")
         i = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
         exact = np.where(words[i] == asked, n[i], 0) if len(words) else np.zeros(len(asked), np.int64)
         at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(t["words"]), np.int64))] // 8
+        # from here on a part's words go by 32 bits, as its pairs do
+        short = _cut((asked & np.uint64(0xFFFFFFFF)).astype("<u4"), at)
         null = pa.nulls(rows, pa.int64())
         cols = {
             "shard": pa.array(np.full(rows + 1, part // shard_parts, np.int32)),
             "part": pa.array(np.full(rows + 1, part, np.int32)),
             "slice": pa.chunked_array([*t["slice"].chunks, pa.array([None], pa.int64())]),
-            "words": pa.chunked_array([*t["words"].chunks, pa.array([None], pa.binary())]),
+            "words": pa.chunked_array([short, pa.array([None], pa.binary())]),
             "exact": pa.chunked_array([_cut(exact, at), pa.array([None], pa.binary())]),
             "pairs": pa.chunked_array([*t["pairs"].chunks, pa.array([None], pa.binary())]),
             "bits": pa.chunked_array([pa.nulls(rows, pa.binary()), pa.array([bits.tobytes()])]),
@@ -282,10 +290,10 @@ REPLY = "part int, slice bigint, exact binary, word_level binary, pair_level bin
 
 def _prober(held):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in _slices(whole, 4, 2 << 20)):
             part = np.asarray(b.column(0))
-            n_words, n_pairs = (np.asarray(pc.binary_length(b.column(i)), np.int64) // w for i, w in ((2, 8), (4, 4)))
-            words, pairs = _joined(b.column(2), "<u8"), _joined(b.column(4), "<u4").astype(np.uint64) ^ PAIR
+            n_words, n_pairs = (np.asarray(pc.binary_length(b.column(i)), np.int64) // 4 for i in (2, 4))
+            words, pairs = _joined(b.column(2), "<u4").astype(np.uint64), _joined(b.column(4), "<u4").astype(np.uint64) ^ PAIR
             level = held.value.levels(np.r_[words, pairs], np.r_[np.repeat(part, n_words), np.repeat(part, n_pairs)])
             made = [_cut(x, np.r_[0, np.cumsum(n)]) for x, n in ((level[: len(words)], n_words), (level[len(words) :], n_pairs))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *made], ["part", "slice", "exact", "word_level", "pair_level"])
@@ -358,6 +366,7 @@ def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text"
     for shard, part, size in bits.select("shard", "part", F.length("bits")).collect():  # three numbers a part
         sizes[shard].append((part, size))
     replies = _replies(built, sizes, max_bytes)
+    discard(df.sparkSession, folder)  # all of it has been read
     unknown = min(0.5, max(once / total if total else 0.5, 1e-9))
     schema = f"doc_id {id_type}, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     out = frames.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(_finisher(total, distinct, unknown, mu), schema)
