@@ -48,7 +48,7 @@ def test_odd_and_empty(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
-def exact_scores(rows, mu=10.0):
+def exact_scores(rows, mu=200.0):
     """The same model with exact counts, by hand."""
     words, pairs = Counter(), Counter()
     for d, t in rows:

@@ -348,7 +348,7 @@ def _finisher(total: int, distinct: int, unknown: float, mu: float):
     return finish
 
 
-def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text", mu: float = 10.0, slice_bytes: int = 8 << 20, part_tokens: int = 1 << 20, shard_parts: int = 16, max_bytes: int = 32 << 20) -> DataFrame:
+def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text", mu: float = 200.0, slice_bytes: int = 8 << 20, part_tokens: int = 1 << 20, shard_parts: int = 16, max_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of each row of df, by a model of
     the rows where ``trained`` is true."""
     id_type = df.schema[id].dataType.simpleString()
@@ -358,7 +358,7 @@ def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text"
     parts = max(1, -(-tokens // part_tokens))
     routed = frames.select("slice", "trained", "n", "words", "word").mapInArrow(_router(parts), ROUTED)
     folder = shared_folder(df.sparkSession)
-    routed.groupBy("part").applyInArrow(_builder(shard_parts), BUILT).write.partitionBy("shard").parquet(folder)
+    routed.repartition(max(1, parts // 2), "part").groupBy("part").applyInArrow(_builder(shard_parts), BUILT).write.partitionBy("shard").parquet(folder)
     built = df.sparkSession.read.schema(BUILT).parquet(folder)
     bits = built.where("bits IS NOT NULL")
     total, distinct, once = (x or 0 for x in bits.agg(F.sum("tokens"), F.sum("distinct"), F.sum("once")).first())
