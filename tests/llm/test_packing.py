@@ -38,7 +38,6 @@ def test_too_long():
 
 def check(rows, docs, tokens):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = sorted((i, p, s, len(x[s : s + tokens]), zlib.crc32(np.array(x[s : s + tokens], "<u4").tobytes())) for i, text in docs for x in [[*t.encode(text or "", add_special_tokens=False).ids, 0]] for p, s in enumerate(range(0, len(x), tokens)))
     assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     bins = defaultdict(list)
@@ -55,6 +54,12 @@ def test_query(spark, sf_dir, small):
     assert used <= least * 1.02 + 1
 
 
+def test_special_strings(spark):
+    texts = ["<|endoftext|> hello", "a<|startoftext|>b <|ENDOFTEXT|>", "plain < text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check(packing.pack(df, PATH, 0, tokens=4).collect(), list(enumerate(texts)), 4)
+
+
 def test_odd_and_empty(odd, none):
     docs = odd.where("doc_id IS NOT NULL")
     rows = packing.pack(docs, PATH, 0, tokens=100, group_pieces=50).collect()

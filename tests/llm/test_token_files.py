@@ -11,17 +11,18 @@ from weftline.llm import queries, token_files, units
 
 PATHS = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")]
 
+SPECIAL = ["<|endoftext|> <|startoftext|>", "a<|endoftext|>b", " x <|EndOfText|> y", "one\n<|startoftext|>, two  <|endoftext|>\n", "<|endoftext| >", "a < b", None]
+
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", PATHS)
 def test_units_are_whole_text(path, small):
     rng, alphabet = random.Random(1), "abC.,;:!?'é ÀŸ\n\n  \t1#$_`\u00a0\u0301\x1c你"
-    texts = [r[0] for r in small.select("text").collect()] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|> <|startoftext|>", None]
+    texts = [r[0] for r in small.select("text").collect()] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(2000)] + SPECIAL
     enc, ids = units.encoder(path, units.spaced(path)), whole(path)
     got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts, 7)]
     assert got == [[*ids(t), 7] for t in texts]
@@ -41,6 +42,13 @@ def test_codes(ids, bits):
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(blocks, back))
 
 
+def test_special_strings(spark):
+    """A tokenizer as it is loaded takes the string of a special token for that token."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SPECIAL)], "doc_id bigint, text string")
+    got = [np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.round_trip(df, PATHS[0], 2).orderBy("doc_id").collect()]
+    assert got == [[*whole(PATHS[0])(t), 2] for t in SPECIAL] and got[1] == [64, 50256, 65, 2]
+
+
 def test_lengths_are_optimal():
     """Against all ways to give four symbols lengths up to 3."""
     from itertools import product

@@ -32,7 +32,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    return token_counts.field_token_counts(table(spark, sf_dir, "documents"), token_counts.document_fields(), path)
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"), token_counts.document_sections(), path)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

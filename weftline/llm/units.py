@@ -5,7 +5,8 @@ the white space after it, nor a plain letter and the punctuation (but for an apo
 changes no id: a text's ids are the ids of its units, one after the other.  Each distinct unit is
 encoded by the tokenizers library once and remembered, in a memory of bounded size; a unit of plain
 letters is one pre-token and goes to the library's model directly.  Texts with white space outside
-ASCII are encoded whole.  The tests compare with whole-text encoding.
+ASCII, and texts that hold the string of an added token, are encoded whole.  The tests compare with
+whole-text encoding.
 """
 
 from __future__ import annotations
@@ -54,7 +55,10 @@ class _Memory(dict):
 class UnitEncoder:
     def __init__(self, path: str, spaced: bool, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # case is ignored, as some vocabularies look for them in lower-cased text
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.marks = sorted({c[0] for c in added})
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced, self.letters = spaced, byte_letters()
@@ -80,8 +84,14 @@ class UnitEncoder:
         tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
         return self.pack([t.id for t in tokens])
 
-    def _parts(self, text: str) -> list[bytes]:
+    def _unsplit(self, text: str) -> bool:
+        """Whether a token of the text may span its units."""
         if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return True
+        return any(c in text or c.isalpha() for c in self.marks) and bool(self.added.search(text))
+
+    def _parts(self, text: str) -> list[bytes]:
+        if self._unsplit(text):
             return [self.whole(text)]
         first, rest = self.first.__getitem__, self.rest.__getitem__
         if not self.spaced:
@@ -98,7 +108,7 @@ class UnitEncoder:
 
     def units(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The characters and the tokens of each unit, in text order; white space must be kept."""
-        if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self._unsplit(text):
             parts, sizes = [self.whole(text)], np.array([len(text)])
         else:
             parts, sizes, at = [], [], 0
