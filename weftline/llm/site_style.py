@@ -1,41 +1,49 @@
 """HTML extraction with a site style tree.
 
 Pages of one host are merged into a style tree: a node is a path of block elements (tag and class or
-id words without digits).  Two entropies tell how important a node is:
+id words without digits), named by a hash of its parent's name and its own style; elements below level
+DEEP belong to their ancestor there.  What tells how important a node is:
 
 presentation  how much its sequences of child styles differ between the pages that have it
 content       how much its texts differ: a text that many of the pages repeat has an entropy near 1
               (in logarithms to the number of pages) and counts little, a text of one page 0
-
-A node's importance is (1 - gamma) * presentation + gamma * the mean of (1 - entropy) over the texts in
-its branch.  Branches under ``threshold`` that at least ``min_pages`` pages have are removed, unless they
-hold ``main_share`` or more of the host's characters, each text's weighted by (1 - entropy); a page that
-would lose all its text keeps it.
-
-Elements and class, id or role words that name menus, headers, footers, sidebars, notices, adverts,
-forms and comments are a prior: they take ``name_weight`` from a node's importance, and decide alone only
-where fewer than ``min_pages`` pages of the host have the node (or the tree would remove it but for
-``main_share``), and the node holds at most half of its page's text.  Ids of headings and paragraphs name
-their text and are not read.  Where ``article`` or ``main`` hold the larger share of what the tree and the
-names leave of a page (ARTICLE characters in advance), only what is inside them stays (their own
-``header`` too), even within an element named as noise if no other article is there; else all that is
-left stays.
+links         what share of the characters in its branch are link texts: a menu whose entries vary
+              from page to page is still all links
+
+A node's importance is ((1 - gamma) * presentation + gamma * the mean of (1 - entropy) over the texts in
+its branch) * (1 - link share).  Branches under ``threshold`` that at least ``min_pages`` pages have are
+removed, unless they hold ``main_share`` or more of the host's characters, each text's weighted by
+(1 - entropy); a page that would lose all its text keeps it.
+
+Element names and class, id or role words are a prior.  Those that name menus, headers, footers,
+sidebars, adverts and reader comments take the second of ``name_weights`` from a node's importance, and
+decide alone only where fewer than ``min_pages`` pages of the host have the node (or the tree would remove
+it but for ``main_share``), and the node holds at most half of its page's text.  Words that only suggest
+such parts (HINTS) take the first, and decide alone only if half of the node's text are links besides, or
+if they are all of a class or id outside ``article`` and ``main``.  Ids of headings and paragraphs name their text and are not read.  Where ``article`` or ``main``
+hold the larger share of what the tree and the names leave of a page (ARTICLE characters in advance), only
+what is inside them stays (their own ``header`` too), even within an element named as noise if no other
+article is there; else all that is left stays.
 
 Both entropies come from sums by (host, node, text) and (host, node, style), combined before the
-shuffle, so a host with any share of the pages is summed in parts.
-
-Character references are decoded, white space within a block becomes one space, blocks are joined
-by one space in page order.  Null html counts as empty and gives an empty text; a null url is the
-host ''.  Repeated pages count each.
+shuffle, so a host with any share of the pages is summed in parts.  The verdicts of all hosts are
+broadcast if they are under ``broadcast_bytes``; beyond, each page's nodes are joined with them and go
+back to their page.
+
+Pages are read by one scan from left to right, in time linear in their length, however deep or broken.
+A tag ends at the first ``>`` outside quotes; where there is none up to the end of the page, from there on at
+the first ``>``, and a ``<`` without either is text.  Character references are decoded, white space within a
+block becomes one space, blocks are joined by one space in page order.  Null html counts as empty and
+gives an empty text; a null url is the host ''.  Repeated pages count each.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +56,7 @@ from .units import in_slices
 from .url_filter import host_path
 
 #: How HTML elements are shown, and words by which pages name what is not the text.
-RAW = "script style title textarea noscript template iframe xmp svg math object canvas audio video select"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>]*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+RAW = frozenset("script style title textarea noscript template iframe xmp svg math object canvas audio video select".split())
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label".split()
@@ -65,81 +68,196 @@ HOLDS = frozenset(("ul", "ol", "dl", "table", "menu", "select", "body", "html"))
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: How many characters less than the rest of the page an article may have: a few tell nothing.
 ARTICLE = 25
+DEEP = 64
 SAYS = frozenset("with without has have no not is show hide".split())
 NOISE_TAGS = frozenset("nav footer aside form head button fieldset dialog menu label option legend".split())
 NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside rail related recommended trending widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow form search comment comments disqus replies respond discussion feedback skip toolbar contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside rail trending widget cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login sharing social comment comments disqus replies respond toolbar contentinfo complementary sharebar sharebuttons sharelinks relatedposts relatedarticles searchform searchbox feedbackform skiplink skiplinks sitenotice followus".split()
 )
+HINTS = frozenset("related recommended notice notices notification alert share follow form search discussion feedback skip".split())
+ROOT = 0
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9-]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
+
+
+@lru_cache(maxsize=4096)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.IGNORECASE)
+
+
+def tags_and_texts(html: str) -> Iterator[tuple[str, str, str]]:
+    """('', text, '') for text, (name, '', attributes) for a start tag, ('/name', '', '') for an end tag."""
+    at, last, plain, next_end = 0, html.rfind(">"), False, -1
+    start = html.find("<")
+    while 0 <= start < last:
+        mark, after = start, -1
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            after, tag = (end + 3 if end >= 0 else len(html)), None
+        elif html[start + 1 : start + 2] in ("!", "?"):
+            end = html.find(">", start)
+            after, tag = end + 1, None
+        elif tag := TAG_NAME.match(html, start + 1):
+            end = -1
+            if not plain:
+                i = tag.end()
+                while m := QUOTE_OR_END.search(html, i):
+                    if m[0] == ">":
+                        end = m.start()
+                        break
+                    i = html.find(m[0], m.end()) + 1
+                    if not i:
+                        break
+                plain = end < 0
+            if end < 0:
+                if next_end < start:
+                    next_end = html.find(">", start)
+                other = html.find("<", tag.end())
+                end = next_end if other < 0 or next_end < other else -1
+            if end >= 0:
+                after = end + 1
+        if after < 0:  # the sign itself
+            start = html.find("<", start + 1)
+            continue
+        if mark > at:
+            yield "", html[at:mark], ""
+        at = after
+        if tag:
+            name = tag[2].lower()
+            if tag[1]:
+                yield "/" + name, "", ""
+            elif name in RAW:
+                closed = _raw_end(name).search(html, at)
+                at = closed.end() if closed else len(html)
+            else:
+                yield name, "", html[tag.end() : at - 1]
+        start = html.find("<", at)
+    # an open comment or raw element goes on to the end
+    rest = html.find("<!--", at)
+    if at < len(html):
+        yield "", html[at : rest if rest >= 0 else len(html)], ""
 
 
 class Page:
-    """blocks: (path, text) in page order.  A path is a tuple of style names.  articles: paths of
-    article and main."""
+    """The blocks of a page in order, (node, text), and its nodes, each after its parent: ``key``,
+    ``parent``, ``style``, whether it is in an article or main, and the text in it (own, and linked).
+    Node 0 is the page itself."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[tuple[str, ...], str]] = []
-        self.styles: dict[tuple[str, ...], list[str]] = {}
-        self.articles: set[tuple[str, ...]] = set()
+        self.blocks: list[tuple[int, str]] = []
+        self.key, self.parent, self.depth, self.style = [ROOT], [0], [0], [""]
+        self.article, self.within = [False], [False]
+        self.own, self.linked = [0], [0]
+        self.children: list[list[str]] = [[]]
+        self.number: dict[tuple[int, str], int] = {}
         if html:
             self._parse(html)
 
+    def _child(self, node: int, tag: str, style: str) -> int:
+        self.children[node].append(style)
+        if self.depth[node] == DEEP:
+            return node
+        got = self.number.setdefault((node, style), len(self.key))
+        if got == len(self.key):
+            self.key.append(child_key(self.key[node], style))
+            self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
+            self.style.append(style)
+            self.article.append(tag in ("article", "main"))
+            self.within.append(self.within[node] or self.article[node])
+            self.own.append(0)
+            self.linked.append(0)
+            self.children.append([])
+        return got
+
     def _parse(self, html: str) -> None:
-        tags: list[str] = []
-        path: tuple[str, ...] = ()
-        paths: list[tuple[str, ...]] = []
+        open_tags: list[str] = []
+        nodes: list[int] = []
+        places: dict[str, list[int]] = defaultdict(list)  # where each tag is open
+        holds = [-1]
         buffer: list[str] = []
-        at = 0
+        linked, in_link, node = 0, False, 0
 
         def flush() -> None:
+            nonlocal linked
             if buffer:
                 text = " ".join(html_lib.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
-                    self.blocks.append((path, text))
+                    self.blocks.append((node, text))
+                    self.own[node] += len(text)
+                    self.linked[node] += min(linked, len(text))
+            linked = 0
 
         def pop(n: int) -> None:
-            nonlocal path
-            del tags[n:], paths[n:]
-            path = paths[-1] if paths else ()
-
-        for m in TOKEN.finditer(html):
-            if m.start() > at:
-                buffer.append(html[at : m.start()])
-            at = m.end()
-            tag = m[3] or m[6]
+            nonlocal node
+            while len(open_tags) > n:
+                tag = open_tags.pop()
+                nodes.pop()
+                places[tag].pop()
+                if tag in HOLDS:
+                    holds.pop()
+            node = nodes[-1] if nodes else 0
+
+        for tag, text, attributes in tags_and_texts(html):
             if not tag:
+                buffer.append(text)
+                if in_link:
+                    linked += len(text.strip())
+                continue
+            if tag in ("a", "/a"):
+                in_link = tag == "a" and "href" in attributes.lower()
                 continue
-            tag = tag.lower()
             if tag in BREAKS:
                 buffer.append(" ")
                 continue
-            if tag not in BLOCKS or tag in VOID:
+            name = tag.lstrip("/")
+            if name not in BLOCKS or name in VOID:
                 continue
             flush()
-            if m[2] or m[5]:
-                for n in range(len(tags) - 1, -1, -1):
-                    if tags[n] == tag:
-                        pop(n)
-                        break
+            if tag[0] == "/":
+                in_link = False
+                if places[name]:
+                    pop(places[name][-1])
                 continue
-            if tags and tags[-1] == "p":
-                pop(len(tags) - 1)
-            for n in range(len(tags) - 1, -1, -1):
-                if tags[n] in HOLDS:
-                    break
-                if tags[n] in CLOSES.get(tag, ()):
-                    pop(n)
-                    break
-            style = ".".join((tag, *dict.fromkeys(_words(m[4] or m[7] or "", tag not in TITLED))))
-            self.styles.setdefault(path, []).append(style)
-            path = (*path, style)
-            if tag in ("article", "main"):
-                self.articles.add(path)
-            tags.append(tag)
-            paths.append(path)
-        buffer.append(html[at:])
+            if open_tags and open_tags[-1] == "p":
+                pop(len(open_tags) - 1)
+            before = max((places[c][-1] for c in CLOSES.get(tag, ()) if places[c]), default=-1)
+            if before > holds[-1]:
+                pop(before)
+            node = self._child(node, tag, style_of(tag, attributes))
+            places[tag].append(len(open_tags))
+            if tag in HOLDS:
+                holds.append(len(open_tags))
+            open_tags.append(tag)
+            nodes.append(node)
         flush()
 
+    def branches(self, own: list[int]) -> list[int]:
+        """Of each node, the sum over its branch."""
+        out = list(own)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+
+@lru_cache(maxsize=65536)
+def style_of(tag: str, attributes: str) -> str:
+    return ".".join((tag, *dict.fromkeys(_words(attributes, tag not in TITLED)))) if attributes else tag
+
+
+@lru_cache(maxsize=65536)
+def child_key(parent: int, style: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent}/{style}") - (1 << 63)
+
+
+def path_key(path: str) -> int:
+    """The name of the node with these styles, from the page down."""
+    key = ROOT
+    for style in path.split("/"):
+        key = child_key(key, style)
+    return key
+
 
 def _words(attributes: str, ids: bool = True) -> list[str]:
     """The words of class, id and role, but for names that say what an element has or lacks."""
@@ -154,133 +272,194 @@ def _words(attributes: str, ids: bool = True) -> list[str]:
     return out
 
 
-def noisy(style: str, above: tuple[str, ...]) -> bool:
-    """Whether an element says by itself that it isn't text."""
+@lru_cache(maxsize=65536)
+def named(style: str, within: bool) -> int:
+    """What an element says of itself: 2 that it isn't text, 1 that it may not be, 0 nothing.  within: in an
+    article or main."""
     tag, *words = style.split(".")
-    if tag in ("html", "body"):
-        return False
+    if tag in ("", "html", "body"):
+        return 0
     if tag in NOISE_TAGS or not NOISE_NAMES.isdisjoint(words) and not (tag in ("article", "main", "header") and words == ["header"]):
-        return True
-    return tag == "header" and not any(x.split(".")[0] in ("article", "main") for x in above)
+        return 2
+    if tag == "header" and not within:
+        return 2
+    return int(not HINTS.isdisjoint(words))
+
+
+@lru_cache(maxsize=65536)
+def whole_hint(style: str) -> bool:
+    """Whether a hint is all of a name: related, but not related-work."""
+    words = style.split(".")[1:]
+    return any(w in HINTS and not any(w in x and x != w for x in words) for w in words)
 
 
 def _key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def _observed(hosts: list[str], htmls: list[str | None]) -> Counter:
-    """What some pages add: (host, path, kind, feature) -> pages, times, sum of c ln c, characters."""
-    seen: dict[tuple, np.ndarray] = {}
+OBSERVED = "host string, node bigint, kind int, feature bigint, pages bigint, times bigint, clnc double, chars bigint, linked bigint, named int, path binary"
+
+
+def _observed(hosts: list[str], htmls: list[str | None]) -> dict[tuple, list]:
+    """What some pages add: (host, node, kind, feature) -> pages, times, sum of c ln c, characters, linked
+    characters, name, and the names of the node and those above it."""
+    seen: dict[tuple, list] = {}
     for host, html in zip(hosts, htmls, strict=True):
         page = Page(html)
-        texts: Counter = Counter((p, t) for p, t in page.blocks)
-        rows = [(("/".join(p), 1, _key(t)), c, len(t) * c) for (p, t), c in texts.items()]
-        rows += [(("/".join(p), 0, _key(*s)), 1, 0) for p, s in page.styles.items() if p]
-        for node in {p[:k] for p, _ in page.blocks for k in range(1, len(p) + 1)}:
-            rows.append((("/".join(node), 2, 0), 1, 0))
-        for (path, kind, feature), c, chars in rows:
-            key = (host, path, kind, feature)
-            add = np.array([1, c, c * np.log(c), chars])
-            seen[key] = seen[key] + add if key in seen else add
+        held = page.branches(page.own)
+        texts = Counter(page.blocks)
+        rows = [((page.key[i], 1, _key(t)), c, len(t) * c, 0, 0, None) for (i, t), c in texts.items()]
+        paths = [b""]
+        for i in range(1, len(page.key)):
+            path = paths[page.parent[i]] + page.key[i].to_bytes(8, "little", signed=True)
+            paths.append(path)
+            if held[i]:
+                rows.append(((page.key[i], 2, 0), 1, page.own[i], page.linked[i], named(page.style[i], page.within[i]), path))
+            if page.children[i]:
+                rows.append(((page.key[i], 0, _key(*page.children[i])), 1, 0, 0, 0, None))
+        if page.own[0]:
+            rows.append(((ROOT, 2, 0), 1, page.own[0], page.linked[0], 0, b""))
+        for feature, c, chars, linked, name, path in rows:
+            had = seen.setdefault((host, *feature), [0, 0, 0.0, 0, 0, 0, path])
+            had[0] += 1
+            had[1] += c
+            had[2] += c * np.log(c) if c > 1 else 0.0
+            had[3] += chars
+            had[4] += linked
+            had[5] = max(had[5], name)
     return seen
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html", gamma: float = 0.9) -> DataFrame:
-    """(host, path, pages, chars, new_chars, importance) of every node that has text in its branch."""
+    """(host, node, pages, chars, new_chars, importance, named) of every node that has text in its branch."""
     slim = pages.select(host_path(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kinds = [(f.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[f.split()[1]]) for f in OBSERVED.split(", ")]
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, htmls = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in in_slices(htmls):
                 seen = _observed(hosts[lo:hi], htmls[lo:hi])
-                sums = np.array(list(seen.values()), float).reshape(-1, 4)
-                keys = list(zip(*seen, strict=True)) or [(), (), (), ()]
-                cols = [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64())]
-                cols += [pa.array(sums[:, i].astype(np.int64)) if i != 2 else pa.array(sums[:, 2]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(cols, ["host", "path", "kind", "feature", "pages", "times", "clnc", "chars"])
-
-    seen = slim.mapInArrow(observe, "host string, path string, kind int, feature bigint, pages bigint, times bigint, clnc double, chars bigint")
-    seen = written(seen.groupBy("host", "path", "kind", "feature").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "clnc", "chars"))))
-    nodes = seen.where("kind = 2").select("host", "path", F.col("pages").alias("m"))
+                cols = list(zip(*((*k, *v) for k, v in seen.items()), strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
+
+    seen = slim.mapInArrow(observe, OBSERVED).groupBy("host", "node", "kind", "feature")
+    seen = written(seen.agg(*(F.sum(c).alias(c) for c in ("pages", "times", "clnc", "chars", "linked")), F.max("named").alias("named"), F.max("path").alias("path")))
+    nodes = seen.where("kind = 2").select("host", "node", F.col("pages").alias("m"), "linked", "named", "path")
     ln = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
     # The entropy of a text with T times and S = sum of c ln c is (ln T - S / T) / ln m, that of a node's
     # styles (ln m - sum of c ln c / m) / ln m: both are sums first, and only sums meet the node's m.
     times = F.col("times").cast("double")
-    text = seen.where("kind = 1").groupBy("host", "path").agg(F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum(times * F.log(times) - F.col("clnc")).alias("spread"), F.sum(F.col("chars") * (F.log(times) - F.col("clnc") / times)).alias("old_chars"))
-    text = text.join(nodes, ["host", "path"]).withColumns({"new": F.col("times") - F.col("spread") / ln, "new_chars": F.col("chars") - F.col("old_chars") / ln})
-    steps = F.split("path", "/")
-    branch = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
-    content = text.select("host", branch.alias("path"), "new", "times", "chars", "new_chars").groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("new", "times", "chars", "new_chars")))
+    text = seen.where("kind = 1").groupBy("host", "node").agg(F.sum("times").alias("times"), F.sum("chars").alias("chars"), F.sum(times * F.log(times) - F.col("clnc")).alias("spread"), F.sum(F.col("chars") * (F.log(times) - F.col("clnc") / times)).alias("old_chars"))
+    text = text.join(nodes, ["host", "node"]).withColumns({"new": F.col("times") - F.col("spread") / ln, "new_chars": F.col("chars") - F.col("old_chars") / ln})
+    # a node's text counts for it and for all above it, DEEP at most
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("path") / 8 - 1, F.lit(0)).cast("int")), lambda k: F.substring("path", k * 8 + 1, F.lit(8))))
+    sums = ("new", "times", "chars", "new_chars", "linked")
+    content = text.select("host", above.alias("id"), *sums).groupBy("host", "id").agg(*(F.sum(c).alias(c) for c in sums))
     pages_ = F.col("pages").cast("double")
-    style = seen.where("kind = 0").groupBy("host", "path").agg(F.sum("pages").alias("c"), F.sum(pages_ * F.log(pages_)).alias("clnc"))
-    out = content.join(nodes, ["host", "path"]).join(style, ["host", "path"], "left")
+    style = seen.where("kind = 0").groupBy("host", "node").agg(F.sum("pages").alias("c"), F.sum(pages_ * F.log(pages_)).alias("clnc"))
+    own = nodes.select("host", "node", "m", "named", F.substring("path", F.greatest(F.length("path") - 7, F.lit(1)), F.lit(8)).alias("id"))
+    out = content.join(own, ["host", "id"]).join(style, ["host", "node"], "left")
     presentation = (F.col("c") * F.log(F.col("m").cast("double")) - F.col("clnc")) / F.col("m") / ln
     varied = F.when(F.col("m") == 1, 1.0).otherwise(F.coalesce(presentation, F.lit(0.0)))
-    return out.select("host", "path", F.col("m").alias("pages"), "chars", "new_chars", ((1 - gamma) * varied + gamma * F.col("new") / F.col("times")).alias("importance"))
+    text_share = 1 - F.col("linked") / F.col("chars")
+    return out.select("host", "node", F.col("m").alias("pages"), "chars", (F.col("new_chars") * text_share).alias("new_chars"), (((1 - gamma) * varied + gamma * F.col("new") / F.col("times")) * text_share).alias("importance"), "named")
 
 
-def unimportant(tree: DataFrame, threshold: float = 0.3, min_pages: int = 5, main_share: float = 0.2, name_weight: float = 0.3) -> DataFrame:
-    """(host, paths, kept): the branches to remove, and those that stay although their names say noise."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths = [tuple(p.split("/")) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([noisy(p[-1], p[:-1]) for p in paths], pa.bool_())], [*b.schema.names, "named"])
-
-    known = tree.where(F.col("pages") >= min_pages).select("host", "path", "new_chars", "importance")
-    known = known.mapInArrow(name, "host string, path string, new_chars double, importance double, named boolean")
+def verdicts(tree: DataFrame, threshold: float = 0.35, min_pages: int = 5, main_share: float = 0.2, name_weights: tuple[float, float] = (0.3, 0.65)) -> DataFrame:
+    """(host, node, low): the branches to remove, and (low false) those that stay although their names say
+    noise."""
+    known = tree.where(F.col("pages") >= min_pages)
     whole = tree.groupBy("host").agg(F.max("new_chars").alias("all"))
-    low = F.col("importance") - F.when(F.col("named"), name_weight).otherwise(0.0) < threshold
-    out = known.join(whole, "host").withColumns({"low": low & (F.col("new_chars") < main_share * F.col("all")), "high": F.col("named") & ~low}).where("low or high")
-    return out.groupBy("host").agg(*(F.collect_set(F.when(F.col(c), F.col("path"))).alias(a) for c, a in (("low", "paths"), ("high", "kept"))))
+    under = F.col("importance") - F.when(F.col("named") == 1, name_weights[0]).when(F.col("named") == 2, name_weights[1]).otherwise(0.0) < threshold
+    judged = known.join(whole, "host").withColumns({"low": under & (F.col("new_chars") < main_share * F.col("all")), "high": (F.col("named") > 0) & ~under})
+    return judged.where("low or high").select("host", "node", "low")
 
 
-def main_text(html: str | None, low: frozenset[str] = frozenset(), kept: frozenset[str] = frozenset()) -> str:
+def main_text(html: str | None, low: frozenset[int] = frozenset(), kept: frozenset[int] = frozenset()) -> str:
     page = Page(html)
     return _kept_text(page, low, kept) or (_kept_text(page, frozenset(), kept) if low else "")
 
 
-def _kept_text(page: Page, low: frozenset[str], kept: frozenset[str]) -> str:
-    own: Counter = Counter()
-    for path, text in page.blocks:
-        own[path] += len(text)
-    held: Counter = Counter()
-    for path, n in own.items():
-        held.update({path[:k]: n for k in range(1, len(path) + 1)})
-    total = sum(own.values())
-
-    @cache
-    def named(p: tuple[str, ...]) -> bool:
-        return noisy(p[-1], p[:-1]) and 2 * held[p] <= total and "/".join(p) not in kept
-
-    ups = lambda p: [p[: k + 1] for k in range(len(p))]
-    found = {p for p in page.articles if not named(p)}
-    # articles that only elements named as noise hold are what the page has
-    plain = {p for p in found if not any(map(named, ups(p)))}
-    stays = lambda p, shown: not any((named(q) and q not in shown) or "/".join(q) in low for q in ups(p))
-    shown = set() if plain else {q for p in found for q in ups(p)}
-    keep = {p for p in own if stays(p, shown)}
-    inside = {p for p in keep if not (plain or found).isdisjoint(ups(p))}
-    if inside and 2 * sum(map(own.get, inside)) + ARTICLE >= sum(map(own.get, keep)):
+def _kept_text(page: Page, low: frozenset[int], kept: frozenset[int]) -> str:
+    n, parent, own = len(page.key), page.parent, page.own
+    held, linked = page.branches(own), page.branches(page.linked)
+    total = held[0]
+    noise = [False] * n  # by its own name
+    for i in range(1, n):
+        says = named(page.style[i], page.within[i])
+        sure = says == 2 or says == 1 and (2 * linked[i] >= held[i] > 0 or not page.within[i] and whole_hint(page.style[i]))
+        noise[i] = sure and 2 * held[i] <= total and page.key[i] not in kept
+
+    def down(start: list[bool]) -> list[bool]:
+        """Whether a node or one above it is so."""
+        out = list(start)
+        for i in range(1, n):
+            out[i] = out[i] or out[parent[i]]
+        return out
+
+    removed, hidden = down([k in low for k in page.key]), down(noise)
+    articles = [a and not x for a, x in zip(page.article, noise, strict=True)]
+    plain = [a and not h for a, h in zip(articles, hidden, strict=True)]
+    some = [i for i in range(n) if own[i]]
+    shown = [False] * n
+    if not any(plain):  # articles that only elements named as noise hold are what the page has
+        for i in range(n - 1, 0, -1):
+            shown[i] = shown[i] or articles[i]
+            shown[parent[i]] = shown[parent[i]] or shown[i]
+    bad = down([x and not s for x, s in zip(noise, shown, strict=True)])
+    keep = {i for i in some if not bad[i] and not removed[i]}
+    inner = down(plain if any(plain) else articles)
+    inside = {i for i in keep if inner[i]}
+    if inside and 2 * sum(own[i] for i in inside) + ARTICLE >= sum(own[i] for i in keep):
         keep = inside
-    elif shown:
-        keep = {p for p in own if stays(p, set())}
-    return " ".join(text for path, text in page.blocks if path in keep)
+    elif any(shown):
+        keep = {i for i in some if not hidden[i] and not removed[i]}
+    return " ".join(text for i, text in page.blocks if i in keep)
 
 
-def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", gamma: float = 0.9, **low) -> DataFrame:
+def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", gamma: float = 0.9, broadcast_bytes: int = 8 << 20, **low) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    removed = written(unimportant(style_tree(pages, url, html, gamma), **low))
-    slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host_path(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    joined = slim.join(removed, "host", "left").select("page_id", "url", "html", "paths", "kept")
+    found = written(verdicts(style_tree(pages, url, html, gamma), **low))
+    host = host_path(F.col(url))[0]
+    slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    size = found.agg(F.sum(F.length("host") + 17)).first()[0] or 0
+    if size <= broadcast_bytes:
+        by_host: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+        for h, node, is_low in found.toLocalIterator():
+            by_host[h][0 if is_low else 1].add(node)
+        held = pages.sparkSession.sparkContext.broadcast(dict(by_host))
+        joined, nothing = slim.withColumns({"low": F.lit(None).cast("array<bigint>"), "kept": F.lit(None).cast("array<bigint>")}), (frozenset(), frozenset())
+        choose = lambda h, low, kept: held.value.get(h, nothing)
+    else:
+        joined = _with_verdicts(slim, found)
+        choose = lambda h, low, kept: (frozenset(low or ()), frozenset(kept or ()))
     kinds = f"page_id {pages.schema[id].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}, text string, n_chars bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            htmls, paths, kept = (b.column(i).to_pylist() for i in (2, 3, 4))
+            hosts, htmls, low, kept = (b.column(i).to_pylist() for i in (2, 3, 4, 5))
             for lo, hi in in_slices(htmls):
-                out = [main_text(h, frozenset(p or ()), frozenset(k or ())) for h, p, k in zip(htmls[lo:hi], paths[lo:hi], kept[lo:hi], strict=True)]
+                out = [main_text(htmls[i], *choose(hosts[i], low[i], kept[i])) for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, kinds)
+    return joined.select("page_id", "url", "host", "html", "low", "kept").mapInArrow(run, kinds)
+
+
+def _with_verdicts(slim: DataFrame, found: DataFrame) -> DataFrame:
+    """slim with what is said of each page's own nodes: as many at most as the page has.  Pages of equal
+    host and html are judged once."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            htmls = b.column(3).to_pylist()
+            for lo, hi in in_slices(htmls):
+                keys = [Page(h).key for h in htmls[lo:hi]]
+                at = pa.array(np.repeat(np.arange(lo, hi), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array([k for ks in keys for k in ks], pa.int64())], ["p", "q", "host", "node"])
+
+    keyed = slim.withColumns({"p": F.xxhash64("host", "html"), "q": F.crc32(F.col("html").cast("binary"))})
+    have = keyed.select("p", "q", "host", "html").dropDuplicates(["p", "q"]).mapInArrow(nodes, "p bigint, q bigint, host string, node bigint")
+    lists = (F.collect_list(F.when(F.col("low") == x, F.col("node"))).alias(a) for x, a in ((True, "low"), (False, "kept")))
+    said = written(written(have).join(found, ["host", "node"]).groupBy("p", "q").agg(*lists))
+    return keyed.join(said, ["p", "q"], "left")
