@@ -6,9 +6,11 @@
 2. Classes that share a band's hash are candidates.  Instead of all pairs of a bucket, each member
    is tied to the bucket's least, and connected candidates form a cluster.
 3. Only clusters ship shingle sets.  A cluster is dealt into blocks of bounded rows and shingles; each
-   pair of blocks is one task's work.  There, pairs that share a band are verified on their full
-   sets; what leaves the task is a number of links for each class and a forest over what is linked,
-   so a cluster of n classes yields rows in proportion to n times its blocks, and no link is lost.
+   pair of blocks is one task's work.  A class goes to the pairs of its block with those blocks that hold
+   a class of one of its own buckets, so its copies are bounded by the blocks of its candidates: a long chain
+   of sparse buckets costs each class a few copies, however long.  There, pairs that share a band are
+   verified on their full sets; what leaves the task is a number of links for each class and a forest
+   over what is linked, and no link is lost.
 4. Linked classes are joined into groups.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are.  A text of fewer words than a shingle is one
@@ -190,7 +192,14 @@ def _linked(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(cid[some]), "b": pa.array(cid[root[some]]), "links": pa.array(links[some].astype(np.int64))})
 
 
-def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_rows: int = 1500, block_shingles: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
+def _meetings(members: DataFrame) -> DataFrame:
+    """(cid, others): of each class of a cluster with several blocks, the blocks that hold its candidates."""
+    marks = members.where("blocks > 1").select("cid", "block", F.posexplode("bands").alias("band", "hash"))
+    present = written(marks.groupBy("band", "hash").agg(F.collect_set("block").alias("blocks")))
+    return marks.join(present, ["band", "hash"]).select("cid", F.explode("blocks").alias("other")).groupBy("cid").agg(F.collect_set("other").alias("others"))
+
+
+def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_rows: int = 500, block_shingles: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
     """The signatures of df's rows, and of every class with members: cid, size, first (id,
     text_hash and rid of the row that names it), links and group (the first of its group)."""
     bands, rows = banding(threshold, recall)
@@ -208,7 +217,9 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     members = classes.join(clusters.withColumnRenamed("vertex", "cid"), "cid")
     sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     sums = sums.select("component", F.expr(f"greatest((rows - 1) div {block_rows}, (shingles - 1) div {block_shingles}) + 1").alias("blocks"))
-    members = members.join(sums, "component").select("component", "blocks", "cid", "size", "bands", "first")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    members = written(members.join(sums, "component").select("component", "blocks", block.alias("block"), "cid", "size", "bands", "first"))
+    members = members.join(_meetings(members), "cid", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("bigint")))).drop("blocks")
     wanted = written(members.select("*", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash")).drop("first"))
     texts = df.select(F.col(id).alias("id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).cast("binary").alias("text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"]) & (texts["text_hash"] == wanted["want_hash"]))
@@ -220,14 +231,13 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
                 sets = shingle_sets(raw[lo:hi], words)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[k] for k in ("component", "blocks", "cid", "size", "bands")), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["component", "blocks", "cid", "size", "bands", "n", "shingles"],
+                    [*(part[k] for k in ("component", "block", "others", "cid", "size", "bands")), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["component", "block", "others", "cid", "size", "bands", "n", "shingles"],
                 )
 
-    full = found.select("component", "blocks", "cid", "size", "bands", "text").mapInArrow(resolve, "component bigint, blocks bigint, cid bigint, size bigint, bands array<bigint>, n bigint, shingles binary")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    met = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda p: F.struct(F.least(F.col("block"), p).alias("lo"), F.greatest(F.col("block"), p).alias("hi")))
-    dealt = full.withColumn("block", block).withColumn("meet", F.explode(met)).select("component", "meet.lo", "meet.hi", "block", "cid", "size", "n", "bands", "shingles")
+    full = found.select("component", "block", "others", "cid", "size", "bands", "text").mapInArrow(resolve, "component bigint, block bigint, others array<bigint>, cid bigint, size bigint, bands array<bigint>, n bigint, shingles binary")
+    met = F.transform("others", lambda p: F.struct(F.least(F.col("block"), p).alias("lo"), F.greatest(F.col("block"), p).alias("hi")))
+    dealt = full.withColumn("meet", F.explode(met)).select("component", "meet.lo", "meet.hi", "block", "cid", "size", "n", "bands", "shingles")
     linked = written(dealt.groupBy("component", "lo", "hi").applyInArrow(lambda t: _linked(t, threshold), "a bigint, b bigint, links bigint"))
 
     links = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
