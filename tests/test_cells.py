@@ -14,6 +14,9 @@ from weftline.plans.ranges import running_sum
 from weftline.plans.slots import SlotDrive
 
 
+OPTION = "struct<some:bigint>"
+
+
 def frame(spark, values, kind="bigint"):
     return spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], f"seq bigint, k int, x {kind}").coalesce(1)
 
@@ -42,8 +45,9 @@ def test_stateless_literals(spark):
     assert step(spark, Feedback(Chain(n.inc, n.double), n.inc), 1) == [12]
     assert [step(spark, c, 5)[0] for c in (Rep(3, n.inc), Rep(0, n.inc), Chain(Rep(2, n.inc), n.double))] == [8, 5, 14]
     assert step(spark, diamond(n.inc, n.inc, n.double, n.sum_pair), 4) == [16]
-    assert step(spark, Opt(n.inc), None, 5) == [None, 6]
-    assert step(spark, Chain(Opt(n.inc), Opt(n.double)), 5, None) == [12, None]
+    assert step(spark, Opt(n.inc), None, (5,), kind=OPTION) == [None, (6,)]
+    assert step(spark, Chain(Opt(n.inc), Opt(n.double)), (5,), None, kind=OPTION) == [(12,), None]
+    assert step(spark, Chain(n.lift_some, Opt(n.double)), 5) == [(10,)]
     assert step(spark, Chain(n.total, n.double), [1, 2, 3], kind="array<bigint>") == [12]
     assert step(spark, Choice(n.inc, n.double), ("A", 5, None), ("B", None, 2), kind="struct<tag:string,a:bigint,b:bigint>") == [("A", 6, None), ("B", None, 4)]
 
@@ -63,7 +67,8 @@ def test_stateful_literals_are_the_same_by_every_plan(spark):
     merge = Merge(n.inc, n.double, n.counter)
     for how in ("window", "fold", "scan"):
         assert seq(spark, merge, [(5, 5), (1, 1)], how, "struct<_1:bigint,_2:bigint>") == [16, 20]
-        assert seq(spark, Opt(n.counter), [1, None, 2], how) == [1, None, 3]
+        assert seq(spark, Opt(n.counter), [(1,), None, (2,)], how, OPTION) == [(1,), None, (3,)]
+        assert seq(spark, Broadcast(n.lift_some, Opt(n.counter), Opt(n.inc)), [1, 2], how) == [((1,), (2,)), ((3,), (3,))]
         both = Choice(n.counter, n.counter)
         assert seq(spark, both, [("A", 1, None), ("B", None, 5), ("A", 2, None)], how, "struct<tag:string,a:bigint,b:bigint>") == [("A", 1, None), ("B", None, 5), ("A", 3, None)]
 
@@ -88,6 +93,10 @@ def test_laws(spark):
 def test_types_are_checked_before_any_job():
     with pytest.raises(PortMismatch):
         Chain(n.inc, n.normalize)
+    with pytest.raises(PortMismatch):
+        Chain(n.lift_some, n.double)  # an option is not its value
+    with pytest.raises(PortMismatch):
+        Chain(n.inc, Opt(n.double))
     with pytest.raises(PortMismatch):
         assert_wiring(n.inc, n.parse)
     with pytest.raises(PortMismatch):
@@ -116,7 +125,8 @@ def test_contracts():
     with pytest.raises(ContractError):
         declare_inline_loop_moore(n.inc)
     with pytest.raises(ContractError):
-        Static(n.counter).check()
+        Static(n.scaler(7)).check()
+    Static(n.counter).check()
 
 
 def test_plans(spark):
@@ -203,3 +213,46 @@ def test_packets(spark):
     got = drive(netpath.path, frame(spark, raw, "string"), "x", "o")
     assert [tuple(r) for r in outputs(got)] == [(8080, 10, 7), (8080, 20, 7), (9090, 30, 7), (0, 0, 0), (0, 5, 7)]
     assert sum(r["bytes"] for r in netpath.delivered_table(got, "o").collect()) == 28
+
+
+def test_static_plans(spark):
+    """Windows for state; a plan with a Python node or an exchange of its own is refused."""
+    df = frame(spark, [5, 3, 2])
+    made = run_static(Static(Chain(n.counter, n.double)), df, "x", "o", ["k"], ["seq"])
+    assert outputs(made) == [10, 16, 20] and "InArrow" not in plan(made)
+    with pytest.raises(ContractError):
+        Static(n.inc).check_plan(drive_link(n.inc, n.double, QueueCarrier(), df, "x", "o"), df)
+    with pytest.raises(ContractError):
+        Static(n.inc).check_plan(drive_link(n.inc, n.double, ChannelCarrier(("k",)), df, "x", "o"), df)
+
+
+def test_lines_are_split_once(spark, sf_dir):
+    """The words of a line are bound once, and all windows share one sort."""
+    from weftline.catalog import QUERIES
+
+    for name, splits in (("q60_kv_replies", 1), ("q63_kv_parse", 1), ("q70_world_state", 2)):
+        df = QUERIES[name](spark, sf_dir)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == splits, name
+        if name != "q63_kv_parse":
+            assert plan(df).count("Sort [") == 1 and plan(df).count("Exchange ") == 1
+
+
+def test_long_keys_are_scanned(spark):
+    from weftline.plans.drive import fold
+
+    rows = [(i, i % 4 if i % 9 else None, i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows + [(1000, 77, 1)], "seq bigint, k int, x bigint")
+    want = outputs(drive_seq(n.counter, df, "x", "o", ["k"], ["seq"], "window"))
+    for most in (10, 50, 1000):
+        assert outputs(fold(n.counter, df, "x", "o", ["k"], ["seq"], most)) == want
+
+
+def test_final_states(spark):
+    from weftline.plans.drive import final_state
+
+    df = spark.createDataFrame([(i, i % 3 if i % 5 else None, i) for i in range(40)], "seq bigint, k int, x bigint")
+    for cell in (n.counter, n.scaler(1_000_003), Rep(2, n.counter)):
+        got = {r["k"]: r["state"] for r in final_state(cell, df, "x", ["k"], ["seq"]).collect()} if hasattr(cell, "final") else None
+        if got is not None:
+            last = {r["k"]: r["o"] for r in drive_seq(cell, df, "x", "o", ["k"], ["seq"], "scan").orderBy("seq").collect()}
+            assert got == last

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ports import LONG, STRING, strict_int, struct_type
+from ..functions.ports import LONG, STRING, let, strict_int, struct_type
 from ..operators.cell import Stateful, Stateless
 
 CMD = struct_type(tag=STRING, key=STRING, value=LONG, msg=STRING)
@@ -19,7 +19,11 @@ BLANKS = r"[\s]+"
 
 
 def _parse(line: Column) -> Column:
-    words = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), BLANKS)
+    """The words are bound once, so that taking the command apart does not split the line again."""
+    return let(F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), BLANKS), _command)
+
+
+def _command(words: Column) -> Column:
     word = lambda i: F.nullif(F.get(words, F.lit(i)), F.lit(""))
     verb, key, value = word(0), word(1), word(2)
     number = strict_int(value)
@@ -46,6 +50,11 @@ def _parse(line: Column) -> Column:
 cmd_parse = Stateless(STRING, CMD, _parse)
 
 
+def spoken(df: DataFrame, line: str) -> DataFrame:
+    """Without blank lines, which a session skips."""
+    return df.where(F.col(line).rlike(r"\S"))
+
+
 def _encode(r: Column) -> Column:
     return (
         F.when(r["tag"] == "INT", F.concat(F.lit(":"), r["i"].cast("string"), F.lit("\r\n")))
@@ -60,19 +69,22 @@ resp_encode = Stateless(REPLY, STRING, _encode)
 
 
 def replies(df: DataFrame, cmd: str, order: list[str], max_value: int = 1_000_000) -> DataFrame:
-    """df with ``reply`` (tag, i, text, log), for a store whose number of keys has no limit."""
+    """df with ``reply`` (tag, i, text, log), for a store whose number of keys has no limit.  All windows
+    share one sort.  Rows without a key need no state; each is a partition of its own."""
     c = F.col(cmd)
     rows = df.withColumns({"__tag": c["tag"], "__k": c["key"], "__v": c["value"]})
     accepted = (F.col("__tag") == "SET") & (F.col("__v") <= max_value)
-    rows = rows.withColumn("__opens", (accepted | (F.col("__tag") == "DEL")).cast("int"))
-    sofar = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__g", F.sum("__opens").over(sofar))
-    group = Window.partitionBy("__k", "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__base", F.first(F.when(accepted, F.col("__v")), ignorenulls=True).over(group))
-    rows = rows.withColumn("__inc", F.sum(F.when(F.col("__tag") == "INCR", 1).otherwise(0)).over(group))
+    alone = F.when(F.col("__k").isNull(), F.xxhash64(*order))
+    key = Window.partitionBy("__k", "__alone").orderBy(*order)
+    sofar = key.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__alone", alone).withColumn("__all", F.sum(F.when(F.col("__tag") == "INCR", 1).otherwise(0)).over(sofar))
+    # what the last accepted SET or DEL left, and the INCRs up to it
+    opens = F.when(accepted | (F.col("__tag") == "DEL"), F.struct(F.when(accepted, F.col("__v")).alias("v"), F.col("__all").alias("n")))
+    rows = rows.withColumn("__open", F.last(opens, ignorenulls=True).over(sofar))
+    rows = rows.withColumns({"__base": F.col("__open")["v"], "__inc": F.col("__all") - F.coalesce(F.col("__open")["n"], F.lit(0))})
     held = F.when(F.col("__base").isNotNull(), F.col("__base") + F.col("__inc")).when(F.col("__inc") > 0, F.col("__inc"))
     rows = rows.withColumn("__held", held)
-    rows = rows.withColumn("__had", F.lag("__held").over(Window.partitionBy("__k").orderBy(*order)).isNotNull())
+    rows = rows.withColumn("__had", F.lag("__held").over(key).isNotNull())
     tag, key, value = F.col("__tag"), F.col("__k"), F.col("__v")
     null, none = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     reply = lambda t, i=none, text=null, log=null: F.struct(F.lit(t).alias("tag"), i.cast("bigint").alias("i"), text.alias("text"), log.alias("log"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ports import DOUBLE, LONG, STRING, pair_type, result, result_type, strict_int, wrap32
+from ..functions.ports import DOUBLE, LONG, STRING, pair_type, result, result_type, some, some_type, strict_int, wrap32
 from ..operators.cell import Stateful, Stateless
 
 inc = Stateless(LONG, LONG, lambda x: x + 1, lambda x: x + 1)
@@ -13,7 +13,7 @@ double = Stateless(LONG, LONG, lambda x: x * 2, lambda x: x * 2)
 triple = Stateless(LONG, LONG, lambda x: x * 3, lambda x: x * 3)
 passed = Stateless(LONG, LONG, lambda x: x, lambda x: x)
 identity_feed = Stateless(LONG, LONG, lambda x: x, lambda x: x, moore=True)
-lift_some = Stateless(LONG, LONG, lambda x: x, lambda x: x)
+lift_some = Stateless(LONG, some_type(LONG), some, lambda x: (x,))
 sum_pair = Stateless(pair_type(LONG, LONG), LONG, lambda p: p["_1"] + p["_2"], lambda p: p[0] + p[1])
 total = Stateless(T.ArrayType(LONG), LONG, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x), sum)
 to_double = Stateless(LONG, DOUBLE, lambda x: x.cast("double"), float)
@@ -30,7 +30,7 @@ def wrapping_scale(k: int) -> Stateless:
     return Stateless(LONG, LONG, lambda x: wrap32(x * k), lambda x: (x * k + (1 << 31)) % (1 << 32) - (1 << 31))
 
 
-counter = Stateful(LONG, LONG, LONG, 0, lambda s, x: (s + x, s + x), lambda s, x: (s + x, s + x), over=lambda x, w: F.sum(x).over(w))
+counter = Stateful(LONG, LONG, LONG, 0, lambda s, x: (s + x, s + x), lambda s, x: (s + x, s + x), over=lambda x, w: F.sum(x).over(w), final=F.sum)
 
 #: Counts its inputs and passes them on as doubles.
 sensor = Stateful(LONG, DOUBLE, LONG, 0, lambda s, x: (s + 1, x.cast("double")), lambda s, x: (s + 1, float(x)), over=lambda x, w: x.cast("double"))

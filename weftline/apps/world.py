@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ports import LONG, STRING, pair_type, strict_int, struct_type
+from ..functions.ports import LONG, STRING, let, pair_type, strict_int, struct_type
 from ..operators.cell import Stateful, Stateless
 from ..operators.compose import Broadcast
 
@@ -15,11 +17,16 @@ VIEW = T.ArrayType(STRING)
 
 
 def _event(line: Column) -> Column:
-    words = F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+")
+    """The words are bound once, so that taking the event apart does not split the line again."""
+    words, rest = F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+"), F.get(F.split(line, r"\s", 3), F.lit(2))
+    return let(F.struct(words.alias("words"), rest.alias("rest")), lambda p: _said(p["words"], p["rest"]))
+
+
+def _said(words: Column, rest: Column) -> Column:
     word = lambda i: F.nullif(F.get(words, F.lit(i)), F.lit(""))
     name = F.coalesce(word(1), F.lit("?"))
     number = lambda i: F.coalesce(strict_int(word(i), low=-(1 << 31), high=(1 << 31) - 1), F.lit(0).cast("bigint"))
-    text = F.coalesce(F.get(F.split(line, r"\s", 3), F.lit(2)), F.lit(""))
+    text = F.coalesce(rest, F.lit(""))
     none, null = F.lit(None).cast("bigint"), F.lit(None).cast("string")
     event = lambda tag, n=null, x=none, y=none, t=null: F.struct(F.lit(tag).alias("tag"), n.alias("name"), x.alias("x"), y.alias("y"), t.alias("text"))
     return (
@@ -35,31 +42,37 @@ player_handler = Stateless(STRING, EVENT, _event)
 
 
 def positions(df: DataFrame, event: str, keys: list[str], order: list[str]) -> DataFrame:
-    """df with the player's own position after the event (x, y; null where not in the world): a
-    logout closes a stretch of a player's rows; in a stretch the last move counts, else a login's
-    origin."""
+    """df with the player's own position after the event (x, y; null where not in the world): the last
+    move or logout, if that is a move; else a login's origin, if no logout follows the last login.  Both
+    come from one sort; rows without a name need no state and each is a partition of its own."""
     e = F.col(event)
-    player = [*keys, "__name"]
-    rows = df.withColumns({"__name": e["name"], "__out": (e["tag"] == "LOGOUT").cast("int")})
-    rows = rows.withColumn("__g", F.sum("__out").over(Window.partitionBy(*player).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy(*player, "__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    move = F.when(e["tag"] == "MOVE", F.struct(e["x"].alias("x"), e["y"].alias("y")))
-    rows = rows.withColumns({"__move": F.last(move, ignorenulls=True).over(w), "__in": F.max((e["tag"] == "LOGIN").cast("int")).over(w)})
-    origin = F.when(F.col("__in") == 1, F.lit(0).cast("bigint"))
-    return rows.withColumns({"x": F.coalesce(F.col("__move")["x"], origin), "y": F.coalesce(F.col("__move")["y"], origin)}).drop("__name", "__out", "__g", "__move", "__in")
+    rows = df.withColumn("__name", e["name"]).withColumn("__alone", F.when(F.col("__name").isNull(), F.xxhash64(*order)))
+    w = Window.partitionBy(*keys, "__name", "__alone").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda tags, value: F.last(F.when(e["tag"].isin(*tags), value), ignorenulls=True).over(w)
+    rows = rows.withColumns({"__moved": last(("MOVE", "LOGOUT"), F.struct(e["tag"].alias("tag"), e["x"].alias("x"), e["y"].alias("y"))), "__came": last(("LOGIN", "LOGOUT"), e["tag"])})
+    origin = F.when(F.col("__came") == "LOGIN", F.lit(0).cast("bigint"))
+    at = lambda c: F.when(F.col("__moved")["tag"] == "MOVE", F.col("__moved")[c]).otherwise(origin)
+    return rows.withColumns({"x": at("x"), "y": at("y")}).drop("__name", "__alone", "__moved", "__came")
 
 
 def _view(s: dict, e: tuple) -> tuple:
+    """s: name -> position, and beside it (under None) the names in order and how each is shown."""
     tag, name, x, y, text = e
-    if tag == "LOGIN":
-        s.setdefault(name, (0, 0))
-    elif tag == "MOVE":
-        s[name] = (x, y)
-    elif tag == "LOGOUT":
-        s.pop(name, None)
+    names, shown = s.setdefault(None, ([], []))
+    place = {"LOGIN": s.get(name, (0, 0)), "MOVE": (x, y)}.get(tag)
+    if place is not None or tag == "LOGOUT":
+        i, known = bisect_left(names, name), name in s
+        if place is None:
+            if known:
+                del s[name], names[i], shown[i]
+        else:
+            s[name] = place
+            if not known:
+                names.insert(i, name)
+                shown.insert(i, "")
+            shown[i] = f"{name}@({place[0]},{place[1]})"
     said = {"LOGIN": f"{name} joined", "MOVE": f"{name} -> ({x},{y})", "SAY": f"{name}: {text}", "LOGOUT": f"{name} left"}.get(tag)
-    online = ", ".join(f"{n}@({a},{b})" for n, (a, b) in sorted(s.items()))
-    return s, ([f"event: {said}"] if said else []) + [f"online: [{online}]"]
+    return s, ([f"event: {said}"] if said else []) + [f"online: [{', '.join(shown)}]"]
 
 
 #: The world after each event, as lines; its state is the map of a whole world.

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .apps import kv, netpath, numeric as n, world
-from .functions.ports import LONG
+from .functions.ports import LONG, some
 from .operators.cell import Drive
 from .operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Opt, Rep, TryChain, Wire, chain, diamond
 from .operators.contract import Blueprint, Slot, Static, declare_inline_loop_moore, wire
 from .plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, drive_wired, pump_try, spawned_flow
-from .plans.drive import drive, drive_seq, run_static
+from .plans.drive import drive, drive_seq, final_state, run_static
 from .plans.ranges import running_sum
 from .plans.slots import SlotDrive
 from .sources.tables import events, shared_folder, table
-from .streaming.pump import bounded_pump
+from .streaming.pump import bounded_pump, bounded_pump_try, ordered_files
 
 M = 1_000_003
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
@@ -73,7 +73,14 @@ _stateless("q03_chain_nested", chain(n.inc, n.double, n.double), "(c + 1) * 2 *
 _stateless("q04_identity", Chain(Id(LONG), Chain(n.double, Id(LONG))), "c * 2")
 _stateless("q06_diamond", diamond(n.inc, n.inc, n.double, n.sum_pair), "(c + 2) + (c + 1) * 2")
 top = Chain(diamond(Rep(1, n.inc), chain(n.inc, n.inc), n.double, n.sum_pair), Chain(n.lift_some, Opt(n.double)))
-_stateless("q07_blueprint", Blueprint(Static(top).check().topology).topology, "6 * c + 10")
+
+
+@query(f"SELECT event_id, 6 * c + 10 AS o FROM {E}")
+def q07_blueprint(spark, sf_dir):
+    out = Blueprint(Static(top).check().topology).activate(events(spark, sf_dir), "c", "o")
+    return out.select("event_id", F.col("o.some").alias("o"))
+
+
 _stateless("q08_rep_n", Rep(3, n.inc).nonempty(), "c + 3")
 _stateless("q09_rep_zero", Rep(0, n.inc), "c")
 _stateless("q13_wrapping", n.wrapping_scale(1_000_003), "((c * 1000003 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648")
@@ -110,19 +117,20 @@ def _tagged(e: DataFrame) -> DataFrame:
 
 
 def _some():
-    return F.when(F.col("event_type") != "error", F.col("c"))
+    return F.when(F.col("event_type") != "error", some(F.col("c")))
 
 
 @query(f"SELECT event_id, CASE WHEN event_type <> 'error' THEN (c + 1) * 2 END AS o FROM {E}")
 def q11_opt(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("x", _some())
-    return drive(Chain(Opt(n.inc), Opt(n.double)), e, "x", "o").select("event_id", "o")
+    return drive(Chain(Opt(n.inc), Opt(n.double)), e, "x", "o").select("event_id", F.col("o.some").alias("o"))
 
 
 @query(f"SELECT user_id, CAST(2 * sum(c) AS BIGINT) AS o FROM {E} GROUP BY user_id")
 def q12_recursive_sum(spark, sf_dir):
-    lists = events(spark, sf_dir).groupBy("user_id").agg(F.collect_list("c").alias("xs"))
-    return drive(Chain(n.total, n.double), lists, "xs", "o").select("user_id", "o")
+    """A user's values as lists of at most 1000, so that no list grows with the user."""
+    lists = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("part")).agg(F.collect_list("c").alias("xs"))
+    return drive(Chain(n.total, n.double), lists, "xs", "o").groupBy("user_id").agg(F.sum("o").alias("o"))
 
 
 # --- cells with state --------------------------------------------------------------------------
@@ -149,12 +157,17 @@ _seq("q25_feedback_stateful_fold", _feedback, ORACLES["q25_feedback_stateful"],
 _rep_sql = f"SELECT event_id, CAST(sum(s) OVER {W} AS BIGINT) AS o FROM (SELECT *, sum(c) OVER {W} AS s FROM {E})"
 _seq("q26_rep_stateful", Rep(2, n.counter), _rep_sql)
 _seq("q26_rep_stateful_fold", Rep(2, n.counter), _rep_sql, "fold")
-_seq("q28_opt_stateful", Opt(n.counter), f"SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(sum(CASE WHEN event_type <> 'error' THEN c END) OVER {W} AS BIGINT) END AS o FROM {E}", x=_some)
 _seq("q29_affine", n.scaler(M), recurrence(f"(2 * s_ + x) % {M}"))
 _seq("q29_affine_fold", n.scaler(M), ORACLES["q29_affine"], "fold")
 _seq("q30_sensor", Chain(n.sensor, n.normalize), f"SELECT event_id, CAST(c AS DOUBLE) / 100.0 AS o FROM {E}")
 
 
+@query(f"SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(sum(CASE WHEN event_type <> 'error' THEN c END) OVER {W} AS BIGINT) END AS o FROM {E}")
+def q28_opt_stateful(spark, sf_dir):
+    out = drive_seq(Opt(n.counter), events(spark, sf_dir).withColumn("x", _some()), "x", "o", KEYS, ORDER)
+    return out.select("event_id", F.col("o.some").alias("o"))
+
+
 @query(f"SELECT event_id, CAST(sum(s) OVER {W} AS BIGINT) AS a, CAST(2 * s AS BIGINT) AS b FROM (SELECT *, sum(c) OVER {W} AS s FROM {E})")
 def q22_broadcast_stateful(spark, sf_dir):
     out = drive_seq(Broadcast(n.counter, n.counter, n.double), events(spark, sf_dir), "c", "o", KEYS, ORDER)
@@ -217,6 +230,11 @@ def q38_run_static(spark, sf_dir):
     return run_static(Static(Chain(n.inc, n.double)), events(spark, sf_dir), "c", "o").select("event_id", "o")
 
 
+@query(f"SELECT event_id, CAST(2 * sum(c) OVER {W} AS BIGINT) AS o FROM {E}")
+def q38_run_static_stateful(spark, sf_dir):
+    return run_static(Static(Chain(n.counter, n.double)), events(spark, sf_dir), "c", "o", KEYS, ORDER).select("event_id", "o")
+
+
 # --- carriers ----------------------------------------------------------------------------------
 
 
@@ -248,17 +266,20 @@ def q47_drive_wired(spark, sf_dir):
 
 @query(f"SELECT event_id, CAST(sum(c + 1) OVER {W} AS BIGINT) AS o FROM {E}")
 def q45_bounded_pump(spark, sf_dir):
-    """Eight files, written one after the other in the order of the rows; one a micro-batch."""
+    """Files in the order of the rows; one a micro-batch."""
     folder, e = shared_folder(spark), events(spark, sf_dir)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = e.agg(F.percentile_approx(at, [k / 8 for k in range(1, 8)])).first()[0] or []
-    for k in range(len(cuts) + 1):
-        part = e.where(F.lit(True) if k == 0 else at > cuts[k - 1]).where(F.lit(True) if k == len(cuts) else (at <= cuts[k]) | (at.isNull() & F.lit(k == 0)))
-        part.coalesce(1).write.mode("append").parquet(folder)
+    ordered_files(e, ORDER, folder)
     out = bounded_pump(spark, folder, e.schema, Chain(n.inc, n.counter), "c", "o", KEYS, ORDER)
     return out.select("event_id", "o")
 
 
+@query(f"SELECT event_id, (c - 2000 + 1) * 2 AS o FROM {E} WHERE c >= 2000")
+def q36_bounded_pump_try(spark, sf_dir):
+    folder, e = shared_folder(spark), _shifted(spark, sf_dir)
+    ordered_files(e, ORDER, folder)
+    return bounded_pump_try(spark, folder, e.schema, n.fallible_inc, n.double, "x", "o", KEYS, ORDER)[0].select("event_id", "o")
+
+
 _SWAPPED = f"""
 WITH RECURSIVE e AS (SELECT event_id, user_id, c AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {E}),
 r AS (SELECT event_id, user_id, k, CAST(x AS BIGINT) AS s FROM e WHERE k = 1
@@ -341,6 +362,13 @@ def q62_kv_resp(spark, sf_dir):
     return drive(kv.resp_encode, _replies(spark, sf_dir), "reply", "resp").select("event_id", "resp")
 
 
+@query(f"WITH {_REPLY} SELECT event_id, tag, text FROM reply WHERE text IS DISTINCT FROM 'empty command'")
+def q66_kv_session(spark, sf_dir):
+    """A session skips blank lines."""
+    lines = kv.spoken(events(spark, sf_dir).withColumn("line", F.expr(LINE)), "line")
+    return kv.replies(drive(kv.cmd_parse, lines, "line", "cmd"), "cmd", ORDER, max_value=15_000).select("event_id", "reply.tag", "reply.text")
+
+
 @query()
 def q64_kv_limits(spark, sf_dir):
     """With a limit on keys, which ties a store's keys together: one store a nation of users."""
@@ -455,4 +483,10 @@ def q82_deliver_table(spark, sf_dir):
 @query(f"SELECT user_id, CAST(sum(c) AS BIGINT) AS state FROM {E} GROUP BY user_id")
 def q90_final_state(spark, sf_dir):
     """What drive_seq leaves in a counter: a sum, combined before the shuffle."""
-    return events(spark, sf_dir).groupBy("user_id").agg(F.sum("c").alias("state"))
+    return final_state(n.counter, events(spark, sf_dir), "c", KEYS, ORDER)
+
+
+@query(f"SELECT user_id, arg_max(o, (ts, event_id)) AS state FROM ({ORACLES['q29_affine']}) JOIN {E} USING (event_id) GROUP BY user_id")
+def q91_final_state_scan(spark, sf_dir):
+    """What drive_seq leaves in a scaler, which no aggregate computes."""
+    return final_state(n.scaler(M), events(spark, sf_dir), "c", KEYS, ORDER)

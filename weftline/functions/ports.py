@@ -1,7 +1,7 @@
 """What flows through a port, as Spark types.
 
-A sum is struct<tag, a, b> with one branch set, an option a nullable value (struct<some> where the
-value itself may be null), a result struct<ok, err> with exactly one of the two.
+A sum is struct<tag, a, b> with one branch set, an option struct<some> or null, so that it does not fit
+a port that takes the plain value, a result struct<ok, err> with exactly one of the two.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ def result_type(ok: T.DataType, err: T.DataType = STRING) -> T.StructType:
     return T.StructType([T.StructField("ok", ok), T.StructField("err", err)])
 
 
+def some(value: Column) -> Column:
+    return F.struct(value.alias("some"))
+
+
 def result(ok: Column, err: Column) -> Column:
     return F.struct(ok.alias("ok"), err.alias("err"))
 

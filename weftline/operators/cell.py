@@ -120,7 +120,7 @@ class Stateless(Cell):
 @dataclass(frozen=True)
 class Stateful(Cell):
     """fn: (state, input) -> (state, output) columns.  over: the output as window functions, given
-    the input and a window of all rows so far."""
+    the input and a window of all rows so far.  final: the state after all inputs, as an aggregate of them."""
 
     in_type: T.DataType
     out_type: T.DataType
@@ -129,6 +129,7 @@ class Stateful(Cell):
     fn: Callable[[Column, Column], tuple[Column, Column]] | None = None
     plain: Callable[[Any, Any], tuple[Any, Any]] | None = None
     over: Callable[..., Column] | None = None
+    final: Callable[[Column], Column] | None = None
     moore: bool = False
 
     @property

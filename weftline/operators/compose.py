@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ports import choice_type, let, pair_type, result_type
+from ..functions.ports import choice_type, let, pair_type, result_type, some_type
 from .cell import UNIT, Cell, Drive, PortMismatch, Stateless, fresh, so
 
 
@@ -318,26 +318,29 @@ class Choice(_Composite):
 
 
 class Opt(_Composite):
-    """null -> null with the state untouched; else one step.  The row stays."""
+    """An option (ports.some_type) of c's input becomes one of its output: nothing stays nothing, with the
+    state untouched; else one step.  The row stays."""
 
     def __init__(self, c: Cell):
-        self.in_type, self.out_type = c.in_type, c.out_type
+        self.in_type, self.out_type = some_type(c.in_type), some_type(c.out_type)
         self._hold(c=c)
 
     def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
-        df, only = drive.masked(df, F.col(x).isNotNull())
-        return self.parts["c"].apply(df, x, out, only).drop(only.mask)
+        src, dst = fresh(), fresh()
+        df, only = drive.masked(df.withColumn(src, F.col(x)["some"]), F.col(x).isNotNull())
+        df = self.parts["c"].apply(df, src, dst, only)
+        return df.withColumn(out, F.when(F.col(only.mask), F.struct(F.col(dst).alias("some")))).drop(src, dst, only.mask)
 
     def step(self, s: Column, x: Column) -> Column:
-        some = let(self.parts["c"].step(self._s(s, "c"), x), lambda p: so(self._pack(s, c=p["s"]), p["o"]))
+        some = let(self.parts["c"].step(self._s(s, "c"), x["some"]), lambda p: so(self._pack(s, c=p["s"]), F.struct(p["o"].alias("some"))))
         return F.when(x.isNotNull(), some).otherwise(so(s, F.lit(None).cast(self.out_type)))
 
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         (sc,) = self._py(s)
         if x is None:
             return self._py_pack(sc), None
-        sc, o = self.parts["c"].python(sc, x)
-        return self._py_pack(sc), o
+        sc, o = self.parts["c"].python(sc, x[0])
+        return self._py_pack(sc), (o,)
 
 
 class TryChain(_Composite):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from enum import IntEnum
 
@@ -12,6 +13,10 @@ from .cell import Cell, Drive, PortMismatch
 from .compose import Chain, Wire, same_type, wired
 
 
+#: Physical nodes that run Python.
+PYTHON_NODES = r"EvalPython|InArrow|InPandas"
+
+
 class CarrierCost(IntEnum):
     """What an edge costs, declared and ordered."""
 
@@ -84,15 +89,24 @@ def assert_wiring(a: Cell, b: Cell) -> None:
 
 @dataclass(frozen=True)
 class Static:
-    """A topology that must run inside the JVM without moving rows."""
+    """A topology that must run inside the JVM: without state as a projection, which moves no rows, with
+    state as windows."""
 
     topology: Cell
 
     def check(self) -> "Static":
-        if not self.topology.stateless:
-            raise ContractError("a static topology has no state to move rows for")
+        if not self.topology.windowed:
+            raise ContractError("a static topology has no state, or state with a window form")
         return self
 
+    def check_plan(self, made: DataFrame, source: DataFrame) -> DataFrame:
+        """made, if its plan has no Python node and, without state, no exchange beyond its source's."""
+        count = lambda df, nodes: len(re.findall(nodes, df._jdf.queryExecution().executedPlan().toString()))
+        for nodes in (PYTHON_NODES, *([r"\bExchange\b"] if self.topology.stateless else [])):
+            if count(made, nodes) > count(source, nodes):
+                raise ContractError(f"the plan of a static topology has nodes like {nodes}")
+        return made
+
 
 @dataclass(frozen=True)
 class Blueprint:

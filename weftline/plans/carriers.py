@@ -99,7 +99,8 @@ def drive_try(a: Cell, b: Cell, df: DataFrame, x: str, out: str, drive: Drive =
 
 
 def pump_try(a: Cell, b: Cell, df: DataFrame, x: str, out: str, drive: Drive = Drive()) -> tuple[DataFrame, DataFrame]:
-    """The rows that did not fail with b's output, and one row with the number that did."""
+    """The rows that did not fail with b's output, and one row with the number that did; each reads its
+    input when it is used.  streaming.pump.bounded_pump_try reads it once for both."""
     res = fresh()
     tried = a.apply(df, x, res, drive)
     good = tried.where(F.col(res)["err"].isNull()).withColumn(res, F.col(res)["ok"])

@@ -1,7 +1,8 @@
 """Drivers: one topology, several plans, the same rows.
 
 ``window``  projections and window functions: stays in the JVM, one sort for equal windows
-``fold``    each key's rows as one array, folded by the symbolic step: JVM, for short groups
+``fold``    each key's rows as one array, folded by the symbolic step: JVM, for keys of at most
+            FOLD_ROWS rows; keys with more are scanned
 ``scan``    rows dealt by key and sorted, then read in order with one state at a time: any group
             length in bounded memory, Python steps
 ``auto``    window if the topology has that form, else scan
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,10 +24,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.ports import let
-from ..operators.cell import Cell, Drive
+from ..operators.cell import Cell, Drive, Stateful
 from ..operators.contract import Static
 
 
+FOLD_ROWS = 1000
+
+
 def drive(cell: Cell, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
     """One step for each row; for cells without state."""
     if not cell.stateless:
@@ -33,9 +38,11 @@ def drive(cell: Cell, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
     return cell.apply(df, x, out, Drive())
 
 
-def run_static(declared: Static, df: DataFrame, x: str = "x", out: str = "o") -> DataFrame:
-    """One projection inside the JVM; a topology with state is refused."""
-    return drive(declared.check().topology, df, x, out)
+def run_static(declared: Static, df: DataFrame, x: str = "x", out: str = "o", keys: list[str] = [], order: list[str] = []) -> DataFrame:
+    """One projection inside the JVM, or windows for a topology with state; the plan is checked."""
+    cell = declared.check().topology
+    made = drive(cell, df, x, out) if cell.stateless else drive_seq(cell, df, x, out, keys, order, "window")
+    return declared.check_plan(made, df)
 
 
 def drive_seq(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str], how: str = "auto") -> DataFrame:
@@ -51,7 +58,16 @@ def drive_seq(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], orde
     return {"fold": fold, "scan": scan}[how](cell, df, x, out, keys, order)
 
 
-def fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
+def fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str], most: int = FOLD_ROWS) -> DataFrame:
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    if long.isEmpty():
+        return _fold(cell, df, x, out, keys, order)
+    long = long.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    same = reduce(Column.__and__, (df[k].eqNullSafe(long[f"__k{i}"]) for i, k in enumerate(keys)), F.lit(True))
+    return _fold(cell, df.join(long, same, "left_anti"), x, out, keys, order).union(scan(cell, df.join(long, same, "left_semi"), x, out, keys, order))
+
+
+def _fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
     row = F.struct(*(F.col(k) for k in order), F.struct(*df.columns).alias("__row"), F.col(x).alias("__x"))
     groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
     shape = T.StructType([*df.schema.fields, T.StructField(out, cell.out_type)])
@@ -69,9 +85,7 @@ def fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: li
 
 
 def scan(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
-    kind = to_arrow_type(cell.out_type)
-    fields = [f.name for f in cell.out_type.fields] if isinstance(cell.out_type, T.StructType) else None
-    plain = _plain(cell.in_type)
+    kind, plain, rich = to_arrow_type(cell.out_type), _plain(cell.in_type), _rich(cell.out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, cell.initial()
@@ -82,7 +96,7 @@ def scan(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: li
                 if key != at:
                     at, state = key, cell.initial()
                 state, o = cell.python(state, plain(value))
-                made.append(dict(zip(fields, o, strict=True)) if fields and o is not None else o)
+                made.append(rich(o))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, out])
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)
@@ -93,6 +107,44 @@ def scan(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: li
 def _plain(kind: T.DataType):
     """Arrow gives structs as dicts; cells take tuples."""
     if isinstance(kind, T.StructType):
-        names = [f.name for f in kind.fields]
-        return lambda v: None if v is None else tuple(v[n] for n in names)
+        parts = [(f.name, _plain(f.dataType)) for f in kind.fields]
+        return lambda v: None if v is None else tuple(g(v[n]) for n, g in parts)
     return lambda v: v
+
+
+def _rich(kind: T.DataType):
+    """The way back."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, _rich(f.dataType)) for f in kind.fields]
+        return lambda v: None if v is None else {n: g(x) for (n, g), x in zip(parts, v, strict=True)}
+    return lambda v: v
+
+
+def final_state(cell: Stateful, df: DataFrame, x: str, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, state): what drive_seq leaves in a cell for each key; an aggregate, combined before the
+    shuffle, where the cell has that form, else an ordered scan that keeps one state at a time."""
+    if cell.final is not None:
+        return df.groupBy(*keys).agg(cell.final(F.col(x)).alias("state"))
+    key_type = T.StructType([*(df.schema[k] for k in keys), T.StructField("state", cell.state_type)])
+    kind, plain, rich = to_arrow_type(cell.state_type), _plain(cell.in_type), _rich(cell.state_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+
+        def row() -> pa.RecordBatch:
+            cols = [pa.array([k], to_arrow_type(f.dataType)) for k, f in zip(at, key_type.fields, strict=False)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([rich(state)], kind)], key_type.names)
+
+        for b in batches:
+            key_rows = zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True) if keys else ((),) * b.num_rows
+            for key, value in zip(key_rows, b.column(len(keys)).to_pylist(), strict=True):
+                if key != at:
+                    if at is not None:
+                        yield row()
+                    at, state = key, cell.initial()
+                state, _ = cell.python(state, plain(value))
+        if at is not None:
+            yield row()
+
+    dealt = (df.repartition(*keys) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order)
+    return dealt.select(*keys, x).mapInArrow(run, key_type)

@@ -26,7 +26,11 @@ def _local_root() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.  Only where that is unset, as in a local
-    session, a temporary folder stands in for it."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or _local_root()
+    """A new folder name below ``spark.checkpoint.dir``.  Only where that is unset in a local session a
+    temporary folder stands in for it; on a cluster executors could not read one."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"

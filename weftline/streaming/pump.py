@@ -8,14 +8,18 @@ of one micro-batch are sorted here.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.cell import Cell
+from ..operators.cell import Cell, fresh
+from ..operators.compose import DriveTry
 from ..operators.contract import validate_capacity
+from ..plans.drive import _rich
 from ..sources.tables import shared_folder
 
 
@@ -29,10 +33,10 @@ def pump(stream: DataFrame, cell: Cell, x: str, out: str, keys: list[str], order
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s = _tuples(json.loads(state.get[0])) if state.exists else cell.initial()
         rows = pd.concat(list(frames)).sort_values(order, na_position="first")
-        made = []
+        made, rich = [], _rich(cell.out_type)
         for v in rows[x]:
             s, o = cell.python(s, v)
-            made.append(o)
+            made.append(rich(o))
         state.update((json.dumps(s),))
         yield rows.assign(**{out: made})
 
@@ -48,3 +52,26 @@ def bounded_pump(spark: SparkSession, source: str, schema: T.StructType, cell: C
     query = pumped.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(pumped.schema).parquet(f"{target}/rows")
+
+
+def bounded_pump_try(spark: SparkSession, source: str, schema: T.StructType, a: Cell, b: Cell, x: str, out: str, keys: list[str], order: list[str], files_a_batch: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A pump whose first step can fail: the rows that did not, with b's output, and one row with the number
+    that did.  The stream runs once; both are read from what it wrote."""
+    res = fresh()
+    rows = bounded_pump(spark, source, schema, DriveTry(a, b), x, res, keys, order, files_a_batch)
+    good = rows.where(F.col(res)["err"].isNull()).withColumn(out, F.col(res)["ok"]).drop(res)
+    return good, rows.agg(F.count(F.when(F.col(res)["err"].isNotNull(), 1)).alias("errors"))
+
+
+def ordered_files(df: DataFrame, order: list[str], folder: str, rows_a_file: int = 1_000_000, least: int = 8) -> None:
+    """Write df in ranges of its order, one file each (at least ``least``), and date the files in that
+    order, which is how a stream lists them.  The folder's store must keep times that are set."""
+    files = max(least, -(-df.count() // rows_a_file))
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(folder)
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    found = sorted((str(f.getPath().getName()), f) for f in store.listStatus(path) if f.getPath().getName().endswith(".parquet"))
+    first = int(time.time() * 1000) - 1000 * len(found)
+    for i, (_, f) in enumerate(found):
+        store.setTimes(f.getPath(), first + 1000 * i, -1)
