@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import exact_dedup as ed, queries
 
@@ -55,6 +56,23 @@ def test_odd(odd):
     assert sorted(str((r["doc_id"], r["text"] or "")) for r in kept.collect()) == sorted(str((i, t)) for t, (i, _) in want.items())
 
 
+def test_ids_of_any_type(spark, odd):
+    """String and date ids go through the index as well."""
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    for make in (lambda c: c.cast("string"), lambda c: F.date_add(F.lit("2020-01-01"), c.cast("int"))):
+        df = odd.withColumn("doc_id", make(F.col("doc_id")))
+        ids = {r["doc_id"]: None for r in df.select("doc_id").collect()}
+        kept = ed.dedup(df)
+        assert kept.count() == len(brute(rows)) and set(r["doc_id"] for r in kept.collect()) <= set(ids)
+        got = ed.dedup_report(df).collect()
+        want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
+        sizes = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in want.items()}
+        assert all((r["keep_id"], r["group_size"]) == sizes[r["text_sha256"]] for r in got)
+        prints = ed.fingerprints(df)
+        index = ed.build_index(prints.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0), 1)
+        assert index.count() == 1 and len(index.first()["digests"]) >= 32
+
+
 def test_empty_and_one_sided(spark, none):
     assert ed.dedup_report(none).count() == 0 and ed.dedup(none).count() == 0
     same = spark.createDataFrame([(7, "x", 1)] * 3, "doc_id bigint, text string, digest int")

@@ -31,6 +31,22 @@ def test_every_constraint_holds(lengths, score, docs, attention):
         assert len(loads) <= 11 / 9 * (lengths.sum() / 64) + 2 or lengths.min(initial=64) > 20
 
 
+def test_vector_choice():
+    """The documents and attention that are left decide between sequences with the same tokens left: other
+    bins than by tokens alone, and as few."""
+    rng = np.random.default_rng(8)
+    lengths = np.r_[rng.integers(1, 40, 4000), rng.integers(40, 2049, 800)]
+    vector, _ = packing.pack_lengths(lengths)
+    plain, _ = packing.pack_lengths(lengths, weights=(1.0, 0.0, 0.0))
+    same = lambda where: {frozenset(np.flatnonzero(where == b).tolist()) for b in range(where.max() + 1)}
+    assert same(vector) != same(plain)
+    least = -(-int(lengths.sum()) // 2048)
+    assert least <= vector.max() + 1 <= plain.max() + 1 <= least + 1
+    # capacities of documents and attention that bind
+    bound, _ = packing.pack_lengths(np.sort(rng.integers(1, 60, 3000)), 2048, docs=50, attention=2048 * 2048)
+    assert np.bincount(bound).max() == 50
+
+
 def test_too_long():
     with pytest.raises(ValueError):
         packing.pack_lengths(np.array([65]), 64)

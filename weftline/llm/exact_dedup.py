@@ -158,13 +158,12 @@ def shard_count(rows: int, shard_rows: int = 100_000) -> int:
 
 
 def group_copies(df: DataFrame, id: str = "doc_id", text: str = "text", shard_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of df and the winner of each digest.  The earlier half of the id range is
-    the history that the index is built from; the rest and rows without id come in against it."""
+    """The fingerprints of df and the winner of each digest.  Half of the ids, by a hash that works for ids
+    of any type, are the history that the index is built from; the rest and rows without id come in
+    against it."""
     prints = fingerprints(df, id, text)
-    ends = prints.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    shards = shard_count(ends[2], shard_rows)
-    half = None if ends[0] is None or isinstance(ends[0], str) else ends[0] + (ends[1] - ends[0]) // 2
-    early = F.coalesce(F.col("id") <= F.lit(half), F.lit(False))
+    shards = shard_count(prints.count(), shard_rows)
+    early = F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
     index = build_index(prints.where(early), shards)
     return prints, written(merge(index, prints.where(~early), shards))
 
@@ -182,7 +181,7 @@ def dedup_report(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) ->
 
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of df that win, with df's columns."""
+    """The rows of df that win, with df's columns.  Of rows equal in id and text any one stays."""
     prints, winners = group_copies(df, id, text, **kw)
     winners = winners.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
     tied = prints.groupBy("digest", "id").count().where("count > 1").select(F.col("digest").alias("__digest"), F.col("id").alias("__id"))

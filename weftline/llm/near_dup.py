@@ -265,7 +265,8 @@ def near_report(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) ->
 
 
 def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """df's rows without those that have a near copy with a lesser id in their group."""
+    """df's rows without those that have a near copy with a lesser id in their group.  Of rows equal in id
+    and text any one stays."""
     signed, classes = near_groups(df, id, text, **kw)
     keepers = classes.where(F.col("group") == F.col("first")).select(F.col("group.id").alias("__id"), F.col("group.text_hash").alias("__hash"))
     keepers = keepers.union(signed.where("n = 0").select("id", "text_hash").distinct())

@@ -77,11 +77,6 @@ class Doc:
             hit[k : n - 2 + k] |= again
         return int(hit.sum())
 
-    @cached_property
-    def n_lettered(self) -> int:
-        return sum(any(map(str.isalpha, x)) for x in self.text.split())
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str

@@ -168,8 +168,9 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
     spark = df.sparkSession
     keeps_space, vocab, id_type = spaced(tokenizer), _vocab(tokenizer, end), df.schema[id].dataType.simpleString()
     slim = df.select(F.col(id).alias("id"), text_or_empty(text).alias("text"))
-    # ranges of ids; the texts' checksum spreads and orders rows that share an id
-    ranged = slim.withColumn("tie", F.crc32("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    # ranges of ids; the texts' checksum orders rows that share an id, and a row number spreads rows that share both
+    ties = slim.withColumns({"tie": F.crc32("text"), "row": F.monotonically_increasing_id()})
+    ranged = ties.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")
     schema = f"part int, seq bigint, before bigint, doc_ids array<{id_type}>, lengths array<bigint>, ids binary"
     staged = written(ranged.mapInArrow(_chunks(tokenizer, keeps_space, end, block_ids), schema))
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"

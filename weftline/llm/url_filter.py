@@ -10,8 +10,14 @@ seeds against them (who links to a blocked host is suspect).  A host that no rul
 if it has distrust and that is over ``threshold`` of trust plus distrust; else allowed.  Both add up to 1
 over all hosts, so no fixed floor is set on them.
 
+Rounds go on until no host's rank changes by more than a millionth of itself, or until what still moves is under
+``tolerance`` of all rank; what is left then has come over more links than tolerance allows
+(log(tolerance) / log(damping), 85 at the defaults), whatever the seeds' masses are.  If neither is reached in
+``rounds`` rounds, an error is raised.
+
 Edges are absolute links between different hosts, one row a pair of hosts with its number of links,
-summed before the shuffle; ranks are joined to them round by round and written to the shared folder.
+summed before the shuffle; ranks are joined to them round by round, and every ``stride`` rounds written to
+the shared folder.
 What a host without outgoing links holds goes back to the seeds.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``,
@@ -60,32 +66,32 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-6, settled: float = 1e-6, stride: int = 4) -> DataFrame:
     """edges: (kind, src, dst, n); seeds: (kind, host, mass).  Personalised PageRank of each kind
     apart: (kind, host, rank), each kind adding up to 1 where it has seeds."""
     total = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
-    start = written(seeds.join(F.broadcast(total), "kind").where("all > 0").select("kind", "host", (F.col("mass") / F.col("all")).alias("seed")))
+    start = written(seeds.join(F.broadcast(total), "kind").where("all > 0").select("kind", "host", (F.col("mass") / F.col("all")).alias("rank")))
     out_n = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     weighted = written(edges.join(out_n, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    ranks = start.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        moved = weighted.join(ranks, (weighted["kind"] == ranks["kind"]) & (weighted["src"] == ranks["host"])).groupBy(weighted["kind"], "dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        moved = moved.withColumnRenamed("dst", "host")
-        both = start.join(moved, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed"), (damping * F.coalesce("in", F.lit(0.0))).alias("in"))
-        both = written(both)
-        kept = both.groupBy("kind").agg(F.sum("in").alias("flow"))  # two rows: what did not flow returns to the seeds
-        new = both.join(F.broadcast(kept), "kind").select("kind", "host", (F.col("in") + F.col("seed") * (1 - F.col("flow"))).alias("rank"))
+    ranks = start
+    for _ in range(0, rounds, stride):
+        # what returns to the seeds scales all of a kind's ranks alike, and is made up for at the end
+        new = ranks
+        for _ in range(stride):
+            moved = weighted.join(new, (weighted["kind"] == new["kind"]) & (weighted["src"] == new["host"])).select(weighted["kind"], F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+            new = start.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         new = written(new)
-        old = ranks.withColumnRenamed("rank", "was")
-        moved_by = F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) / F.col("rank")  # of each host's own rank, at any size
-        change = new.join(old, ["kind", "host"], "left").where("rank > 0").agg(F.max(moved_by)).first()[0]
+        moved_by = F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))
+        compared = new.join(ranks.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
+        change = compared.groupBy("kind").agg(F.max(moved_by / F.col("rank")).alias("own"), (F.sum(moved_by) / F.sum("rank")).alias("all")).collect()  # two rows
         ranks = new
-        if not change or change < tolerance:
-            break
-    return ranks
+        if all(c["own"] <= settled or c["all"] <= tolerance for c in change):
+            whole = ranks.groupBy("kind").agg(F.sum("rank").alias("whole"))
+            return ranks.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, rounds: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **ranking) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     host, path = host_path(F.col(url))
     slim = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -100,7 +106,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", u
     )
     links = written(host_edges(pages, url, html))
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").union(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    ranks = propagate(edges, seeds, rounds=rounds)
+    ranks = propagate(edges, seeds, **ranking)
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     scores = written(ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")))
     out = ruled.join(scores, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
