@@ -31,6 +31,43 @@ def test_run(spark, sf_dir):
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns) and out.count()
 
 
+def test_odd(spark, odd, small, sf_dir):
+    """Nulls, repeated rows, a long text and columns of clashing names through all stages, against each
+    stage's brute force on what it gets."""
+    from pyspark.sql import functions as F
+    from tests.llm.test_near_dup import brute as near
+
+    more = small.limit(60).select("*", F.lit(1).alias("Rid"), F.lit("d").alias("DIGEST"), F.lit(True).alias("kept"))
+    docs = odd.union(more).union(more.limit(5)).union(more.limit(8).withColumn("doc_id", F.lit(None).cast("bigint"))).union(more.limit(8).withColumn("doc_id", F.col("doc_id") + 10**6))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in cp.STAGES[:-1]:
+        rows, out = docs.collect(), stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        key = lambda i: (i is not None, i or 0)
+        if name == "quality rules":
+            verdict = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality.report(docs).collect()}
+            want = [(r["doc_id"], r["text"]) for r in rows if verdict[r["doc_id"], len((r["text"] or "").encode().split())]]
+            assert sorted(map(str, got)) == sorted(map(str, want)) and 0 < len(got) < len(rows)
+        elif name == "exact dedup":
+            best = {}
+            for r in rows:
+                best[r["text"]] = max(best.get(r["text"], None), r["doc_id"], key=key)
+            assert sorted(map(str, got)) == sorted(str((i, t)) for t, i in best.items()) and len(got) < len(rows)
+        elif name == "near duplicates":
+            groups = {}
+            for r, (_, g) in zip(rows, near([(r["doc_id"], r["text"]) for r in rows])):
+                groups.setdefault(g, []).append(r["doc_id"])
+            want = [min((i for i in v if i is not None), default=None) for v in groups.values()]
+            assert sorted(map(str, (i for i, _ in got))) == sorted(map(str, want))
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    packed, loads, members = cp.STAGES[-1][1](spark, docs, sf_dir).collect(), {}, {}
+    for r in packed:
+        loads[r["sequence_id"]] = loads.get(r["sequence_id"], 0) + r["length"]
+        members[r["sequence_id"]] = members.get(r["sequence_id"], 0) + 1
+    assert packed and max(loads.values()) <= 2048 and max(members.values()) <= 32
+
+
 def test_empty(spark, small):
     docs = small.limit(0)
     for _, stage in cp.STAGES:
