@@ -34,8 +34,8 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Pieces of documents with their place in a sequence of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end=0)
+    """Pieces of documents with their place in a sequence of at most 2048 tokens and 32 documents."""
+    return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end=0, docs=32)
 
 
 STAGES = [
