@@ -58,7 +58,7 @@ class UnitEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # case is ignored, as some vocabularies look for them in lower-cased text
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
-        self.marks = sorted({c[0] for c in added})
+        self.marks = sorted({re.match(r"[\W\d_]*", c)[0] for c in added})
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced, self.letters = spaced, byte_letters()
@@ -88,7 +88,7 @@ class UnitEncoder:
         """Whether a token of the text may span its units."""
         if not text.isascii() and _OTHER_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return True
-        return any(c in text or c.isalpha() for c in self.marks) and bool(self.added.search(text))
+        return any(m in text for m in self.marks) and bool(self.added.search(text))
 
     def _parts(self, text: str) -> list[bytes]:
         if self._unsplit(text):
