@@ -1,7 +1,9 @@
+import os
 import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -106,3 +108,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["vertex"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+
+
+def test_sql(spark, sf_dir, planted, tmp_path):
+    """The query's SQL on the small tables and on planted groups."""
+    spark.createDataFrame(planted, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder, glob in ((sf_dir, ""), (str(tmp_path), "/*.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet{glob}'")
+        got = queries.op9_near_duplicates(spark, folder)
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op9_near_duplicates']})")
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_leaves_no_tables_behind(spark, planted):
+    """Only the two results stay of all that is written on the way."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    signed, classes = nd.near_groups(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    assert len(set(os.listdir(folder)) - before) <= 2 + 2  # and the components of the bands and of the links
+    assert signed.count() == len(planted) and classes.count()

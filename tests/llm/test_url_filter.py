@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -27,6 +28,14 @@ def test_query(spark, sf_dir):
         name, verdict = rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, name)
         assert r["verdict"] == verdict or name is None
+    same_as_sql(got, f"{sf_dir}/pages.parquet")
+
+
+def same_as_sql(got, pages):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{pages}'")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLES['op3_url_filter']})")
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
 
 
 def brute_rank(edges, seeds, damping=0.85, rounds=200):
@@ -101,6 +110,7 @@ def test_query_on_planted_links(spark, tmp_path):
             blocked += verdict == "block"
         assert (got[i]["rule"], got[i]["verdict"]) == (name, verdict), url
     assert blocked >= 6 and len(got) == len(rows)  # the farm at least
+    same_as_sql(got.values(), f"{tmp_path}/pages.parquet/*.parquet")
 
 
 def test_verdict_does_not_depend_on_size(spark):

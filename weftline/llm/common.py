@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import shared_folder, table
 
-__all__ = ["discard", "fresh", "shared_folder", "table", "text_or_empty", "written"]
+__all__ = ["Scratch", "discard", "fresh", "shared_folder", "table", "text_or_empty", "written"]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -18,10 +18,27 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one whose last read is over."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders below the shared one whose last read is over."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables on the way to a result.  ``clear`` deletes those written so far, once what is made of them
+    has been written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_folder(self.spark))
+        return written(df, self.paths[-1])
+
+    def clear(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
 
 
 def text_or_empty(text: str):

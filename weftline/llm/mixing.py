@@ -89,7 +89,8 @@ def plan(df: DataFrame, levels: dict[str, Column], weights: list[Weight], id: st
     quotas = budgets(leaves, names, weights, total, max_epochs)
     quotas = quotas.withColumn("full_epochs", F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(0))
     quotas = quotas.withColumn("rest", F.col("quota") - F.col("full_epochs") * F.col("tokens"))
-    quotas = written(quotas.withColumn("ranges", F.expr(f"(docs + {range_rows} - 1) div {range_rows}")))
+    # as many ranges as rows in one, where a leaf has very many: neither the sums nor the cut range grow long
+    quotas = written(quotas.withColumn("ranges", F.ceil(F.col("docs") / F.greatest(F.lit(range_rows).cast("double"), F.sqrt("docs")))))
     parts = marked.select(*names, "n_tokens", F.col(id).alias("__id")).join(quotas.where("rest > 0"), names)
     sums = parts.groupBy(*names, hash_range(order_key(seed, F.col("full_epochs"), F.col("__id")), F.col("ranges")).alias("r"), "rest").agg(F.sum("n_tokens").alias("t"))
     run = F.sum("t").over(Window.partitionBy(*names).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty, written
+from .common import Scratch, fresh, text_or_empty, written
 from .components import components
 from .language_model import mixed
 from .units import in_slices
@@ -192,10 +192,10 @@ def _linked(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(cid[some]), "b": pa.array(cid[root[some]]), "links": pa.array(links[some].astype(np.int64))})
 
 
-def _meetings(members: DataFrame) -> DataFrame:
+def _meetings(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(cid, others): of each class of a cluster with several blocks, the blocks that hold its candidates."""
     marks = members.where("blocks > 1").select("cid", "block", F.posexplode("bands").alias("band", "hash"))
-    present = written(marks.groupBy("band", "hash").agg(F.collect_set("block").alias("blocks")))
+    present = scratch.written(marks.groupBy("band", "hash").agg(F.collect_set("block").alias("blocks")))
     return marks.join(present, ["band", "hash"]).select("cid", F.explode("blocks").alias("other")).groupBy("cid").agg(F.collect_set("other").alias("others"))
 
 
@@ -203,24 +203,25 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     """The signatures of df's rows, and of every class with members: cid, size, first (id,
     text_hash and rid of the row that names it), links and group (the first of its group)."""
     bands, rows = banding(threshold, recall)
-    signed = written(signatures(df, id, text, words, bands, rows))
+    signed, scratch = written(signatures(df, id, text, words, bands, rows)), Scratch(df.sparkSession)
     id_type = df.schema[id].dataType.simpleString()
     named = F.struct(F.col("id").isNull().alias("null"), "id", "text_hash", "rid")
-    classes = written(signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.min(named).alias("first"), F.first("bands").alias("bands")))
+    classes = scratch.written(signed.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.min(named).alias("first"), F.first("bands").alias("bands")))
 
     marks = classes.select("cid", F.posexplode("bands").alias("band", "hash"))
     buckets = marks.groupBy("band", "hash").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1").drop("in_bucket")
-    buckets = written(buckets)  # as a table, so that Spark can split a bucket with very many rows in the join
+    buckets = scratch.written(buckets)  # as a table, so that Spark can split a bucket with very many rows in the join
     tied = marks.join(buckets, ["band", "hash"]).where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")).distinct()
-    clusters = written(components(tied))
+    clusters = components(tied)
 
     members = classes.join(clusters.withColumnRenamed("vertex", "cid"), "cid")
     sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    sums = sums.select("component", F.expr(f"greatest((rows - 1) div {block_rows}, (shingles - 1) div {block_shingles}) + 1").alias("blocks"))
+    sums = scratch.written(sums.select("component", F.expr(f"greatest((rows - 1) div {block_rows}, (shingles - 1) div {block_shingles}) + 1").alias("blocks")))
+    members = scratch.written(members)  # two tables again, for a cluster with very many classes
     block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    members = written(members.join(sums, "component").select("component", "blocks", block.alias("block"), "cid", "size", "bands", "first"))
-    members = members.join(_meetings(members), "cid", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("bigint")))).drop("blocks")
-    wanted = written(members.select("*", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash")).drop("first"))
+    members = scratch.written(members.join(sums, "component").select("component", "blocks", block.alias("block"), "cid", "size", "bands", "first"))
+    members = members.join(_meetings(members, scratch), "cid", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("bigint")))).drop("blocks")
+    wanted = scratch.written(members.select("*", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash")).drop("first"))
     texts = df.select(F.col(id).alias("id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).cast("binary").alias("text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"]) & (texts["text_hash"] == wanted["want_hash"]))
 
@@ -238,15 +239,17 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     full = found.select("component", "block", "others", "cid", "size", "bands", "text").mapInArrow(resolve, "component bigint, block bigint, others array<bigint>, cid bigint, size bigint, bands array<bigint>, n bigint, shingles binary")
     met = F.transform("others", lambda p: F.struct(F.least(F.col("block"), p).alias("lo"), F.greatest(F.col("block"), p).alias("hi")))
     dealt = full.withColumn("meet", F.explode(met)).select("component", "meet.lo", "meet.hi", "block", "cid", "size", "n", "bands", "shingles")
-    linked = written(dealt.groupBy("component", "lo", "hi").applyInArrow(lambda t: _linked(t, threshold), "a bigint, b bigint, links bigint"))
+    linked = scratch.written(dealt.groupBy("component", "lo", "hi").applyInArrow(lambda t: _linked(t, threshold), "a bigint, b bigint, links bigint"))
 
     links = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     groups = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("vertex", "cid")
     known = classes.select("cid", "size", "first").join(links, "cid", "left").join(groups, "cid", "left")
     known = known.select("cid", "size", "first", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "cid").alias("component"))
-    known = written(known)
-    names = known.groupBy("component").agg(F.min("first").alias("group"))
-    return signed, written(known.join(names, "component").drop("component"))
+    known = scratch.written(known)
+    names = scratch.written(known.groupBy("component").agg(F.min("first").alias("group")))
+    grouped = written(known.join(names, "component").drop("component"))
+    scratch.clear()
+    return signed, grouped
 
 
 def near_report(df: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:

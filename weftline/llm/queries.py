@@ -126,7 +126,78 @@ mixed AS (
   FROM s WHERE epoch < full_epochs OR start < rest)"""
 
 
+def near_sql(documents: str = "documents") -> str:
+    """The report of near duplicates, with all pairs of texts that share a shingle."""
+    return rf"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {documents}),
+s AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+  FROM d),
+m AS (SELECT *, len(s) AS n, CASE WHEN len(s) > 0 THEN min(r) OVER (PARTITION BY s) ELSE r END AS c FROM s),
+k AS (SELECT c, min(doc_id) AS copy_id, count(*) AS copies, any_value(n) AS n, any_value(s) AS s FROM m GROUP BY c),
+x AS (SELECT c, n, unnest(s) AS x FROM k),
+p AS (
+  SELECT a.c AS u, b.c AS v FROM x a JOIN x b ON a.x = b.x AND a.c <> b.c AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS u, c AS v FROM k UNION SELECT reach.u, p.v FROM reach JOIN p ON reach.v = p.u),
+g AS (SELECT u AS c, min(copy_id) AS class_id FROM reach JOIN k ON v = c GROUP BY u),
+l AS (SELECT u AS c, sum(copies) AS others FROM p JOIN k ON v = c GROUP BY u)
+SELECT doc_id, CASE WHEN m.n > 0 THEN class_id ELSE doc_id END AS class_id, CASE WHEN m.n > 0 THEN copy_id ELSE doc_id END AS copy_id,
+       CAST(CASE WHEN m.n > 0 THEN copies - 1 + coalesce(others, 0) ELSE 0 END AS BIGINT) AS n_links, CAST(m.n AS BIGINT) AS n_shingles
+FROM m JOIN k USING (c) JOIN g USING (c) LEFT JOIN l USING (c)
+"""
+
+
+def url_sql(rules: list[tuple[str, str]], pages: str = "pages", damping: float = 0.85, rounds: int = 120) -> str:
+    """The verdicts on a relation of pages.  Ranks are sums over walks: what starts at the seeds is passed on
+    along links round by round, and all that a host ever gets is added up."""
+    split = [(v, *r.partition("/")[::2]) for v, r in rules]
+    values = ", ".join(f"('{v}', '{h}/{p}', '{h}', '/{p}')" for v, h, p in split)
+    host = lambda x: f"translate(regexp_extract({x}, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    link = url_filter.LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE
+rules (verdict, rule, h, p) AS (VALUES {values}),
+u AS (
+  SELECT row_number() OVER () AS r, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM {pages}),
+s AS (SELECT r, page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (
+  SELECT s.*, rule, verdict FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC NULLS LAST, rule DESC) = 1),
+hosts AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow') AS allowed, count(*) FILTER (verdict = 'block') AS blocked
+  FROM j WHERE host <> '' GROUP BY host),
+seeds AS (
+  SELECT 'trust' AS kind, host, allowed AS mass FROM hosts WHERE 2 * allowed > pages
+  UNION ALL SELECT 'distrust', host, blocked FROM hosts WHERE 2 * blocked > pages),
+links AS (
+  SELECT src, dst, count(*) AS n
+  FROM (SELECT src, {host("substr(link, instr(link, '//') + 2)")} AS dst
+        FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS link FROM s))
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+edges AS (
+  SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM links
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links),
+walks AS (
+  SELECT 0 AS i, kind, host, CAST(mass / sum(mass) OVER (PARTITION BY kind) AS DOUBLE) AS mass FROM seeds
+  UNION ALL
+  SELECT any_value(i) + 1, w.kind, e.dst, sum({damping} * mass * share)
+  FROM walks w JOIN edges e ON w.kind = e.kind AND w.host = e.src WHERE i < {rounds} GROUP BY w.kind, e.dst),
+ranks AS (SELECT kind, host, sum(mass) / sum(sum(mass)) OVER (PARTITION BY kind) AS rank FROM walks GROUP BY kind, host),
+scores AS (
+  SELECT host, coalesce(max(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(max(rank) FILTER (kind = 'distrust'), 0) AS distrust
+  FROM ranks GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN distrust > 0 AND distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN scores USING (host)
+"""
+
+
 ORACLES = {
+    "op3_url_filter": url_sql(url_filter.PAGE_RULES),
     "op4_mixing": f"WITH {mixing_sql()} SELECT * EXCLUDE (text, n_chars) FROM mixed",
     "op6_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
@@ -134,6 +205,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
 """,
+    "op9_near_duplicates": near_sql(),
     "op8_quality_rules": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,

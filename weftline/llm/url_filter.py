@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,18 +73,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     start = written(seeds.join(F.broadcast(total), "kind").where("all > 0").select("kind", "host", (F.col("mass") / F.col("all")).alias("rank")))
     out_n = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     weighted = written(edges.join(out_n, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("out")).alias("share")))
-    ranks = start
+    ranks, spent = start, Scratch(edges.sparkSession)
     for _ in range(0, rounds, stride):
+        now_on = Scratch(edges.sparkSession)
         # what returns to the seeds scales all of a kind's ranks alike, and is made up for at the end
         new = ranks
         for _ in range(stride):
             moved = weighted.join(new, (weighted["kind"] == new["kind"]) & (weighted["src"] == new["host"])).select(weighted["kind"], F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
             new = start.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        new = written(new)
+        new = now_on.written(new)
         moved_by = F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))
         compared = new.join(ranks.withColumnRenamed("rank", "was"), ["kind", "host"], "left")
         change = compared.groupBy("kind").agg(F.max(moved_by / F.col("rank")).alias("own"), (F.sum(moved_by) / F.sum("rank")).alias("all")).collect()  # two rows
-        ranks = new
+        spent.clear()  # the ranks before, which have been compared
+        ranks, spent = new, now_on
         if all(c["own"] <= settled or c["all"] <= tolerance for c in change):
             whole = ranks.groupBy("kind").agg(F.sum("rank").alias("whole"))
             return ranks.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
