@@ -1,5 +1,11 @@
+import zlib
+
 import corpus_pipeline as cp
-from weftline.llm import exact_dedup, near_dup, quality
+import duckdb
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+from weftline.llm import exact_dedup, near_dup, quality, queries
 
 
 def test_stages(spark, sf_dir, small):
@@ -27,8 +33,33 @@ def test_stages(spark, sf_dir, small):
 
 
 def test_run(spark, sf_dir):
-    out = cp.run(spark, sf_dir)
-    assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns) and out.count()
+    """The whole pipeline: the documents that SQL keeps and mixes, encoded whole by the tokenizer, cut and
+    packed under both limits."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    con.sql(f"CREATE TABLE good AS SELECT d.* FROM documents d JOIN ({queries.ORACLES['op8_quality_rules']}) v USING (doc_id) WHERE v.kept")
+    con.sql("CREATE TABLE single AS SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1")
+    con.sql(f"CREATE TABLE apart AS SELECT * FROM single SEMI JOIN ({queries.near_sql('single')}) n ON single.doc_id = n.class_id")
+    mixed = con.sql(f"WITH {queries.mixing_sql('apart')} SELECT doc_id, coalesce(text, '') FROM mixed").fetchall()
+    sizes = [con.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("documents", "good", "single", "apart")]
+    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) > 2 and len(mixed) > len({i for i, _ in mixed})
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, text in mixed:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, 2048 * k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(np.split(ids, range(2048, len(ids), 2048)))]
+    got = cp.run(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 2048 and len(pieces) <= 32
+    least = max(-(-sum(n for *_, n, _ in want) // 2048), -(-len(want) // 32))
+    assert len(sequences) <= 1.02 * least + 1
 
 
 def test_odd(spark, odd, small, sf_dir):
