@@ -8,7 +8,8 @@ subtrees).  Budgets are whole tokens and add up exactly.
 
 A leaf's stream is epoch 0, epoch 1, ... of its documents, each epoch in the order of a hash of seed,
 epoch and id.  The leaf takes the prefix of that stream that its budget covers: full epochs, then a
-part of one.  For that part only sums of hash ranges (about ``range_rows`` rows each) are ordered,
+part of one.  For that part only sums of hash ranges (about ``range_rows`` rows each, or the square root
+of a leaf's rows if that is more) are ordered,
 and the rows of the single range in which the budget ends; a leaf with a third of all rows is never
 ordered as a whole and never moves.
 
