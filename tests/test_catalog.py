@@ -40,21 +40,26 @@ def test_limits_by_brute_force(spark, sf_dir):
     cmds = catalog._commands(spark, sf_dir).orderBy("ts", "event_id").collect()
     stores, want = {}, {}
     for r in cmds:
-        held, c = stores.setdefault(r["user_id"] % 25, {}), r["cmd"]
-        if c["tag"] == "SET":
-            ok = c["value"] <= 15_000 and (c["key"] in held or len(held) < 4)
-            if ok:
-                held[c["key"]] = c["value"]
-            want[r["event_id"]] = "OK" if ok else "ERR"
-        elif c["tag"] == "DEL":
-            held.pop(c["key"], None)
-        elif c["tag"] == "INCR":
-            held[c["key"]] = held.get(c["key"], 0) + 1
-            want[r["event_id"]] = held[c["key"]]
-        elif c["tag"] == "GET":
-            want[r["event_id"]] = held.get(c["key"], "NIL")
-    got = {r["event_id"]: r["i"] if r["tag"] == "INT" else r["tag"] for r in catalog.q64_kv_limits(spark, sf_dir).collect()}
-    assert {k: got[k] for k in want} == want
+        held, (tag, key, value, msg) = stores.setdefault(r["user_id"] % 25, {}), r["cmd"]
+        if tag == "SET" and value > 15_000:
+            reply = ("ERR", None, f"value too large: {value}", None)
+        elif tag == "SET" and key not in held and len(held) == 4:
+            reply = ("ERR", None, "max keys reached", None)
+        elif tag == "SET":
+            held[key], reply = value, ("OK", None, None, f"SET {key} {value}")
+        elif tag == "DEL":
+            reply = ("INT", int(key in held), None, f"DEL {key}")
+            held.pop(key, None)
+        elif tag == "INCR":
+            held[key] = held.get(key, 0) + 1
+            reply = ("INT", held[key], None, None)
+        elif tag == "GET":
+            reply = ("INT", held[key], None, None) if key in held else ("NIL", None, None, None)
+        else:
+            reply = ("BYTES", None, f"ERR unknown: {msg}", None) if tag == "UNKNOWN" else ("ERR", None, msg, None)
+        want[r["event_id"]] = reply
+    got = {r["event_id"]: (r["tag"], r["i"], r["text"], r["log"]) for r in catalog.q64_kv_limits(spark, sf_dir).collect()}
+    assert got == want
 
 
 def test_pump_keeps_rows_without_a_time(spark, sf_dir, tmp_path):

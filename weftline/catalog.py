@@ -13,7 +13,7 @@ from .apps import kv, netpath, numeric as n, world
 from .functions.ports import LONG, some
 from .operators.cell import Drive
 from .operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Opt, Rep, TryChain, Wire, chain, diamond
-from .operators.contract import Blueprint, Slot, Static, declare_inline_loop_moore, wire
+from .operators.contract import Blueprint, CarrierCost, Slot, Static, assert_conforms, assert_wiring, declare_inline_loop_moore, validate_seam, wire
 from .plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, drive_wired, pump_try, spawned_flow
 from .plans.drive import drive, drive_seq, final_state, run_static
 from .plans.ranges import running_sum
@@ -84,6 +84,7 @@ def q07_blueprint(spark, sf_dir):
 _stateless("q08_rep_n", Rep(3, n.inc).nonempty(), "c + 3")
 _stateless("q09_rep_zero", Rep(0, n.inc), "c")
 _stateless("q13_wrapping", n.wrapping_scale(1_000_003), "((c * 1000003 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648")
+_stateless("q14_triple_passed", Chain(n.passed, n.triple), "c * 3")
 _stateless("q24_feedback", Feedback(Chain(n.inc, n.double), n.inc), "(((c + 1) * 2 + 1) + 1) * 2")
 declare_inline_loop_moore(n.identity_feed)
 _stateless("q24_feedback_moore", Feedback(n.double, n.identity_feed), "c * 4")
@@ -253,6 +254,25 @@ _carried("q43_channel", ChannelCarrier(("user_id",)))
 _carried("q44_bounded", BoundedCarrier(64))
 
 
+@query(f"SELECT event_id, CAST(c AS DOUBLE) * 0.5 AS o FROM {E}")
+def q15_half(spark, sf_dir):
+    return drive(Chain(n.to_double, n.half), events(spark, sf_dir), "c", "o").select("event_id", "o")
+
+
+@query(f"SELECT event_id, c * 2 AS ok, CAST(NULL AS VARCHAR) AS err FROM {E}")
+def q37_checked_double(spark, sf_dir):
+    return drive(n.checked_double, events(spark, sf_dir), "c", "o").select("event_id", "o.ok", "o.err")
+
+
+@query(f"SELECT event_id, (c + 1) * 2 AS o FROM {E}")
+def q48_seam(spark, sf_dir):
+    """An edge is driven once its cost and capacity fit the budget and its ports the slots."""
+    carrier, slot = BoundedCarrier(64), Slot(LONG, LONG)
+    validate_seam(carrier.cost, CarrierCost.EXTERNAL, carrier.capacity)
+    assert_conforms(slot, n.inc), assert_conforms(slot, n.double), assert_wiring(n.inc, n.double)
+    return drive_link(n.inc, n.double, carrier, events(spark, sf_dir), "c", "o").select("event_id", "o")
+
+
 @query(f"SELECT event_id, c + 1 AS o FROM {E}")
 def q46_spawned_flow(spark, sf_dir):
     """A counter that begins anew with each message."""

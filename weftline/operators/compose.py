@@ -77,8 +77,12 @@ class Chain(_Composite):
         self._hold(a=a, b=b)
 
     def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        a, b = self.parts.values()
+        if isinstance(b, Stateless):
+            # one projection that replaces a's output by b's; nothing to drop
+            return b.apply(a.apply(df, x, out, drive), out, out, drive)
         mid = fresh()
-        return self.parts["b"].apply(self.parts["a"].apply(df, x, mid, drive), mid, out, drive).drop(mid)
+        return b.apply(a.apply(df, x, mid, drive), mid, out, drive).drop(mid)
 
     def step(self, s: Column, x: Column) -> Column:
         a, b = self.parts.values()
@@ -151,8 +155,11 @@ class Diamond(Chain):
         if not isinstance(dst, Stateless):
             return super().apply(df, x, out, drive)
         # the pair stays within one expression, where it costs nothing
-        mid, a, b = fresh(), fresh(), fresh()
         src, r1, r2 = fan.parts.values()
+        if isinstance(r1, Stateless) and isinstance(r2, Stateless):
+            both = F.struct(r1.fn(F.col(out)).alias("_1"), r2.fn(F.col(out)).alias("_2"))
+            return src.apply(df, x, out, drive).withColumn(out, drive.seen(dst.fn(both)))
+        mid, a, b = fresh(), fresh(), fresh()
         df = r2.apply(r1.apply(src.apply(df, x, mid, drive), mid, a, drive), mid, b, drive)
         return df.withColumn(out, drive.seen(dst.fn(F.struct(F.col(a).alias("_1"), F.col(b).alias("_2"))))).drop(mid, a, b)
 
