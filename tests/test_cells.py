@@ -142,6 +142,20 @@ def test_plans(spark):
     assert windows.count("Exchange hashpartitioning") == 1
 
 
+def test_output_may_replace_a_column(spark):
+    df = frame(spark, [1, 2, 3]).withColumn("o", F.lit(9).cast("bigint"))
+    made = drive(chain(n.inc, n.double), df)
+    assert made.columns == df.columns and outputs(made) == [4, 6, 8] and [r["x"] for r in made.orderBy("seq").collect()] == [1, 2, 3]
+    made = drive(diamond(n.inc, n.inc, n.double, n.sum_pair), df, "x", "x").orderBy("seq")
+    assert made.columns == df.columns and [r["x"] for r in made.collect()] == [7, 10, 13]
+    # even the column that orders the rows
+    assert sorted(r["seq"] for r in drive_seq(Chain(n.counter, n.double), df, "x", "seq", ["k"], ["seq"], "window").collect()) == [2, 6, 12]
+    # a branch that is not taken stays nothing
+    both = Opt(diamond(Chain(n.inc, n.double), n.inc, n.double, n.sum_pair))
+    some = frame(spark, [None, (1,)], OPTION)
+    assert outputs(drive(both, some, "x", "o")) == [None, (13,)]
+
+
 def test_carriers_agree(spark):
     df = frame(spark, range(100))
     for c in (InlineCarrier(), DirectCarrier(), QueueCarrier(), BoundedCarrier(7), ChannelCarrier(("k",))):
