@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, language_model, mixing, near_dup, packing, quality, site_style, token_counts, token_files, url_filter
+from . import decontamination, exact_dedup, language_model, mixing, near_dup, packing, quality, runs, search, site_style, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +81,9 @@ QUERIES = {
         op8_quality_rules,
         op9_near_duplicates,
         op10_html_extraction,
+        op11_lexical_search,
+        op12_decontamination,
+        op13_periodic_runs,
     )
 }
 
@@ -196,7 +211,82 @@ FROM j LEFT JOIN scores USING (host)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def search_sql(documents: str = "documents", benchmark: str = "benchmark", k: int = 50) -> str:
+    """Every score of every text with a term of an item."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM {documents}),
+s AS (SELECT count(*) AS n_all, sum(len(t)) AS l_all FROM d WHERE len(t) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_all),
+m AS (SELECT r, doc_id, 50 + CAST((50 * CAST(len(t) AS HUGEINT) * n_all) // l_all AS BIGINT) AS m FROM d, s WHERE len(t) > 0),
+q AS (SELECT i, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM {benchmark})),
+x AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER b AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0
+WINDOW b AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= {k}
+"""
+
+
+def leaks_sql(documents: str = "documents", benchmark: str = "benchmark", n: int = 10) -> str:
+    """Windows of documents of all lengths that windows of items have, joined by their words."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM {documents}),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_TERMS} AS t FROM {benchmark}),
+w AS (SELECT DISTINCT item, least(len(t), {n}) AS size, array_to_string(t[k:k + least(len(t), {n}) - 1], ' ') AS words
+      FROM (SELECT item, t, unnest(range(1, len(t) - least(len(t), {n}) + 2)) AS k FROM i WHERE len(t) > 0)),
+g AS (SELECT r, k, size, array_to_string(t[k:k + size - 1], ' ') AS words
+      FROM (SELECT r, size, t, unnest(range(1, len(t) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM w) WHERE len(t) >= size)),
+f AS (SELECT r, k, size, item FROM g JOIN w USING (size, words)),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + size)) AS at FROM f) GROUP BY r),
+e AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN e USING (r)
+"""
+
+
+#: DuckDB: crc32 of a text of ASCII, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
+def runs_sql(documents: str = "documents", least: int = 12) -> str:
+    """Places of equal factors of half the least length, a period apart; each stretch of them is a run."""
+    half = -(-least // 2)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS t,
+         {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h
+  FROM {documents}),
+a AS (SELECT *, len(t) AS n, CASE WHEN h % 10 = 0 AND len(t) > 0 THEN (h // 10) % len(t) END AS a FROM d),
+b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+c AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN t ELSE list_transform(range(0, n), lambda i: t[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS t FROM b),
+g AS (SELECT r, i, array_to_string(t[i + 1:i + {half}], ' ') AS words FROM (SELECT r, t, unnest(range(0, n - {half - 1})) AS i FROM c WHERE n >= {half})),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.words = y.words AND x.i < y.i),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e),
+f AS (SELECT r, q, min(i) AS start, max(i) + {half} + q AS stop FROM s GROUP BY r, q, island HAVING max(i) + {half} - min(i) >= greatest(q, {least} - q)),
+u AS (SELECT r, start, stop - start AS length, min(q) AS period FROM f GROUP BY r, start, stop),
+v AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         min({{'l': -length, 's': start, 'p': period}}) AS top
+  FROM u GROUP BY r),
+k AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+o AS (SELECT r, list(i) AS dropped FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(-top.l AS BIGINT) AS length, CAST(top.p AS BIGINT) AS period,
+       CAST(1000 * -top.l // top.p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN dropped IS NULL THEN t ELSE list_filter(t, lambda x, i: NOT list_contains(dropped, i - 1)) END, ' ')) AS collapsed_sha256
+FROM c LEFT JOIN v USING (r) LEFT JOIN o USING (r)
+"""
+
+
 ORACLES = {
+    "op11_lexical_search": search_sql(),
+    "op12_decontamination": leaks_sql(),
+    "op13_periodic_runs": runs_sql(),
     "op3_url_filter": url_sql(url_filter.PAGE_RULES),
     "op4_mixing": f"WITH {mixing_sql()} SELECT * EXCLUDE (text, n_chars) FROM mixed",
     "op6_exact_dedup": """
