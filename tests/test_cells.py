@@ -9,8 +9,8 @@ from weftline.operators.cell import Drive, PortMismatch
 from weftline.operators.compose import Broadcast, Chain, Choice, Feedback, Id, Merge, Opt, Rep, TryChain, Wire, chain, diamond
 from weftline.operators.contract import Blueprint, CarrierCost, ContractError, CostExceeded, Slot, Static, ZeroCapacity, assert_conforms, assert_wiring, conforms, declare_inline_loop_moore, validate_capacity, validate_cost, validate_seam
 from weftline.plans.carriers import BoundedCarrier, ChannelCarrier, DirectCarrier, InlineCarrier, QueueCarrier, drive_link, drive_try, drive_wired, pump_try, spawned_flow
-from weftline.plans.drive import drive, drive_seq, run_static
-from weftline.plans.ranges import running_sum
+from weftline.plans.drive import drive, drive_seq, final_state, fold, run_static
+from weftline.plans.ranges import by_ranges, running_sum
 from weftline.plans.slots import SlotDrive
 
 
@@ -212,7 +212,7 @@ def test_key_value_limits(spark):
 
 def test_world_session(spark):
     lines = ["LOGIN alice", "LOGIN bob", "MOVE alice 1 2", "SAY alice hello  world", "MOVE bob 5 5", "LOGOUT bob", "MOVE ghost 1", "JUMP"]
-    events = drive(world.player_handler, frame(spark, lines, "string"), "x", "event")
+    events = drive_seq(world.player_handler, frame(spark, lines, "string"), "x", "event", ["k"], ["seq"])
     views = outputs(drive_seq(world.world_view, events, "event", "o", ["k"], ["seq"]))
     assert views[2] == ["event: alice -> (1,2)", "online: [alice@(1,2), bob@(0,0)]"]
     assert views[3][0] == "event: alice: hello  world"
@@ -252,8 +252,6 @@ def test_lines_are_split_once(spark, sf_dir):
 
 
 def test_long_keys_are_scanned(spark):
-    from weftline.plans.drive import fold
-
     rows = [(i, i % 4 if i % 9 else None, i % 7) for i in range(300)]
     df = spark.createDataFrame(rows + [(1000, 77, 1)], "seq bigint, k int, x bigint")
     want = outputs(drive_seq(n.counter, df, "x", "o", ["k"], ["seq"], "window"))
@@ -262,8 +260,6 @@ def test_long_keys_are_scanned(spark):
 
 
 def test_final_states(spark):
-    from weftline.plans.drive import final_state
-
     df = spark.createDataFrame([(i, i % 3 if i % 5 else None, i) for i in range(40)], "seq bigint, k int, x bigint")
     for cell in (n.counter, n.scaler(1_000_003), Rep(2, n.counter)):
         got = {r["k"]: r["state"] for r in final_state(cell, df, "x", ["k"], ["seq"]).collect()} if hasattr(cell, "final") else None

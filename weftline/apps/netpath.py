@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.ports import LONG, STRING, strict_int, struct_type
-from ..operators.cell import Cell, Stateless
-from ..operators.compose import chain
+from ..functions.ports import LONG, STRING, plain_int, strict_int, struct_type
+from ..operators.cell import Cell, Stateful, Stateless, Summary, Touched
+from ..operators.compose import Chain, chain
 
 ETH = struct_type(proto=LONG, payload=STRING)
 IP = struct_type(src=LONG, dst=LONG, proto=LONG, payload=STRING)
@@ -38,14 +41,66 @@ def _deliver(t: Column) -> Column:
     return F.struct(t["sport"].alias("sport"), t["dport"].alias("dport"), F.octet_length(t["payload"]).cast("bigint").alias("bytes"))
 
 
-eth_parse, ip_parse, tcp_parse = Stateless(STRING, ETH, _eth), Stateless(ETH, IP, _ip), Stateless(IP, TCP, _tcp)
-deliver = Stateless(TCP, DELIVERED, _deliver)
-path: Cell = chain(eth_parse, ip_parse, tcp_parse, deliver)
+def _number(s: str | None, bits: int) -> int:
+    return plain_int(s, signed=False, high=(1 << bits) - 1) or 0 if s is not None else 0
+
+
+def _piece(pieces: list[str], i: int) -> str | None:
+    return pieces[i] if i < len(pieces) else None
+
+
+def _plain_eth(raw: str) -> tuple:
+    pieces = raw.split(":", 3)
+    return _number(_piece(pieces, 2), 8), _piece(pieces, 3) or ""
+
+
+def _plain_ip(e: tuple) -> tuple:
+    src, _, rest = e[1].partition(":")
+    return _number(src, 32), 0, e[0], rest
+
+
+def _plain_tcp(i: tuple) -> tuple:
+    sport, dot, dport = i[3].partition(".")
+    return _number(sport, 16), _number(dport, 16), i[3]
+
+
+def _plain_deliver(t: tuple) -> tuple:
+    return t[0], t[1], len(t[2].encode())
+
+
+def _delivered(held: dict, t: tuple) -> tuple:
+    made = _plain_deliver(t)
+    held[made[:2]] = held.get(made[:2], 0) + made[2]
+    return held, made
+
+
+def _add(held: dict, more: dict) -> dict:
+    out = Touched(held)
+    for pair, n in more.items():
+        out[pair] = out.get(pair, 0) + n
+    return out
+
+
+def _sums(segments: Iterable[tuple]) -> dict:
+    held: dict = {}
+    for t in segments:
+        _delivered(held, t)
+    return held
+
+
+PAIR = struct_type(sport=LONG, dport=LONG)
+TABLE = T.MapType(PAIR, LONG)
+eth_parse, ip_parse, tcp_parse = Stateless(STRING, ETH, _eth, _plain_eth), Stateless(ETH, IP, _ip, _plain_ip), Stateless(IP, TCP, _tcp, _plain_tcp)
+#: What of a segment is delivered, without the table of what was.
+measure = Stateless(TCP, DELIVERED, _deliver, _plain_deliver)
+#: The same, with the bytes of each pair of ports so far as its state.
+deliver = Stateful(TCP, DELIVERED, TABLE, Touched, None, _delivered, over=lambda t, w: _deliver(t), given=Summary(TABLE, _sums, _add, _add), lazy=True)
+parsed: Cell = chain(eth_parse, ip_parse, tcp_parse)
+path: Cell = Chain(parsed, measure)
+delivery: Cell = Chain(parsed, deliver)
 
 
 def delivered_table(df: DataFrame, delivered: str) -> DataFrame:
     """The state after all packets: bytes by port pair."""
     d = F.col(delivered)
     return df.groupBy(d["sport"].alias("sport"), d["dport"].alias("dport")).agg(F.sum(d["bytes"]).alias("bytes"))
-
-

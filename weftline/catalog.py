@@ -6,7 +6,7 @@ orders a user's rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .apps import kv, netpath, numeric as n, world
@@ -19,7 +19,7 @@ from .plans.drive import drive, drive_seq, final_state, run_static
 from .plans.ranges import running_sum
 from .plans.slots import SlotDrive
 from .sources.tables import events, shared_folder, table
-from .streaming.pump import bounded_pump, bounded_pump_try, ordered_files
+from .streaming.pump import bounded_pump, bounded_pump_try, file_stream, log_sink, ordered_files, pump
 
 M = 1_000_003
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
@@ -160,6 +160,8 @@ _seq("q26_rep_stateful", Rep(2, n.counter), _rep_sql)
 _seq("q26_rep_stateful_fold", Rep(2, n.counter), _rep_sql, "fold")
 _seq("q29_affine", n.scaler(M), recurrence(f"(2 * s_ + x) % {M}"))
 _seq("q29_affine_fold", n.scaler(M), ORACLES["q29_affine"], "fold")
+_seq("q25_feedback_stateful_ranges", _feedback, ORACLES["q25_feedback_stateful"], "ranges")
+_seq("q29_affine_ranges", n.scaler(M), ORACLES["q29_affine"], "ranges")
 _seq("q30_sensor", Chain(n.sensor, n.normalize), f"SELECT event_id, CAST(c AS DOUBLE) / 100.0 AS o FROM {E}")
 
 
@@ -300,6 +302,13 @@ def q36_bounded_pump_try(spark, sf_dir):
     return bounded_pump_try(spark, folder, e.schema, n.fallible_inc, n.double, "x", "o", KEYS, ORDER)[0].select("event_id", "o")
 
 
+def _streamed(spark, rows: DataFrame, cell, x: str, out: str, keys: list[str], order: list[str] = ORDER) -> DataFrame:
+    """rows as a stream of three files or more, one a micro-batch, with the cell's output."""
+    folder = shared_folder(spark)
+    ordered_files(rows, order, folder, least=3)
+    return bounded_pump(spark, folder, rows.schema, cell, x, out, keys, order)
+
+
 _SWAPPED = f"""
 WITH RECURSIVE e AS (SELECT event_id, user_id, c AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM {E}),
 r AS (SELECT event_id, user_id, k, CAST(x AS BIGINT) AS s FROM e WHERE k = 1
@@ -307,49 +316,76 @@ r AS (SELECT event_id, user_id, k, CAST(x AS BIGINT) AS s FROM e WHERE k = 1
 SELECT event_id, s AS o FROM r"""
 
 
+def _epochs(spark, sf_dir) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*ORDER))
+    return events(spark, sf_dir).withColumn("epoch", F.when(k <= 20, 0).otherwise(1))
+
+
+def _slot() -> SlotDrive:
+    return SlotDrive(Slot(LONG, LONG), n.counter).swap(n.scaler(M))
+
+
 @query(_SWAPPED)
 def q50_slot_swap(spark, sf_dir):
     """A user's first 20 rows meet a counter, the others a scaler that starts anew."""
-    from pyspark.sql import Window
+    return _slot().drive(_epochs(spark, sf_dir), "c", "o", "epoch", KEYS, ORDER).select("event_id", "o")
 
-    k = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*ORDER))
-    e = events(spark, sf_dir).withColumn("epoch", F.when(k <= 20, 0).otherwise(1))
-    slot = SlotDrive(Slot(LONG, LONG), n.counter).swap(n.scaler(M))
-    return slot.drive(e, "c", "o", "epoch", KEYS, ORDER).select("event_id", "o")
+
+@query(_SWAPPED)
+def q50_slot_swap_fold(spark, sf_dir):
+    return _slot().drive(_epochs(spark, sf_dir), "c", "o", "epoch", KEYS, ORDER, "fold").select("event_id", "o")
+
+
+@query(_SWAPPED)
+def q51_slot_swap_stream(spark, sf_dir):
+    """The same in a running stream: the row itself says that the occupant changes."""
+    e = _epochs(spark, sf_dir).select("event_id", "ts", "user_id", F.struct(F.col("epoch").cast("bigint").alias("epoch"), F.col("c").alias("x")).alias("x"))
+    return _streamed(spark, e, _slot().cell, "x", "o", KEYS).select("event_id", "o")
 
 
 # --- key/value service -------------------------------------------------------------------------
 
 LINE = """CASE event_type WHEN 'signup' THEN concat('SET k', user_id, ' ', c) WHEN 'view' THEN concat('GET k', user_id, ' extra') WHEN 'error' THEN concat(' DEL  k', user_id)
   WHEN 'click' THEN concat('INCR k', user_id) ELSE CASE event_id % 6 WHEN 0 THEN 'GET' WHEN 1 THEN concat('SET k', user_id, ' x', c) WHEN 2 THEN 'SET k' WHEN 3 THEN '  ' WHEN 4 THEN concat('get k', user_id) ELSE concat('INCR k', user_id) END END"""
-_KV = f"""
-e AS (SELECT *, {LINE} AS line FROM {E}),
+_LINES = f"e AS (SELECT event_id, ts, user_id, 0 AS no, {LINE} AS line FROM {E})"
+_PARSED = """,
 p AS (SELECT *, regexp_split_to_array(trim(line), ' +') AS w FROM e),
 cmds AS (
   SELECT *, CASE WHEN w[1] = '' THEN 'PROTOCOL' WHEN w[1] IN ('GET', 'DEL', 'INCR') THEN CASE WHEN len(w) < 2 THEN 'PROTOCOL' ELSE w[1] END
                  WHEN w[1] = 'SET' THEN CASE WHEN len(w) < 3 OR NOT regexp_full_match(w[3], '[+-]?[0-9]+') THEN 'PROTOCOL' ELSE 'SET' END ELSE 'UNKNOWN' END AS tag,
          CASE WHEN w[1] = '' THEN 'empty command' WHEN w[1] IN ('GET', 'DEL', 'INCR') AND len(w) < 2 THEN concat(w[1], ' requires a key')
-              WHEN w[1] = 'SET' AND len(w) < 3 THEN 'SET requires key and value' WHEN w[1] = 'SET' AND NOT regexp_full_match(w[3], '[+-]?[0-9]+') THEN concat('SET value must be an integer, got ''', w[3], '''')
+              WHEN w[1] = 'SET' AND len(w) < 3 THEN 'SET requires key and value' WHEN w[1] = 'SET' AND NOT regexp_full_match(w[3], '[+-]?[0-9]+') THEN concat('SET value must be an integer, got \'\'', w[3], '\'\'')
               WHEN w[1] NOT IN ('GET', 'DEL', 'INCR', 'SET') THEN w[1] END AS msg
   FROM p),
-cmd AS (SELECT event_id, ts, user_id, tag, CASE WHEN tag IN ('GET', 'SET', 'DEL', 'INCR') THEN w[2] END AS k, CASE WHEN tag = 'SET' THEN CAST(w[3] AS BIGINT) END AS v, msg FROM cmds)"""
-_REPLY = (
-    _KV
-    + """,
+cmd AS (SELECT event_id, ts, user_id, no, tag, CASE WHEN tag IN ('GET', 'SET', 'DEL', 'INCR') THEN w[2] END AS k, CASE WHEN tag = 'SET' THEN CAST(w[3] AS BIGINT) END AS v, msg FROM cmds)"""
+_KV = _LINES + _PARSED
+
+
+def _reply_sql(lines: str, store: str = "") -> str:
+    """The replies to the commands of lines (event_id, ts, user_id, no, line), by stores without a limit on keys."""
+    by = f"PARTITION BY {store} k"
+    return (
+        lines
+        + _PARSED
+        + f""",
 a AS (SELECT *, CASE WHEN (tag = 'SET' AND v <= 15000) OR tag = 'DEL' THEN 1 ELSE 0 END AS asg FROM cmd),
-g AS (SELECT *, sum(asg) OVER (PARTITION BY k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM a),
-h AS (SELECT *, max(CASE WHEN asg = 1 AND tag = 'SET' THEN v END) OVER (PARTITION BY k, g) AS base,
-             sum(CASE WHEN tag = 'INCR' THEN 1 ELSE 0 END) OVER (PARTITION BY k, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS inc FROM g),
+g AS (SELECT *, sum(asg) OVER ({by} ORDER BY ts, event_id, no ROWS UNBOUNDED PRECEDING) AS g FROM a),
+h AS (SELECT *, max(CASE WHEN asg = 1 AND tag = 'SET' THEN v END) OVER ({by}, g) AS base,
+             sum(CASE WHEN tag = 'INCR' THEN 1 ELSE 0 END) OVER ({by}, g ORDER BY ts, event_id, no ROWS UNBOUNDED PRECEDING) AS inc FROM g),
 x AS (SELECT *, CAST(CASE WHEN base IS NOT NULL THEN base + inc WHEN inc > 0 THEN inc END AS BIGINT) AS held FROM h),
-y AS (SELECT *, lag(held) OVER (PARTITION BY k ORDER BY ts, event_id) AS had FROM x),
+y AS (SELECT *, lag(held) OVER ({by} ORDER BY ts, event_id, no) AS had FROM x),
 reply AS (
-  SELECT event_id, CASE tag WHEN 'GET' THEN CASE WHEN held IS NULL THEN 'NIL' ELSE 'INT' END WHEN 'SET' THEN CASE WHEN v > 15000 THEN 'ERR' ELSE 'OK' END
+  SELECT event_id, no, CASE tag WHEN 'GET' THEN CASE WHEN held IS NULL THEN 'NIL' ELSE 'INT' END WHEN 'SET' THEN CASE WHEN v > 15000 THEN 'ERR' ELSE 'OK' END
                         WHEN 'UNKNOWN' THEN 'BYTES' WHEN 'PROTOCOL' THEN 'ERR' ELSE 'INT' END AS tag,
          CASE WHEN tag IN ('GET', 'INCR') THEN held WHEN tag = 'DEL' THEN CASE WHEN had IS NULL THEN 0 ELSE 1 END END AS i,
          CASE WHEN tag = 'SET' AND v > 15000 THEN concat('value too large: ', v) WHEN tag = 'UNKNOWN' THEN concat('ERR unknown: ', msg) WHEN tag = 'PROTOCOL' THEN msg END AS text,
          CASE WHEN tag = 'SET' AND v <= 15000 THEN concat('SET ', k, ' ', v) WHEN tag = 'DEL' THEN concat('DEL ', k) END AS log
   FROM y)"""
-)
+    )
+
+
+_REPLY = _reply_sql(_LINES)
+_SAID = "CASE tag WHEN 'INT' THEN concat(':', i) WHEN 'OK' THEN '+OK' WHEN 'NIL' THEN '$-1' WHEN 'BYTES' THEN text ELSE concat('-ERR ', text) END || chr(13) || chr(10)"
 
 
 def _commands(spark, sf_dir) -> DataFrame:
@@ -375,9 +411,7 @@ def q61_kv_log(spark, sf_dir):
     return _replies(spark, sf_dir).select("event_id", "reply.log").where("log IS NOT NULL")
 
 
-@query(
-    f"WITH {_REPLY} SELECT event_id, CASE tag WHEN 'INT' THEN concat(':', i) WHEN 'OK' THEN '+OK' WHEN 'NIL' THEN '$-1' WHEN 'BYTES' THEN text ELSE concat('-ERR ', text) END || chr(13) || chr(10) AS resp FROM reply"
-)
+@query(f"WITH {_REPLY} SELECT event_id, {_SAID} AS resp FROM reply")
 def q62_kv_resp(spark, sf_dir):
     return drive(kv.resp_encode, _replies(spark, sf_dir), "reply", "resp").select("event_id", "resp")
 
@@ -389,12 +423,105 @@ def q66_kv_session(spark, sf_dir):
     return kv.replies(drive(kv.cmd_parse, lines, "line", "cmd"), "cmd", ORDER, max_value=15_000).select("event_id", "reply.tag", "reply.text")
 
 
-@query()
+#: A store a nation of users, with at most four keys: its map, row by row.
+_LIMITS = f"""
+WITH RECURSIVE {_KV},
+c AS (SELECT event_id, user_id % 25 AS store, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS n, tag, k, v, msg FROM cmd),
+r AS (
+  SELECT DISTINCT store, CAST(0 AS BIGINT) AS n, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS was, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS m,
+         CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS VARCHAR) AS k, CAST(NULL AS BIGINT) AS v, CAST(NULL AS VARCHAR) AS msg FROM c
+  UNION ALL
+  SELECT c.store, c.n, r.m,
+         CASE WHEN c.tag = 'DEL' THEN map_from_entries(list_filter(map_entries(r.m), lambda e: e.key <> c.k))
+              WHEN c.tag = 'INCR' OR c.tag = 'SET' AND c.v <= 15000 AND (r.m[c.k] IS NOT NULL OR cardinality(r.m) < 4)
+              THEN map_from_entries(list_filter(map_entries(r.m), lambda e: e.key <> c.k) || [{{'key': c.k, 'value': CASE WHEN c.tag = 'SET' THEN c.v ELSE coalesce(r.m[c.k], 0) + 1 END}}])
+              ELSE r.m END,
+         c.event_id, c.tag, c.k, c.v, c.msg
+  FROM r JOIN c ON c.store = r.store AND c.n = r.n + 1),
+t AS (SELECT *, was[k] AS old, tag = 'SET' AND v <= 15000 AND (was[k] IS NOT NULL OR cardinality(was) < 4) AS ok FROM r WHERE n > 0)
+SELECT event_id, CASE tag WHEN 'GET' THEN CASE WHEN old IS NULL THEN 'NIL' ELSE 'INT' END WHEN 'SET' THEN CASE WHEN ok THEN 'OK' ELSE 'ERR' END
+                      WHEN 'UNKNOWN' THEN 'BYTES' WHEN 'PROTOCOL' THEN 'ERR' ELSE 'INT' END AS tag,
+       CAST(CASE tag WHEN 'GET' THEN old WHEN 'INCR' THEN coalesce(old, 0) + 1 WHEN 'DEL' THEN CASE WHEN old IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS i,
+       CASE WHEN tag = 'SET' AND v > 15000 THEN concat('value too large: ', v) WHEN tag = 'SET' AND NOT ok THEN 'max keys reached'
+            WHEN tag = 'UNKNOWN' THEN concat('ERR unknown: ', msg) WHEN tag = 'PROTOCOL' THEN msg END AS text,
+       CASE WHEN ok THEN concat('SET ', k, ' ', v) WHEN tag = 'DEL' THEN concat('DEL ', k) END AS log
+FROM t"""
+
+
+def _stores(spark, sf_dir) -> DataFrame:
+    return _commands(spark, sf_dir).withColumn("store", F.col("user_id") % 25)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("event_id", "reply.tag", "reply.i", "reply.text", "reply.log")
+
+
+@query(_LIMITS)
 def q64_kv_limits(spark, sf_dir):
-    """With a limit on keys, which ties a store's keys together: one store a nation of users."""
-    e = _commands(spark, sf_dir).withColumn("store", F.col("user_id") % 25)
-    out = drive_seq(kv.bounded_store(max_keys=4, max_value=15_000), e, "cmd", "reply", ["store"], ORDER)
-    return out.select("event_id", "reply.tag", "reply.i", "reply.text", "reply.log")
+    """With a limit on keys, which ties a store's keys together: one store a nation of users, scanned."""
+    return _shown(drive_seq(kv.bounded_store(max_keys=4, max_value=15_000), _stores(spark, sf_dir), "cmd", "reply", ["store"], ORDER))
+
+
+@query(_LIMITS)
+def q64_kv_limits_windows(spark, sf_dir):
+    """The same by windows, up to each store's first refused key."""
+    return _shown(kv.bounded_replies(_stores(spark, sf_dir), "cmd", ["store"], ORDER, max_keys=4, max_value=15_000))
+
+
+@query(_LIMITS)
+def q64_kv_limits_stream(spark, sf_dir):
+    """The same in a stream: of a store's map a batch reads and writes the keys that its commands name."""
+    rows = _stores(spark, sf_dir).select("event_id", "ts", "store", "cmd")
+    return _shown(_streamed(spark, rows, kv.bounded_store(max_keys=4, max_value=15_000), "cmd", "reply", ["store"]))
+
+
+# a connection a user: chunks of which every third ends no line
+_CHUNK = f"{LINE} || CASE WHEN event_id % 3 = 1 THEN '' ELSE chr(10) END"
+_SERVED = (
+    "WITH "
+    + _reply_sql(
+        f"""t AS (SELECT *, {_CHUNK} AS chunk, CASE WHEN event_id % 3 = 1 THEN 0 ELSE 1 END AS n FROM {E}),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+f AS (SELECT user_id, string_split(string_agg(chunk, '' ORDER BY ts, event_id), chr(10)) AS lines FROM t GROUP BY user_id),
+e AS (SELECT event_id, ts, user_id, before AS no, lines[CAST(before AS BIGINT) + 1] AS line FROM b JOIN f USING (user_id) WHERE n = 1 AND trim(lines[CAST(before AS BIGINT) + 1]) <> '')""",
+        "user_id,",
+    )
+    + f" SELECT event_id, CASE WHEN tag IS NULL THEN '' ELSE {_SAID} END AS resp FROM t LEFT JOIN reply USING (event_id)"
+)
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "ts", "user_id", F.expr(_CHUNK).alias("chunk"))
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.array_join("o", "").alias("resp"))
+
+
+_service = kv.service(max_keys=1 << 40, max_value=15_000)
+
+
+@query(_SERVED)
+def q67_kv_service(spark, sf_dir):
+    """The whole service as one cell: lines, commands, store and answers."""
+    return _answers(drive_seq(_service, _chunks(spark, sf_dir), "chunk", "o", KEYS, ORDER))
+
+
+@query(_SERVED)
+def q67_kv_service_stream(spark, sf_dir):
+    return _answers(_streamed(spark, _chunks(spark, sf_dir), _service, "chunk", "o", KEYS))
+
+
+@query(f"WITH {_REPLY} SELECT event_id, log FROM reply WHERE log IS NOT NULL")
+def q68_kv_log_sink(spark, sf_dir):
+    """The log of a stream of commands, each batch written once however often it runs; a store a user."""
+    rows = _commands(spark, sf_dir).select("event_id", "ts", "user_id", "cmd")
+    folder, target = shared_folder(spark), shared_folder(spark)
+    ordered_files(rows, ORDER, folder, least=3)
+    stream = pump(file_stream(spark, folder, rows.schema), kv.bounded_store(max_keys=1 << 40, max_value=15_000), "cmd", "reply", KEYS, ORDER)
+    log = stream.select("event_id", "reply.log").where("log IS NOT NULL")
+    log_sink(log, f"{target}/log", f"{target}/checkpoint").awaitTermination()
+    return spark.read.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{target}/log")
 
 
 @query(
@@ -412,6 +539,14 @@ def q65_line_split(spark, sf_dir):
     return kv.split_lines(table(spark, sf_dir, "conversations").withColumn("chunk", chunk), "chunk", ["conv_id"], "turn")
 
 
+@query(ORACLES["q65_line_split"].replace("CAST(l.line_no AS BIGINT) AS line_no, ", ""))
+def q65_line_split_ranges(spark, sf_dir):
+    """By the cell, so that one long connection is split over many tasks."""
+    chunk = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 1, "").otherwise("\n"))
+    chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", chunk.alias("chunk"))
+    return drive_seq(kv.line_split, chunks, "chunk", "lines", ["conv_id"], ["turn"], "ranges").select("conv_id", "turn", F.explode("lines").alias("line"))
+
+
 # --- shared world ------------------------------------------------------------------------------
 
 MOVE = """CASE event_type WHEN 'signup' THEN concat('LOGIN p', user_id) WHEN 'view' THEN concat('SAY p', user_id, ' hi  there ', c) WHEN 'error' THEN concat('LOGOUT p', user_id)
@@ -438,11 +573,11 @@ views AS (SELECT event_id, CASE WHEN said IS NULL THEN [] ELSE ['event: ' || sai
 
 def _world(spark, sf_dir) -> DataFrame:
     e = events(spark, sf_dir).withColumns({"world": F.expr("user_id div 10"), "line": F.expr(MOVE)})
-    return drive(world.player_handler, e, "line", "event")
+    return drive(world.line_event, e, "line", "event")
 
 
-def _views(spark, sf_dir) -> DataFrame:
-    return drive_seq(world.world_view, _world(spark, sf_dir).select("event_id", "ts", "world", "event"), "event", "lines", ["world"], ORDER)
+def _views(spark, sf_dir, how: str = "auto") -> DataFrame:
+    return drive_seq(world.world_view, _world(spark, sf_dir).select("event_id", "ts", "world", "event"), "event", "lines", ["world"], ORDER, how)
 
 
 @query(f"WITH {_WORLD} SELECT event_id, tag, CASE WHEN tag <> 'IGNORED' THEN name END AS name, CAST(place[1] AS BIGINT) AS x, CAST(place[2] AS BIGINT) AS y FROM pos")
@@ -461,6 +596,41 @@ def q72_view_fanout(spark, sf_dir):
     return out.select("event_id", F.col("o._1").alias("a"), F.col("o._2").alias("b"))
 
 
+@query(ORACLES["q71_world_view"])
+def q71_world_view_ranges(spark, sf_dir):
+    """One world's view over many tasks."""
+    return _views(spark, sf_dir, "ranges").select("event_id", F.array_join("lines", "\n").alias("view"))
+
+
+def _player_lines(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "ts", F.expr("user_id div 10").alias("world"), F.expr(MOVE).alias("line"))
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.col("o._1").alias("a"), F.col("o._2").alias("b"))
+
+
+@query(ORACLES["q72_view_fanout"])
+def q73_world_program(spark, sf_dir):
+    """Lines, events, world, view and two players as one cell."""
+    return _told(drive_seq(world.program, _player_lines(spark, sf_dir), "line", "o", ["world"], ORDER))
+
+
+@query(ORACLES["q72_view_fanout"])
+def q73_world_program_stream(spark, sf_dir):
+    return _told(_streamed(spark, _player_lines(spark, sf_dir), world.program, "line", "o", ["world"]))
+
+
+@query(
+    f"""WITH {_WORLD}, l AS (SELECT world, name, arg_max(tag, (ts, event_id)) AS tag FROM pos WHERE tag IN ('LOGIN', 'LOGOUT') GROUP BY world, name)
+SELECT w.world, coalesce(string_agg(name, ',' ORDER BY name), '') AS online FROM (SELECT DISTINCT world FROM e) w LEFT JOIN l ON w.world = l.world AND tag = 'LOGIN' GROUP BY w.world"""
+)
+def q74_online(spark, sf_dir):
+    """Who is online in each world at the end: the state of the handler."""
+    state = final_state(world.player_handler, _player_lines(spark, sf_dir), "line", ["world"], ORDER)
+    return state.select("world", F.array_join(F.array_sort("state"), ",").alias("online"))
+
+
 # --- packets -----------------------------------------------------------------------------------
 
 RAW = """CASE event_id % 17 WHEN 0 THEN 'malformed-garbage' WHEN 1 THEN 'aa:bb:300:1' WHEN 2 THEN concat('aa:bb:06:', user_id, ':70000.', c % 9, '.1') WHEN 3 THEN concat('aa:bb:+6:-5:', c % 50, '.é')
@@ -500,6 +670,14 @@ def q82_deliver_table(spark, sf_dir):
     return netpath.delivered_table(drive(netpath.path, _packets(spark, sf_dir), "raw", "o"), "o")
 
 
+@query(f"WITH {_PACKETS} SELECT event_id % 8 AS host, sport, dport, CAST(sum(bytes) AS BIGINT) AS bytes FROM t GROUP BY 1, sport, dport")
+def q83_deliver_state(spark, sf_dir):
+    """The table as the state of the cell that delivers, a host of eight."""
+    packets = _packets(spark, sf_dir).withColumn("host", F.col("event_id") % 8)
+    table = final_state(netpath.delivery, packets, "raw", ["host"], ["event_id"])
+    return table.select("host", F.explode("state.b").alias("pair", "bytes")).select("host", "pair.sport", "pair.dport", "bytes")
+
+
 @query(f"SELECT user_id, CAST(sum(c) AS BIGINT) AS state FROM {E} GROUP BY user_id")
 def q90_final_state(spark, sf_dir):
     """What drive_seq leaves in a counter: a sum, combined before the shuffle."""

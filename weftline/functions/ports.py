@@ -6,7 +6,9 @@ a port that takes the plain value, a result struct<ok, err> with exactly one of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +65,37 @@ def strict_int(s: Column, signed: bool = True, low: int | None = None, high: int
 def wrap32(x: Column) -> Column:
     """Two's complement to 32 bits, as a long."""
     return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
+def plain_int(s: str, signed: bool = True, low: int = -(1 << 63), high: int = (1 << 63) - 1) -> int | None:
+    """strict_int on a Python text."""
+    n = int(s) if re.fullmatch(r"[+-]?[0-9]+" if signed else r"\+?[0-9]+", s) else None
+    return n if n is not None and low <= n <= high else None
+
+
+def plain(kind: T.DataType) -> Callable[[Any], Any]:
+    """From Arrow's or a row's values to those that steps take: structs are tuples, maps are dicts."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, plain(f.dataType)) for f in kind.fields]
+        return lambda v: None if v is None else tuple(g(v[n]) for n, g in parts)
+    if isinstance(kind, T.ArrayType):
+        each = plain(kind.elementType)
+        return lambda v: None if v is None else [each(x) for x in v]
+    if isinstance(kind, T.MapType):
+        key, value = plain(kind.keyType), plain(kind.valueType)
+        return lambda v: None if v is None else {key(k): value(x) for k, x in (v.items() if isinstance(v, dict) else v)}
+    return lambda v: v
+
+
+def rich(kind: T.DataType) -> Callable[[Any], Any]:
+    """The way back, to values that Arrow takes."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, rich(f.dataType)) for f in kind.fields]
+        return lambda v: None if v is None else {n: g(x) for (n, g), x in zip(parts, v, strict=True)}
+    if isinstance(kind, T.ArrayType):
+        each = rich(kind.elementType)
+        return lambda v: None if v is None else [each(x) for x in v]
+    if isinstance(kind, T.MapType):
+        key, value = rich(kind.keyType), rich(kind.valueType)
+        return lambda v: None if v is None else [(key(k), value(x)) for k, x in v.items()]
+    return lambda v: v

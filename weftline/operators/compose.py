@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ports import choice_type, let, pair_type, result_type, some_type
-from .cell import UNIT, Cell, Drive, PortMismatch, Stateless, fresh, so
+from .cell import UNIT, Cell, Drive, Linear, PortMismatch, Stateless, Summary, fresh, so
 
 
 def same_type(a: T.DataType, b: T.DataType) -> bool:
@@ -38,9 +39,24 @@ class _Composite(Cell):
     def windowed(self) -> bool:
         return all(p.windowed for p in self.parts.values())
 
+    @property
+    def foldable(self) -> bool:
+        return all(p.foldable for p in self.parts.values())
+
+    @property
+    def scannable(self) -> bool:
+        return all(p.scannable for p in self.parts.values())
+
+    @property
+    def ranged(self) -> bool:
+        return all(p.ranged for p in self.parts.values())
+
     def initial(self) -> Any:
         return tuple(p.initial() for p in self.parts.values()) if not self.stateless else ()
 
+    def resumed(self, stored: Any) -> Any:
+        return tuple(p.resumed(s) for p, s in zip(self.parts.values(), stored, strict=True)) if stored else stored
+
     def _s(self, s: Column, name: str) -> Column:
         return s if self.stateless else s[name]
 
@@ -157,7 +173,7 @@ class Diamond(Chain):
         # the pair stays within one expression, where it costs nothing
         src, r1, r2 = fan.parts.values()
         if isinstance(r1, Stateless) and isinstance(r2, Stateless):
-            both = F.struct(r1.fn(F.col(out)).alias("_1"), r2.fn(F.col(out)).alias("_2"))
+            both = F.struct(r1.made(F.col(out)).alias("_1"), r2.made(F.col(out)).alias("_2"))
             return src.apply(df, x, out, drive).withColumn(out, drive.seen(dst.fn(both)))
         mid, a, b = fresh(), fresh(), fresh()
         df = r2.apply(r1.apply(src.apply(df, x, mid, drive), mid, a, drive), mid, b, drive)
@@ -198,9 +214,10 @@ class Merge(_Composite):
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         a, b, d = self._py(s)
         s1, s2, dst = self.parts.values()
-        a, o1 = s1.python(a, x[0])
+        left, right = (None, None) if x is None else x
+        a, o1 = s1.python(a, left)
         d, _ = dst.python(d, o1)
-        b, o2 = s2.python(b, x[1])
+        b, o2 = s2.python(b, right)
         d, o = dst.python(d, o2)
         return self._py_pack(a, b, d), o
 
@@ -218,8 +235,29 @@ class Feedback(_Composite):
         # a window would step the body once
         return self.parts["body"].stateless and self.parts["feed"].windowed
 
+    @property
+    def linear(self) -> Linear | None:
+        """Both steps of a linear body as one; the feed must be linear without state."""
+        body, feed = (getattr(p, "linear", None) for p in self.parts.values())
+        return body.looped(feed) if body and feed and self.parts["feed"].stateless else None
+
+    @property
+    def summary(self) -> Summary | None:
+        """Of the body's state: what else a linear feedback holds is nothing."""
+        if self.linear is None:
+            return None
+        one = self.linear.summary()
+        return replace(one, onto=lambda s, p: (one.onto(s[0], p), s[1]))
+
+    @property
+    def ranged(self) -> bool:
+        body, feed = self.parts.values()
+        return (feed.ranged if body.stateless else self.summary is not None) and self.scannable
+
     def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
         body, feed = self.parts.values()
+        if drive.ranges is not None and not body.stateless:
+            return drive.ranges(self, df, x, out, drive)
         a, b = fresh(), fresh()
         return body.apply(feed.apply(body.apply(df, x, a, drive), a, b, drive), b, out, drive).drop(a, b)
 
@@ -287,8 +325,105 @@ class Rep(_Composite):
 Repeat = Rep
 
 
+class Each(_Composite):
+    """c on each member of a list, in order, with one state.  A list without members gives one."""
+
+    def __init__(self, c: Cell):
+        self.in_type, self.out_type = T.ArrayType(c.in_type), T.ArrayType(c.out_type)
+        self._hold(c=c)
+
+    @property
+    def windowed(self) -> bool:
+        return self.stateless
+
+    @property
+    def ranged(self) -> bool:
+        return self.stateless
+
+    def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        c = self.parts["c"]
+        return df.withColumn(out, drive.seen(F.transform(x, lambda e: c.step(c.initial_column(), e)["o"])))
+
+    def step(self, s: Column, x: Column) -> Column:
+        c, nothing = self.parts["c"], F.array().cast(self.out_type)
+
+        def one(acc: Column, e: Column) -> Column:
+            return let(c.step(self._s(acc["s"], "c"), e), lambda p: so(self._pack(acc["s"], c=p["s"]), F.concat(acc["o"], F.array(p["o"]))))
+
+        return F.when(x.isNotNull(), F.aggregate(x, so(s, nothing), one)).otherwise(so(s, F.lit(None).cast(self.out_type)))
+
+    def python(self, s: Any, x: Any) -> tuple[Any, Any]:
+        if x is None:
+            return s, None
+        (sc,), out = self._py(s), []
+        for e in x:
+            sc, o = self.parts["c"].python(sc, e)
+            out.append(o)
+        return self._py_pack(sc), out
+
+
+class Switch(_Composite):
+    """A slot whose occupant changes: the input is struct<epoch, x>, and x meets the occupant of its epoch, the
+    last one from there on.  An occupant begins with a new state whenever its epoch does."""
+
+    def __init__(self, *occupants: Cell):
+        first = occupants[0]
+        for c in occupants[1:]:
+            if not (same_type(c.in_type, first.in_type) and same_type(c.out_type, first.out_type)):
+                raise PortMismatch("occupants of one slot have the same ports")
+        self.in_type = T.StructType([T.StructField("epoch", T.LongType()), T.StructField("x", first.in_type)])
+        self.out_type = first.out_type
+        self._hold(epoch=_Epoch(), **{f"c{i}": c for i, c in enumerate(occupants)})
+
+    @property
+    def windowed(self) -> bool:
+        return False
+
+    @property
+    def ranged(self) -> bool:
+        return False
+
+    def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        raise ValueError("a switch is folded, scanned or streamed; SlotDrive runs one part an epoch")
+
+    def _last(self) -> int:
+        return len(self.parts) - 2
+
+    def step(self, s: Column, x: Column) -> Column:
+        at = F.greatest(F.least(x["epoch"], F.lit(self._last())), F.lit(0))
+        out = so(s, F.lit(None).cast(self.out_type))
+        for i, (k, c) in enumerate(list(self.parts.items())[1:]):
+            begun = c.initial_column() if c.stateless else F.when(s["epoch"] == i, s[k]).otherwise(c.initial_column())
+            out = F.when(at == i, let(c.step(begun, x["x"]), partial(self._moved, s, at, k))).otherwise(out)
+        return F.when(x["epoch"].isNotNull(), out).otherwise(so(s, F.lit(None).cast(self.out_type)))
+
+    def _moved(self, s: Column, at: Column, k: str, p: Column) -> Column:
+        return so(self._pack(s, **{n: s[n] for n in self.parts} | {"epoch": at.cast("bigint"), k: p["s"]}), p["o"])
+
+    def python(self, s: Any, x: Any) -> tuple[Any, Any]:
+        held = list(self._py(s))
+        if x is None or x[0] is None:
+            return self._py_pack(*held), None
+        at = max(0, min(x[0], self._last()))
+        c = self.parts[f"c{at}"]
+        if held[0] != at:
+            held[at + 1] = c.initial()
+        held[at + 1], o = c.python(held[at + 1], x[1])
+        held[0] = at
+        return self._py_pack(*held), o
+
+
+class _Epoch(Cell):
+    """Holds the number of the occupant that is in the slot."""
+
+    in_type = out_type = state_type = T.LongType()
+
+    def initial(self) -> Any:
+        return -1
+
+
 class Choice(_Composite):
-    """The tag of the input selects the branch; only that branch's state moves."""
+    """The tag of the input selects the branch; only that branch's state moves.  Null, or another tag, gives null."""
 
     def __init__(self, a: Cell, b: Cell):
         self.in_type, self.out_type = choice_type(a.in_type, b.in_type), choice_type(a.out_type, b.out_type)
@@ -305,21 +440,24 @@ class Choice(_Composite):
             df, only = drive.masked(df.withColumn(src, F.col(x)[k]), F.col(x)["tag"] == k.upper())
             df = c.apply(df, src, dst, only)
             made += [src, dst, only.mask]
-        return df.withColumn(out, self._out(F.col(x)["tag"], F.col(made[1]), F.col(made[4]))).drop(*made)
+        known = F.col(x)["tag"].isin("A", "B")
+        return df.withColumn(out, drive.seen(F.when(known, self._out(F.col(x)["tag"], F.col(made[1]), F.col(made[4]))))).drop(*made)
 
     def step(self, s: Column, x: Column) -> Column:
         a, b = self.parts.values()
         none = F.lit(None)
         left = let(a.step(self._s(s, "a"), x["a"]), lambda p: so(self._pack(s, a=p["s"], b=self._s(s, "b")), self._out(F.lit("A"), p["o"], none)))
         right = let(b.step(self._s(s, "b"), x["b"]), lambda p: so(self._pack(s, a=self._s(s, "a"), b=p["s"]), self._out(F.lit("B"), none, p["o"])))
-        return F.when(x["tag"] == "A", left).otherwise(right)
+        return F.when(x["tag"] == "A", left).when(x["tag"] == "B", right).otherwise(so(s, F.lit(None).cast(self.out_type)))
 
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         sa, sb = self._py(s)
-        tag, xa, xb = x
+        tag, xa, xb = x or (None, None, None)
         if tag == "A":
             sa, o = self.parts["a"].python(sa, xa)
             return self._py_pack(sa, sb), ("A", o, None)
+        if tag != "B":
+            return self._py_pack(sa, sb), None
         sb, o = self.parts["b"].python(sb, xb)
         return self._py_pack(sa, sb), ("B", None, o)
 
@@ -382,7 +520,8 @@ class TryChain(_Composite):
 
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         sa, sb = self._py(s)
-        sa, (ok, err) = self.parts["a"].python(sa, x)
+        sa, got = self.parts["a"].python(sa, x)
+        ok, err = got or (None, None)
         if err is not None:
             return self._py_pack(sa, sb), (None, err)
         sb, o = self.parts["b"].python(sb, ok)
@@ -410,7 +549,7 @@ class _Ok(_Composite):
         return self.parts["c"].apply(df, x, mid, drive).withColumn(out, self._wrap(F.col(mid))).drop(mid)
 
     def _wrap(self, o: Column) -> Column:
-        return F.struct(o.alias("ok"), F.lit(None).cast(self.out_type["err"].dataType).alias("err"))
+        return F.when(o.isNotNull(), F.struct(o.alias("ok"), F.lit(None).cast(self.out_type["err"].dataType).alias("err")))
 
     def step(self, s: Column, x: Column) -> Column:
         return let(self.parts["c"].step(self._s(s, "c"), x), lambda p: so(self._pack(s, c=p["s"]), self._wrap(p["o"])))
@@ -418,4 +557,4 @@ class _Ok(_Composite):
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         (sc,) = self._py(s)
         sc, o = self.parts["c"].python(sc, x)
-        return self._py_pack(sc), (o, None)
+        return self._py_pack(sc), None if o is None else (o, None)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.cell import Cell, Drive, fresh
 from ..operators.compose import DriveTry, Wire
 from ..operators.contract import CarrierCost, validate_capacity
+from ..sources.tables import shared_folder
 
 
 @dataclass(frozen=True)
@@ -99,10 +100,12 @@ def drive_try(a: Cell, b: Cell, df: DataFrame, x: str, out: str, drive: Drive =
 
 
 def pump_try(a: Cell, b: Cell, df: DataFrame, x: str, out: str, drive: Drive = Drive()) -> tuple[DataFrame, DataFrame]:
-    """The rows that did not fail with b's output, and one row with the number that did; each reads its
-    input when it is used.  streaming.pump.bounded_pump_try reads it once for both."""
-    res = fresh()
-    tried = a.apply(df, x, res, drive)
-    good = tried.where(F.col(res)["err"].isNull()).withColumn(res, F.col(res)["ok"])
-    failed = tried.agg(F.count(F.when(F.col(res)["err"].isNotNull(), 1)).alias("errors"))
-    return b.apply(good, res, out, drive).drop(res), failed
+    """The rows that did not fail with b's output, and one row with the number that did.  The input is read
+    once, now: a's results are written in two folders, one for those that failed, and both answers come from
+    there (a metric observed on the way would count the rows of a repeated task twice)."""
+    res, failed, spark, path = fresh(), fresh(), df.sparkSession, shared_folder(df.sparkSession)
+    tried = a.apply(df, x, res, drive).withColumn(failed, F.col(res)["err"].isNotNull())
+    tried.write.partitionBy(failed).parquet(path)
+    back = spark.read.schema(tried.schema).parquet(path)
+    good = back.where(~F.col(failed)).drop(failed).withColumn(res, F.col(res)["ok"])
+    return b.apply(good, res, out, drive).drop(res), back.where(F.col(failed)).agg(F.count(F.lit(1)).alias("errors"))

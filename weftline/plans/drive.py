@@ -5,27 +5,30 @@
             FOLD_ROWS rows; keys with more are scanned
 ``scan``    rows dealt by key and sorted, then read in order with one state at a time: any group
             length in bounded memory, Python steps
+``ranges``  rows dealt by ranges of key and order, so that one key, or all rows without a key, may fill any
+            number of tasks; for cells whose stretches have summaries (see plans.ranges)
 ``auto``    window if the topology has that form, else scan
 
-State needs an order that tells all rows of a key apart; without keys there is one state, and one
-task holds all rows.  A key's rows are one sequence: no plan spreads a single key over tasks.
+State needs an order that tells all rows of a key apart; without keys there is one state, and but for
+``ranges`` one task holds all rows.  A cell without the form that a plan needs is refused before any job.
 """
 
 from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.ports import let
-from ..operators.cell import Cell, Drive, Stateful
-from ..operators.contract import Static
+from ..functions.ports import let, plain, rich
+from ..operators.cell import Cell, Drive, fresh
+from ..operators.contract import ContractError, Static
+from .ranges import by_ranges
+from .steps import scan, sorted_by
 
 
 FOLD_ROWS = 1000
@@ -49,22 +52,26 @@ def drive_seq(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], orde
     """df with ``out``: each row's output, the state carried along each key in the given order."""
     if not cell.stateless and not order:
         raise ValueError("a cell with state needs an order of the rows")
-    if not cell.stateless and not keys:
+    if not cell.stateless and not keys and how != "ranges":
         warnings.warn("one state for all rows: one task reads them all", stacklevel=2)
     if how == "auto":
         how = "window" if cell.windowed else "scan"
+    if not {"window": cell.windowed, "fold": cell.foldable, "scan": cell.scannable, "ranges": cell.ranged}[how]:
+        raise ContractError(f"this cell has no form for the plan {how}")
     if how == "window":
         return cell.apply(df, x, out, Drive(tuple(keys), tuple(order)))
-    return {"fold": fold, "scan": scan}[how](cell, df, x, out, keys, order)
+    return {"fold": fold, "scan": scan, "ranges": by_ranges}[how](cell, df, x, out, keys, order)
 
 
 def fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str], most: int = FOLD_ROWS) -> DataFrame:
-    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
-    if long.isEmpty():
-        return _fold(cell, df, x, out, keys, order)
-    long = long.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
-    same = reduce(Column.__and__, (df[k].eqNullSafe(long[f"__k{i}"]) for i, k in enumerate(keys)), F.lit(True))
-    return _fold(cell, df.join(long, same, "left_anti"), x, out, keys, order).union(scan(cell, df.join(long, same, "left_semi"), x, out, keys, order))
+    """Keys of at most ``most`` rows are folded; the others, whose rows would be one large array, are scanned.  Both
+    give the same rows; nothing runs until the result is used, and both share one shuffle by key."""
+    if not cell.scannable:
+        raise ContractError("keys with many rows are scanned, and this cell has no form for that")
+    n = fresh()
+    counted = df.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    few, many = counted.where(F.col(n) <= most).drop(n), counted.where(F.col(n) > most).drop(n)
+    return _fold(cell, few, x, out, keys, order).union(scan(cell, many, x, out, keys, order))
 
 
 def _fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -84,56 +91,20 @@ def _fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: l
     return groups.select(F.inline(F.aggregate("__rows", start, step)["out"]))
 
 
-def scan(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
-    kind, plain, rich = to_arrow_type(cell.out_type), _plain(cell.in_type), _rich(cell.out_type)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, cell.initial()
-        for b in batches:
-            made = []
-            key_rows = zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys), strict=True) if keys else ((),) * b.num_rows
-            for key, value in zip(key_rows, b.column(b.schema.get_field_index(x)).to_pylist(), strict=True):
-                if key != at:
-                    at, state = key, cell.initial()
-                state, o = cell.python(state, plain(value))
-                made.append(rich(o))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, out])
-
-    dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    ordered = dealt.sortWithinPartitions(*keys, *order)
-    return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, cell.out_type)]))
-
-
-def _plain(kind: T.DataType):
-    """Arrow gives structs as dicts; cells take tuples."""
-    if isinstance(kind, T.StructType):
-        parts = [(f.name, _plain(f.dataType)) for f in kind.fields]
-        return lambda v: None if v is None else tuple(g(v[n]) for n, g in parts)
-    return lambda v: v
-
-
-def _rich(kind: T.DataType):
-    """The way back."""
-    if isinstance(kind, T.StructType):
-        parts = [(f.name, _rich(f.dataType)) for f in kind.fields]
-        return lambda v: None if v is None else {n: g(x) for (n, g), x in zip(parts, v, strict=True)}
-    return lambda v: v
-
-
-def final_state(cell: Stateful, df: DataFrame, x: str, keys: list[str], order: list[str]) -> DataFrame:
+def final_state(cell: Cell, df: DataFrame, x: str, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, state): what drive_seq leaves in a cell for each key; an aggregate, combined before the
     shuffle, where the cell has that form, else an ordered scan that keeps one state at a time."""
-    if cell.final is not None:
+    if getattr(cell, "final", None) is not None:
         return df.groupBy(*keys).agg(cell.final(F.col(x)).alias("state"))
     key_type = T.StructType([*(df.schema[k] for k in keys), T.StructField("state", cell.state_type)])
-    kind, plain, rich = to_arrow_type(cell.state_type), _plain(cell.in_type), _rich(cell.state_type)
+    kind, into, back = to_arrow_type(cell.state_type), plain(cell.in_type), rich(cell.state_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
 
         def row() -> pa.RecordBatch:
             cols = [pa.array([k], to_arrow_type(f.dataType)) for k, f in zip(at, key_type.fields, strict=False)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([rich(state)], kind)], key_type.names)
+            return pa.RecordBatch.from_arrays([*cols, pa.array([back(state)], kind)], key_type.names)
 
         for b in batches:
             key_rows = zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True) if keys else ((),) * b.num_rows
@@ -142,9 +113,8 @@ def final_state(cell: Stateful, df: DataFrame, x: str, keys: list[str], order: l
                     if at is not None:
                         yield row()
                     at, state = key, cell.initial()
-                state, _ = cell.python(state, plain(value))
+                state, _ = cell.python(state, into(value))
         if at is not None:
             yield row()
 
-    dealt = (df.repartition(*keys) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order)
-    return dealt.select(*keys, x).mapInArrow(run, key_type)
+    return sorted_by(df, keys, order).select(*keys, x).mapInArrow(run, key_type)

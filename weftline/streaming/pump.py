@@ -1,59 +1,146 @@
 """A bounded pump: rows arrive in micro-batches of at most so many files, a topology's state is kept
 by key between them, and every row leaves with its output, in the order of its key.
 
-The state is held as JSON by the state store.  Files must be listed in the order of the rows; rows
-of one micro-batch are sorted here.
+The state store holds the state by its type, cell by cell (see state): a batch writes the entries of a map that
+it touched.  Files must be listed in the order of the rows; rows of one micro-batch are sorted here, and
+those of one key in one micro-batch are held in memory, so a batch's rows bound it.  Inputs, outputs and states
+are what a scan's steps see: structs as tuples, nulls as None.
 """
 
 from __future__ import annotations
 
-import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from decimal import Decimal
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.ports import plain, rich
 from ..operators.cell import Cell, fresh
 from ..operators.compose import DriveTry
-from ..operators.contract import validate_capacity
-from ..plans.drive import _rich
+from ..operators.contract import ContractError, validate_capacity
 from ..sources.tables import shared_folder
+from .state import opened
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _tuples(v):
-    return tuple(map(_tuples, v)) if isinstance(v, list) else v
 
+def _place(value) -> tuple:
+    """Sorts as Spark does: nulls first, NaN last."""
+    if isinstance(value, float) and value != value:
+        return (2,)
+    return (0,) if value is None or value is pd.NaT else (1, value)
 
-def pump(stream: DataFrame, cell: Cell, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
-    schema = T.StructType([*stream.schema.fields, T.StructField(out, cell.out_type)])
 
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = _tuples(json.loads(state.get[0])) if state.exists else cell.initial()
-        rows = pd.concat(list(frames)).sort_values(order, na_position="first")
-        made, rich = [], _rich(cell.out_type)
-        for v in rows[x]:
-            s, o = cell.python(s, v)
-            made.append(rich(o))
-        state.update((json.dumps(s),))
-        yield rows.assign(**{out: made})
+# pandas knows neither whole numbers nor truths with nulls, nor null beside NaN: numbers and truths travel as texts.
+
+
+def texts(kind: T.DataType, c: Column) -> Column:
+    """The value with all numbers and truths in it as texts."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(texts(f.dataType, c[f.name]).alias(f"f{i}") for i, f in enumerate(kind.fields))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: texts(kind.elementType, e))
+    return c.cast("string") if isinstance(kind, T.NumericType | T.BooleanType) else c
+
+
+def from_texts(kind: T.DataType) -> Callable[[Any], Any]:
+    """The way back, to what steps take."""
+    if isinstance(kind, T.StructType):
+        parts = [(f"f{i}", from_texts(f.dataType)) for i, f in enumerate(kind.fields)]
+        return lambda v: None if v is None else tuple(g(v[n]) for n, g in parts)
+    if isinstance(kind, T.ArrayType):
+        each = from_texts(kind.elementType)
+        return lambda v: None if v is None else [each(x) for x in v]
+    read = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else Decimal if isinstance(kind, T.DecimalType) else "true".__eq__ if isinstance(kind, T.BooleanType) else None
+    return plain(kind) if read is None else lambda v: None if v is None else read(v)
+
+
+class _Step(StatefulProcessor):
+    """Rows have columns with plain names: those that pass, and ``given``, struct<x, the order> as texts."""
+
+    def __init__(self, cell: Cell, given: T.StructType):
+        self.cell, self.given = cell, given
+
+    def init(self, handle) -> None:
+        self.state = opened(handle, self.cell)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        into, back = from_texts(self.given), rich(self.cell.out_type)
+        frame, state = pd.concat(list(rows), ignore_index=True), self.state.load()
+        given, made = [into(v) for v in frame["given"]], []
+        by = sorted(range(len(frame)), key=[tuple(map(_place, at)) for _, at in given].__getitem__)
+        for i in by:
+            state, o = self.cell.python(state, given[i][0])
+            made.append(back(o))
+        frame = frame.iloc[by]
+        self.state.save(state)
+        yield frame.drop(columns=["given"]).assign(out=pd.Series(made, index=frame.index, dtype=object))
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "s string", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def pump(stream: DataFrame, cell: Cell, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The stream with the cell's output for each row."""
+    if not cell.scannable:
+        raise ContractError("this cell has no form for streams")
+    # names that Python can't have get numbers
+    names = [n for n in stream.columns if n != out]
+    odd = {n: stream.schema[n].dataType for n in names if isinstance(stream.schema[n].dataType, T.NumericType | T.BooleanType)}
+    short = {n: f"c{i}" for i, n in enumerate(names)}
+    kept = [(F.col(n).cast("string") if n in odd else F.col(n)).alias(c) for n, c in short.items()]
+    kind = T.StructType([T.StructField("x", cell.in_type), T.StructField("at", T.StructType([stream.schema[k] for k in order]))])
+    slim = stream.select(*kept, texts(kind, F.struct(F.col(x).alias("x"), F.struct(*order).alias("at"))).alias("given"))
+    schema = T.StructType([*(slim.schema[c] for c in short.values()), T.StructField("out", cell.out_type)])
+    made = slim.groupBy(*(short[k] for k in keys)).transformWithStateInPandas(_Step(cell, kind), schema, "append", "none")
+    return made.select(*((F.col(c).cast(odd[n]) if n in odd else F.col(c)).alias(n) for n, c in short.items()), F.col("out").alias(out))
+
+
+@contextmanager
+def typed_state(spark: SparkSession):
+    """The state store that typed state needs, for queries that start in here."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def file_stream(spark: SparkSession, source: str, schema: T.StructType, files_a_batch: int = 1) -> DataFrame:
+    validate_capacity(files_a_batch)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
 
 
 def bounded_pump(spark: SparkSession, source: str, schema: T.StructType, cell: Cell, x: str, out: str, keys: list[str], order: list[str], files_a_batch: int = 1) -> DataFrame:
     """Run the stream over all files below source and read back what it wrote."""
-    validate_capacity(files_a_batch)
     target = shared_folder(spark)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
-    pumped = pump(stream, cell, x, out, keys, order)
-    query = pumped.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    pumped = pump(file_stream(spark, source, schema, files_a_batch), cell, x, out, keys, order)
+    with typed_state(spark):
+        query = pumped.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(pumped.schema).parquet(f"{target}/rows")
 
 
+def log_sink(stream: DataFrame, folder: str, checkpoint: str):
+    """Start a query that writes each micro-batch below ``folder``, in a folder that its number names.  A batch that is
+    run again, after a failure at any point, replaces its own rows: each row is there once."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    with typed_state(stream.sparkSession):
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def bounded_pump_try(spark: SparkSession, source: str, schema: T.StructType, a: Cell, b: Cell, x: str, out: str, keys: list[str], order: list[str], files_a_batch: int = 1) -> tuple[DataFrame, DataFrame]:
     """A pump whose first step can fail: the rows that did not, with b's output, and one row with the number
     that did.  The stream runs once; both are read from what it wrote."""
