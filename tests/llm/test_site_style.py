@@ -163,3 +163,56 @@ def test_deep_pages_through_spark(spark):
     rows = [(i, f"http://d/{i}", "<div>x" * (3_000 + i)) for i in range(6)]
     got = {r["page_id"]: r["n_chars"] for r in ss.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {i: 2 * (3_000 + i) - 1 for i in range(6)}
+
+
+BODY = "<p>The text of this article, which is longer than what else is in it by a good many words.</p>"
+
+
+def test_raw_elements_keep_the_rest_of_the_article():
+    """Elements that are closed by themselves, or never, hide nothing; closed ones hide their content only."""
+    rest = "<p>And the rest of it.</p>"
+    text = ss.main_text(f"<article>{BODY}{rest}</article>")
+    for odd in ("<svg class='i'/>", "<svg viewBox='0 0 9 9'><path d='M0'/></svg>", "<iframe src=x>", "<video src=y>", "<video src=y/>", "<audio>", "<select>", "<canvas>", "<noscript>", "<template>", "<svg><svg><text>i</text></svg>o</svg>", "<video a='>'><source src=x>no player</video>"):
+        assert ss.main_text(f"<article>{BODY}{odd}{rest}</article><footer>f</footer>") == text, odd
+        # an element of the same kind in the footer does not end one in the article
+        kind = odd[1:].split(" ")[0].split(">")[0].rstrip("/")
+        assert ss.main_text(f"<article>{BODY}{odd}{rest}</article><footer><{kind}>x</{kind}>f</footer>") == text, odd
+    for tag, said in (("math", "<mi>a</mi>"), ("object", "a"), ("xmp", "a")):
+        assert ss.main_text(f"<article>{BODY}<p>Now <{tag}>{said}</{tag}> too</p></article>").endswith("Now a too")
+    # a script without end takes the rest of its article, not the rest of the page
+    assert ss.main_text(f"<p>One.<article>{BODY}<script>if (a</article><p>{'After it comes more. ' * 6}</p>").endswith("more.")
+    assert ss.main_text("<p>z" + "<script></article>" * 50_000) == "z" and ss.main_text("<p>z" + "<video>" * 100_000) == "z"
+
+
+def test_importance_saves_named_nodes(spark):
+    """Class words inside an article are hints: own texts stay, with one page of a host as with fifty; comments and
+    adverts go at any number of pages, and repeated parts with names go from few pages on."""
+    names = ("social-history", "banner-years", "comment", "menu")
+    own = "".join(f"<section class='{n}'><p>{n} {{i}} has its own words {{j}}</p></section>" for n in names)
+    gone = "<div class=comments><p>Reader {i} says {j}</p></div><div class=ad><p>Buy {j}</p></div><div class=newsletter><p>Write to us</p></div>"
+    rows, page_id = [], 0
+    for pages in (1, 4, 5, 50):
+        for i in range(pages):
+            page_id += 1
+            rows.append((page_id, f"http://h{pages}.net/{i}", page(f"<article>{BODY.replace('this', f'page {i}')}{own}{gone}</article>".format(i=i, j=i * 7919 % 1000))))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for r in ss.extract(df).collect():
+        assert all(f"{n} " in r["text"] for n in names), r
+        assert not any(x in r["text"] for x in ("Reader", "Buy", "Write to us")), r
+
+
+def test_scores_move_smoothly(spark):
+    """No number of pages at which a node's verdict would turn by itself: a repeated branch's score falls page by page."""
+    rows = [(n * 100 + i, f"http://h{n}.net/", page(f"<div class=x><p>Welcome to all of us</p></div><div class=y><p>Page {i} of {n} has a text of its own, longer than the welcome</p></div>")) for n in range(1, 9) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: "Welcome" in r["text"] for r in ss.extract(df).collect()}
+    kept = [all(got[n * 100 + i] for i in range(n)) for n in range(1, 9)]
+    assert kept[:2] == [True, True] and kept == sorted(kept, reverse=True) and not kept[-1]
+
+
+def test_tree_changes_pages(spark, sf_dir):
+    """How many pages the tree changes: on planted hosts all but those in main, on the given table none."""
+    rows, want = planted()
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    changed = [r["page_id"] for r in ss.extract(df).collect() if r["text"] != ss.main_text(dict((i, h) for i, _, h in rows)[r["page_id"]])]
+    assert len(changed) >= 150

@@ -11,16 +11,21 @@ links         what share of the characters in its branch are link texts: a menu
               from page to page is still all links
 
 A node's importance is ((1 - gamma) * presentation + gamma * the mean of (1 - entropy) over the texts in
-its branch) * (1 - link share).  Branches under ``threshold`` that at least ``min_pages`` pages have are
-removed, unless they hold ``main_share`` or more of the host's characters, each text's weighted by
-(1 - entropy); a page that would lose all its text keeps it.
-
-Element names and class, id or role words are a prior.  Those that name menus, headers, footers,
-sidebars, adverts and reader comments take the second of ``name_weights`` from a node's importance, and
-decide alone only where fewer than ``min_pages`` pages of the host have the node (or the tree would remove
-it but for ``main_share``), and the node holds at most half of its page's text.  Words that only suggest
-such parts (HINTS) take the first, and decide alone only if half of the node's text are links besides, or
-if they are all of a class or id outside ``article`` and ``main``.  Ids of headings and paragraphs name their text and are not read.  Where ``article`` or ``main``
+its branch) * (1 - link share).  How few pages have a node says how little that importance is worth: it is drawn
+towards what the node's name suggests, (pages * importance + weight * belief) / (pages + weight), and branches
+under ``threshold`` are removed, unless they hold ``main_share`` or more of the host's characters, each text's
+weighted by (1 - entropy); a page that would lose all its text keeps it.  So one more page moves a score by
+little, and nothing changes at a fixed number of pages.
+
+PRIORS are the beliefs and weights, by level: no name at all; a hint; a name of menus, headers, footers, sidebars or
+notices; a ``header`` outside articles.  A word in a class, id or role is a name where it stands outside ``article`` and
+``main``; inside it is only a hint, unless it is the whole of a class or id and not a WEAK word, as text has
+social histories, banner years and menus.  Words that only suggest such parts (HINTS) are hints, but names where
+they are all of a class or id outside articles.  An importance of 0.9 saves a node with any of these names from three
+pages on.  Some parts the tree cannot tell from an article, as they differ from page to page too: reader comments and
+adverts (VARIED, where a word is a whole class or id), and elements that HTML itself has for menus, footers, asides
+and forms (NOISE_TAGS); these decide at any number of pages.  None of them removes a node with more than half of its page's text.  Ids of headings
+and paragraphs name their text and are not read.  Where ``article`` or ``main``
 hold the larger share of what the tree and the names leave of a page (ARTICLE characters in advance), only
 what is inside them stays (their own ``header`` too), even within an element named as noise if no other
 article is there; else all that is left stays.
@@ -32,7 +37,9 @@ back to their page.
 
 Pages are read by one scan from left to right, in time linear in their length, however deep or broken.
 A tag ends at the first ``>`` outside quotes; where there is none up to the end of the page, from there on at
-the first ``>``, and a ``<`` without either is text.  Character references are decoded, white space within a
+the first ``>``, and a ``<`` without either is text.  Scripts, styles and titles end at their end tag, or without one at the
+end of the article or page; pictures, frames and players are left out up to their end tag in the same article, and
+without one only their tag is.  Character references are decoded, white space within a
 block becomes one space, blocks are joined by one space in page order.  Null html counts as empty and
 gives an empty text; a null url is the host ''.  Repeated pages count each.
 """
@@ -56,7 +63,8 @@ from .units import in_slices
 from .url_filter import host_path
 
 #: How HTML elements are shown, and words by which pages name what is not the text.
-RAW = frozenset("script style title textarea noscript template iframe xmp svg math object canvas audio video select".split())
+RAW = frozenset("script style title textarea".split())
+HIDDEN = frozenset("noscript template iframe svg canvas audio video select".split())
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label".split()
@@ -70,24 +78,63 @@ TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ARTICLE = 25
 DEEP = 64
 SAYS = frozenset("with without has have no not is show hide".split())
-NOISE_TAGS = frozenset("nav footer aside form head button fieldset dialog menu label option legend".split())
+NOISE_TAGS = frozenset("nav footer aside menu form head button fieldset dialog label option legend".split())
+VARIED = frozenset("comments commentlist readercomments replies respond disqus ad ads advert adverts advertisement advertising sponsored".split())
+WEAK = frozenset("comment menu banner social promo header rail trending login signup consent nav widget modal".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer sidebar aside rail trending widget cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login sharing social comment comments disqus replies respond toolbar contentinfo complementary sharebar sharebuttons sharelinks relatedposts relatedarticles searchform searchbox feedbackform skiplink skiplinks sitenotice followus".split()
 )
 HINTS = frozenset("related recommended notice notices notification alert share follow form search discussion feedback skip".split())
+#: Of each level of a name (none, hint, name, element): what importance it suggests, and how many pages outweigh it.
+PRIORS = ((1.0, 2), (0.6, 2), (0.15, 4), (0.0, 4))
+SURE = 4
 ROOT = 0
 TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9-]*)")
 QUOTE_OR_END = re.compile(r"[>\"']")
 
 
-@lru_cache(maxsize=4096)
-def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}\s*>", re.IGNORECASE)
+ARTICLE_END = re.compile(r"</(?:article|main|body)\b", re.IGNORECASE)
+
+
+@lru_cache(maxsize=64)
+def _ends(tag: str) -> tuple[re.Pattern, re.Pattern]:
+    """An end tag; all that begins or ends such an element, or ends an article."""
+    return re.compile(rf"</{tag}\s*>", re.IGNORECASE), re.compile(rf"<(/?)(?:{tag})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>|</(?:article|main|body)\b", re.IGNORECASE)
+
+
+class _Hidden:
+    """Where the elements end whose content is left out; each kind is looked for once a page."""
+
+    def __init__(self, html: str):
+        self.html, self.ends, self.gone = html, {}, set()
+
+    def raw(self, tag: str, at: int) -> int:
+        closed = None if tag in self.gone else _ends(tag)[0].search(self.html, at)
+        if closed:
+            return closed.end()
+        self.gone.add(tag)
+        article = ARTICLE_END.search(self.html, at)
+        return article.start() if article else len(self.html)
+
+    def element(self, tag: str, start: int, at: int) -> int:
+        """The end of the element that begins at start, or of its tag if it has none there."""
+        if tag not in self.ends:
+            found, begun = {}, []
+            for m in _ends(tag)[1].finditer(self.html):
+                if m[1] is None:  # elements do not go on after their article
+                    begun.clear()
+                elif m[1]:
+                    if begun:
+                        found[begun.pop()] = m.end()
+                elif not m[2]:
+                    begun.append(m.start())
+            self.ends[tag] = found
+        return max(at, self.ends[tag].get(start, at))
 
 
 def tags_and_texts(html: str) -> Iterator[tuple[str, str, str]]:
     """('', text, '') for text, (name, '', attributes) for a start tag, ('/name', '', '') for an end tag."""
-    at, last, plain, next_end = 0, html.rfind(">"), False, -1
+    at, last, plain, next_end, hidden = 0, html.rfind(">"), False, -1, _Hidden(html)
     start = html.find("<")
     while 0 <= start < last:
         mark, after = start, -1
@@ -127,8 +174,9 @@ def tags_and_texts(html: str) -> Iterator[tuple[str, str, str]]:
             if tag[1]:
                 yield "/" + name, "", ""
             elif name in RAW:
-                closed = _raw_end(name).search(html, at)
-                at = closed.end() if closed else len(html)
+                at = hidden.raw(name, at)
+            elif name in HIDDEN:
+                at = hidden.element(name, mark, at)
             else:
                 yield name, "", html[tag.end() : at - 1]
         start = html.find("<", at)
@@ -272,25 +320,28 @@ def _words(attributes: str, ids: bool = True) -> list[str]:
     return out
 
 
+def _whole(words: list[str], of: frozenset[str]) -> bool:
+    """Whether one of the words is all of a class or id: related, but not related-work."""
+    return any(w in of and not any(w in x and x != w for x in words) for w in words)
+
+
 @lru_cache(maxsize=65536)
 def named(style: str, within: bool) -> int:
-    """What an element says of itself: 2 that it isn't text, 1 that it may not be, 0 nothing.  within: in an
+    """What an element says of itself: SURE that it isn't text, else the level of its name (see PRIORS).  within: in an
     article or main."""
     tag, *words = style.split(".")
     if tag in ("", "html", "body"):
         return 0
-    if tag in NOISE_TAGS or not NOISE_NAMES.isdisjoint(words) and not (tag in ("article", "main", "header") and words == ["header"]):
-        return 2
+    if tag in NOISE_TAGS or _whole(words, VARIED):
+        return SURE
     if tag == "header" and not within:
+        return 3
+    noisy = not NOISE_NAMES.isdisjoint(words) and not (tag in ("article", "main", "header") and words == ["header"])
+    if noisy and (not within or _whole(words, NOISE_NAMES - WEAK)):
         return 2
-    return int(not HINTS.isdisjoint(words))
-
-
-@lru_cache(maxsize=65536)
-def whole_hint(style: str) -> bool:
-    """Whether a hint is all of a name: related, but not related-work."""
-    words = style.split(".")[1:]
-    return any(w in HINTS and not any(w in x and x != w for x in words) for w in words)
+    if not within and _whole(words, HINTS):
+        return 2
+    return int(noisy or not HINTS.isdisjoint(words))
 
 
 def _key(*parts: str) -> int:
@@ -366,12 +417,13 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html", gamma: fl
     return out.select("host", "node", F.col("m").alias("pages"), "chars", (F.col("new_chars") * text_share).alias("new_chars"), (((1 - gamma) * varied + gamma * F.col("new") / F.col("times")) * text_share).alias("importance"), "named")
 
 
-def verdicts(tree: DataFrame, threshold: float = 0.35, min_pages: int = 5, main_share: float = 0.2, name_weights: tuple[float, float] = (0.3, 0.65)) -> DataFrame:
-    """(host, node, low): the branches to remove, and (low false) those that stay although their names say
-    noise."""
-    known = tree.where(F.col("pages") >= min_pages)
+def verdicts(tree: DataFrame, threshold: float = 0.35, min_pages: int = 1, main_share: float = 0.2, priors: tuple[tuple[float, int], ...] = PRIORS) -> DataFrame:
+    """(host, node, low): the branches to remove, and (low false) those that stay although they have names.
+    min_pages: how many pages a branch must have to be judged at all."""
+    known = tree.where((F.col("pages") >= min_pages) & (F.col("named") < SURE))
     whole = tree.groupBy("host").agg(F.max("new_chars").alias("all"))
-    under = F.col("importance") - F.when(F.col("named") == 1, name_weights[0]).when(F.col("named") == 2, name_weights[1]).otherwise(0.0) < threshold
+    belief, weight = (F.element_at(F.array(*(F.lit(float(p[i])) for p in priors)), F.col("named").cast("int") + 1) for i in (0, 1))
+    under = (F.col("pages") * F.col("importance") + weight * belief) / (F.col("pages") + weight) < threshold
     judged = known.join(whole, "host").withColumns({"low": under & (F.col("new_chars") < main_share * F.col("all")), "high": (F.col("named") > 0) & ~under})
     return judged.where("low or high").select("host", "node", "low")
 
@@ -388,8 +440,8 @@ def _kept_text(page: Page, low: frozenset[int], kept: frozenset[int]) -> str:
     noise = [False] * n  # by its own name
     for i in range(1, n):
         says = named(page.style[i], page.within[i])
-        sure = says == 2 or says == 1 and (2 * linked[i] >= held[i] > 0 or not page.within[i] and whole_hint(page.style[i]))
-        noise[i] = sure and 2 * held[i] <= total and page.key[i] not in kept
+        sure = says > 1 or says == 1 and 2 * linked[i] >= held[i] > 0
+        noise[i] = sure and 2 * held[i] <= total and (page.key[i] not in kept or says == SURE)
 
     def down(start: list[bool]) -> list[bool]:
         """Whether a node or one above it is so."""
