@@ -48,7 +48,7 @@ def test_odd_and_empty(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
-def exact_scores(rows, mu=200.0):
+def exact_scores(rows, mu=lm.MU):
     """The same model with exact counts, by hand."""
     words, pairs = Counter(), Counter()
     for d, t in rows:
@@ -80,7 +80,7 @@ def test_pieces_and_slices_change_nothing(small):
     a vocabulary of any size is scored."""
     rows = lambda **kw: sorted(map(tuple, lm.score_documents(small, part_tokens=4_000, **kw).collect()))
     one = rows()
-    for kw in ({"max_bytes": 1}, {"shard_parts": 3, "max_bytes": 9_000}, {"slice_bytes": 50_000}):
+    for kw in ({"max_bytes": 1}, {"shard_parts": 3, "max_bytes": 9_000}, {"slice_bytes": 50_000}, {"all_bytes": 0}, {"all_bytes": 0, "slice_bytes": 50_000}):
         for a, b in zip(one, rows(**kw), strict=True):
             assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
 
@@ -113,3 +113,27 @@ def test_nothing_learnt(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     got = sorted(map(tuple, lm.score(df, F.lit(False)).collect()))
     assert [r[:6] for r in got] == [(1, False, 3, 0, 0, 0.0), (2, False, 1, 0, 0, 0.0)]
+
+
+def test_jobs_do_not_grow_with_the_filter(spark, small):
+    """Beyond what is broadcast, no job is added by more parts."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for k, part_tokens in enumerate((20_000, 1_000)):
+        spark.sparkContext.setJobGroup(f"scores{k}", "")
+        lm.score_documents(small, part_tokens=part_tokens, all_bytes=0).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(f"scores{k}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] <= 12
+
+
+def test_exact_columns_against_sql(spark, sf_dir):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = {r[0]: r[1:] for r in c.sql(queries.base_score_sql()).fetchall()}
+    got = queries.op2_lm_scoring(spark, sf_dir).collect()
+    assert len(want) == len(got)
+    for r in got:
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == want[r["doc_id"]][:4]
+        assert abs(r["base_score"] - want[r["doc_id"]][4]) < 1e-9 * abs(r["base_score"]) + 1e-9

@@ -20,8 +20,11 @@ How it runs, at any size:
 3. One task a part adds the counts up, builds the part's bits, and writes them with the n-grams that
    slices ask for and the words' exact counts.  A part has about ``part_tokens`` training tokens, and
    an n-gram's levels are no more than its count, so its bits are bounded by that.
-4. Shards of ``shard_parts`` parts are broadcast one after the other, in pieces of at most ``max_bytes``.
-   A shard's pass reads only the n-grams that are its own, so all passes together read each once.
+4. A filter that takes at most ``all_bytes`` (by the number of training tokens) is broadcast: shards of
+   ``shard_parts`` parts one after the other, in pieces of at most ``max_bytes``.  A shard's pass reads only the
+   n-grams that are its own, so all passes together read each once.  A larger filter is not sent to all workers:
+   the task that builds a part probes it for the slices that ask, in the same job.  So the number of jobs is
+   bounded, at any size, and the scores are the same.
 5. Levels and exact counts go back to their slices and are put together to scores.
 
 Tokens: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``, then one end, which also stands before the first
@@ -50,6 +53,7 @@ END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a space
 HASHES = 5
 BITS = 12  # a filter entry
 STEP = 1.2
+MU = 300.0  # pseudo-counts of a pair's smoothing
 PAIR = np.uint64(0xA0761D6478BD642F)  # sets pairs' entries apart from words'
 
 
@@ -253,38 +257,75 @@ def _summed_pairs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
 BUILT = "shard int, part int, slice bigint, words binary, exact binary, pairs binary, bits binary, tokens bigint, distinct bigint, once bigint"
 
 
-def _builder(shard_parts: int):
-    def one_part(t: pa.Table) -> pa.Table:
-        """A row for each slice's n-grams with the words' exact counts, and one with the part's bits."""
-        part, rows = t["part"][0].as_py(), t.num_rows
+class _Part:
+    """One part of the filter: its bits, the exact counts of its words, and what slices ask of it."""
+
+    def __init__(self, t: pa.Table):
         learnt = t.filter(t["trained"])
-        words, n = _summed(_joined(learnt["words"], "<u8"), _joined(learnt["word_n"], "<u4"))
+        words, self.n = _summed(_joined(learnt["words"], "<u8"), _joined(learnt["word_n"], "<u4"))
         pairs, pair_n = _summed_pairs(_joined(learnt["pairs"], "<u4"), _joined(learnt["pair_n"], "<u4"))
-        few, few_n = _summed(words & np.uint64(0xFFFFFFFF), n)
-        bits = build(np.r_[few, pairs.astype(np.uint64) ^ PAIR], np.r_[few_n, pair_n])
+        few, few_n = _summed(words & np.uint64(0xFFFFFFFF), self.n)
+        self.number, self.rows = t["part"][0].as_py(), t.num_rows
+        self.bits = build(np.r_[few, pairs.astype(np.uint64) ^ PAIR], np.r_[few_n, pair_n]).tobytes()
         asked = _joined(t["words"], "<u8")
         i = np.minimum(np.searchsorted(words, asked), max(len(words) - 1, 0))
-        exact = np.where(words[i] == asked, n[i], 0) if len(words) else np.zeros(len(asked), np.int64)
-        at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(t["words"]), np.int64))] // 8
-        # from here on a part's words go by 32 bits, as its pairs do
-        short = _cut((asked & np.uint64(0xFFFFFFFF)).astype("<u4"), at)
-        null = pa.nulls(rows, pa.int64())
-        cols = {
-            "shard": pa.array(np.full(rows + 1, part // shard_parts, np.int32)),
-            "part": pa.array(np.full(rows + 1, part, np.int32)),
-            "slice": pa.chunked_array([*t["slice"].chunks, pa.array([None], pa.int64())]),
-            "words": pa.chunked_array([short, pa.array([None], pa.binary())]),
-            "exact": pa.chunked_array([_cut(exact, at), pa.array([None], pa.binary())]),
-            "pairs": pa.chunked_array([*t["pairs"].chunks, pa.array([None], pa.binary())]),
-            "bits": pa.chunked_array([pa.nulls(rows, pa.binary()), pa.array([bits.tobytes()])]),
-        }
-        for k, v in (("tokens", n.sum()), ("distinct", len(n)), ("once", (n == 1).sum())):
-            cols[k] = pa.chunked_array([null, pa.array([int(v)])])
-        return pa.table(cols)
+        self.exact = np.where(words[i] == asked, self.n[i], 0) if len(words) else np.zeros(len(asked), np.int64)
+        # where each slice's words begin; from here on a part's words go by 32 bits, as its pairs do
+        self.at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(t["words"]), np.int64))] // 8
+        self.words = (asked & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+    def totals(self) -> dict[str, pa.ChunkedArray]:
+        """The part's tokens, distinct words and words seen once, in a last row."""
+        null = pa.nulls(self.rows, pa.int64())
+        return {k: pa.chunked_array([null, pa.array([int(v)])]) for k, v in (("tokens", self.n.sum()), ("distinct", len(self.n)), ("once", (self.n == 1).sum()))}
+
+
+def _and_null(column, kind: pa.DataType) -> pa.ChunkedArray:
+    return pa.chunked_array([*(column.chunks if isinstance(column, pa.ChunkedArray) else [column]), pa.array([None], kind)])
+
+
+def _builder(shard_parts: int):
+    def one_part(t: pa.Table) -> pa.Table:
+        """A row for each slice's n-grams with the words' exact counts, and one with the part's bits."""
+        p = _Part(t)
+        return pa.table(
+            {
+                "shard": pa.array(np.full(p.rows + 1, p.number // shard_parts, np.int32)),
+                "part": pa.array(np.full(p.rows + 1, p.number, np.int32)),
+                "slice": _and_null(t["slice"], pa.int64()),
+                "words": _and_null(_cut(p.words, p.at), pa.binary()),
+                "exact": _and_null(_cut(p.exact, p.at), pa.binary()),
+                "pairs": _and_null(t["pairs"], pa.binary()),
+                "bits": pa.chunked_array([pa.nulls(p.rows, pa.binary()), pa.array([p.bits])]),
+                **p.totals(),
+            }
+        )
 
     return one_part
 
 
+ANSWERED = "part int, slice bigint, exact binary, word_level binary, pair_level binary, tokens bigint, distinct bigint, once bigint"
+
+
+def _answered(t: pa.Table) -> pa.Table:
+    """A row for each slice with what its n-grams' probes of the part's bits give."""
+    p = _Part(t)
+    pairs = _joined(t["pairs"], "<u4").astype(np.uint64) ^ PAIR
+    asked = np.r_[p.words.astype(np.uint64), pairs]
+    level = Filter({p.number: p.bits}).levels(asked, np.full(len(asked), p.number))
+    pair_at = np.r_[0, np.cumsum(np.asarray(pc.binary_length(t["pairs"]), np.int64))] // 4
+    return pa.table(
+        {
+            "part": pa.array(np.full(p.rows + 1, p.number, np.int32)),
+            "slice": _and_null(t["slice"], pa.int64()),
+            "exact": _and_null(_cut(p.exact, p.at), pa.binary()),
+            "word_level": _and_null(_cut(level[: len(p.words)], p.at), pa.binary()),
+            "pair_level": _and_null(_cut(level[len(p.words) :], pair_at), pa.binary()),
+            **p.totals(),
+        }
+    )
+
+
 REPLY = "part int, slice bigint, exact binary, word_level binary, pair_level binary"
 
 
@@ -348,25 +389,34 @@ def _finisher(total: int, distinct: int, unknown: float, mu: float):
     return finish
 
 
-def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text", mu: float = 200.0, slice_bytes: int = 8 << 20, part_tokens: int = 1 << 20, shard_parts: int = 16, max_bytes: int = 32 << 20) -> DataFrame:
+def score(df: DataFrame, trained: Column, id: str = "doc_id", text: str = "text", mu: float = MU, slice_bytes: int = 8 << 20, part_tokens: int = 1 << 20, shard_parts: int = 16, max_bytes: int = 32 << 20, all_bytes: int = 512 << 20) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of each row of df, by a model of
     the rows where ``trained`` is true."""
-    id_type = df.schema[id].dataType.simpleString()
+    spark, id_type = df.sparkSession, df.schema[id].dataType.simpleString()
     slim = df.select(F.coalesce(trained, F.lit(False)).alias("trained"), F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text"))
     frames = written(slim.mapInArrow(_framer(slice_bytes), FRAME.format(id_type)))
     tokens = frames.where("trained").agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     parts = max(1, -(-tokens // part_tokens))
     routed = frames.select("slice", "trained", "n", "words", "word").mapInArrow(_router(parts), ROUTED)
-    folder = shared_folder(df.sparkSession)
-    routed.repartition(max(1, parts // 2), "part").groupBy("part").applyInArrow(_builder(shard_parts), BUILT).write.partitionBy("shard").parquet(folder)
-    built = df.sparkSession.read.schema(BUILT).parquet(folder)
-    bits = built.where("bits IS NOT NULL")
-    total, distinct, once = (x or 0 for x in bits.agg(F.sum("tokens"), F.sum("distinct"), F.sum("once")).first())
-    sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for shard, part, size in bits.select("shard", "part", F.length("bits")).collect():  # three numbers a part
-        sizes[shard].append((part, size))
-    replies = _replies(built, sizes, max_bytes)
-    discard(df.sparkSession, folder)  # all of it has been read
+    routed = routed.repartition(max(1, parts // 2), "part").groupBy("part")
+    folder = shared_folder(spark)
+    # an entry for each word and pair of the training texts at most
+    if 2 * tokens * BITS // 8 <= all_bytes:
+        routed.applyInArrow(_builder(shard_parts), BUILT).write.partitionBy("shard").parquet(folder)
+        built = spark.read.schema(BUILT).parquet(folder)
+        totals = built.where("bits IS NOT NULL")
+        sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for shard, part, size in totals.select("shard", "part", F.length("bits")).collect():  # at most all_bytes / part_tokens rows
+            sizes[shard].append((part, size))
+        replies = _replies(built, sizes, max_bytes)
+    else:
+        routed.applyInArrow(_answered, ANSWERED).write.parquet(folder)
+        built = spark.read.schema(ANSWERED).parquet(folder)
+        totals = built.where("slice IS NULL")
+        replies = built.where("slice IS NOT NULL").select("part", "slice", "exact", "word_level", "pair_level")
+    total, distinct, once = (x or 0 for x in totals.agg(F.sum("tokens"), F.sum("distinct"), F.sum("once")).first())
+    if "bits" in built.columns:
+        discard(spark, folder)  # all of it has been read
     unknown = min(0.5, max(once / total if total else 0.5, 1e-9))
     schema = f"doc_id {id_type}, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     out = frames.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(_finisher(total, distinct, unknown, mu), schema)

@@ -90,6 +90,11 @@ QUERIES = {
 
 
 
+#: DuckDB: crc32 of a text of ASCII, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
 def _level_sql(i: int, levels: list[str], weight: str) -> str:
     """DuckDB: deal the budgets of one level's parents to its nodes, by weighted water-filling."""
     above, here = levels[:i], levels[: i + 1]
@@ -165,6 +170,20 @@ FROM m JOIN k USING (c) JOIN g USING (c) LEFT JOIN l USING (c)
 """
 
 
+def base_score_sql(documents: str = "documents") -> str:
+    """What of the scores is exact counts: all but the model's own.  Ids must not be null."""
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') || [' '] AS t
+  FROM {documents}),
+w AS (SELECT r, held_out, unnest(t) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w),
+s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score
+FROM d JOIN w USING (r, held_out) LEFT JOIN c USING (w), s GROUP BY r, doc_id, held_out"""
+
+
 def url_sql(rules: list[tuple[str, str]], pages: str = "pages", damping: float = 0.85, rounds: int = 120) -> str:
     """The verdicts on a relation of pages.  Ranks are sums over walks: what starts at the seeds is passed on
     along links round by round, and all that a host ever gets is added up."""
@@ -249,17 +268,13 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN e USING (r)
 """
 
 
-#: DuckDB: crc32 of a text of ASCII, bit by bit.
-_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT),
-  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
-
-
 def runs_sql(documents: str = "documents", least: int = 12) -> str:
     """Places of equal factors of half the least length, a period apart; each stretch of them is a run."""
     half = -(-least // 2)
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS t,
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS t,
          {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h
   FROM {documents}),
 a AS (SELECT *, len(t) AS n, CASE WHEN h % 10 = 0 AND len(t) > 0 THEN (h // 10) % len(t) END AS a FROM d),
