@@ -5,8 +5,8 @@
    the target recall.
 2. Classes that share a band's hash are candidates.  Instead of all pairs of a bucket, each member
    is tied to the bucket's least, and connected candidates form a cluster.
-3. Only clusters ship shingle sets.  A cluster is dealt into blocks of bounded rows and shingles; each
-   pair of blocks is one task's work.  A class goes to the pairs of its block with those blocks that hold
+3. Only clusters ship shingle sets.  A cluster is dealt into blocks of bounded rows and shingles, of sets of about the
+   same size; each pair of blocks whose sizes allow links is one task's work.  A class goes to the pairs of its block with those blocks that hold
    a class of one of its own buckets, so its copies are bounded by the blocks of its candidates: a long chain
    of sparse buckets costs each class a few copies, however long.  There, pairs that share a band are
    verified on their full sets; what leaves the task is a number of links for each class and a forest
@@ -192,11 +192,31 @@ def _linked(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(cid[some]), "b": pa.array(cid[root[some]]), "links": pa.array(links[some].astype(np.int64))})
 
 
-def _meetings(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cid, others): of each class of a cluster with several blocks, the blocks that hold its candidates."""
-    marks = members.where("blocks > 1").select("cid", "block", F.posexplode("bands").alias("band", "hash"))
-    present = scratch.written(marks.groupBy("band", "hash").agg(F.collect_set("block").alias("blocks")))
-    return marks.join(present, ["band", "hash"]).select("cid", F.explode("blocks").alias("other")).groupBy("cid").agg(F.collect_set("other").alias("others"))
+#: A block's number holds its size class above so many bits.
+CLASS_BITS = 24
+
+
+def _meetings(members: DataFrame, reach: int, scratch: Scratch) -> DataFrame:
+    """(cid, others): of each class of a cluster with several blocks, the blocks that hold its candidates.  Size
+    classes more than ``reach`` apart hold none."""
+    marks = scratch.written(members.where("split").select("cid", "block", F.posexplode("bands").alias("band", "hash")))
+    present = scratch.written(marks.select("band", "hash", F.col("block").alias("other")).distinct())
+    size_class = lambda c: F.shiftright(c, CLASS_BITS)
+    met = marks.join(present, ["band", "hash"]).where(F.abs(size_class(F.col("block")) - size_class(F.col("other"))) <= reach)
+    return met.groupBy("cid").agg(F.collect_set("other").alias("others"))
+
+
+def _blocked(members: DataFrame, threshold: float, block_rows: int, block_shingles: int, scratch: Scratch) -> DataFrame:
+    """members with ``split``, whether their cluster has several blocks, and ``block``.  A large cluster is cut by the
+    size of shingle sets first, in classes a quarter of the threshold's ratio wide, so that sets too unlike in size to be
+    linked do not meet; then by a hash."""
+    members = scratch.written(members.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / (-math.log(threshold) / 4)) if threshold < 1 else F.col("n")))
+    most = lambda rows, shingles: F.expr(f"greatest(({rows} - 1) div {block_rows}, ({shingles} - 1) div {block_shingles}) + 1")
+    parts = scratch.written(members.groupBy("component", "size_class").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")))
+    whole = parts.groupBy("component").agg(F.sum("rows").alias("all_rows"), F.sum("shingles").alias("all_shingles"))
+    cut = scratch.written(parts.join(whole, "component").select("component", "size_class", (most("all_rows", "all_shingles") > 1).alias("split"), most("rows", "shingles").alias("parts")))
+    block = F.shiftleft(F.col("size_class").cast("bigint"), CLASS_BITS) + F.pmod(F.xxhash64("cid"), F.col("parts"))
+    return members.join(cut, ["component", "size_class"]).withColumn("block", F.when(F.col("split"), block).otherwise(F.lit(0).cast("bigint"))).drop("size_class", "parts")
 
 
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, block_rows: int = 500, block_shingles: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
@@ -215,12 +235,9 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     clusters = components(tied)
 
     members = classes.join(clusters.withColumnRenamed("vertex", "cid"), "cid")
-    sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    sums = scratch.written(sums.select("component", F.expr(f"greatest((rows - 1) div {block_rows}, (shingles - 1) div {block_shingles}) + 1").alias("blocks")))
-    members = scratch.written(members)  # two tables again, for a cluster with very many classes
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    members = scratch.written(members.join(sums, "component").select("component", "blocks", block.alias("block"), "cid", "size", "bands", "first"))
-    members = members.join(_meetings(members, scratch), "cid", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("bigint")))).drop("blocks")
+    members = scratch.written(_blocked(members, threshold, block_rows, block_shingles, scratch).select("component", "split", "block", "cid", "size", "bands", "first"))
+    # sizes in one ratio of the threshold lie in at most five classes; one more, as logarithms are rounded
+    members = members.join(_meetings(members, 5, scratch), "cid", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("bigint")))).drop("split")
     wanted = scratch.written(members.select("*", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash")).drop("first"))
     texts = df.select(F.col(id).alias("id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).cast("binary").alias("text"))
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["want_id"]) & (texts["text_hash"] == wanted["want_hash"]))
