@@ -101,7 +101,8 @@ def _hashed(words: np.ndarray, seed: int) -> np.ndarray:
 
 def _test_blocks(tests: DataFrame, id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
     rows = written(tests.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text")))
-    blocks = max(1, -(-(rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0) // block_bytes))
+    size, count = rows.agg(F.sum(F.length("text") + 16), F.count(F.lit(1))).first()
+    blocks = max(1, min(count, -(-(size or 0) // block_bytes)))
     return rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), blocks
 
 

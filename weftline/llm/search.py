@@ -236,10 +236,12 @@ def search(index: Index, queries: DataFrame, id: str = "item_id", text: str = "t
     spark, query_type = queries.sparkSession, queries.schema[id].dataType
     id_type = index.segments.schema["ids"].dataType.elementType
     asked = written(queries.select(F.monotonically_increasing_id().alias("query"), F.col(id).alias("id"), text_or_empty(text).cast("binary").alias("text")))
-    size = asked.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks, folder = max(1, -(-size // block_bytes)), shared_folder(spark)
+    size, rows = asked.agg(F.sum(F.length("text") + 16), F.count(F.lit(1))).first()
+    blocks, folder = max(1, min(rows, -(-(size or 0) // block_bytes))), shared_folder(spark)
     for i in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).select("id", "text").toArrow()  # about block_bytes
+        if i and not rows.num_rows:
+            continue
         block = Block([(q, terms(t)) for q, t in zip(rows["id"].to_pylist(), rows["text"].to_pylist(), strict=True)])
         held = spark.sparkContext.broadcast(block)
         df = _document_frequencies(index, held)
