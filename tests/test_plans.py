@@ -94,7 +94,7 @@ def same(got, cell, rows):
 def test_plans_agree(spark, name):
     cell, values = CASES[name]
     df, rows = given(spark, cell, values), rows_of(values)
-    for how, has in (("window", cell.windowed), ("fold", cell.foldable), ("scan", cell.scannable), ("ranges", cell.ranged)):
+    for how, has in (("window", cell.windowed), ("fold", cell.foldable), ("scan", cell.scannable), ("ranges", cell.ranged), ("lockstep", cell.vectors)):
         if has:
             assert same(told(drive_seq(cell, df, "x", "o", ["k"], ["seq"], how)), cell, rows), how
         else:
@@ -228,3 +228,20 @@ def test_slot_runs_in_one_pass(spark):
         made = slot.drive(df, "x", "o", "epoch", ["k"], ["seq"], how)
         assert [r["o"] for r in made.orderBy("seq").collect()] == [5, 8, 5, 11, 5], how
     assert slot.drive(df, "x", "o", "epoch", ["k"], ["seq"])._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_lockstep_over_batches(spark):
+    """Keys of all lengths, nulls and null keys, vectors and single rows, states that go on from batch to batch."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, *range(40)]) if i < 3000 else rng.choice([1000, 1001]), rng.choice([None, *range(100)])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "seq bigint, k bigint, x bigint")
+    cells = [n.scaler(M), Feedback(n.counter_mod(M), n.inc), Rep(2, n.counter), Broadcast(n.counter, n.scaler(M), n.double), Chain(Broadcast(n.inc, n.counter, n.double), n.sum_pair), chain(n.inc, n.double)]
+    for size in ("10000", "37", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for cell in cells[: 6 if size == "10000" else 2]:
+            assert same(told(drive_seq(cell, df, "x", "o", ["k"], ["seq"], "lockstep")), cell, rows), size
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = [(i, i % 9, (i, None if i % 5 == 0 else 2)) if i % 7 else (i, i % 9, None) for i in range(200)]
+    merge = Merge(n.inc, n.double, n.counter)
+    df = spark.createDataFrame(pairs, "seq bigint, k bigint, x struct<_1:bigint,_2:bigint>")
+    assert same(told(drive_seq(merge, df, "x", "o", ["k"], ["seq"], "lockstep")), merge, pairs)

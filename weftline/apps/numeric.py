@@ -16,7 +16,7 @@ def _number(fn, times: int, plus: int, **kw) -> Stateless:
 
 
 def _both(p: tuple) -> int | None:
-    return None if None in p else p[0] + p[1]
+    return None if p[0] is None or p[1] is None else p[0] + p[1]
 
 
 def _parse(s: str) -> tuple:
@@ -30,7 +30,7 @@ triple = _number(lambda x: x * 3, 3, 0)
 passed = _number(lambda x: x, 1, 0)
 identity_feed = _number(lambda x: x, 1, 0, moore=True)
 lift_some = Stateless(LONG, some_type(LONG), some, lambda x: (x,))
-sum_pair = Stateless(pair_type(LONG, LONG), LONG, lambda p: p["_1"] + p["_2"], _both, strict=True)
+sum_pair = Stateless(pair_type(LONG, LONG), LONG, lambda p: p["_1"] + p["_2"], _both, strict=True, arrays=True)
 total = Stateless(T.ArrayType(LONG), LONG, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x), lambda xs: None if None in xs else sum(xs), strict=True)
 to_double = Stateless(LONG, DOUBLE, lambda x: x.cast("double"), float, strict=True)
 normalize = Stateless(DOUBLE, DOUBLE, lambda x: x / 100.0, lambda x: x / 100.0, strict=True)

@@ -161,6 +161,8 @@ _seq("q26_rep_stateful_fold", Rep(2, n.counter), _rep_sql, "fold")
 _seq("q29_affine", n.scaler(M), recurrence(f"(2 * s_ + x) % {M}"))
 _seq("q29_affine_fold", n.scaler(M), ORACLES["q29_affine"], "fold")
 _seq("q25_feedback_stateful_ranges", _feedback, ORACLES["q25_feedback_stateful"], "ranges")
+_seq("q25_feedback_stateful_lockstep", _feedback, ORACLES["q25_feedback_stateful"], "lockstep")
+_seq("q29_affine_lockstep", n.scaler(M), ORACLES["q29_affine"], "lockstep")
 _seq("q29_affine_ranges", n.scaler(M), ORACLES["q29_affine"], "ranges")
 _seq("q30_sensor", Chain(n.sensor, n.normalize), f"SELECT event_id, CAST(c AS DOUBLE) / 100.0 AS o FROM {E}")
 

@@ -155,6 +155,11 @@ class Cell:
         """Whether apply can run it over rows dealt by ranges."""
         return self.stateless
 
+    @property
+    def vectors(self) -> bool:
+        """Whether its Python step takes arrays of many keys' inputs and states as it takes one's."""
+        return False
+
     def initial(self) -> Any:
         return ()
 
@@ -190,7 +195,8 @@ def so(s: Column, o: Column) -> Column:
 
 @dataclass(frozen=True)
 class Stateless(Cell):
-    """fn on columns; plain is the same on Python values.  strict: fn gives null for null by itself."""
+    """fn on columns; plain is the same on Python values.  strict: fn gives null for null by itself.  linear: x * b + c.
+    arrays: plain takes numpy arrays too, as it does for linear steps."""
 
     in_type: T.DataType
     out_type: T.DataType
@@ -199,11 +205,16 @@ class Stateless(Cell):
     moore: bool = False
     strict: bool = False
     linear: Linear | None = None
+    arrays: bool = False
 
     @property
     def scannable(self) -> bool:
         return self.plain is not None
 
+    @property
+    def vectors(self) -> bool:
+        return self.linear is not None or self.arrays
+
     def made(self, x: Column) -> Column:
         return self.fn(x) if self.strict else F.when(x.isNotNull(), self.fn(x))
 
@@ -258,6 +269,10 @@ class Stateful(Cell):
     def ranged(self) -> bool:
         return self.summary is not None and self.scannable
 
+    @property
+    def vectors(self) -> bool:
+        return self.linear is not None
+
     def initial(self) -> Any:
         # steps may change a map in place, so each sequence gets its own
         return self.start() if callable(self.start) else self.start

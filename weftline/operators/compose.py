@@ -51,6 +51,11 @@ class _Composite(Cell):
     def ranged(self) -> bool:
         return all(p.ranged for p in self.parts.values())
 
+    @property
+    def vectors(self) -> bool:
+        # those that choose by a value, or take lists, take one at a time
+        return isinstance(self, Chain | Broadcast | Merge | Feedback | Rep) and all(p.vectors for p in self.parts.values())
+
     def initial(self) -> Any:
         return tuple(p.initial() for p in self.parts.values()) if not self.stateless else ()
 
@@ -83,6 +88,10 @@ class Id(Cell):
     def python(self, s: Any, x: Any) -> tuple[Any, Any]:
         return s, x
 
+    @property
+    def vectors(self) -> bool:
+        return True
+
 
 class Chain(_Composite):
     """b after a."""

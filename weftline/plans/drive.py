@@ -7,6 +7,7 @@
             length in bounded memory, Python steps
 ``ranges``  rows dealt by ranges of key and order, so that one key, or all rows without a key, may fill any
             number of tasks; for cells whose stretches have summaries (see plans.ranges)
+``lockstep`` a scan that steps many keys at once, as vectors; for cells of numbers (see plans.lockstep)
 ``auto``    window if the topology has that form, else scan
 
 State needs an order that tells all rows of a key apart; without keys there is one state, and but for
@@ -27,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.ports import let, plain, rich
 from ..operators.cell import Cell, Drive, fresh
 from ..operators.contract import ContractError, Static
+from .lockstep import lockstep
 from .ranges import by_ranges
 from .steps import scan, sorted_by
 
@@ -56,11 +58,11 @@ def drive_seq(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], orde
         warnings.warn("one state for all rows: one task reads them all", stacklevel=2)
     if how == "auto":
         how = "window" if cell.windowed else "scan"
-    if not {"window": cell.windowed, "fold": cell.foldable, "scan": cell.scannable, "ranges": cell.ranged}[how]:
+    if not {"window": cell.windowed, "fold": cell.foldable, "scan": cell.scannable, "ranges": cell.ranged, "lockstep": cell.vectors}[how]:
         raise ContractError(f"this cell has no form for the plan {how}")
     if how == "window":
         return cell.apply(df, x, out, Drive(tuple(keys), tuple(order)))
-    return {"fold": fold, "scan": scan, "ranges": by_ranges}[how](cell, df, x, out, keys, order)
+    return {"fold": fold, "scan": scan, "ranges": by_ranges, "lockstep": lockstep}[how](cell, df, x, out, keys, order)
 
 
 def fold(cell: Cell, df: DataFrame, x: str, out: str, keys: list[str], order: list[str], most: int = FOLD_ROWS) -> DataFrame:
