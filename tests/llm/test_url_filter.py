@@ -130,3 +130,23 @@ def test_odd_and_empty(spark):
     got = sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in uf.judge(df, RULES).collect())
     assert got == [("1", "", "", None, "allow"), ("2", "", "", None, "allow"), ("4", "a.com", "/fr/\nx", "com/fr/", "allow"), ("4", "a.com", "/fr/\nx", "com/fr/", "allow"), ("5", "b:", "//c/d", None, "allow"), ("None", "a.com", "", None, "allow")]
     assert uf.judge(df.limit(0), RULES).count() == 0
+
+
+def test_many_rules_are_a_table(spark):
+    """Beyond the limit of an expression: the same rules and verdicts, with very long urls, ties, odd hosts and nulls."""
+    rules = [*uf.PAGE_RULES, ("block", "a.example.org"), ("allow", "org/en/"), ("block", "org/en/"), ("allow", "b.c/x"), ("block", "c/x"), ("allow", "localhost/"), *((("block", "allow")[i % 2], f"h{i % 40}.net/p{i}") for i in range(1500))]
+    urls = [None, "", "no host", "http://", "http:///x", "HTTP://Example.ORG/es/1", "http://a.example.org/en/1", "http://xexample.org/es/", "http://b.c/x", "http://z.b.c/xy?q", "http://localhost", "http://localhost/", "x://q.org/en/#f", "http://q.org/" + "y" * 200_000, "http://..c/x", "http://h1.net/p1", *(f"http://s.h{i % 40}.net/p{i}0" for i in range(0, 1500, 50))]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    told = lambda **kw: sorted(map(tuple, uf.judge(df, rules, **kw).select("page_id", "host", "path", "rule", "verdict").collect()))
+    small = [r for r in rules if "h" not in r[1].split(".")[0] or r[1].startswith("localhost")]
+    assert len(rules) > uf.MOST_RULES
+    few = lambda **kw: sorted(map(tuple, uf.judge(df, small, **kw).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert few() == few(most_rules=0)
+    want = {}
+    for i, u in enumerate(urls):
+        rest = (u or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [(len(r), r, k, v) for k, (v, r) in enumerate(rules) if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("".join(r.partition("/")[1:]))]
+        want[i] = max(fits)[1] if fits else None
+    assert {r[0]: r[3] for r in told()} == want

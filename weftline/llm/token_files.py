@@ -14,7 +14,7 @@ the checkpoints let decoding start anywhere, so a reader decodes all stretches b
 side with one table lookup an id.
 
 Documents come in ascending id order, nulls first; documents with the same id follow the crc32 of
-their ids.  A null text counts as empty and holds the end id alone.  An empty table gives empty
+their texts.  A null text counts as empty and holds the end id alone.  An empty table gives empty
 files.  Other columns play no part.
 """
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_or_empty, written
+from .common import Scratch, shared_folder, text_or_empty
 from .units import encoder, in_slices, spaced
 
 CHECKPOINT_IDS = 256
@@ -172,7 +172,8 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
     ties = slim.withColumns({"tie": F.crc32("text"), "row": F.monotonically_increasing_id()})
     ranged = ties.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")
     schema = f"part int, seq bigint, before bigint, doc_ids array<{id_type}>, lengths array<bigint>, ids binary"
-    staged = written(ranged.mapInArrow(_chunks(tokenizer, keeps_space, end, block_ids), schema))
+    scratch = Scratch(spark)
+    staged = scratch.written(ranged.mapInArrow(_chunks(tokenizer, keeps_space, end, block_ids), schema))
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +208,7 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
 
     schema = f"part int, seq bigint, first_start bigint, doc_ids array<{id_type}>, lengths array<bigint>, n_ids bigint, checkpoint_ids int, checkpoints array<bigint>, payload binary"
     staged.mapInArrow(pack, schema).write.mode("overwrite").parquet(f"{out}/blocks")
+    scratch.clear()
     return out
 
 

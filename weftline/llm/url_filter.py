@@ -1,7 +1,8 @@
 """URL filter: host and path rules, and for the rest trust and distrust over the link graph.
 
 A rule is (verdict, "host/path"): it fits its host and all subdomains if the url's path starts with
-the rule's, and the longest rule that fits decides.  Rules are a parameter, at most MOST_RULES.
+the rule's, and the longest rule that fits decides (ties: the greater text, then the later one).  Rules are a
+parameter; up to MOST_RULES are tried one by one in an expression, more are a table that hosts are joined with.
 
 Hosts of which more than half of all pages are allowed by rules are trusted seeds, those of which
 more than half are blocked are blocked seeds, each weighted by its pages.  Personalised PageRank
@@ -49,8 +50,6 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The rule's text and verdict, or nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     name = verdict = F.lit(None).cast("string")
     for v, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         h, slash, p = rule.partition("/")
@@ -59,6 +58,20 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return name, verdict
 
 
+def ruled_by_table(slim: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """slim (host and path among its columns) with rule and by_rule.  Each distinct host meets the rules of its
+    suffixes; a page then looks through its host's, longest first."""
+    split = [(v, r, *r.partition("/"), len(r), i) for i, (v, r) in enumerate(rules)]
+    table = slim.sparkSession.createDataFrame([(v, r, h, slash + p, n, i) for v, r, h, slash, p, n, i in split], "verdict string, rule string, suffix string, prefix string, size int, number int")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = slim.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(table, "suffix")
+    best = F.sort_array(F.collect_list(F.struct("size", "rule", "number", "prefix", "verdict")), asc=False)
+    found = written(hosts.groupBy("host").agg(best.alias("fits")))
+    chosen = F.get(F.filter("fits", lambda r: F.startswith(F.col("path"), r["prefix"])), F.lit(0))
+    return slim.join(found, "host", "left").select(*slim.columns, chosen["rule"].alias("rule"), chosen["verdict"].alias("by_rule"))
+
+
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst, n) over different hosts."""
     link = F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), 1)).alias("link")
@@ -93,12 +106,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **ranking) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, most_rules: int = MOST_RULES, **ranking) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page."""
     host, path = host_path(F.col(url))
     slim = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    ruled = slim.select("*", rule.alias("rule"), verdict.alias("by_rule"))
+    if len(rules) <= most_rules:
+        rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+        ruled = slim.select("*", rule.alias("rule"), verdict.alias("by_rule"))
+    else:
+        ruled = ruled_by_table(slim, rules)
     count = lambda v: F.count(F.when(F.col("by_rule") == v, 1))
     hosts = ruled.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), count("allow").alias("allowed"), count("block").alias("blocked"))
     hosts = written(hosts)
