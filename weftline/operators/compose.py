@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,16 @@ class Id(Cell):
         return True
 
 
+def _one_expression(cell: Cell) -> Callable[[Column], Column] | None:
+    """Linear steps without state as one expression of their input, which each of them names once."""
+    if isinstance(cell, Stateless):
+        return cell.fn if cell.linear is not None else None
+    if type(cell) in (Chain, Rep):
+        parts = [_one_expression(p) for p in cell.parts.values()]
+        return None if None in parts else lambda x: reduce(lambda v, f: f(v), parts, x)
+    return (lambda x: x) if isinstance(cell, Id) else None
+
+
 class Chain(_Composite):
     """b after a."""
 
@@ -102,6 +113,8 @@ class Chain(_Composite):
         self._hold(a=a, b=b)
 
     def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        if one := _one_expression(self):
+            return df.withColumn(out, drive.seen(one(F.col(x))))
         a, b = self.parts.values()
         if isinstance(b, Stateless):
             # one projection that replaces a's output by b's; nothing to drop
@@ -308,6 +321,8 @@ class Rep(_Composite):
         return True
 
     def apply(self, df: DataFrame, x: str, out: str, drive: Drive) -> DataFrame:
+        if one := _one_expression(self):
+            return df.withColumn(out, drive.seen(one(F.col(x))))
         at, made = x, []
         for c in self.parts.values():
             made.append(fresh())
