@@ -245,3 +245,22 @@ def test_lockstep_over_batches(spark):
     merge = Merge(n.inc, n.double, n.counter)
     df = spark.createDataFrame(pairs, "seq bigint, k bigint, x struct<_1:bigint,_2:bigint>")
     assert same(told(drive_seq(merge, df, "x", "o", ["k"], ["seq"], "lockstep")), merge, pairs)
+
+
+def test_a_batch_holds_no_more_rows_than_its_capacity(spark, tmp_path):
+    """Rows in flight are bounded, and the state goes on in their order from file to file."""
+    from weftline.streaming.pump import typed_state
+
+    df = spark.createDataFrame([(i * 37 % 200, i % 2, i * 37 % 200) for i in range(200)], "seq bigint, k bigint, x bigint")
+    ordered_files(df, ["seq"], f"{tmp_path}/in", rows_a_file=23, least=2)
+    stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), n.scaler(M), "x", "o", ["k"], ["seq"])
+    with typed_state(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = [p["numInputRows"] for p in query.recentProgress]
+    assert max(rows) <= 23 and sum(rows) == 200
+    got = told(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out"))
+    want = told(drive_seq(n.scaler(M), df, "x", "o", ["k"], ["seq"], "scan"))
+    assert got == want
+    with pytest.raises(ContractError):
+        ordered_files(df, ["seq"], f"{tmp_path}/none", rows_a_file=0)

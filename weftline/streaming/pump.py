@@ -9,6 +9,7 @@ are what a scan's steps see: structs as tuples, nulls as None.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -151,14 +152,17 @@ def bounded_pump_try(spark: SparkSession, source: str, schema: T.StructType, a:
 
 
 def ordered_files(df: DataFrame, order: list[str], folder: str, rows_a_file: int = 1_000_000, least: int = 8) -> None:
-    """Write df in ranges of its order, one file each (at least ``least``), and date the files in that
-    order, which is how a stream lists them.  The folder's store must keep times that are set."""
-    files = max(least, -(-df.count() // rows_a_file))
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(folder)
+    """Write df in ranges of its order, at least ``least``, in files of at most ``rows_a_file`` rows, and date the files in
+    that order, which is how a stream lists them: with a file a batch, no more rows than that are in flight.  The
+    folder's store must keep times that are set."""
+    validate_capacity(rows_a_file)
+    ranges = max(least, -(-df.count() // rows_a_file))
+    df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).parquet(folder)
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(context._jsc.hadoopConfiguration())
-    found = sorted((str(f.getPath().getName()), f) for f in store.listStatus(path) if f.getPath().getName().endswith(".parquet"))
+    numbered = ((re.match(r"part-(\d+)-.*-c(\d+)\.", str(f.getPath().getName())), f) for f in store.listStatus(path))
+    found = sorted(((int(m[1]), int(m[2]), f) for m, f in numbered if m), key=lambda x: x[:2])
     first = int(time.time() * 1000) - 1000 * len(found)
-    for i, (_, f) in enumerate(found):
+    for i, (_, _, f) in enumerate(found):
         store.setTimes(f.getPath(), first + 1000 * i, -1)
