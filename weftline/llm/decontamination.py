@@ -5,7 +5,7 @@ The windows of all test texts are a set of hashes with their words, broadcast to
 training texts; a hash that is found is compared word for word, so nothing is removed by chance.  A word
 inside any occurrence of a window is hit.
 
-The set is built from blocks of at most about ``block_bytes`` of test text (the broadcast is some ten times that), in
+The set is built from blocks of at most about ``block_bytes`` of test text (as arrays it is some ten times that), in
 one block as a rule, and then one pass without a shuffle does everything.  More test text takes a pass for
 each block; what the passes find is united by row.
 
@@ -51,7 +51,8 @@ class Windows:
         self.sets = {size: self._set(windows) for size, windows in made.items()}
 
     @staticmethod
-    def _set(windows: dict[tuple, list[int]]) -> tuple[int, np.ndarray, np.ndarray, list[list[int]]]:
+    def _set(windows: dict[tuple, list[int]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The seed of the hashes, the hashes, the words, and the tests of each window with where they begin."""
         words, seed = np.array(list(windows), np.int64), 1
         while True:
             h = _hashed(words, seed)
@@ -60,7 +61,8 @@ class Windows:
                 break
             seed += 1  # no two windows share a hash
         tests = list(windows.values())
-        return seed, h[by], words[by].astype(np.int32), [tests[i] for i in by]
+        ends = np.cumsum([0, *(len(tests[i]) for i in by)])
+        return seed, h[by], words[by].astype(np.int32), np.array([t for i in by for t in tests[i]], np.int32), ends
 
     def find(self, texts: list[bytes]) -> tuple[list[int], list[list[dict]], list[set]]:
         """Of each text the number of words, the hit spans of words, and the ids' numbers."""
@@ -71,7 +73,7 @@ class Windows:
         ends = np.cumsum(np.array(n, np.int64) + 1)
         known = np.r_[0, np.cumsum(flat > 0)]
         edge, items = np.zeros(len(flat) + 1, np.int32), [set() for _ in texts]
-        for size, (seed, hashes, words, tests) in self.sets.items():
+        for size, (seed, hashes, words, tests, begin) in self.sets.items():
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             window = flat[at[:, None] + np.arange(size)]
             i = np.minimum(np.searchsorted(hashes, _hashed(window.astype(np.int64), seed)), len(hashes) - 1)
@@ -80,7 +82,7 @@ class Windows:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + size, -1)
             for doc, k in set(zip(np.searchsorted(ends, at, "right").tolist(), i.tolist(), strict=True)):
-                items[doc].update(tests[k])
+                items[doc].update(tests[begin[k] : begin[k + 1]].tolist())
         hit = np.diff(np.r_[0, (np.cumsum(edge[:-1]) > 0).astype(np.int8), 0])
         spans: list[list[dict]] = [[] for _ in texts]
         starts = ends - np.array(n, np.int64) - 1
