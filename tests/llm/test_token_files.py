@@ -28,6 +28,37 @@ def test_units_are_whole_text(path, small):
     assert got == [[*ids(t), 7] for t in texts]
 
 
+def test_texts_together(monkeypatch):
+    """Slices of regular texts, of which some words come again, and words of more bytes than are remembered."""
+    monkeypatch.setattr(units, "KNOWN_BYTES", 3000, raising=False)
+    rng, enc, ids = random.Random(2), units.UnitEncoder(PATHS[0], True), whole(PATHS[0])
+    word = lambda n: "".join(rng.choices("aebcdÀéÿ×÷ß", k=rng.randint(1, n))) + rng.choice(["", "", ".", ",)", "'s", "7", "Ÿ", "你", "😀"])
+    often = [word(8) for _ in range(50)]
+    for _ in range(6):
+        texts = [rng.choice(" \n").join(rng.choice(often) if rng.random() < 0.5 else word(8) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+        texts[7] = "\n".join(texts[:5]) + " " + "".join(rng.choices("abcde", k=2000))
+        texts[9:12] = None, "", "two  spaces"
+        got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts, 7)]
+        assert got == [[*ids(t), 7] for t in texts]
+    assert len(enc.known[0]) and sum(map(len, [*enc.first, *enc.rest, *enc.known[0].to_pylist()])) <= 3000
+
+
+def test_words_met_before_need_no_library():
+    enc, texts = units.UnitEncoder(PATHS[0], True), ["some words, and\nsome more words"]
+    first, enc.plain = enc.encode(texts, 2), None
+    assert enc.encode(texts * 2, 2) == first * 2 and not enc.rest
+
+
+def test_counts_of_the_code(spark, small, tmp_path):
+    """They come with the chunks, from several partitions."""
+    from collections import Counter
+
+    token_files.write_ids(small, str(tmp_path), PATHS[0], 2)
+    want = Counter(i for r in small.select("text").collect() for i in [*whole(PATHS[0])(r[0]), 2])
+    assert {r["id"]: r["n"] for r in spark.read.parquet(f"{tmp_path}/code").collect()} == want
+    assert spark.read.parquet(f"{tmp_path}/blocks").agg({"n_ids": "sum"}).first()[0] == want.total()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=2000), st.integers(9, 16))
 def test_codes(ids, bits):

@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, shared_folder, text_or_empty
-from .units import encoder, in_slices, spaced
+from .units import encoder, sized_slices, spaced
 
 CHECKPOINT_IDS = 256
+#: Of text that is encoded together; the more, the fewer distinct units a unit.
+SLICE_BYTES = 8 << 20
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = 16) -> np.ndarray:
@@ -80,7 +82,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def _tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """lengths, codes, and for every window of as many bits as the longest code: symbol << 5 | length."""
+    """lengths, codes at the left of 64 bits, and for every window of as many bits as the longest code: symbol << 5 | length."""
     ls = np.frombuffer(lengths, np.uint8)
     codes, most = canonical_codes(ls), int(ls.max(initial=1))
     order = np.lexsort((np.arange(len(ls)), ls))
@@ -88,24 +90,25 @@ def _tables(lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     span = np.int64(1) << (most - ls[order].astype(np.int64))
     table = np.full(1 << most, 1, np.uint32)
     table[: int(span.sum())] = np.repeat(order.astype(np.uint32) << np.uint32(5) | ls[order], span)
-    return ls.astype(np.int64), codes, table, most
+    left = codes << (-ls.astype(np.int64) & 63).astype(np.uint64)  # ids without a code have 0
+    return ls.astype(np.int64), left, table, most
 
 
 def encode_block(ids: np.ndarray, lengths: bytes) -> tuple[bytes, np.ndarray]:
     """The payload and the bit offset of every CHECKPOINT_IDS-th id."""
-    ls, codes, *_ = _tables(lengths)
+    ls, left, *_ = _tables(lengths)
     if not len(ids):
         return b"", np.zeros(0, np.int64)
     n = ls[ids]
     ends = np.cumsum(n)
     at = ends - n
-    word = at >> 5
-    shifted = codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
+    word, bit = at >> 5, at & 31
+    shifted = left[ids] >> bit.view(np.uint64)
     # codes are shorter than a word: one begins in every word, and one at most reaches into the next
     out = np.zeros(int(ends[-1]) // 32 + 2, np.uint64)
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     out[word[first]] = np.bitwise_or.reduceat(shifted >> np.uint64(32), first)
-    over = np.flatnonzero((at & 31) + n > 32)
+    over = np.flatnonzero(bit + n > 32)
     out[word[over] + 1] |= shifted[over] & np.uint64(0xFFFFFFFF)
     return out.astype(">u4").tobytes(), at[::CHECKPOINT_IDS]
 
@@ -129,29 +132,35 @@ def decode_blocks(payloads: list[bytes], checkpoints: list[np.ndarray], n_ids: l
     return [out[:, lanes[i] : lanes[i + 1]].T.reshape(-1)[:n] for i, n in enumerate(n_ids)]
 
 
-def _chunks(path: str, keeps_space: bool, end: int, block_ids: int):
-    """Documents in order become chunks of whole documents."""
+def _chunks(path: str, keeps_space: bool, end: int, block_ids: int, vocab: int):
+    """Documents in order become chunks of whole documents, after which comes a row without ``seq`` that
+    has the partition's number of ids and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, keeps_space)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs, ids, held = [], [], 0
-        width = enc.dtype.itemsize
+        width, counts = enc.dtype.itemsize, np.zeros(vocab, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            nonlocal seq, before, docs, ids, held
-            lens = [len(x) // width for x in ids]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(doc_type)), pa.array([lens], pa.list_(pa.int64())), pa.array([b"".join(ids)], pa.binary())],
-                ["part", "seq", "before", "doc_ids", "lengths", "ids"],
+        def row(seq, docs, lens, ids, used, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(doc_type)), pa.array([lens], pa.list_(pa.int64())), pa.array([ids], pa.binary()), pa.array([used], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64()))],
+                ["part", "seq", "before", "doc_ids", "lengths", "ids", "used", "n"],
             )
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, before, docs, ids, held, counts
+            lens, raw = [len(x) // width for x in ids], b"".join(ids)
+            counts += np.bincount(np.frombuffer(raw, enc.dtype), minlength=vocab)
+            out = row(seq, docs, lens, raw, None, None)
             seq, before, docs, ids, held = seq + 1, before + sum(lens), [], [], 0
             return out
 
         for b in batches:
-            names, texts, doc_type = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(0).type
-            for lo, hi in in_slices(texts):
-                for name, x in zip(names[lo:hi], enc.encode(texts[lo:hi], end), strict=True):
+            doc_type = b.column(0).type
+            for lo, hi in sized_slices(b.column(1), SLICE_BYTES):
+                names, texts = (b.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
+                for name, x in zip(names, enc.encode(texts, end), strict=True):
                     docs.append(name)
                     ids.append(x)
                     held += len(x) // width
@@ -159,6 +168,9 @@ def _chunks(path: str, keeps_space: bool, end: int, block_ids: int):
                         yield flush()
         if docs:
             yield flush()
+        if seq:
+            used = np.flatnonzero(counts)
+            yield row(None, None, None, None, used.tolist(), counts[used].tolist())
 
     return run
 
@@ -171,24 +183,17 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
     # ranges of ids; the texts' checksum orders rows that share an id, and a row number spreads rows that share both
     ties = slim.withColumns({"tie": F.crc32("text"), "row": F.monotonically_increasing_id()})
     ranged = ties.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")
-    schema = f"part int, seq bigint, before bigint, doc_ids array<{id_type}>, lengths array<bigint>, ids binary"
+    schema = f"part int, seq bigint, before bigint, doc_ids array<{id_type}>, lengths array<bigint>, ids binary, used array<int>, n array<bigint>"
     scratch = Scratch(spark)
-    staged = scratch.written(ranged.mapInArrow(_chunks(tokenizer, keeps_space, end, block_ids), schema))
+    staged = scratch.written(ranged.mapInArrow(_chunks(tokenizer, keeps_space, end, block_ids, vocab), schema))
     dtype = "<u2" if vocab <= 1 << 16 else "<u4"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocab, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype), minlength=vocab)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
-
     # both tables that the driver sees are bounded: by the vocabulary, and by the number of partitions
     counts = np.zeros(vocab, np.int64)
-    for i, n in staged.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n")).collect():
+    totals = staged.where("seq IS NULL")
+    for i, n in totals.select(F.inline(F.arrays_zip("used", "n"))).groupBy("used").agg(F.sum("n")).collect():
         counts[i] = n
-    parts = sorted(staged.select("part", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n")).collect())
+    parts = sorted(totals.select("part", "before").collect())
     starts = dict(zip([p for p, _ in parts], np.cumsum([0, *(n for _, n in parts)]).tolist(), strict=False))
     used = np.flatnonzero(counts)
     lengths = code_lengths(counts, max(max_bits, len(used).bit_length())).tobytes()
@@ -207,7 +212,8 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, end: int, id: str = "doc_
                 )
 
     schema = f"part int, seq bigint, first_start bigint, doc_ids array<{id_type}>, lengths array<bigint>, n_ids bigint, checkpoint_ids int, checkpoints array<bigint>, payload binary"
-    staged.mapInArrow(pack, schema).write.mode("overwrite").parquet(f"{out}/blocks")
+    chunks = staged.where("seq IS NOT NULL").select("part", "seq", "before", "doc_ids", "lengths", "ids")
+    chunks.mapInArrow(pack, schema).write.mode("overwrite").parquet(f"{out}/blocks")
     scratch.clear()
     return out
 

@@ -5,7 +5,10 @@ the white space after it, nor a plain letter and the punctuation (but for an apo
 changes no id: a text's ids are the ids of its units, one after the other.  Each distinct unit is
 encoded by the tokenizers library once and remembered, in a memory of bounded size; a unit of plain
 letters is one pre-token and goes to the library's model directly.  Texts with white space outside
-ASCII, and texts that hold the string of an added token, are encoded whole.  The tests compare with
+ASCII, and texts that hold the string of an added token, are encoded whole.  Where white space is kept,
+many texts are encoded together: their units become a dictionary column, whose distinct values alone
+are encoded, the plain ones in a few calls; those last met are remembered as columns, up to a number of
+bytes.  The tests compare with
 whole-text encoding.
 """
 
@@ -15,11 +18,15 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _ASCII = r" \n\t\r\f\v"
@@ -29,6 +36,10 @@ SPACED = re.compile(rf"\n(?=[^{_ASCII}])|[{_ASCII}]*[^{_ASCII}]+|[{_ASCII}]+")
 ODD = re.compile(rf"[{_ASCII}](?:[{_ASCII}]+[^{_ASCII}]*|\Z)|[\t\r\f\v][^{_ASCII}]*")
 #: Plain letters, then ASCII punctuation; an apostrophe may begin a contraction and is left out.
 WORD = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+#: The same after at most one space, for Arrow.
+STEM = rf"^(?P<stem> ?[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
+#: Stems in a call of the library, and bytes of those that are remembered.
+AT_ONCE, KNOWN_BYTES = 2000, 8 << 20
 _ODD_ASCII = ("\t", "\r", "\f", "\v", "  ", " \n", "\n ", "\n\n")
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 
@@ -65,6 +76,13 @@ class UnitEncoder:
         self.first = _Memory(lambda u: self._unit("", u, self.first), most // 4 if spaced else most)
         self.rest = _Memory(lambda u: self._unit(" ", u, self.rest), most)
         self.spans = _Memory(self._offsets, most // 16)
+        # a tokenizer of plain units between line feeds, and the bytes of each of its tokens
+        self.plain = Tokenizer(self.model)
+        self.plain.pre_tokenizer = CharDelimiterSplit(self.letters[ord("\n")])
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
+        self.known = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -150,7 +168,74 @@ class UnitEncoder:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text, then ``end``, as little-endian integers of ``dtype``."""
         tail = np.array([end], self.dtype).tobytes()
-        return [b"".join(self._parts(t)) + tail if t else tail for t in texts]
+        if not self.spaced:
+            return [b"".join(self._parts(t)) + tail if t else tail for t in texts]
+        out, together = [tail] * len(texts), []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _ODD_ASCII) or self._unsplit(t):
+                out[i] = b"".join(self._parts(t)) + tail
+            else:
+                together.append(i)
+        if together:
+            for i, ids in zip(together, self._together([texts[i] for i in together]), strict=True):
+                out[i] = ids + tail
+        return out
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts with single spaces and line feeds, none of them at an end.  A unit begins at a
+        space, at a line feed and after it."""
+        column = pa.array(texts, pa.string())
+        edges, n = np.frombuffer(column.buffers()[1], np.int32), len(texts)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[: edges[n]]
+        feed = data == 10
+        begin = feed | (data == 32)
+        begin[1:] |= feed[:-1]
+        begin[edges[:n]] = True
+        at = np.r_[np.flatnonzero(begin), len(data)].astype(np.int32)
+        units = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), column.buffers()[2]).dictionary_encode()
+        ids = self._distinct(units.dictionary).take(units.indices)
+        cuts = np.frombuffer(ids.buffers()[1], np.int32)[np.searchsorted(at, edges[: n + 1])].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return (bytes(raw[s:e]) for s, e in pairwise(cuts))
+
+    def _distinct(self, units: pa.StringArray) -> pa.BinaryArray:
+        found = pc.extract_regex(units, STEM)
+        stems, tails = (pc.struct_field(found, name).dictionary_encode() for name in ("stem", "tail"))
+        marks = pa.array([self.whole(t) if t else b"" for t in tails.dictionary.to_pylist()], pa.binary())
+        ids = pc.binary_join_element_wise(self._remembered(stems.dictionary).take(stems.indices), marks.take(tails.indices), pa.scalar(b"", pa.binary()))
+        other = pc.is_null(ids)
+        return pc.replace_with_mask(ids, other, pa.array([self.whole(u) for u in units.filter(other).to_pylist()], pa.binary()))
+
+    def _remembered(self, stems: pa.StringArray) -> pa.BinaryArray:
+        known, known_ids = self.known
+        at = pc.index_in(stems, value_set=known)
+        new = pc.is_null(at)
+        at, new_at = at.fill_null(0).to_numpy().copy(), np.flatnonzero(new.to_numpy(zero_copy_only=False))
+        unmet = np.ones(len(known), bool)
+        unmet[np.delete(at, new_at)] = False
+        at[new_at] = len(known) + np.arange(len(new_at))
+        ids = pa.concat_arrays([known_ids, self._stems(stems.filter(new))]).take(pa.array(at))
+        known, known_ids = (pa.concat_arrays([x, y.filter(pa.array(unmet))]) for x, y in ((stems, known), (ids, known_ids)))
+        most = int(np.searchsorted(np.cumsum(pc.binary_length(known).to_numpy()), KNOWN_BYTES, "right"))
+        self.known = known[:most], known_ids[:most]
+        return ids
+
+    def _stems(self, stems: pa.StringArray) -> pa.BinaryArray:
+        """Each is one pre-token.  As tokens are pieces of the text, their bytes tell where a stem ends."""
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(stems), AT_ONCE), len(stems)], pa.int32()), stems)
+        ids = [np.zeros(0, self.dtype)]
+        for text in pc.binary_join(lists, "\n").to_pylist():
+            shown = text.encode().decode("latin-1").translate(self.letters)
+            ids.append(np.array(self.plain.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype))
+        ids = np.concatenate(ids)
+        ends, stem_ends = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(stems).to_numpy())
+        cuts = np.searchsorted(ends, stem_ends) + 1
+        if len(ids) != (cuts[-1] if len(cuts) else 0) or (ends[cuts - 1] != stem_ends).any():
+            raise ValueError("the tokens of the vocabulary do not add up to the text")
+        offsets = (np.r_[0, cuts] * self.dtype.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(stems), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 @lru_cache(maxsize=4)
@@ -176,3 +261,13 @@ def in_slices(texts: list, weight: int = 2_000_000):
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def sized_slices(column: pa.Array, weight: int):
+    """Index ranges of a column of texts with about ``weight`` bytes each; no text becomes a Python string."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        end = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + weight)) + 1, len(ends))
+        yield start, end
+        start = end
