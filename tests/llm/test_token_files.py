@@ -49,6 +49,22 @@ def test_words_met_before_need_no_library():
     assert enc.encode(texts * 2, 2) == first * 2 and not enc.rest
 
 
+def test_small_slices_keep_few_words():
+    enc = units.UnitEncoder(PATHS[0], True)
+    enc.encode([" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "lmnrst")], 2)
+    enc.encode(["one two three"], 2)
+    assert 3 < len(enc.known[0]) <= (units.KNOWN_TIMES + 1) * 3
+
+
+def test_slices_are_even_and_whole():
+    import pyarrow as pa
+
+    for texts in ([], [None], ["", ""], ["abc"] * 10, ["x" * 50, "", None, "y"], [None, "x" * 9]):
+        got = list(units.sized_slices(pa.array(texts, pa.string()), 8))
+        assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
+    assert [hi - lo for lo, hi in units.sized_slices(pa.array(["abc"] * 10), 20)] == [5, 5]
+
+
 def test_counts_of_the_code(spark, small, tmp_path):
     """They come with the chunks, from several partitions."""
     from collections import Counter

@@ -166,6 +166,7 @@ def _chunks(path: str, keeps_space: bool, end: int, block_ids: int, vocab: int):
                     held += len(x) // width
                     if held >= block_ids:
                         yield flush()
+            pa.default_memory_pool().release_unused()
         if docs:
             yield flush()
         if seq:

@@ -38,8 +38,8 @@ ODD = re.compile(rf"[{_ASCII}](?:[{_ASCII}]+[^{_ASCII}]*|\Z)|[\t\r\f\v][^{_ASCII
 WORD = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
 #: The same after at most one space, for Arrow.
 STEM = rf"^(?P<stem> ?[{_LETTERS}]+)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
-#: Stems in a call of the library, and bytes of those that are remembered.
-AT_ONCE, KNOWN_BYTES = 2000, 8 << 20
+#: Stems in a call of the library; bytes of those that are remembered, and how many for each of a slice.
+AT_ONCE, KNOWN_BYTES, KNOWN_TIMES = 2000, 8 << 20, 8
 _ODD_ASCII = ("\t", "\r", "\f", "\v", "  ", " \n", "\n ", "\n\n")
 _OTHER_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 
@@ -209,7 +209,8 @@ class UnitEncoder:
         return pc.replace_with_mask(ids, other, pa.array([self.whole(u) for u in units.filter(other).to_pylist()], pa.binary()))
 
     def _remembered(self, stems: pa.StringArray) -> pa.BinaryArray:
-        known, known_ids = self.known
+        # a slice looks among as many as are worth it, so that small slices do not pay for large columns
+        known, known_ids = (x[: KNOWN_TIMES * len(stems)] for x in self.known)
         at = pc.index_in(stems, value_set=known)
         new = pc.is_null(at)
         at, new_at = at.fill_null(0).to_numpy().copy(), np.flatnonzero(new.to_numpy(zero_copy_only=False))
@@ -264,9 +265,10 @@ def in_slices(texts: list, weight: int = 2_000_000):
 
 
 def sized_slices(column: pa.Array, weight: int):
-    """Index ranges of a column of texts with about ``weight`` bytes each; no text becomes a Python string."""
+    """Even index ranges of a column of texts with at most about ``weight`` bytes each; no text becomes a
+    Python string."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
+    start, weight = 0, max(1, -(-int(ends[-1]) // -(-int(ends[-1]) // weight))) if len(ends) and ends[-1] else weight
     while start < len(ends):
         end = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + weight)) + 1, len(ends))
         yield start, end
