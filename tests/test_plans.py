@@ -10,13 +10,13 @@ from pyspark.sql import types as T
 from weftline.apps import kv, netpath, numeric as n, world
 from weftline.functions.ports import plain
 from weftline.operators.cell import Linear
-from weftline.operators.compose import Broadcast, Chain, Choice, Each, Feedback, Id, Merge, Opt, Rep, Switch, TryChain, chain, diamond
+from weftline.operators.compose import Broadcast, Chain, Choice, DriveTry, Each, Feedback, Id, Merge, Opt, Rep, Switch, TryChain, chain, diamond
 from weftline.operators.contract import ContractError, Slot
 from weftline.plans.carriers import pump_try
 from weftline.plans.drive import drive_seq, fold
 from weftline.plans.ranges import by_ranges
 from weftline.plans.slots import SlotDrive
-from weftline.streaming.pump import bounded_pump, file_stream, log_sink, ordered_files, pump
+from weftline.streaming.pump import bounded_pump, bounded_pump_try, file_stream, log_sink, ordered_files, pump
 
 M = 1_000_003
 LINES = ["LOGIN alice", " LOGIN bob", "MOVE alice 1 2", "SAY alice hello  world", "LOGOUT zed", "MOVE bob 5 -5", "LOGOUT bob", "LOGIN", "MOVE ghost +1", "JUMP", "", "SAY", "MOVE x 99999999999 1.5"]
@@ -264,3 +264,15 @@ def test_a_batch_holds_no_more_rows_than_its_capacity(spark, tmp_path):
     assert got == want
     with pytest.raises(ContractError):
         ordered_files(df, ["seq"], f"{tmp_path}/none", rows_a_file=0)
+
+
+def test_a_stream_without_state_is_a_projection(spark, tmp_path):
+    """No key is grouped and no state kept for a cell that has none; rows and columns are the same as in a drive."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i - 30) for i in range(60)], "seq bigint, x bigint")
+    ordered_files(df, ["seq"], f"{tmp_path}/in", least=3)
+    good, errors = bounded_pump_try(spark, f"{tmp_path}/in", df.schema, n.fallible_inc, n.double, "x", "o", ["seq"], ["seq"])
+    want = [(i, i - 30, (i - 29) * 2) for i in range(60) if i % 5 and i >= 30]
+    assert [tuple(r) for r in good.where("x IS NOT NULL").orderBy("seq").collect()] == want and errors.first()[0] == 24
+    stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), DriveTry(n.fallible_inc, n.double), "x", "o", ["seq"], ["seq"])
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and stream.columns == ["seq", "x", "o"]

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.ports import plain, rich
-from ..operators.cell import Cell, fresh
+from ..operators.cell import Cell, Drive, fresh
 from ..operators.compose import DriveTry
 from ..operators.contract import ContractError, validate_capacity
 from ..sources.tables import shared_folder
@@ -89,11 +89,13 @@ class _Step(StatefulProcessor):
 
 
 def pump(stream: DataFrame, cell: Cell, x: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The stream with the cell's output for each row."""
+    """The stream with the cell's output for each row; a projection for a cell without state."""
     if not cell.scannable:
         raise ContractError("this cell has no form for streams")
-    # names that Python can't have get numbers
     names = [n for n in stream.columns if n != out]
+    if cell.stateless:
+        return cell.apply(stream, x, out, Drive()).select(*names, out)
+    # names that Python can't have get numbers
     odd = {n: stream.schema[n].dataType for n in names if isinstance(stream.schema[n].dataType, T.NumericType | T.BooleanType)}
     short = {n: f"c{i}" for i, n in enumerate(names)}
     kept = [(F.col(n).cast("string") if n in odd else F.col(n)).alias(c) for n, c in short.items()]
