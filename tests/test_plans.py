@@ -16,7 +16,7 @@ from weftline.plans.carriers import pump_try
 from weftline.plans.drive import drive_seq, fold
 from weftline.plans.ranges import by_ranges
 from weftline.plans.slots import SlotDrive
-from weftline.streaming.pump import bounded_pump, bounded_pump_try, file_stream, log_sink, ordered_files, pump
+from weftline.streaming.pump import bounded_pump, bounded_pump_try, file_stream, log_sink, ordered_files, pump, typed_state
 
 M = 1_000_003
 LINES = ["LOGIN alice", " LOGIN bob", "MOVE alice 1 2", "SAY alice hello  world", "LOGOUT zed", "MOVE bob 5 -5", "LOGOUT bob", "LOGIN", "MOVE ghost +1", "JUMP", "", "SAY", "MOVE x 99999999999 1.5"]
@@ -276,3 +276,46 @@ def test_a_stream_without_state_is_a_projection(spark, tmp_path):
     stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), DriveTry(n.fallible_inc, n.double), "x", "o", ["seq"], ["seq"])
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in plan and stream.columns == ["seq", "x", "o"]
+
+
+def test_many_keys_take_few_calls(spark, tmp_path):
+    """Keys share buckets: a batch calls the step once a bucket, whatever the number of its keys."""
+    df = spark.range(6000).select(F.col("id").alias("seq"), (F.col("id") % 1500).alias("k"), F.concat(F.lit("SET a "), F.col("id").cast("string"), F.when(F.col("id") % 3 > 0, "\n").otherwise("")).alias("x"))
+    ordered_files(df, ["seq"], f"{tmp_path}/in", least=3)
+    for cell in (kv.service(3, 10_000), n.scaler(M)):
+        given = df if cell.in_type == df.schema["x"].dataType else df.withColumn("x", F.col("seq"))
+        ordered_files(given, ["seq"], f"{tmp_path}/{cell.out_type.simpleString()}", least=3)
+        with typed_state(spark):
+            stream = pump(file_stream(spark, f"{tmp_path}/{cell.out_type.simpleString()}", given.schema), cell, "x", "o", ["k"], ["seq"], buckets=8)
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out-{cell.out_type.simpleString()}").option("checkpointLocation", f"{tmp_path}/c-{cell.out_type.simpleString()}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = told(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out-{cell.out_type.simpleString()}"))
+        assert got == told(drive_seq(cell, given, "x", "o", ["k"], ["seq"], "scan"))
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(kept) <= 8
+
+
+@pytest.mark.parametrize("name", ["store", "service", "world", "program", "delivery", "each"])
+def test_large_states_are_kept_apart(spark, tmp_path, name):
+    """States that outgrow their bucket, at once or at some later row, go on as they would there."""
+    cell, values = CASES[name]
+    df, rows = given(spark, cell, values), rows_of(values)
+    ordered_files(df, ["seq"], f"{tmp_path}/in", rows_a_file=7)
+    for small in (0, 3, 20):
+        with typed_state(spark):
+            stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), cell, "x", "o", ["k"], ["seq"], buckets=2, small=small)
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out{small}").option("checkpointLocation", f"{tmp_path}/c{small}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert same(told(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out{small}")), cell, rows), small
+
+
+def test_streams_sort_as_spark_does(spark, tmp_path):
+    """Orders and keys of several types, nulls and NaN among them."""
+    values = [None, float("nan"), 1.5, -0.0, float("inf"), -2.0, float("-inf")]
+    rows = [(i, [None, "é", "z", "a", ""][i % 5], values[i % 7], i % 3 == 0 if i % 4 else None, [0.0, -0.0, float("nan"), None][i * 5 % 4], i) for i in range(140)]
+    df = spark.createDataFrame(rows, "seq bigint, s string, d double, b boolean, k double, x bigint").withColumn("a", F.struct(F.col("s"), F.col("d"))).withColumn("t", F.timestamp_micros(F.col("seq") % 2))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for order, keys in ((["b", "d", "s", "seq"], ["k"]), (["a", "seq"], ["t"]), (["t", "seq"], ["s", "b"])):
+        got = bounded_pump(spark, f"{tmp_path}/in", df.schema, n.scaler(M), "x", "o", keys, order)
+        want = drive_seq(n.scaler(M), df, "x", "o", keys, order, "fold")
+        assert [(r["seq"], r["o"]) for r in got.orderBy("seq").collect()] == [(r["seq"], r["o"]) for r in want.orderBy("seq").collect()], order

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ports import BOOL, LONG, STRING, let, plain_int, strict_int, struct_type
-from ..operators.cell import Cell, Stateful, Stateless, Summary, Touched
+from ..operators.cell import Cell, Stateful, Stateless, Summary
 from ..operators.compose import Each, chain
 from ..plans.ranges import running_sum
 from ..plans.steps import scan_from
@@ -217,7 +217,7 @@ def bounded_store(max_keys: int = 10_000, max_value: int = 1_000_000) -> Statefu
             reply = {"UNKNOWN": ("BYTES", None, f"ERR unknown: {msg}", None), "PROTOCOL": ("ERR", None, msg, None)}.get(tag)
         return held, reply
 
-    return Stateful(CMD, REPLY, STORE, Touched, None, step, lazy=True)
+    return Stateful(CMD, REPLY, STORE, dict, None, step, lazy=True)
 
 
 def service(max_keys: int = 10_000, max_value: int = 1_000_000) -> Cell:

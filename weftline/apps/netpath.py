@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ports import LONG, STRING, plain_int, strict_int, struct_type
-from ..operators.cell import Cell, Stateful, Stateless, Summary, Touched
+from ..operators.cell import Cell, Stateful, Stateless, Summary
 from ..operators.compose import Chain, chain
 
 ETH = struct_type(proto=LONG, payload=STRING)
@@ -75,7 +75,7 @@ def _delivered(held: dict, t: tuple) -> tuple:
 
 
 def _add(held: dict, more: dict) -> dict:
-    out = Touched(held)
+    out = dict(held)
     for pair, n in more.items():
         out[pair] = out.get(pair, 0) + n
     return out
@@ -94,7 +94,7 @@ eth_parse, ip_parse, tcp_parse = Stateless(STRING, ETH, _eth, _plain_eth), State
 #: What of a segment is delivered, without the table of what was.
 measure = Stateless(TCP, DELIVERED, _deliver, _plain_deliver)
 #: The same, with the bytes of each pair of ports so far as its state.
-deliver = Stateful(TCP, DELIVERED, TABLE, Touched, None, _delivered, over=lambda t, w: _deliver(t), given=Summary(TABLE, _sums, _add, _add), lazy=True)
+deliver = Stateful(TCP, DELIVERED, TABLE, dict, None, _delivered, over=lambda t, w: _deliver(t), given=Summary(TABLE, _sums, _add, _add), lazy=True)
 parsed: Cell = chain(eth_parse, ip_parse, tcp_parse)
 path: Cell = Chain(parsed, measure)
 delivery: Cell = Chain(parsed, deliver)

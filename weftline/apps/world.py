@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ports import LONG, STRING, let, pair_type, plain_int, strict_int, struct_type
-from ..operators.cell import Stateful, Stateless, Summary, Touched
+from ..operators.cell import Stateful, Stateless, Summary
 from ..operators.compose import Broadcast, chain
 
 EVENT = struct_type(tag=STRING, name=STRING, x=LONG, y=LONG, text=STRING)
@@ -85,7 +85,7 @@ def positions(df: DataFrame, event: str, keys: list[str], order: list[str]) -> D
     return rows.withColumns({"x": at("x"), "y": at("y")}).drop("__name", "__alone", "__moved", "__came")
 
 
-class World(Touched):
+class World(dict):
     """name -> position, with the names in order and how each is shown."""
 
     def __init__(self, places: dict | None = None):
@@ -94,7 +94,6 @@ class World(Touched):
         self.shown: list[str] = []
         for name in sorted(places or {}):
             self[name] = places[name]
-        self.touched.clear()
 
     def __setitem__(self, name: str, place: tuple) -> None:
         i = bisect_left(self.names, name)

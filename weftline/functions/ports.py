@@ -10,9 +10,11 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 LONG, DOUBLE, STRING, BOOL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 
@@ -99,3 +101,25 @@ def rich(kind: T.DataType) -> Callable[[Any], Any]:
         key, value = rich(kind.keyType), rich(kind.valueType)
         return lambda v: None if v is None else [(key(k), value(x)) for k, x in v.items()]
     return lambda v: v
+
+
+def taken(kind: T.DataType, values: pa.Array | pa.ChunkedArray) -> list:
+    """An Arrow column's values as steps take them."""
+    if isinstance(values, pa.ChunkedArray):
+        return [v for c in values.chunks for v in taken(kind, c)]
+    if isinstance(kind, T.StructType):
+        rows = list(zip(*(taken(f.dataType, values.field(i)) for i, f in enumerate(kind.fields)), strict=True)) if kind.fields else [()] * len(values)
+        return [r if there else None for r, there in zip(rows, values.is_valid().to_pylist(), strict=True)] if values.null_count else rows
+    if isinstance(kind, T.ArrayType | T.MapType):
+        return list(map(plain(kind), values.to_pylist()))
+    return values.to_pylist()
+
+
+def given(kind: T.DataType, values: list) -> pa.Array:
+    """The way back."""
+    arrow = to_arrow_type(kind)
+    if isinstance(kind, T.StructType) and kind.fields:
+        parts = [given(f.dataType, [None if v is None else v[i] for v in values]) for i, f in enumerate(kind.fields)]
+        return pa.StructArray.from_arrays(parts, fields=list(arrow), mask=pa.array([v is None for v in values], pa.bool_()))
+    back = rich(kind)
+    return pa.array([back(v) for v in values] if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else values, arrow)

@@ -105,26 +105,6 @@ class Linear:
         return Summary(pair, of, then, lambda s, p: within(p[0] * s + p[1]))
 
 
-class Touched(dict):
-    """A map that remembers which of its keys were written or removed."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.touched: set = set()
-
-    def __setitem__(self, key: Any, value: Any) -> None:
-        self.touched.add(key)
-        super().__setitem__(key, value)
-
-    def __delitem__(self, key: Any) -> None:
-        self.touched.add(key)
-        super().__delitem__(key)
-
-    def pop(self, key: Any, default: Any = None) -> Any:
-        self.touched.add(key)
-        return super().pop(key, default)
-
-
 class Cell:
     in_type: T.DataType
     out_type: T.DataType

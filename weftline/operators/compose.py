@@ -35,6 +35,12 @@ class _Composite(Cell):
     def _hold(self, **parts: Cell) -> None:
         self.parts = parts
         self.state_type = states(**parts)
+        self._unit = self.state_type == UNIT
+
+    @property
+    def stateless(self) -> bool:
+        # asked at every step
+        return self._unit
 
     @property
     def windowed(self) -> bool:
@@ -73,7 +79,7 @@ class _Composite(Cell):
         return s if s else tuple(p.initial() for p in self.parts.values())
 
     def _py_pack(self, *new: Any) -> Any:
-        return () if self.stateless else new
+        return () if self._unit else new
 
 
 class Id(Cell):
