@@ -319,3 +319,15 @@ def test_streams_sort_as_spark_does(spark, tmp_path):
         got = bounded_pump(spark, f"{tmp_path}/in", df.schema, n.scaler(M), "x", "o", keys, order)
         want = drive_seq(n.scaler(M), df, "x", "o", keys, order, "fold")
         assert [(r["seq"], r["o"]) for r in got.orderBy("seq").collect()] == [(r["seq"], r["o"]) for r in want.orderBy("seq").collect()], order
+
+
+def test_a_log_of_many_stores_takes_few_calls(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 700).alias("k"), F.concat(F.lit("SET a "), F.col("id").cast("string")).alias("line"))
+    df = drive_seq(kv.cmd_parse, df, "line", "x", [], ["seq"])
+    ordered_files(df, ["seq"], f"{tmp_path}/in", least=3)
+    stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), kv.bounded_store(3, 2000), "x", "o", ["k"], ["seq"], buckets=4)
+    query = log_sink(stream.select("seq", "o.log").where("log IS NOT NULL"), f"{tmp_path}/log", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
+    got = spark.read.option("recursiveFileLookup", "true").schema("seq bigint, log string").parquet(f"{tmp_path}/log")
+    assert sorted(r["log"] for r in got.collect()) == sorted(f"SET a {i}" for i in range(2001))
