@@ -331,3 +331,28 @@ def test_a_log_of_many_stores_takes_few_calls(spark, tmp_path):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4
     got = spark.read.option("recursiveFileLookup", "true").schema("seq bigint, log string").parquet(f"{tmp_path}/log")
     assert sorted(r["log"] for r in got.collect()) == sorted(f"SET a {i}" for i in range(2001))
+
+
+def kept_by(spark, tmp_path, cell, df):
+    """The most entries that the state store holds for a stream of df dealt to four buckets; its rows are a scan's."""
+    ordered_files(df, ["seq"], f"{tmp_path}/in", least=3)
+    stream = pump(file_stream(spark, f"{tmp_path}/in", df.schema), cell, "x", "o", ["k"], ["seq"], buckets=4)
+    with typed_state(spark):
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert told(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")) == told(drive_seq(cell, df, "x", "o", ["k"], ["seq"], "scan"))
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+
+def test_many_worlds_take_few_calls(spark, tmp_path):
+    x = F.concat(F.element_at(F.array(*map(F.lit, ("LOGIN p", "MOVE p", "SAY p", "LOGOUT p"))), (F.col("id") % 7 % 4 + 1).cast("int")), (F.col("id") % 3).cast("string"), F.lit(" 1 2"))
+    df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 400).alias("k"), x.alias("x"))
+    assert kept_by(spark, tmp_path, world.program, df) <= 4
+
+
+def test_ranges_are_seldom_cut_in_two(spark, tmp_path):
+    """A range of the average length is one file, not a file and a remainder with a micro-batch of its own."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("seq"))
+    ordered_files(df, ["seq"], f"{tmp_path}/in", rows_a_file=2000, least=2)
+    files = list((tmp_path / "in").glob("part-*"))
+    assert len(files) <= 13 and spark.read.parquet(f"{tmp_path}/in").count() == 20_000
