@@ -356,3 +356,9 @@ def test_ranges_are_seldom_cut_in_two(spark, tmp_path):
     ordered_files(df, ["seq"], f"{tmp_path}/in", rows_a_file=2000, least=2)
     files = list((tmp_path / "in").glob("part-*"))
     assert len(files) <= 13 and spark.read.parquet(f"{tmp_path}/in").count() == 20_000
+
+
+def test_many_slots_take_few_calls(spark, tmp_path):
+    x = F.struct((F.col("id") > 1500).cast("bigint").alias("epoch"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"))
+    df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 700).alias("k"), x.alias("x"))
+    assert kept_by(spark, tmp_path, Switch(n.counter, n.scaler(M)), df) <= 4
