@@ -362,3 +362,8 @@ def test_many_slots_take_few_calls(spark, tmp_path):
     x = F.struct((F.col("id") > 1500).cast("bigint").alias("epoch"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"))
     df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 700).alias("k"), x.alias("x"))
     assert kept_by(spark, tmp_path, Switch(n.counter, n.scaler(M)), df) <= 4
+
+
+def test_a_pump_of_many_keys_takes_few_calls(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 700).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"))
+    assert kept_by(spark, tmp_path, Chain(n.inc, n.counter), df) <= 4
